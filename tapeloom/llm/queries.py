@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tapeloom.llm import bpe_stream, token_counts, token_store
+from tapeloom.llm import bpe_stream, licenses, ordinal, token_counts, token_store, url_filter
 
 WORD_BPE, WORD_END, WORD_SIZE = "word_bpe_49k.json", 1, 49_408
 BYTE_BPE = "byte_bpe_50k.json"
@@ -22,6 +23,11 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.digest(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), WORD_END, WORD_SIZE)
 
 
+def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return ordinal.score(docs, ordinal.train(docs, ordinal.graded(_table(spark, sf_dir, "labels"))))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), CONTEXT)
 
@@ -30,5 +36,52 @@ def op7_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_stream.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_store, op5_token_counts, op7_bpe_stream)}
-ORACLE_SQL: dict[str, str] = {}
+# Dated changes of the URL lists that op8 judges the captures of pages by.
+LIST_CHANGES = [
+    ("block", "domain", "spam-farm.example.org", "spam", "add", "2024-01-01"),
+    ("block", "domain", "cheap-pills.example.com", "spam", "add", "2024-02-01"),
+    ("block", "domain", "cheap-pills.example.com", "spam", "remove", "2024-06-01"),
+    ("block", "domain", "cheap-pills.example.com", "spam", "add", "2024-09-01"),
+    ("block", "domain", "example.net", "mirror", "add", "2024-04-01"),
+    ("block", "domain", "example.net", "mirror", "remove", "2024-10-01"),
+    ("allow", "domain", "tionsh.example.net", "partner", "add", "2024-05-01"),
+    ("allow", "domain", "blog.tionble.example.com", "partner", "add", "2024-01-15"),
+    ("block", "domain", "blog.tionble.example.com", "malware", "add", "2024-03-15"),
+    ("block", "domain", "blog.tionble.example.com", "malware", "remove", "2024-07-01"),
+    ("block", "prefix", "blog.ththth.example.org/es", "adult", "add", "2024-02-20"),
+    ("allow", "prefix", "tionsh.example.net/fr", "partner", "remove", "2024-03-01"),
+    ("block", "prefix", "tionsh.example.net/de", "gambling", "add", "2024-08-01"),
+]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages has no fetch time: each page counts as fetched at noon of a day of 2024 that its id gives."""
+    changes = spark.createDataFrame(LIST_CHANGES, "list string, kind string, value string, category string, action string, effective string").withColumn("effective", F.to_timestamp("effective"))
+    fetched = F.timestamp_seconds(F.lit(1_704_110_400) + F.pmod("page_id", F.lit(366)) * 86_400)
+    return url_filter.evaluate(_table(spark, sf_dir, "pages").select("page_id", "url").withColumn("fetched", fetched), changes)
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents")).drop("detections")
+
+
+OP8_SQL = f"""
+WITH changes(list, kind, value, category, action, effective) AS (VALUES {", ".join("('" + "','".join(x) + "')" for x in LIST_CHANGES)}),
+ranges AS (
+  SELECT list, kind, value, category, action, CAST(effective AS TIMESTAMP) AS valid_from,
+         LEAD(CAST(effective AS TIMESTAMP)) OVER (PARTITION BY list, kind, value ORDER BY effective) AS valid_to FROM changes),
+pages_at AS (
+  SELECT page_id, TIMESTAMP '2024-01-01 12:00:00' + (page_id % 366) * INTERVAL 1 DAY AS fetched,
+         coalesce(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '') AS host,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS p FROM pages),
+hits AS (
+  SELECT page_id, r.*, row_number() OVER (PARTITION BY page_id ORDER BY length(value) DESC, list, kind, value) AS k
+  FROM pages_at JOIN ranges r ON r.action = 'add' AND fetched >= valid_from AND (valid_to IS NULL OR fetched < valid_to)
+   AND ((kind = 'domain' AND (host = value OR ends_with(host, '.' || value)))
+     OR (kind = 'prefix' AND starts_with(lower(host || CASE WHEN p = '' THEN '/' ELSE p END) || '/', value || '/'))))
+SELECT page_id, host, coalesce(list, 'none') AS decision, value AS entry, category, CAST(valid_from AS DATE) AS active_since
+FROM pages_at LEFT JOIN (SELECT * FROM hits WHERE k = 1) USING (page_id)
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_store, op4_ordinal_quality, op5_token_counts, op7_bpe_stream, op8_url_filter, op10_license_scan)}
+ORACLE_SQL: dict[str, str] = {"op8_url_filter": OP8_SQL}
