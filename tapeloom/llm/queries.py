@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import bpe_stream, licenses, ordinal, token_counts, token_store, url_filter
+from tapeloom.llm import bpe_stream, licenses, ordinal, polytope, token_counts, token_store, url_filter
 
 WORD_BPE, WORD_END, WORD_SIZE = "word_bpe_49k.json", 1, 49_408
 BYTE_BPE = "byte_bpe_50k.json"
@@ -32,6 +32,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), CONTEXT)
 
 
+def op6_polytope_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return polytope.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_stream.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -83,5 +87,5 @@ SELECT page_id, host, coalesce(list, 'none') AS decision, value AS entry, catego
 FROM pages_at LEFT JOIN (SELECT * FROM hits WHERE k = 1) USING (page_id)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_store, op4_ordinal_quality, op5_token_counts, op7_bpe_stream, op8_url_filter, op10_license_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_store, op4_ordinal_quality, op5_token_counts, op6_polytope_neardup, op7_bpe_stream, op8_url_filter, op10_license_scan)}
 ORACLE_SQL: dict[str, str] = {"op8_url_filter": OP8_SQL}
