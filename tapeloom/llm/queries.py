@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import bpe_stream, jaccard, licenses, ordinal, polytope, repeats, token_counts, token_store, url_filter
+from tapeloom.llm import bpe_stream, decontaminate, jaccard, licenses, ordinal, polytope, repeats, token_counts, token_store, url_filter
 
 WORD_BPE, WORD_END, WORD_SIZE = "word_bpe_49k.json", 1, 49_408
 BYTE_BPE = "byte_bpe_50k.json"
@@ -27,6 +27,10 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_table(spark, sf_dir, "documents"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return ordinal.score(docs, ordinal.train(docs, ordinal.graded(_table(spark, sf_dir, "labels"))))
@@ -95,5 +99,5 @@ SELECT page_id, host, coalesce(list, 'none') AS decision, value AS entry, catego
 FROM pages_at LEFT JOIN (SELECT * FROM hits WHERE k = 1) USING (page_id)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_store, op2_ngram_jaccard, op4_ordinal_quality, op5_token_counts, op6_polytope_neardup, op7_bpe_stream, op8_url_filter, op9_repeated_strings, op10_license_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_store, op2_ngram_jaccard, op3_decontaminate, op4_ordinal_quality, op5_token_counts, op6_polytope_neardup, op7_bpe_stream, op8_url_filter, op9_repeated_strings, op10_license_scan)}
 ORACLE_SQL: dict[str, str] = {"op8_url_filter": OP8_SQL}

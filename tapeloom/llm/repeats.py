@@ -336,15 +336,15 @@ def merged(ranges: list[bytes]) -> np.ndarray:
     return np.stack([x[first, 0], end[np.append(first[1:], len(x)) - 1]], 1)
 
 
-def remove(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, text (what is left), spans (byte ranges).
+def remove(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", extra: list[str] | None = None) -> DataFrame:
+    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, text (what is left), spans (byte ranges); with extra, doc_id, text and those columns.
 
     A null text counts as empty; null ids and repeated rows stay (a repeated row of length bytes or more goes whole,
     as any exact copy does); other columns are not read. kept_sha256 is over the bytes left; in text, the bytes of
     a character that a range cut are left out.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    cuts = scratch.Table(find(rows, length), "removed").read()
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *([F.struct(*(F.col(c) for c in extra)).alias("rest")] if extra else []))
+    cuts = scratch.Table(find(rows.select("doc_id", "text"), length), "removed").read()
 
     def run(batches):
         for b in batches:
@@ -363,7 +363,15 @@ def remove(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_c
                 for name, x in zip(cols, (len(text), len(text) - len(left), len(spans), hashlib.sha256(left).hexdigest(), b"".join(x.decode(errors="ignore").encode() for x in kept).decode() if spans else text.decode(), spans), strict=True):
                     cols[name].append(x)
             kinds = [pa.int64()] * 3 + [pa.string(), pa.string(), pa.list_(pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(v, t) for v, t in zip(cols.values(), kinds, strict=True))], names=["doc_id", *cols])
+            if extra is None:
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(v, t) for v, t in zip(cols.values(), kinds, strict=True))], names=["doc_id", *cols])
+            else:
+                yield pa.RecordBatch.from_arrays([ids, pa.array(cols["text"], pa.string()), *b.columns[3:]], names=["doc_id", "text", *b.schema.names[3:]])
 
     keyed = rows.withColumn("key", F.when(F.octet_length("text") >= length, _text_key(F.col("text"))))
-    return keyed.join(cuts, "key", "left").select("doc_id", "text", "ranges").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, spans array<array<bigint>>")
+    joined = keyed.join(cuts, "key", "left")
+    if extra is not None:
+        more = ["rest"] if extra else []
+        kept = joined.select("doc_id", "text", "ranges", *more).mapInArrow(run, joined.select("doc_id", "text", *more).schema)
+        return kept.select("doc_id", "text", *(F.col("rest").getField(c).alias(c) for c in extra))
+    return joined.select("doc_id", "text", "ranges").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, spans array<array<bigint>>")
