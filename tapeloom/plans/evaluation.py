@@ -1 +1,123 @@
-"""Queries to come."""
+"""Queries that grade signals and replay portfolios."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tapeloom.operators import evaluation as ev
+from tapeloom.operators import replay as rp
+from tapeloom.operators import signals as sg
+from tapeloom.plans.indicators import _r
+from tapeloom.plans.signals import GRID_SQL, SQL
+from tapeloom.registry import query
+from tapeloom.sources.panel import session_bars
+
+KINDS = ("donchian", "undercut_rally")
+
+
+def _signals(x):
+    one = [sg.signals(x, k).filter("signal").select("market", "ticker", "d", F.lit(k).alias("kind"), F.col("h").alias("trigger"), (F.col("h") * 0.92).alias("stop"), (F.col("h") * 1.16).alias("target")) for k in KINDS]
+    return one[0].unionByName(one[1])
+
+
+def _outcomes(spark, sf_dir):
+    b = session_bars(spark, sf_dir)
+    return ev.grade(_signals(sg.session_features(b)), b)
+
+
+_y, _z = SQL["undercut_rally"].split(" SELECT ticker, d FROM z WHERE ")
+_y = _y.replace(", y AS", ", uy AS").replace("FROM y)", "FROM uy)").replace(", z AS", ", uz AS")
+_dz, _dw = SQL["donchian"].split(" SELECT ticker, d FROM z WHERE ")
+OUTCOMES_SQL = GRID_SQL + _y + _dz.replace(", z AS", ", dz AS") + f""",
+sig AS (SELECT market, ticker, d, 'donchian' AS kind, h AS trig, h * 0.92::DOUBLE AS stop, h * 1.16::DOUBLE AS target FROM dz WHERE {_dw} UNION ALL SELECT market, ticker, d, 'undercut_rally', h, h * 0.92::DOUBLE, h * 1.16::DOUBLE FROM uz WHERE {_z}),
+nb AS (SELECT *, row_number() OVER (PARTITION BY market, ticker ORDER BY d) AS k FROM bars),
+aft AS (SELECT sig.*, b.k - a.k - 1 AS i, b.h, b.l, b.c FROM sig JOIN nb a USING (market, ticker, d) JOIN nb b ON b.market = sig.market AND b.ticker = sig.ticker AND b.k > a.k AND b.k <= a.k + 75),
+tr AS (SELECT *, min(CASE WHEN i < 15 AND h >= trig THEN i END) OVER (PARTITION BY market, ticker, d, kind) AS t FROM aft),
+met AS (SELECT market, ticker, d, kind, max(t) AS t, min(CASE WHEN l <= stop THEN i END) AS si, min(CASE WHEN h >= target THEN i END) AS ti, arg_max(c, i) AS lc FROM tr WHERE i >= t AND i < t + 60 GROUP BY 1, 2, 3, 4),
+oc AS (SELECT sig.*, t, si, ti, lc, CASE WHEN t IS NULL THEN 'never_triggered' WHEN si IS NOT NULL AND (ti IS NULL OR si <= ti) THEN 'loss' WHEN ti IS NOT NULL THEN 'win' ELSE 'open' END AS outcome FROM sig LEFT JOIN met USING (market, ticker, d, kind)),
+outcomes AS (SELECT market, ticker, d, kind, t IS NOT NULL AS triggered, outcome, CASE outcome WHEN 'loss' THEN -1.0::DOUBLE WHEN 'win' THEN (target - trig) / (trig - stop) WHEN 'open' THEN (lc - trig) / (trig - stop) END AS r, t FROM oc)"""
+
+
+@query(OUTCOMES_SQL + " SELECT market, ticker, d, kind, triggered, outcome, round(coalesce(r, 0), 6) AS r, coalesce(t, -1) AS days FROM outcomes")
+def signal_outcomes(spark, sf_dir):
+    x = _outcomes(spark, sf_dir)
+    return x.select("market", "ticker", "d", "kind", "triggered", "outcome", _r(F.coalesce("r", F.lit(0.0)), "r"), F.coalesce("days_to_trigger", F.lit(-1)).cast("long").alias("days"))
+
+
+@query(OUTCOMES_SQL + """ SELECT market, kind, count(*) AS signals, count(*) FILTER (triggered) AS triggered, count(*) FILTER (outcome = 'win') AS wins, round(count(*) FILTER (outcome = 'win') / nullif(count(*) FILTER (outcome IN ('win', 'loss')), 0), 6) AS win_rate,
+ round(avg(r), 6) AS mean_r, round(sum(r) FILTER (r > 0) / sum(-r) FILTER (r <= 0), 6) AS profit_factor, round(avg(t), 6) AS days,
+ CASE WHEN avg(r) FILTER (d >= DATE '2001-06-01') IS NULL THEN 'none' WHEN avg(r) FILTER (d >= DATE '2001-06-01') < avg(r) - 0.3 THEN 'cooling' WHEN avg(r) FILTER (d >= DATE '2001-06-01') > avg(r) + 0.3 THEN 'heating' ELSE 'steady' END AS drift FROM outcomes GROUP BY 1, 2""")
+def strategy_scoreboard(spark, sf_dir):
+    x = ev.scoreboard(_outcomes(spark, sf_dir), "2001-07-01")
+    return x.select("market", "kind", "signals", "triggered", "wins", _r(F.col("win_rate"), "win_rate"), _r(F.col("mean_r"), "mean_r"), _r(F.col("profit_factor"), "profit_factor"), _r(F.col("days"), "days"), "drift")
+
+
+@query(OUTCOMES_SQL + " SELECT market, strftime(d, '%Y-%m') AS month, count(*) AS signals, count(*) FILTER (outcome = 'win') AS wins, round(sum(r), 6) AS total_r FROM outcomes GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY market ORDER BY month DESC) <= 6")
+def outcomes_by_month(spark, sf_dir):
+    from pyspark.sql import Window
+
+    x = _outcomes(spark, sf_dir).groupBy("market", F.date_format("d", "yyyy-MM").alias("month")).agg(F.count("*").alias("signals"), F.count_if(F.col("outcome") == "win").alias("wins"), F.sum("r").alias("total_r"))
+    return x.withColumn("k", F.row_number().over(Window.partitionBy("market").orderBy(F.desc("month")))).filter("k <= 6").select("market", "month", "signals", "wins", _r(F.col("total_r"), "total_r"))
+
+
+@query(OUTCOMES_SQL + ", dd AS (SELECT market, kind, d, sum(coalesce(r, 0)) AS r FROM outcomes GROUP BY 1, 2, 3) SELECT market, kind, d, round(sum(r) OVER (PARTITION BY market, kind ORDER BY d), 5) AS cumulative_r FROM dd")
+def cumulative_r_curve(spark, sf_dir):
+    from pyspark.sql import Window
+
+    x = _outcomes(spark, sf_dir).groupBy("market", "kind", "d").agg(F.sum(F.coalesce("r", F.lit(0.0))).alias("r"))
+    return x.select("market", "kind", "d", F.round(F.sum("r").over(Window.partitionBy("market", "kind").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)), 5).alias("cumulative_r"))
+
+
+FACTOR_SQL = GRID_SQL + """,
+own2 AS (SELECT *, lead(c, 20) OVER (PARTITION BY market, ticker ORDER BY d) AS c20 FROM bars),
+cand AS (SELECT market, ticker, CAST(d - INTERVAL 0 DAY AS DATE) AS d, rs_rank FROM grid WHERE rs_rank IS NOT NULL AND s % 20 = 0),
+fwd AS (SELECT cand.*, (c20 / c - 1) * 100 AS fwd FROM cand ASOF JOIN (SELECT market AS m2, ticker AS t2, d AS d2, c, c20 FROM own2) o ON m2 = market AND t2 = ticker AND d <= d2 WHERE c20 IS NOT NULL AND c > 0),
+rn AS (SELECT *, row_number() OVER (PARTITION BY market ORDER BY rs_rank, ticker, d) AS k, count(*) OVER (PARTITION BY market) AS n FROM fwd),
+bk AS (SELECT *, CAST(greatest(1, ((k - 1) * 5 + n - 2) // (n - 1)) AS INTEGER) AS bucket FROM rn),
+st AS (SELECT market, bucket, count(*) AS n, avg(fwd) AS mean, median(fwd) AS med, count(*) FILTER (fwd > 0) / count(*) * 100 AS win FROM bk GROUP BY 1, 2),
+up AS (SELECT *, coalesce(mean >= lag(mean) OVER (PARTITION BY market ORDER BY bucket), true) AS up FROM st)"""
+
+
+@query(FACTOR_SQL + " SELECT market, bucket, n, round(mean, 6) AS mean, round(med, 6) AS median, round(win, 6) AS win, bool_and(up) OVER (PARTITION BY market) AND count(*) OVER (PARTITION BY market) >= 3 AS monotone FROM up QUALIFY sum(n) OVER (PARTITION BY market) >= 30")
+def factor_buckets(spark, sf_dir):
+    b = session_bars(spark, sf_dir)
+    rows = sg.session_features(b).filter("rs_rank is not null and s % 20 = 0").select("market", "ticker", "d", "rs_rank")
+    x = ev.factor_table(ev.buckets(ev.forward_returns(rows, b), "rs_rank"))
+    return x.select("market", "bucket", "n", _r(F.col("mean"), "mean"), _r(F.col("median"), "median"), _r(F.col("win"), "win"), "monotone")
+
+
+def _flagged(spark, sf_dir, strategy="donchian"):
+    return sg.signals(sg.session_features(session_bars(spark, sf_dir)), strategy)
+
+
+@query()
+def replay_trades(spark, sf_dir):
+    return rp.replay(_flagged(spark, sf_dir))
+
+
+@query()
+def replay_statistics(spark, sf_dir):
+    return rp.statistics(rp.replay(_flagged(spark, sf_dir)))
+
+
+@query()
+def replay_equity(spark, sf_dir):
+    return rp.drawdown(rp.replay(_flagged(spark, sf_dir), equity=True))
+
+
+@query()
+def bootstrap_risk(spark, sf_dir):
+    return rp.bootstrap(rp.replay(_flagged(spark, sf_dir)))
+
+
+@query(GRID_SQL + _dz.replace(", z AS", ", dz AS") + f""",
+e0 AS (SELECT *, row_number() OVER w AS k, lag(s) OVER w AS ps, lag(coalesce({_dw}, false)) OVER w AS was FROM dz WINDOW w AS (PARTITION BY market, ticker ORDER BY s)),
+ent AS (SELECT market, ticker, s AS entry_s, k AS k0, o * (1 + CASE market WHEN 'MY' THEN 0.0030::DOUBLE ELSE 0.0010::DOUBLE END) AS entry, coalesce(o >= ma50, false) AS armed0, l AS l0 FROM e0 WHERE ps = s - 1 AND was AND o > 0),
+pth AS (SELECT ent.*, entry * (1 - 0.08::DOUBLE) AS stop, b.s AS s1, b.k, b.o, b.l, b.c, b.ma50, armed0 OR coalesce(bool_or(b.c >= b.ma50) OVER (PARTITION BY ent.market, ent.ticker, k0 ORDER BY b.k), false) AS armed FROM ent JOIN e0 b ON b.market = ent.market AND b.ticker = ent.ticker AND b.k > k0 AND b.k <= k0 + 40),
+hw AS (SELECT *, CASE WHEN l <= stop THEN 'stop' WHEN armed AND c < ma50 THEN 'ma50_break' WHEN k - k0 >= 40 THEN 'time' END AS reason, CASE WHEN l <= stop THEN least(stop, o) ELSE c END AS px FROM pth),
+fin AS (SELECT * FROM hw WHERE reason IS NOT NULL QUALIFY row_number() OVER (PARTITION BY market, ticker, k0 ORDER BY k) = 1)
+SELECT ent.ticker, ent.entry_s, round(ent.entry, 6) AS entry, coalesce(CASE WHEN ent.l0 <= ent.entry * (1 - 0.08::DOUBLE) THEN 'stop' ELSE fin.reason END, 'open') AS reason, coalesce(CASE WHEN ent.l0 <= ent.entry * (1 - 0.08::DOUBLE) THEN ent.entry_s ELSE fin.s1 END, -1) AS exit_s,
+ round(coalesce(CASE WHEN ent.l0 <= ent.entry * (1 - 0.08::DOUBLE) THEN ent.entry * (1 - 0.08::DOUBLE) ELSE fin.px END, 0), 6) AS px FROM ent LEFT JOIN fin USING (market, ticker, k0)""")
+def replay_candidates(spark, sf_dir):
+    x = rp.candidates(_flagged(spark, sf_dir))
+    return x.select("ticker", F.col("entry_s").cast("long").alias("entry_s"), _r(F.col("entry"), "entry"), F.coalesce("reason", F.lit("open")).alias("reason"), F.coalesce("exit_s", F.lit(-1)).cast("long").alias("exit_s"), _r(F.coalesce("px", F.lit(0.0)), "px"))

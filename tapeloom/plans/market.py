@@ -1 +1,83 @@
-"""Queries to come."""
+"""Queries of the market's state and the weekly view."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tapeloom.operators import indicators as ind
+from tapeloom.operators import market as mk
+from tapeloom.operators import weekly as wk
+from tapeloom.plans.indicators import FEATURES_SQL, _r
+from tapeloom.registry import query
+from tapeloom.sources.panel import BARS_SQL, bars
+
+INDEX_SQL = BARS_SQL + """,
+ix0 AS (SELECT market, d, sum(c) / count(c) AS c, sum(v) AS v FROM bars GROUP BY 1, 2),
+ix AS (SELECT *, row_number() OVER w AS k, lag(c) OVER w AS c1, lag(v) OVER w AS v1 FROM ix0 WINDOW w AS (PARTITION BY market ORDER BY d)),
+dist AS (SELECT a.market, a.d, CASE WHEN a.k >= 25 THEN (SELECT count(*) FROM ix b WHERE b.market = a.market AND b.k BETWEEN a.k - 24 AND a.k AND b.c < b.c1 * 0.998::DOUBLE AND b.v > b.v1 AND b.v1 > 0 AND a.c < b.c * 1.05::DOUBLE) END AS dist_days FROM ix a)"""
+
+
+@query(INDEX_SQL + " SELECT market, d, dist_days FROM dist WHERE dist_days IS NOT NULL")
+def distribution_days(spark, sf_dir):
+    return mk.distribution(mk.benchmark(bars(spark, sf_dir))).filter("dist_days is not null").select("market", "d", F.col("dist_days").cast("long").alias("dist_days"))
+
+
+@query(INDEX_SQL + """, m AS (SELECT ix.*, dist_days, avg(c) OVER (PARTITION BY market ORDER BY d ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS ma50, avg(c) OVER (PARTITION BY market ORDER BY d ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS ma200 FROM ix JOIN dist USING (market, d)),
+s AS (SELECT *, greatest(0, CASE WHEN c > ma50 THEN 1 ELSE 0 END + CASE WHEN c > ma200 THEN 1 ELSE 0 END - CASE WHEN dist_days >= 6 THEN 1 ELSE 0 END) AS g FROM m WHERE k >= 200)
+SELECT market, d, CASE g WHEN 2 THEN 'green' WHEN 1 THEN 'yellow' ELSE 'red' END AS light, CASE g WHEN 2 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END AS risk_pct FROM s""")
+def regime_by_date(spark, sf_dir):
+    return mk.regime(mk.benchmark(bars(spark, sf_dir))).select("market", "d", "light", "risk_pct")
+
+
+@query(INDEX_SQL + """, t AS (SELECT *, row_number() OVER (PARTITION BY market ORDER BY d) - 1 AS i, count(*) OVER (PARTITION BY market) AS n FROM (SELECT market, d, c, v FROM ix QUALIFY row_number() OVER (PARTITION BY market ORDER BY d DESC) <= 40)),
+u AS (SELECT *, lag(c) OVER (PARTITION BY market ORDER BY i) AS p, lag(v) OVER (PARTITION BY market ORDER BY i) AS q FROM t),
+lo AS (SELECT market, i AS li, c AS lc FROM t QUALIFY row_number() OVER (PARTITION BY market ORDER BY c, i) = 1)
+SELECT market, d, i - li + 1 AS day_of_rally, round((c / p - 1) * 100, 6) AS pct, i >= n - 5 AS recent FROM u JOIN lo USING (market) WHERE li >= 5 AND li < n - 3 AND i >= li + 3 AND c / p - 1 >= 0.015::DOUBLE AND v > q AND q > 0
+ AND lc <= (SELECT max(c) FROM t WHERE t.market = lo.market AND t.i < li) * 0.94::DOUBLE QUALIFY row_number() OVER (PARTITION BY market ORDER BY i) = 1""")
+def follow_through_day(spark, sf_dir):
+    x = mk.follow_through(mk.benchmark(bars(spark, sf_dir)))
+    return x.select("market", "d", F.col("day_of_rally").cast("long").alias("day_of_rally"), _r(F.col("pct"), "pct"), "recent")
+
+
+@query(FEATURES_SQL + " SELECT market, round(count(*) FILTER (c > ma200) / count(*) * 100, 6) AS above_200, round(count(*) FILTER (c > ma50) / count(*) * 100, 6) AS above_50, count(*) FILTER (c >= hi252 * 0.998::DOUBLE) AS new_highs, count(*) FILTER (c <= lo252 * 1.002::DOUBLE) AS new_lows, count(*) AS universe FROM newest WHERE k >= 200 GROUP BY market")
+def market_breadth(spark, sf_dir):
+    x = mk.breadth(ind.newest(ind.features(bars(spark, sf_dir))))
+    return x.select("market", _r(F.col("above_200"), "above_200"), _r(F.col("above_50"), "above_50"), "new_highs", "new_lows", "universe")
+
+
+@query(FEATURES_SQL + """, g AS (SELECT market, substr(ticker, 7, 1) AS industry, avg(c / c63 - 1) AS long, avg(c / c20 - 1) AS short FROM newest WHERE c63 IS NOT NULL GROUP BY 1, 2),
+m AS (SELECT market, avg(c / c63 - 1) AS ml, avg(c / c20 - 1) AS ms FROM newest WHERE c63 IS NOT NULL GROUP BY 1)
+SELECT market, industry, round(long - ml, 6) AS rel_long, round(short - ms, 6) AS rel_short, CASE WHEN long - ml >= 0 AND short - ms >= 0 THEN 'leading' WHEN long - ml >= 0 THEN 'weakening' WHEN short - ms >= 0 THEN 'improving' ELSE 'lagging' END AS quadrant, row_number() OVER (PARTITION BY market ORDER BY long - ml DESC, industry) AS place FROM g JOIN m USING (market)""")
+def sector_rotation(spark, sf_dir):
+    x = ind.newest(ind.features(bars(spark, sf_dir))).filter("c63 is not null").withColumn("industry", F.substring("ticker", 7, 1))
+    long, short = F.avg(F.col("c") / F.col("c63") - 1), F.avg(F.col("c") / F.col("c20") - 1)
+    whole = x.groupBy("market").agg(long.alias("market_long"), short.alias("market_short"))
+    groups = x.groupBy("market", "industry").agg(long.alias("long"), short.alias("short")).join(F.broadcast(whole), "market")
+    return mk.rotation(groups).select("market", "industry", _r(F.col("rel_long"), "rel_long"), _r(F.col("rel_short"), "rel_short"), "quadrant", F.col("place").cast("long").alias("place"))
+
+
+@query(FEATURES_SQL + f", x AS (SELECT *, avg(c * v) OVER (PARTITION BY market, ticker ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS value FROM features), n AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY market, ticker ORDER BY d DESC) = 1) SELECT market, ticker, round(value, 6) AS value FROM n WHERE c >= CASE market WHEN 'MY' THEN 0.5 ELSE 10 END AND value >= CASE market WHEN 'MY' THEN 1000 ELSE 1500 END")
+def liquidity_filter(spark, sf_dir):
+    from tapeloom.functions.frames import over
+
+    floors = F.when(F.col("market") == "MY", 0.5).otherwise(10.0), F.when(F.col("market") == "MY", 1000.0).otherwise(1500.0)
+    x = ind.newest(ind.features(bars(spark, sf_dir)).withColumn("value", over(F.avg, F.col("c") * F.col("v"), -19)))
+    return x.filter((F.col("c") >= floors[0]) & (F.col("value") >= floors[1])).select("market", "ticker", _r(F.col("value"), "value"))
+
+
+WEEK_SQL = BARS_SQL + """,
+wk0 AS (SELECT market, ticker, CAST(d + CAST((12 - isodow(d)) % 7 AS INTEGER) AS DATE) AS week, arg_min(o, d) AS o, max(h) AS h, min(l) AS l, arg_max(c, d) AS c, sum(v) AS v, max(d) AS last FROM bars GROUP BY 1, 2, 3),
+wk AS (SELECT * FROM wk0 QUALIFY week < max(week) OVER (PARTITION BY market, ticker) OR last >= week),
+facts AS (SELECT *, CASE WHEN count(c) OVER w = 30 THEN avg(c) OVER w END AS ma30w FROM wk WINDOW w AS (PARTITION BY market, ticker ORDER BY week ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)),
+risen AS (SELECT *, coalesce(ma30w > lag(ma30w, 10) OVER (PARTITION BY market, ticker ORDER BY week), false) AS rising FROM facts)"""
+
+
+@query(WEEK_SQL + " SELECT ticker, week, o, h, l, c, v, round(ma30w, 6) AS ma30w, rising FROM risen")
+def weekly_bars(spark, sf_dir):
+    return wk.weekly_facts(bars(spark, sf_dir)).select("ticker", "week", "o", "h", "l", "c", "v", _r(F.col("ma30w"), "ma30w"), "rising")
+
+
+@query(WEEK_SQL + """, lagged AS (SELECT market, ticker, week, lag(ma30w) OVER (PARTITION BY market, ticker ORDER BY week) AS m, lag(rising) OVER (PARTITION BY market, ticker ORDER BY week) AS r FROM risen)
+SELECT b.ticker, b.d, round(m, 6) AS ma30w, coalesce(r, false) AS rising, coalesce(b.c > m, false) AS above FROM bars b ASOF LEFT JOIN lagged ON b.market = lagged.market AND b.ticker = lagged.ticker AND b.d >= lagged.week""")
+def weekly_aligned(spark, sf_dir):
+    return wk.aligned(bars(spark, sf_dir)).select("ticker", "d", _r(F.col("ma30w"), "ma30w"), "rising", "above")

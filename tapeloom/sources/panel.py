@@ -50,3 +50,16 @@ bars AS (
          'T' || lpad(CAST(s AS VARCHAR), 6, '0') || CASE WHEN s % 2 = 0 THEN '.KL' ELSE '' END AS ticker, d, o,
          greatest(o, c) + 0.25::DOUBLE * (CAST(v AS BIGINT) % 5) AS h,
          greatest(0.5::DOUBLE, least(o, c) - 0.25::DOUBLE * (CAST(v AS BIGINT) % 4)) AS l, c, v FROM opened)"""
+
+
+def session_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bars on a common clock: a ticker's k-th bar is dated the k-th day of 2000 on, and one bar in 701 is missing."""
+    w = Window.partitionBy("market", "ticker").orderBy("d")
+    k = F.row_number().over(w)
+    x = bars(spark, sf_dir).withColumn("k", k).filter((F.col("k") + F.ascii(F.substring("ticker", 7, 1)) * 37) % 701 != 0)
+    return x.withColumn("d", F.date_add(F.lit("2000-01-01").cast("date"), F.col("k"))).drop("k")
+
+
+SESSION_SQL = BARS_SQL.replace("bars AS (", "own AS (") + """,
+keyed AS (SELECT *, row_number() OVER (PARTITION BY market, ticker ORDER BY d) AS k FROM own),
+bars AS (SELECT market, ticker, CAST(DATE '2000-01-01' + CAST(k AS INTEGER) AS DATE) AS d, o, h, l, c, v FROM keyed WHERE (k + ascii(substr(ticker, 7, 1)) * 37) % 701 <> 0)"""
