@@ -11,6 +11,8 @@ save work on the index lists:
   of two leaders, plus what their members differ by, bounds every overlap between the clusters. Only pairs of clusters
   that neither link by their leaders nor are excluded by that bound are opened, and their sets compared.
 
+Overlaps are first bounded by parity sketches of 128 bytes; only pairs that these leave open move whole sets.
+
 Sets and shingles are told apart by 64-bit hashes (for 10^10 sets, about three pairs in all would be mistaken).
 """
 
@@ -33,6 +35,8 @@ FREQUENT, ORDERED = 4, 1 << 19
 SAMPLED = 16
 #: Bits of the filter that says which sets may have a partner; a full filter costs space, not links.
 FILTER_BITS = 26
+#: Bits of a set's sketch.
+SKETCH = 1024
 U = np.uint64
 
 
@@ -153,7 +157,7 @@ def _prefixes(width: int, shared):
             rows, size = _once(flat, ends, keys, sent)
             if not len(rows):
                 continue
-            if len(sent) < 1 << 20:
+            if len(sent) < 1 << 17:
                 sent.update(keys[rows].tolist())
             h = _flat(flat, ends, rows, size)
             row = np.repeat(np.arange(len(rows)), size)
@@ -227,43 +231,77 @@ def _filter(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def _wanted_sets(shared):
-    """key, shingles of the sets that may have a partner."""
+def _passing(packed: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    place = (keys & U((1 << FILTER_BITS) - 1)).astype(np.int64)
+    return (packed[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
+
+
+def parity_bits(flat: np.ndarray) -> bytes:
+    """Parity of the shingles that fall on each of SKETCH places: two sets differ in at least as many shingles as places."""
+    return np.packbits((np.bincount((flat & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
+
+
+def _chosen(shared, of):
+    """key and of(shingles) of the sets that pass a filter, each once a task."""
 
     def run(batches):
-        may, sent = np.unpackbits(shared.value, bitorder="little").view(bool), set()
+        sent: set = set()
         for _, flat, ends, keys in _batches(batches):
             rows, _ = _once(flat, ends, keys, sent)
-            rows = rows[may[keys[rows] & U((1 << FILTER_BITS) - 1)]]
-            if len(sent) < 1 << 20:
+            rows = rows[_passing(shared.value, keys[rows])]
+            if len(sent) < 1 << 17:
                 sent.update(keys[rows].tolist())
             if len(rows):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[rows].astype(np.int64)), pa.array([flat[ends[k] : ends[k + 1]].tobytes() for k in rows.tolist()], pa.binary())], names=["key", "shingles"])
+                got = [flat[ends[k] : ends[k + 1]] for k in rows.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[rows].astype(np.int64)), pa.array([len(x) for x in got], pa.int64()), pa.array([of(x) for x in got], pa.binary())], names=["key", "n", "value"])
 
     return run
 
 
-def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, overlap, na, nb of pairs of sets (a, b)."""
+def _exact(batches):
+    """a, b, overlap, na, nb of rows a, b and the two sets."""
+    for x in batches:
+        out = []
+        for p, q in zip(x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True):
+            small, big = sorted((np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8")), key=len)
+            at = np.minimum(np.searchsorted(big, small), len(big) - 1)
+            out.append((int((big[at] == small).sum()), len(p) // 8, len(q) // 8))
+        cols = zip(*out, strict=True) if out else ([], [], [])
+        yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), *(pa.array(c, pa.int64()) for c in cols)], names=["a", "b", "overlap", "na", "nb"])
 
-    def run(batches):
-        for x in batches:
-            out = []
-            for p, q in zip(x.column(2).to_pylist(), x.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8")
-                if len(p) > len(q):
-                    small, big = q, p
-                else:
-                    small, big = p, q
-                at = np.minimum(np.searchsorted(big, small), len(big) - 1)
-                out.append((int((big[at] == small).sum()), len(p), len(q)))
-            cols = zip(*out, strict=True) if out else ([], [], [])
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), *(pa.array(c, pa.int64()) for c in cols)], names=["a", "b", "overlap", "na", "nb"])
-
-    right = sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb"))
-    left = sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb")
-    return both.mapInArrow(run, "a long, b long, overlap long, na long, nb long")
+
+def _bounded(batches):
+    """a, b, overlap (the most there can be), na, nb, open (whether that could link them) of rows a, b, sizes and sketches."""
+    for x in batches:
+        na, nb = x.column(2).to_numpy(), x.column(3).to_numpy()
+        p, q = (np.frombuffer(b"".join(x.column(k).to_pylist()), np.uint8).reshape(x.num_rows, -1) for k in (4, 5))
+        most = np.minimum((na + nb - np.bitwise_count(p ^ q).sum(1, dtype=np.int64)) // 2, np.minimum(na, nb))
+        yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(most), x.column(2), x.column(3), pa.array(linked(most, na, nb))], names=["a", "b", "overlap", "na", "nb", "open"])
+
+
+class _Compare:
+    """Overlaps of pairs of sets: sketches first, then the sets of the pairs that those leave open, from the texts again."""
+
+    def __init__(self, rows: DataFrame, live: DataFrame):
+        self.rows, self.sc = rows, rows.sparkSession.sparkContext
+        self.sketches = self._table(live, parity_bits, "sketches")
+
+    def _table(self, keys: DataFrame, of, name: str) -> DataFrame:
+        shared = self.sc.broadcast(np.packbits(_filter(keys), bitorder="little"))
+        return scratch.Table(self.rows.mapInArrow(_chosen(shared, of), "key long, n long, value binary"), name).read()
+
+    def exact(self, pairs: DataFrame) -> DataFrame:
+        """a, b, overlap, na, nb of pairs (a table)."""
+        sets = self._table(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))), lambda x: x.tobytes(), "shingles")
+        both = pairs.select("a", "b").join(sets.select(F.col("key").alias("b"), F.col("value").alias("sb")), "b").join(sets.select(F.col("key").alias("a"), F.col("value").alias("sa")), "a")
+        return scratch.Table(both.select("a", "b", "sa", "sb").mapInArrow(_exact, "a long, b long, overlap long, na long, nb long").distinct(), "overlaps").read()
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        """a, b, overlap, na, nb: the overlap itself, or the most it can be where that is too little to link."""
+        s = self.sketches.dropDuplicates(["key"])
+        both = pairs.select("a", "b").join(s.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("value").alias("vb")), "b").join(s.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("value").alias("va")), "a")
+        seen = scratch.Table(both.select("a", "b", "na", "nb", "va", "vb").mapInArrow(_bounded, "a long, b long, overlap long, na long, nb long, open boolean"), "bounds").read()
+        return seen.filter("not open").drop("open").unionByName(self.exact(seen.filter("open").select("a", "b")))
 
 
 def _cluster_pairs(opened: bool):
@@ -355,17 +393,17 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     index = rows.mapInArrow(_prefixes(width, sc.broadcast((top[0], top[1].astype(np.uint32)))), "bucket int, rows binary")
     found = scratch.Table(index.repartitionById(width, F.col("bucket")).mapInArrow(_live, "bucket int, key long, size long, entries binary, other long"), "shingle-index").read()
     live = found.filter("bucket is not null").select("bucket", "key", "size", "entries")
-    may = sc.broadcast(np.packbits(_filter(live.select("key")), bitorder="little"))
-    sets = scratch.Table(rows.mapInArrow(_wanted_sets(may), "key long, shingles binary"), "shingles").read()
+    compare = _Compare(rows, live.select("key"))
 
     # first round: members against leaders
     first = found.filter("bucket is null").select(F.col("key").alias("a"), F.col("other").alias("b")).distinct()
     is_link = F.col("overlap") * 100 >= (F.col("na") + F.col("nb") - F.col("overlap")) * 80
-    near = scratch.Table(_overlaps(first, sets).filter(is_link).distinct(), "links").read()
+    near = scratch.Table(compare(scratch.Table(first, "leader-pairs").read()).filter(is_link), "near").read()
     stars = scratch.Table(components(near.select(F.col("a").alias("u"), F.col("b").alias("v"))), "clusters").read()
     members = stars.filter("node <> component_id").select(F.col("component_id").alias("a"), F.col("node").alias("b"))
     ask = members.join(near.select("a", "b"), ["a", "b"], "left_anti").join(near.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    apart = near.select("a", "b", "overlap", "nb").union(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "overlap", F.col("na").alias("nb"))).join(members, ["a", "b"]).union(_overlaps(ask, sets).select("a", "b", "overlap", "nb"))
+    ask = scratch.Table(ask, "unmeasured").read()
+    apart = near.select("a", "b", "overlap", "nb").union(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "overlap", F.col("na").alias("nb"))).join(members, ["a", "b"]).union(compare.exact(ask).select("a", "b", "overlap", "nb"))
     like = scratch.Table(apart.groupBy(F.col("b").alias("key")).agg(F.max("a").alias("lead"), F.max(F.col("nb") - F.col("overlap")).alias("d")), "differences").read()
 
     # second round: clusters against clusters, by their leaders
@@ -373,16 +411,20 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     dealt = placed.withColumn("open", F.lit(None).cast("array<bigint>")).repartitionById(width, F.col("bucket"))
     between = dealt.mapInArrow(_cluster_pairs(False), "a long, b long, slack long, least long").groupBy("a", "b").agg(F.max("slack").alias("slack"), F.min("least").alias("least"))
     asked = scratch.Table(between, "cluster-pairs").read()
-    answers = scratch.Table(_overlaps(asked.select("a", "b"), sets).distinct().join(asked, ["a", "b"]), "leader-overlaps").read()
+    answers = scratch.Table(compare(asked).join(asked, ["a", "b"]), "leader-overlaps").read()
     links = near.select("a", "b").union(answers.filter(is_link).select("a", "b"))
 
-    # third round: the sets of clusters that the leaders leave open
+    # third round: the sets of clusters that the leaders leave open and no chain of links has joined
+    joined = scratch.Table(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "joined").read()
+    ends_of = [joined.select(F.col("node").alias(k), F.col("component_id").alias(f"c{k}")) for k in "ab"]
     open_ = answers.filter(~is_link & (F.col("slack") > 0) & (F.col("overlap") + F.col("slack") >= F.col("least"))).select("a", "b")
+    open_ = open_.join(ends_of[0], "a", "left").join(ends_of[1], "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    open_ = scratch.Table(open_, "open-clusters").read()
     lists = open_.groupBy(F.col("a").alias("lead")).agg(F.collect_set("b").alias("open"))
     ends = open_.select(F.col("a").alias("lead")).union(open_.select(F.col("b").alias("lead"))).distinct()
     reopened = placed.join(ends, "lead", "left_semi").join(lists, "lead", "left").select("bucket", "key", "size", "entries", "lead", "d", "open").repartitionById(width, F.col("bucket"))
     single = reopened.mapInArrow(_cluster_pairs(True), "a long, b long, slack long, least long").select("a", "b").distinct()
-    links = links.union(_overlaps(single, sets).filter(is_link).select("a", "b"))
+    links = links.union(compare(scratch.Table(single, "opened").read()).filter(is_link).select("a", "b"))
 
     clusters = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("key"), F.col("component_id").alias("cluster"))
     grouped = sets_of.join(clusters, "key", "left").withColumn("cluster", F.when(F.col("n") > 0, F.coalesce("cluster", "key")))
