@@ -28,7 +28,7 @@ FAMILIES = [
     ("gfdl", r"(?:gnu )?free documentation licen[sc]e", "gfdl", ("1.1", "1.2", "1.3")),
     ("apache", r"apache (?:software )?licen[sc]e", "apache", ("1.0", "1.1", "2.0")),
     ("mit", r"mit(?:/x11)? licen[sc]e", "mit", ("",)),
-    ("bsd", r"bsd(?:[- ][234][- ]clause)? licen[sc]e", "bsd", ("",)),
+    ("bsd", r"bsd(?: [234] clause)? licen[sc]e", "bsd", ("",)),
     ("mpl", r"mozilla public licen[sc]e", "mpl", ("1.0", "1.1", "2.0")),
     ("epl", r"eclipse public licen[sc]e", "epl", ("1.0", "2.0")),
     ("cddl", r"common development and distribution licen[sc]e", "cddl", ("1.0", "1.1")),
@@ -47,12 +47,12 @@ FAMILIES = [
     ("ruby", r"ruby licen[sc]e", "ruby", ("",)),
     ("postgresql", r"postgresql licen[sc]e", "postgresql", ("",)),
     ("upl", r"universal permissive licen[sc]e", "upl", ("1.0",)),
-    ("cc-by", r"(?:cc[- ]by|creative commons attribution)", "cc-by", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-sa", r"(?:cc[- ]by[- ]sa|creative commons attribution[- ]share[- ]?alike)", "cc-by-sa", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nc", r"(?:cc[- ]by[- ]nc|creative commons attribution[- ]non[- ]?commercial)", "cc-by-nc", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nd", r"(?:cc[- ]by[- ]nd|creative commons attribution[- ]no[- ]?deriv(?:ative)?s?(?: works)?)", "cc-by-nd", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nc-sa", r"(?:cc[- ]by[- ]nc[- ]sa|creative commons attribution[- ]non[- ]?commercial[- ]share[- ]?alike)", "cc-by-nc-sa", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nc-nd", r"(?:cc[- ]by[- ]nc[- ]nd|creative commons attribution[- ]non[- ]?commercial[- ]no[- ]?deriv(?:ative)?s?)", "cc-by-nc-nd", ("1.0", "2.0", "2.5", "3.0", "4.0")),
+    ("cc-by", r"(?:cc by|creative commons attribution)", "cc-by", ("1.0", "2.0", "2.5", "3.0", "4.0")),
+    ("cc-by-sa", r"(?:cc by sa|creative commons attribution share[\s-]*alike)", "cc-by-sa", ("1.0", "2.0", "2.5", "3.0", "4.0")),
+    ("cc-by-nc", r"(?:cc by nc|creative commons attribution non[\s-]*commercial)", "cc-by-nc", ("1.0", "2.0", "2.5", "3.0", "4.0")),
+    ("cc-by-nd", r"(?:cc by nd|creative commons attribution no[\s-]*deriv(?:ative)?s?(?: works)?)", "cc-by-nd", ("1.0", "2.0", "2.5", "3.0", "4.0")),
+    ("cc-by-nc-sa", r"(?:cc by nc sa|creative commons attribution non[\s-]*commercial share[\s-]*alike)", "cc-by-nc-sa", ("1.0", "2.0", "2.5", "3.0", "4.0")),
+    ("cc-by-nc-nd", r"(?:cc by nc nd|creative commons attribution non[\s-]*commercial no[\s-]*deriv(?:ative)?s?)", "cc-by-nc-nd", ("1.0", "2.0", "2.5", "3.0", "4.0")),
     ("cc0", r"(?:cc0|creative commons zero)", "cc0", ("1.0",)),
     ("public-domain", r"(?:released|dedicated|placed) (?:in)?to the public domain", "public-domain", ("",)),
     ("proprietary", r"all rights reserved", "proprietary", ("",)),
