@@ -40,10 +40,10 @@ def fundamental_grades(spark, sf_dir):
     return fu.scorecard(fu.growth(quarters(spark, sf_dir)).withColumn("roe", F.col("margin"))).select("ticker", "grade")
 
 
-@query(QUARTERS_SQL + """, x AS (SELECT ticker, max(q_end) AS last FROM quarters GROUP BY 1) SELECT ticker, row_number() OVER (PARTITION BY ticker ORDER BY q_end DESC) - 1 AS slot, q_end, revenue AS val FROM quarters QUALIFY slot < 12""")
+@query(QUARTERS_SQL + " SELECT split_part(ticker, '-', 1) AS segment, row_number() OVER (PARTITION BY split_part(ticker, '-', 1) ORDER BY q_end DESC) - 1 AS slot, q_end, sum(revenue) AS val FROM quarters GROUP BY 1, 3 QUALIFY slot < 12")
 def quarter_grid(spark, sf_dir):
-    x = fu.quarter_grid(quarters(spark, sf_dir).select("ticker", F.col("q_end").alias("end"), F.col("revenue").alias("val")))
-    return x.select("ticker", F.col("slot").cast("long").alias("slot"), "q_end", "val")
+    q = quarters(spark, sf_dir).groupBy(F.split_part("ticker", F.lit("-"), F.lit(1)).alias("ticker"), F.col("q_end").alias("end")).agg(F.sum("revenue").alias("val"))
+    return fu.quarter_grid(q).select(F.col("ticker").alias("segment"), F.col("slot").cast("long").alias("slot"), "q_end", "val")
 
 
 FACTS_SQL = """WITH facts AS (SELECT 'S' || CAST(l_suppkey % 20 AS VARCHAR) AS ticker, ['Revenues', 'SalesRevenueNet', 'Other'][l_orderkey % 3 + 1] AS tag, CASE WHEN l_orderkey % 2 = 0 THEN 'CY' || CAST(year(l_shipdate) AS VARCHAR) || CASE WHEN l_orderkey % 5 = 0 THEN '' ELSE 'Q' || CAST(quarter(l_shipdate) AS VARCHAR) END END AS frame,
