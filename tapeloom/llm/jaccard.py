@@ -11,7 +11,7 @@ save work on the index lists:
   of two leaders, plus what their members differ by, bounds every overlap between the clusters. Only pairs of clusters
   that neither link by their leaders nor are excluded by that bound are opened, and their sets compared.
 
-Overlaps are first bounded by parity sketches of 128 bytes; only pairs that these leave open move whole sets.
+Overlaps are first bounded by parity sketches, a thirtieth of the sets; only pairs that these leave open move whole sets.
 
 Sets and shingles are told apart by 64-bit hashes (for 10^10 sets, about three pairs in all would be mistaken).
 """
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.llm import scratch
-from tapeloom.llm.bytesets import MIX, groups, mix, run_hashes, text_bytes, word_hashes
+from tapeloom.llm.bytesets import MIX, groups, mix, run_hashes, text_bytes, trim, word_hashes
 from tapeloom.llm.components import components
 
 WORDS = 5
@@ -35,7 +35,7 @@ FREQUENT, ORDERED = 4, 1 << 19
 SAMPLED = 16
 #: Bits of the filter that says which sets may have a partner; a full filter costs space, not links.
 FILTER_BITS = 26
-#: Bits of a set's sketch.
+#: Bits of the smallest sketch of a set.
 SKETCH = 1024
 U = np.uint64
 
@@ -185,6 +185,7 @@ def _live(batches):
         got += b.column(1).to_pylist()
         bucket = b.column(0)[0].as_py() if b.num_rows else bucket
     x = np.frombuffer(b"".join(got), _ENTRY)
+    got.clear()
     if len(x) < 2:
         return
     x = x[np.lexsort((x["key"], x["size"], x["token"]))]
@@ -216,6 +217,8 @@ def _live(batches):
         [pa.array(np.full(n, bucket), pa.int32()), pa.array(which.astype(np.int64)), pa.array(x["size"][first].astype(np.int64)), pa.array([tail[cut[k] : cut[k + 1]].tobytes() for k in range(n)], pa.binary()), pa.nulls(n, pa.int64())],
         names=["bucket", "key", "size", "entries", "other"],
     )
+    del x, tail
+    trim()
 
 
 def _filter(keys: DataFrame) -> np.ndarray:
@@ -237,8 +240,17 @@ def _passing(packed: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def parity_bits(flat: np.ndarray) -> bytes:
-    """Parity of the shingles that fall on each of SKETCH places: two sets differ in at least as many shingles as places."""
-    return np.packbits((np.bincount((flat & U(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
+    """Parity of the shingles that fall on each place, two places a shingle: two sets differ in at least as many shingles as places."""
+    m = max(SKETCH, 1 << (2 * len(flat) - 1).bit_length())
+    return np.packbits((np.bincount((flat & U(m - 1)).astype(np.int64), minlength=m) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart(p: bytes, q: bytes) -> int:
+    """Places in which two sketches differ; the longer is folded to the shorter."""
+    x, y = sorted((np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def _chosen(shared, of):
@@ -274,8 +286,8 @@ def _bounded(batches):
     """a, b, overlap (the most there can be), na, nb, open (whether that could link them) of rows a, b, sizes and sketches."""
     for x in batches:
         na, nb = x.column(2).to_numpy(), x.column(3).to_numpy()
-        p, q = (np.frombuffer(b"".join(x.column(k).to_pylist()), np.uint8).reshape(x.num_rows, -1) for k in (4, 5))
-        most = np.minimum((na + nb - np.bitwise_count(p ^ q).sum(1, dtype=np.int64)) // 2, np.minimum(na, nb))
+        differ = np.array([apart(p, q) for p, q in zip(x.column(4).to_pylist(), x.column(5).to_pylist(), strict=True)], np.int64)
+        most = np.minimum((na + nb - differ) // 2, np.minimum(na, nb))
         yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(most), x.column(2), x.column(3), pa.array(linked(most, na, nb))], names=["a", "b", "overlap", "na", "nb", "open"])
 
 
@@ -403,8 +415,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     members = stars.filter("node <> component_id").select(F.col("component_id").alias("a"), F.col("node").alias("b"))
     ask = members.join(near.select("a", "b"), ["a", "b"], "left_anti").join(near.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     ask = scratch.Table(ask, "unmeasured").read()
-    apart = near.select("a", "b", "overlap", "nb").union(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "overlap", F.col("na").alias("nb"))).join(members, ["a", "b"]).union(compare.exact(ask).select("a", "b", "overlap", "nb"))
-    like = scratch.Table(apart.groupBy(F.col("b").alias("key")).agg(F.max("a").alias("lead"), F.max(F.col("nb") - F.col("overlap")).alias("d")), "differences").read()
+    measured = near.select("a", "b", "overlap", "nb").union(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "overlap", F.col("na").alias("nb"))).join(members, ["a", "b"]).union(compare.exact(ask).select("a", "b", "overlap", "nb"))
+    like = scratch.Table(measured.groupBy(F.col("b").alias("key")).agg(F.max("a").alias("lead"), F.max(F.col("nb") - F.col("overlap")).alias("d")), "differences").read()
 
     # second round: clusters against clusters, by their leaders
     placed = scratch.Table(live.join(like, "key", "left").select("bucket", "key", "size", "entries", F.coalesce("lead", "key").alias("lead"), F.coalesce("d", F.lit(0)).alias("d")), "placed").read()
