@@ -27,5 +27,5 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
-for _part in ("indicators", "structures", "dossier", "market", "signals", "evaluation", "fundamentals", "storage"):
+for _part in ("indicators", "structures", "dossier", "market", "signals", "evaluation", "fundamentals", "storage", "reports"):
     import_module(f"tapeloom.plans.{_part}")
