@@ -28,7 +28,8 @@ PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 #: White space beyond ASCII before ASCII white space: there a piece's border may lie inside a pre-token.
 _MIXED = re.compile(rb"(?:[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)[ \t\n\r\x0b\x0c]")
 BLOCK = 256
-ROWS = 8192
+#: Pre-tokens merged in step, and cells of their matrix.
+ROWS, CELLS = 8192, 1 << 18
 #: Bits for a place in a row, and what stands for no pair.
 PLACE, NONE = 12, np.int32(2**31 - 1)
 BATCH_BYTES = 2 << 20
@@ -139,8 +140,12 @@ class Transducer:
         room = BLOCK + self.lookahead
         order = np.argsort(size, kind="stable")
         short = order[: int(np.searchsorted(size[order], room, "right"))]
-        for lo in range(0, len(short), ROWS):
-            part = short[lo : lo + ROWS].tolist()
+        lo = 0
+        while lo < len(short):
+            hi = min(lo + ROWS, len(short))
+            while (hi - lo) * size[short[hi - 1]] > CELLS and hi - lo > 1:
+                hi = lo + (hi - lo) // 2
+            part, lo = short[lo:hi].tolist(), hi
             flat, at = self._rows([pieces[k] for k in part], max(1, int(size[part[-1]])))
             raw, at = flat.tobytes(), (at * 4).tolist()
             for j, k in enumerate(part):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Texts are worked on in groups of about so many bytes, which bounds the arrays beside them.
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -32,6 +33,18 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):
+    _TRIM = None
+
+
+def trim() -> None:
+    """Give freed memory back to the system: a worker process serves many tasks and operators."""
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def groups(offs: np.ndarray, limit: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about limit bytes each; a longer row stands alone."""
     at, n = 0, len(offs) - 1
@@ -39,6 +52,7 @@ def groups(offs: np.ndarray, limit: int = GROUP_BYTES) -> Iterator[tuple[int, in
         end = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, "right")) - 1)
         yield at, end
         at = end
+    trim()
 
 
 def spans(data: np.ndarray, offs: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -14,7 +14,7 @@ from tapeloom.llm.bytesets import SPACE, Rolling, spans
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces kept in a worker's index before it starts afresh.
-CACHE_ENTRIES = 2_000_000
+CACHE_ENTRIES = 600_000
 #: Letters of one code point that are in normal form C already; U+0130 lower-cases to two.
 _PLAIN_BELOW = "ɐ"
 
