@@ -37,6 +37,8 @@ SAMPLED = 16
 FILTER_BITS = 26
 #: Bits of the smallest sketch of a set.
 SKETCH = 1024
+#: The largest set whose sketch, folded to the smallest, still tells sets apart on the index lists.
+FOLDED = 1500
 U = np.uint64
 
 
@@ -253,6 +255,21 @@ def apart(p: bytes, q: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def folded(p: bytes | None) -> bytes:
+    """A sketch folded to SKETCH bits; zeros where there is none."""
+    if p is None:
+        return bytes(SKETCH // 8)
+    x = np.frombuffer(p, np.uint8)
+    while len(x) > SKETCH // 8:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x.tobytes()
+
+
+def _folded(batches):
+    for x in batches:
+        yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array([folded(p) if n <= FOLDED else None for n, p in zip(x.column(1).to_pylist(), x.column(2).to_pylist(), strict=True)], pa.binary())], names=["key", "n", "sketch"])
+
+
 def _chosen(shared, of):
     """key and of(shingles) of the sets that pass a filter, each once a task."""
 
@@ -319,15 +336,15 @@ class _Compare:
 def _cluster_pairs(opened: bool):
     """Pairs of clusters that an index list brings together and neither sizes nor positions exclude.
 
-    Rows: bucket, key, size, entries, lead, d (members' difference from the leader) and, if opened, a 64-bit list of
-    the clusters to open it with. Gives a, b, slack, least: leaders (or, if opened, sets), the most that members differ
+    Rows: bucket, key, size, entries, lead, d (members' difference from the leader), n and sketch of the leader (or, if
+    opened, of the set), and, if opened, the clusters to open it with. What the sketches exclude is never sent on. Gives a, b, slack, least: leaders (or, if opened, sets), the most that members differ
     by, and the least overlap that could link them.
     """
 
     def run(batches):
-        cols = [[] for _ in range(6)]
+        cols = [[] for _ in range(8)]
         for b in batches:
-            for k, name in enumerate(("key", "size", "entries", "lead", "d", "open")):
+            for k, name in enumerate(("key", "size", "entries", "lead", "d", "open", "n", "sketch")):
                 cols[k] += b.column(b.schema.get_field_index(name)).to_pylist()
         if not cols[0]:
             return
@@ -335,7 +352,12 @@ def _cluster_pairs(opened: bool):
         n = np.array([len(x) // 8 for x in cols[2]])
         row = np.repeat(np.arange(len(n)), n)
         token, pos = np.frombuffer(b"".join(cols[2]), "<u4").reshape(-1, 2).astype(np.int64).T
-        unit = key[row] if opened else lead[row]
+        ids = key if opened else lead
+        which, one = np.unique(ids, return_index=True)
+        bits = np.frombuffer(b"".join([folded(cols[7][k]) for k in one.tolist()]), np.uint64).reshape(len(one), -1)
+        known = np.array([cols[7][k] is not None for k in one.tolist()])
+        count = np.array([cols[6][k] for k in one.tolist()], np.int64)
+        unit = ids[row]
         order = np.lexsort((unit, token))
         token, unit, row, pos = token[order], unit[order], row[order], pos[order]
         fresh = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (unit[1:] != unit[:-1])))
@@ -350,6 +372,18 @@ def _cluster_pairs(opened: bool):
                 if x:
                     asked[k] = set(x)
         at, step, found = np.arange(len(token)), 1, []
+        place = np.searchsorted(which, unit)
+
+        def may_link(i: np.ndarray, j: np.ndarray, slack: np.ndarray, least: np.ndarray) -> np.ndarray:
+            """Whether the sketches leave a link of the two, or of members that differ by slack, possible."""
+            out = np.ones(len(i), bool)
+            for lo in range(0, len(i), 8192):
+                p, q = place[i[lo : lo + 8192]], place[j[lo : lo + 8192]]
+                top = np.minimum((count[p] + count[q] - np.bitwise_count(bits[p] ^ bits[q]).sum(1, dtype=np.int64)) // 2, np.minimum(count[p], count[q]))
+                more = slack[lo : lo + 8192]
+                out[lo : lo + 8192] = ~(known[p] & known[q]) | linked(top, count[p], count[q]) | ((more > 0) & (top + more >= least[lo : lo + 8192]))
+            return out
+
         # a later entry of a list has a larger least size: once it is out of reach, so is the rest of the list
         while True:
             at = at[at + step < len(token)]
@@ -367,6 +401,9 @@ def _cluster_pairs(opened: bool):
                 least = (4 * (low[i] + low[j]) + 8) // 9
             else:
                 least = least[ok]
+            if len(i):
+                keep = may_link(i, j, most[i] + most[j], least)
+                i, j, least = i[keep], j[keep], least[keep]
             if len(i):
                 a, b = np.minimum(unit[i], unit[j]), np.maximum(unit[i], unit[j])
                 found.append(np.stack([a, b, most[i] + most[j], least], 1))
@@ -420,7 +457,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     # second round: clusters against clusters, by their leaders
     placed = scratch.Table(live.join(like, "key", "left").select("bucket", "key", "size", "entries", F.coalesce("lead", "key").alias("lead"), F.coalesce("d", F.lit(0)).alias("d")), "placed").read()
-    dealt = placed.withColumn("open", F.lit(None).cast("array<bigint>")).repartitionById(width, F.col("bucket"))
+    short = scratch.Table(compare.sketches.dropDuplicates(["key"]).select("key", "n", "value").mapInArrow(_folded, "key long, n long, sketch binary"), "short-sketches").read()
+    dealt = placed.withColumn("open", F.lit(None).cast("array<bigint>")).join(short.withColumnRenamed("key", "lead"), "lead", "left").repartitionById(width, F.col("bucket"))
     between = dealt.mapInArrow(_cluster_pairs(False), "a long, b long, slack long, least long").groupBy("a", "b").agg(F.max("slack").alias("slack"), F.min("least").alias("least"))
     asked = scratch.Table(between, "cluster-pairs").read()
     answers = scratch.Table(compare(asked).join(asked, ["a", "b"]), "leader-overlaps").read()
@@ -434,7 +472,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     open_ = scratch.Table(open_, "open-clusters").read()
     lists = open_.groupBy(F.col("a").alias("lead")).agg(F.collect_set("b").alias("open"))
     ends = open_.select(F.col("a").alias("lead")).union(open_.select(F.col("b").alias("lead"))).distinct()
-    reopened = placed.join(ends, "lead", "left_semi").join(lists, "lead", "left").select("bucket", "key", "size", "entries", "lead", "d", "open").repartitionById(width, F.col("bucket"))
+    reopened = placed.join(ends, "lead", "left_semi").join(lists, "lead", "left").join(short, "key", "left").select("bucket", "key", "size", "entries", "lead", "d", "open", "n", "sketch").repartitionById(width, F.col("bucket"))
     single = reopened.mapInArrow(_cluster_pairs(True), "a long, b long, slack long, least long").select("a", "b").distinct()
     links = links.union(compare(scratch.Table(single, "opened").read()).filter(is_link).select("a", "b"))
 
