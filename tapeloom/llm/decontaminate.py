@@ -1,8 +1,11 @@
-"""Benchmark decontamination: rare n-grams of the test items seed local alignments in the documents.
-
-The items are a stated query set, taken in blocks of bounded size. For each block one pass counts the items' n-grams
-in all documents and each item's rarer half become its seeds; a second pass aligns the words around each seed with the
-item (Smith-Waterman: match 2, mismatch -1, gap -1) and keeps alignments of a share of the best possible score.
+"""Benchmark decontamination: pairs of words of the test items seed local alignments in the documents.
+
+The items are a stated query set, taken in blocks of bounded size. Alignments (Smith-Waterman: match 2, mismatch -1,
+gap -1) of a share of the best possible score are kept, and the seeds miss none of them. An alignment that scores T or
+more with k matches has 2k - T errors at most, so ceil(T/2) - 1 of the steps from one match to the next have at most
+one error: the two words are neighbours, or have one word between them, in the item and in the document. So many of
+the item's steps are found as pairs of words within 3m - T words, the most that the alignment can take (m: words of
+the item). Left out are steps whose pairs many items hold, and so many fewer need be found.
 """
 
 from __future__ import annotations
@@ -14,100 +17,105 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.bytesets import groups, run_hashes, text_bytes, word_hashes
+from tapeloom.llm.bytesets import MIX, groups, mix, text_bytes, word_hashes
 
-#: Words of an n-gram, and the least share of an item's best score (its words, all matched).
-SEED_WORDS, LEAST = 3, 0.5
-#: Seeds that an item keeps at least, and words of items broadcast at a time.
-FEWEST, BLOCK_WORDS = 12, 2_000_000
+#: Items of fewer words are found only whole (one word of two is half of the score).
+SEEDED_WORDS = 3
+#: The least share of an item's best score (its words, all matched).
+LEAST = 0.5
+#: Words of items broadcast at a time.
+BLOCK_WORDS = 2_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 WORD = np.zeros(256, bool)
 WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
 class Items:
-    """A block of items: word hashes, and their n-grams as (hash, item, place), ordered by hash."""
+    """A block of items: word hashes, and their pairs of words as (hash, item, place), ordered by hash.
+
+    An item is looked at where `need` places of its pairs lie within `reach` words.
+    """
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int], texts: list[str], least: float = LEAST):
         data, offs = text_bytes(pa.array(texts, pa.string()))
         words, at = word_hashes(data, offs, WORD)
         self.ids = ids
         self.words = [words[at[k] : at[k + 1]] for k in range(len(ids))]
+        self.bags = [np.unique(w, return_counts=True) for w in self.words]
+        m = np.diff(at)
+        self.score = np.maximum(1, np.ceil(2 * least * m - 1e-9)).astype(np.int64)
+        self.need = np.where(m < SEEDED_WORDS, 1, np.maximum(1, (self.score + 1) // 2 - 1))
+        self.reach = np.maximum(3 * m - self.score, m)
         found = []
-        for size in range(1, SEED_WORDS + 1):
-            h, first, row = run_hashes(words, at, size)
-            item = np.repeat(np.arange(len(ids)), np.diff(row))
-            on = np.array([len(self.words[i]) >= SEED_WORDS if size == SEED_WORDS else len(self.words[i]) == size for i in item.tolist()], bool)
-            found.append((h[on], item[on], (first - at[:-1][item])[on], np.full(on.sum(), size)))
-        h, item, place, size = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort(h, kind="stable")
-        self.hash, self.item, self.place, self.size = h[order], item[order], place[order], size[order]
-
-    def keep(self, on: np.ndarray) -> None:
-        self.hash, self.item, self.place, self.size = self.hash[on], self.item[on], self.place[on], self.size[on]
-
-
-def blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[Items]:
+        for step in (0, 1, 2):
+            h, first = _steps(words, at, step)
+            item = np.searchsorted(at, first, "right") - 1
+            on = m[item] == 1 if step == 0 else (m[item] >= SEEDED_WORDS) | (m[item] == 2) & (step == 1)
+            found.append((h[on], item[on], first[on] - at[item[on]]))
+        h, item, place = (np.concatenate(x) for x in zip(*found, strict=True))
+        _, back = np.unique(h, return_inverse=True)
+        common = np.bincount(back)[back]
+        # of n places, `need` are found: of the n - need + some least common ones, some are
+        n = np.maximum(m - 1, 1)
+        some = (self.need + 1) // 2
+        place_of = np.repeat(np.cumsum(n) - n, n)
+        owner, worth = np.repeat(np.arange(len(m)), n), np.zeros(n.sum(), np.int64)
+        start = np.cumsum(n) - n
+        np.maximum.at(worth, start[item] + place, common)
+        order = np.lexsort((worth, owner))
+        kept = np.zeros(len(worth), bool)
+        kept[order] = np.arange(len(worth)) - place_of < (n - self.need + some)[owner]
+        on = kept[start[item] + place]
+        self.need = some
+        h, item, place = h[on], item[on], place[on]
+        order = np.lexsort((place, item, h))
+        self.hash, self.item, self.place = h[order], item[order], place[order]
+        self.maybe = np.zeros(1 << max(16, int(len(self.hash)).bit_length() + 3), bool)
+        self.maybe[self.hash & np.uint64(len(self.maybe) - 1)] = True
+
+
+def _steps(words: np.ndarray, at: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each two words of a row that stand step apart (step 0: of each word), and the first one's index."""
+    n = len(words) - step
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if not step:
+        return mix(words ^ MIX[2]), np.arange(n)
+    on = np.ones(n, bool)
+    for k in range(step):
+        cut = at[1:-1] - 1 - k
+        on[cut[(cut >= 0) & (cut < n)]] = False
+    first = np.flatnonzero(on)
+    return mix(words[first] * MIX[0] + words[first + step] * MIX[1]), first
+
+
+def blocks(items: DataFrame, id_col: str, text_col: str, least: float) -> Iterator[Items]:
     """The items in blocks; those with a null id or no words are none."""
     ids, texts, n = [], [], 0
     for r in items.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).dropna().distinct().sort(id_col, text_col).toLocalIterator():
         ids.append(r[0]), texts.append(r[1])
         n += len(r[1]) // 4 + 1
         if n > BLOCK_WORDS:
-            yield Items(ids, texts)
+            yield Items(ids, texts, least)
             ids, texts, n = [], [], 0
     if ids:
-        yield Items(ids, texts)
+        yield Items(ids, texts, least)
 
 
 def _hits(block: Items, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the block's n-grams in rows of words: word index and index in the block (first of equal hashes)."""
-    places, which = [], []
-    for size in np.unique(block.size).tolist():
-        h, first, _ = run_hashes(words, at, size)
-        if not len(h):
-            continue
+    """Item and word index of each place of a pair of an item in rows of words, ordered, each once."""
+    wide = np.int64(len(words) + 1)
+    found = [np.zeros(0, np.int64)]
+    for step in (0, 1, 2):
+        h, first = _steps(words, at, step)
         maybe = np.flatnonzero(block.maybe[h & np.uint64(len(block.maybe) - 1)])
-        k = np.searchsorted(block.hash, h[maybe])
-        k[k == len(block.hash)] = 0
-        same = (block.hash[k] == h[maybe]) & (block.size[k] == size)
-        places.append(first[maybe[same]]), which.append(k[same])
-    return (np.concatenate(places), np.concatenate(which)) if places else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-
-def _ready(block: Items) -> Items:
-    block.maybe = np.zeros(1 << max(16, int(len(block.hash)).bit_length() + 3), bool)
-    block.maybe[block.hash & np.uint64(len(block.maybe) - 1)] = True
-    return block
-
-
-def seeded(docs: DataFrame, block: Items, text_col: str) -> Items:
-    """The block with each item's rarer n-grams, by their count in all documents; ties by place."""
-    shared = docs.sparkSession.sparkContext.broadcast(_ready(block))
-
-    def run(batches):
-        b, counts = shared.value, np.zeros(len(shared.value.hash), np.int64)
-        for x in batches:
-            data, offs = text_bytes(x.column(0))
-            for i, j in groups(offs):
-                words, at = word_hashes(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], WORD)
-                np.add.at(counts, _hits(b, words, at)[1], 1)
-        on = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(counts[on])], names=["gram", "n"])
-
-    counts = np.zeros(len(block.hash), np.int64)
-    for r in docs.select(F.col(text_col).cast("string")).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():  # a row for each of the block's n-grams at most
-        counts[r["gram"]] = r["n"]
-    first = np.searchsorted(block.hash, block.hash)
-    counts = counts[first]
-    order = np.lexsort((block.place, counts, block.item))
-    item = block.item[order]
-    start = np.searchsorted(item, np.arange(len(block.ids)))
-    total = np.bincount(item, minlength=len(block.ids))
-    on = np.zeros(len(order), bool)
-    on[order] = np.arange(len(order)) - start[item] < np.maximum(FEWEST, total[item] // 2)
-    block.keep(on)
-    return _ready(block)
+        h, first = h[maybe], first[maybe]
+        low, high = np.searchsorted(block.hash, h), np.searchsorted(block.hash, h, "right")
+        reps = high - low
+        gram = np.arange(reps.sum()) + np.repeat(low - np.cumsum(reps) + reps, reps)
+        found.append(np.unique(block.item[gram] * wide + np.repeat(first, reps)))
+    x = np.unique(np.concatenate(found))
+    return x // wide, x % wide
 
 
 def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
@@ -127,45 +135,51 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
 
 def _matches(b: Items, words: np.ndarray, at: np.ndarray, least: float) -> list[tuple[int, int, float, int]]:
     """Row, item, share of the best score and last word of each item's best alignment in each row."""
-    where, gram = _hits(b, words, at)
+    item, where = _hits(b, words, at)
     if not len(where):
         return []
-    reps = np.searchsorted(b.hash, b.hash[gram], "right") - gram
-    gram, where = np.repeat(gram, reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps), np.repeat(where, reps)
     row = np.searchsorted(at, where, "right") - 1
-    item, begin = b.item[gram], where - b.place[gram]
-    order = np.lexsort((begin, item, row))
+    begin = np.arange(len(where))
+    end = begin + b.need[item] - 1
+    on = end < len(where)
+    begin, end = begin[on], end[on]
+    begin, end = (x[(item[begin] == item[end]) & (row[begin] == row[end]) & (where[end] - where[begin] < b.reach[item[begin]])] for x in (begin, end))
+    if not len(begin):
+        return []
+    item, row, reach = item[begin], row[begin], b.reach[item[begin]]
+    lo, hi = np.maximum(at[row], where[begin] - reach), np.minimum(at[row + 1], where[end] + reach + 1)
+    fresh = np.append(True, (item[1:] != item[:-1]) | (row[1:] != row[:-1]) | (lo[1:] > hi[:-1]))
+    ends = np.append(fresh[1:], True)
     best: dict[tuple[int, int], tuple[float, int]] = {}
-    last = (-1, -1, -1)
-    for r, i, s in zip(row[order].tolist(), item[order].tolist(), begin[order].tolist(), strict=True):
-        m = len(b.words[i])
-        slack = m // 4
-        if last[:2] == (r, i) and s <= last[2] + slack // 2:
-            continue
-        last = (r, i, s)
-        lo, hi = max(int(at[r]), s - slack - 2), min(int(at[r + 1]), s + m + 2 * slack + 2)
-        window = words[lo:hi]
-        if 2 * np.isin(window, b.words[i]).sum() < 2 * least * m:
+    for r, i, p, q in zip(row[fresh].tolist(), item[fresh].tolist(), lo[fresh].tolist(), hi[ends].tolist(), strict=True):
+        window, (own, count), m = words[p:q], b.bags[i], len(b.words[i])
+        k = np.minimum(np.searchsorted(own, window), len(own) - 1)
+        if 2 * np.minimum(np.bincount(k[own[k] == window], minlength=len(own)), count).sum() < b.score[i]:
             continue
-        score, end = align(b.words[i], window)
+        if m < SEEDED_WORDS:
+            whole = np.flatnonzero(np.logical_and.reduce([window[x : len(window) - m + 1 + x] == b.words[i][x] for x in range(m)]))
+            score, last = (MATCH * m, int(whole[0]) + m - 1) if len(whole) else (0, 0)
+        else:
+            score, last = align(b.words[i], window)
         share = score / (MATCH * m)
         if share >= least and share > best.get((r, i), (0.0, 0))[0]:
-            best[r, i] = (share, lo + end - int(at[r]))
+            best[r, i] = (share, p + last - int(at[r]))
     return [(r, i, *x) for (r, i), x in sorted(best.items())]
 
 
 def matches(docs: DataFrame, items: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, score (share of the item's best), last_word of each item found in each document.
 
-    Only pairs with score of least or more have a row: one for each row of a document and item. Null texts and texts
+    All pairs with score of least or more have a row, and only they: one for each row of a document and item; items of
+    one or two words are found only whole. Null texts and texts
     without words match nothing, nor do items with a null id or no words; a null doc_id stays. Other columns are not
     read. Without items or documents the result is empty.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = spark.createDataFrame([], "doc_id long, item_id long, score double, last_word long")
-    for block in blocks(items, item_col, item_text):
-        shared = spark.sparkContext.broadcast(seeded(rows, block, "text"))
+    for block in blocks(items, item_col, item_text, least):
+        shared = spark.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
             b = shared.value
@@ -186,8 +200,8 @@ def matches(docs: DataFrame, items: DataFrame, least: float = LEAST, id_col: str
 
 def clean(docs: DataFrame, items: DataFrame, least: float = LEAST, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows, with all their columns, in which no item is found; nothing is shuffled."""
-    for block in blocks(items, item_col, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(seeded(docs, block, text_col))
+    for block in blocks(items, item_col, item_text, least):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
             for x in batches:

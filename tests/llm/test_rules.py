@@ -107,6 +107,36 @@ def test_edited_copies_are_found_and_clean_texts_are_not(spark, odd, none):
     assert {x["item_id"] for x in decontaminate.matches(odd, short).collect()} == {1}
 
 
+def test_items_edited_up_to_the_threshold_are_found(spark):
+    import numpy as np
+
+    r = random.Random(8)
+    items = [(k, " ".join(r.choice([f"i{x}" for x in range(60)]) for _ in range(n))) for k, n in enumerate([3, 4, 5, 7, 8, 11, 16, 23, 38, 38, 59])]
+    filler, rows = [f"f{x}" for x in range(40)], []
+
+    def edited(w, kind, rate):
+        out = []
+        for k, x in enumerate(w):
+            e = k % 3 == 2 if kind == "third" else r.random() < rate
+            what = r.choice("sdi") if kind in ("mixed", "third") else kind
+            out += [x] if not e else [r.choice(filler)] if what == "s" else [] if what == "d" else [x, r.choice(filler)]
+        return out
+
+    for _, t in items:
+        for kind, rate in [("s", 0.2), ("s", 0.34), ("d", 0.3), ("i", 0.5), ("i", 0.9), ("mixed", 0.3), ("third", 0), ("s", 0.5)]:
+            for copies in (1, 2):
+                w = edited(t.split(), kind, rate)
+                rows.append((len(rows), " ".join([r.choice(filler) for _ in range(30)] + w + [r.choice(filler) for _ in range(30)])))
+                rows += [(len(rows), t)] * (copies - 1)
+    hashed = lambda t: np.array([int(w[1:]) + 100 * (w[0] == "f") for w in t.split()], np.uint64)
+    want = {(d, i): s for d, t in rows for i, x in items if (s := decontaminate.align(hashed(x), hashed(t))[0] / (2 * len(x.split()))) >= 0.5}
+    assert len(want) < len(rows) * len(items) / 2
+    docs, asked = spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.matches(docs, asked).collect()
+    assert {(x["doc_id"], x["item_id"]): x["score"] for x in got} == want and len(got) == len(want)
+    assert {x["doc_id"] for x in decontaminate.clean(docs, asked).collect()} == {k for k, _ in rows} - {d for d, _ in want}
+
+
 def test_alignment_is_the_best_local_one():
     import numpy as np
 
