@@ -381,7 +381,7 @@ def _cluster_pairs(opened: bool):
                 p, q = place[i[lo : lo + 8192]], place[j[lo : lo + 8192]]
                 top = np.minimum((count[p] + count[q] - np.bitwise_count(bits[p] ^ bits[q]).sum(1, dtype=np.int64)) // 2, np.minimum(count[p], count[q]))
                 more = slack[lo : lo + 8192]
-                out[lo : lo + 8192] = ~(known[p] & known[q]) | linked(top, count[p], count[q]) | ((more > 0) & (top + more >= least[lo : lo + 8192]))
+                out[lo : lo + 8192] = ~(known[p] & known[q]) | linked(top, count[p], count[q]) | (top + more >= least[lo : lo + 8192])
             return out
 
         # a later entry of a list has a larger least size: once it is out of reach, so is the rest of the list
@@ -467,7 +467,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     # third round: the sets of clusters that the leaders leave open and no chain of links has joined
     joined = scratch.Table(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "joined").read()
     ends_of = [joined.select(F.col("node").alias(k), F.col("component_id").alias(f"c{k}")) for k in "ab"]
-    open_ = answers.filter(~is_link & (F.col("slack") > 0) & (F.col("overlap") + F.col("slack") >= F.col("least"))).select("a", "b")
+    open_ = answers.filter(~is_link & (F.col("overlap") + F.col("slack") >= F.col("least"))).select("a", "b")
     open_ = open_.join(ends_of[0], "a", "left").join(ends_of[1], "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     open_ = scratch.Table(open_, "open-clusters").read()
     lists = open_.groupBy(F.col("a").alias("lead")).agg(F.collect_set("b").alias("open"))

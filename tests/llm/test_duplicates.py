@@ -77,6 +77,21 @@ def test_jaccard_join_is_exact(spark, seed):
     assert sorted(map(tuple, got.collect()), key=str) == _brute(rows)
 
 
+def test_jaccard_join_opens_clusters_of_subsets(spark):
+    """Truncations and extensions: a member that is a part of its leader links where the leader cannot."""
+    r, rows = random.Random(4), []
+    for k in range(150):
+        w = [f"g{k}w{x}" for x in range(170)]
+        lo = r.randrange(3)
+        nested = [w[: 104 + 60 * (lo == 0)], w[: 86 + 48 * (lo == 0)], w[: 72 + 36 * (lo == 0)]] if lo < 2 else [w[:104], w[:86], [*w[2:74], "x"]]
+        r.shuffle(nested)
+        rows += [" ".join(x) for x in nested]
+    r.shuffle(rows)
+    rows = list(enumerate(rows))
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sorted(map(tuple, got.collect()), key=str) == _brute(rows)
+
+
 def test_jaccard_odd_rows(odd, none):
     rows = [tuple(x) for x in odd.select("doc_id", "text").collect()]
     assert sorted(map(tuple, jaccard.join(odd).collect()), key=str) == _brute(rows)
