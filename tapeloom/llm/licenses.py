@@ -59,7 +59,7 @@ FAMILIES = [
 ]
 
 # Keywords of which a detection holds one, by family; others need "licen".
-KEYWORDS = {"gpl": ("gpl", "general public"), "lgpl": ("gpl", "general public"), "agpl": ("gpl", "general public"), "unlicense": ("unlicense",), "public-domain": ("public domain",), "proprietary": ("all rights reserved",), "cc0": ("cc0", "creative commons")} | {k: ("cc by", "cc-by", "creative commons") for k in ("cc-by", "cc-by-sa", "cc-by-nc", "cc-by-nd", "cc-by-nc-sa", "cc-by-nc-nd")}
+KEYWORDS = {"gpl": ("gpl", "general public"), "lgpl": ("gpl", "general public"), "agpl": ("gpl", "general public"), "unlicense": ("unlicense",), "public-domain": ("public domain",), "proprietary": ("all rights reserved",), "cc0": ("cc0", "creative commons")} | {k: ("cc by", "creative commons") for k in ("cc-by", "cc-by-sa", "cc-by-nc", "cc-by-nd", "cc-by-nc-sa", "cc-by-nc-nd")}
 
 #: Forms of a rule, strongest first: priority, score, regex around the name (N), the identifier (I) and the version (V).
 FORMS = [
@@ -106,8 +106,10 @@ def _base() -> list[tuple[str, re.Pattern]]:
     return [(label, re.compile(rb"(?<!" + _WORD + rb")" + _SEP.join(w.encode() for w in phrase.split()) + rb"(?!" + _WORD + rb")")) for phrase, label in BASE_PHRASES.items()]
 
 
-#: What every rule and base phrase needs at least one of.
-GATE = re.compile(rb"licen|spdx|general public|gpl|unlicense|public domain|all rights reserved|creative commons|cc0|cc" + _SEP + rb"by")
+#: White space and hyphens, as between the words of a name; keywords are looked for with one space instead.
+BETWEEN = re.compile(rb"[\s-]+")
+#: What every rule and base phrase needs at least one of. No match takes more than one word: rows are searched end to end.
+GATE = re.compile(rb"licen|spdx|general(?=[\s-]+public)|gpl|unlicense|public(?=[\s-]+domain)|all(?=[\s-]+rights[\s-]+reserved)|creative(?=[\s-]+commons)|cc0|cc(?=" + _SEP + rb"by)")
 
 
 class Detection(NamedTuple):
@@ -121,9 +123,9 @@ class Detection(NamedTuple):
 
 def detect(low: bytes) -> list[Detection]:
     """Detections in a lower-cased text that no other contains: of two, the one of higher priority, then the longer, stands."""
-    raw = []
+    raw, plain = [], BETWEEN.sub(b" ", low)
     for r in rules():
-        if any(k in low for k in r.keywords):
+        if any(k in plain for k in r.keywords):
             raw += [Detection(m.start(), m.end(), r.label, r.version, r.priority, r.score) for m in r.pattern.finditer(low)]
     raw.sort(key=lambda d: (-d.priority, d.start - d.end, d.start, -len(d.label), d.label))
     kept: list[Detection] = []

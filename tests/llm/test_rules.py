@@ -55,6 +55,20 @@ def test_detections(text, want):
     assert [(d.label, d.version) for d in licenses.detect(text.lower().encode())] == want
 
 
+def test_names_are_found_however_their_words_are_parted(spark):
+    names = {label: re.sub(r"\(\?:([^|()]*)[^()]*\)\??", r"\1", re.sub(r"\[\\s-\]\*", " ", name.replace("[sc]", "s"))) for label, name, *_ in licenses.FAMILIES}
+    names |= {"cc-by-nd": "cc by nd", "cc-by-nc-nd": "cc by nc nd", "bsd": "bsd 3 clause license", "lgpl": "gnu lesser general public license", "agpl": "affero general public license", "public-domain": "released to the public domain"}
+    more = {label: x for label, x in (("cc-by", "creative commons attribution"), ("cc-by-sa", "creative commons attribution share alike"), ("cc-by-nc", "creative commons attribution non commercial"), ("cc0", "creative commons zero"))}
+    cases = [(label, x) for group in (names, more) for label, x in group.items()]
+    for label, x in cases:
+        assert [d.label for d in licenses.detect(x.encode())] == [label], x
+    rows = [(label, form.replace("N", x.replace(" ", sep))) for label, x in cases for sep in (" ", "\n", "  ", "\r\n\t", "-") for form in ("N", "some general\n", "so N,")]
+    got = licenses.scan(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string").coalesce(1)).collect()
+    labels = {x["doc_id"]: x["labels"].split(",") for x in got}
+    assert [t for k, (label, t) in enumerate(rows) if label not in labels[k] and "some" not in t] == []
+    assert all(x == [""] for k, x in labels.items() if "some" in rows[k][1])
+
+
 def test_no_documents(none):
     assert licenses.scan(none).count() == 0
 
