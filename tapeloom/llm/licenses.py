@@ -1,74 +1,34 @@
 """Licence scans by ordered signature rules.
 
-Rules are regexes over the ASCII-lower-cased text. A keyword decides whether a rule is tried at all; overlapping
-detections are resolved by priority and interval containment. Four base phrases are always counted.
+Rules are hand-written regexes over the ASCII-lower-cased text (license_rules). One pass of an automaton finds which
+keywords a text has, and only their rules are tried; overlapping detections are resolved by priority and interval
+containment. Four base phrases are always counted.
 """
 
 from __future__ import annotations
 
 import re
 from functools import cache
+from itertools import groupby
 from typing import NamedTuple
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.llm.bytesets import LOWER, groups, spans, text_bytes
+from tapeloom.llm.license_rules import SIGNATURES
 
 # The phrases that count as base places, and their labels.
 BASE_PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-# Licence families as label, names in running text (regex), identifier stem, versions.
-FAMILIES = [
-    ("gpl", r"(?:gnu )?(?:general public licen[sc]e|gpl)", "gpl", ("1", "2", "3")),
-    ("lgpl", r"(?:gnu )?(?:lesser|library) (?:general public licen[sc]e|gpl)", "lgpl", ("2", "2.1", "3")),
-    ("agpl", r"(?:gnu )?affero (?:general public licen[sc]e|gpl)", "agpl", ("1", "3")),
-    ("gfdl", r"(?:gnu )?free documentation licen[sc]e", "gfdl", ("1.1", "1.2", "1.3")),
-    ("apache", r"apache (?:software )?licen[sc]e", "apache", ("1.0", "1.1", "2.0")),
-    ("mit", r"mit(?:/x11)? licen[sc]e", "mit", ("",)),
-    ("bsd", r"bsd(?: [234] clause)? licen[sc]e", "bsd", ("",)),
-    ("mpl", r"mozilla public licen[sc]e", "mpl", ("1.0", "1.1", "2.0")),
-    ("epl", r"eclipse public licen[sc]e", "epl", ("1.0", "2.0")),
-    ("cddl", r"common development and distribution licen[sc]e", "cddl", ("1.0", "1.1")),
-    ("cpl", r"common public licen[sc]e", "cpl", ("1.0",)),
-    ("eupl", r"european union public licen[sc]e", "eupl", ("1.1", "1.2")),
-    ("isc", r"isc licen[sc]e", "isc", ("",)),
-    ("zlib", r"zlib(?:/libpng)? licen[sc]e", "zlib", ("",)),
-    ("boost", r"boost software licen[sc]e", "bsl", ("1.0",)),
-    ("artistic", r"artistic licen[sc]e", "artistic", ("1.0", "2.0")),
-    ("unlicense", r"the unlicense", "unlicense", ("",)),
-    ("wtfpl", r"do what the fuck you want to public licen[sc]e", "wtfpl", ("2",)),
-    ("ofl", r"sil open font licen[sc]e", "ofl", ("1.0", "1.1")),
-    ("odbl", r"open database licen[sc]e", "odbl", ("1.0",)),
-    ("psf", r"python software foundation licen[sc]e", "psf", ("2.0",)),
-    ("php", r"php licen[sc]e", "php", ("3.0", "3.01")),
-    ("ruby", r"ruby licen[sc]e", "ruby", ("",)),
-    ("postgresql", r"postgresql licen[sc]e", "postgresql", ("",)),
-    ("upl", r"universal permissive licen[sc]e", "upl", ("1.0",)),
-    ("cc-by", r"(?:cc by|creative commons attribution)", "cc-by", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-sa", r"(?:cc by sa|creative commons attribution share[\s-]*alike)", "cc-by-sa", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nc", r"(?:cc by nc|creative commons attribution non[\s-]*commercial)", "cc-by-nc", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nd", r"(?:cc by nd|creative commons attribution no[\s-]*deriv(?:ative)?s?(?: works)?)", "cc-by-nd", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nc-sa", r"(?:cc by nc sa|creative commons attribution non[\s-]*commercial share[\s-]*alike)", "cc-by-nc-sa", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nc-nd", r"(?:cc by nc nd|creative commons attribution non[\s-]*commercial no[\s-]*deriv(?:ative)?s?)", "cc-by-nc-nd", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc0", r"(?:cc0|creative commons zero)", "cc0", ("1.0",)),
-    ("public-domain", r"(?:released|dedicated|placed) (?:in)?to the public domain", "public-domain", ("",)),
-    ("proprietary", r"all rights reserved", "proprietary", ("",)),
-]
-
-# Keywords of which a detection holds one, by family; others need "licen".
-KEYWORDS = {"gpl": ("gpl", "general public"), "lgpl": ("gpl", "general public"), "agpl": ("gpl", "general public"), "unlicense": ("unlicense",), "public-domain": ("public domain",), "proprietary": ("all rights reserved",), "cc0": ("cc0", "creative commons")} | {k: ("cc by", "creative commons") for k in ("cc-by", "cc-by-sa", "cc-by-nc", "cc-by-nd", "cc-by-nc-sa", "cc-by-nc-nd")}
-
-#: Forms of a rule, strongest first: priority, score, regex around the name (N), the identifier (I) and the version (V).
-FORMS = [
-    (90, 1.0, r"spdx-license-identifier:\s*I(?:-clause)?(?:-?V)?(?:-only|-or-later|\+)?"),
-    (70, 0.95, r"(?:licen[sc]ed|released|distributed|available|published|provided)\s+under\s+(?:the\s+)?(?:terms\s+of\s+)?(?:the\s+)?N(?:\s+licen[sc]e)?,?\s*(?:\(?\w{2,5}\)?\s*)?(?:version\s*|v\.?\s*)?V"),
-    (50, 0.8, r"N(?:\s+licen[sc]e)?,?\s*(?:version\s*|v\.?\s*)?V"),
-    (40, 0.7, r"(?:licen[sc]ed|released|distributed|available|published|provided)\s+under\s+(?:the\s+)?(?:terms\s+of\s+)?(?:the\s+)?N"),
-    (20, 0.5, r"N"),
-]
+#: Priority and score of a kind of signature; an identifier after its tag counts as one.
+KINDS = {"tag": (100, 1.0), "text": (90, 0.95), "notice": (80, 0.9), "url": (70, 0.9), "id": (60, 0.85), "named": (50, 0.8), "name": (20, 0.5)}
+TAG = r"spdx-license-identifier:\s*\(?"
+BLANK = r"\s\-*#/>"
+VERSION = r"(?P<v>[0-9](?:\.[0-9]{1,2}){0,2})"
 _SEP, _WORD = rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+", rb"[0-9a-z\x80-\xff]"
 WORDS = np.zeros(256, bool)
 WORDS[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -77,39 +37,71 @@ WORDS[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 class Rule(NamedTuple):
     label: str
     version: str
-    keywords: tuple[bytes, ...]
+    keyword: str
     priority: int
     score: float
     pattern: re.Pattern
 
 
+def _spaced(regex: str) -> str:
+    """Blanks of a signature as the bytes that may stand for them."""
+    return re.sub(r"\[[^\]]*\]| \??", lambda m: m[0].replace(" ", BLANK) if m[0][0] == "[" else f"[{BLANK}]{'*' if m[0] == ' ?' else '+'}", regex)
+
+
 @cache
 def rules() -> list[Rule]:
-    """All rules, strongest first: every family in every form, one for each version it has."""
+    """All rules, strongest first."""
     found = []
-    for label, name, stem, versions in FAMILIES:
-        name = name.replace(" ", r"[\s-]+")
-        for priority, score, form in FORMS:
-            for v in versions if "V" in form else ("",):
-                if "V" in form and not v and priority not in (90,):
-                    continue
-                number = re.escape(v) + r"(?:\.0)?" if v and "." not in v else re.escape(v)
-                body = form.replace("N", name).replace("I", re.escape(stem)).replace("V", number)
-                end = rf"(?![0-9a-z{'.' if v else ''}]*[0-9a-z])"
-                words = ("spdx",) if priority == 90 else KEYWORDS.get(label, ("licen",))
-                found.append(Rule(label, v, tuple(w.encode() for w in words), priority, score, re.compile((r"(?<![0-9a-z])(?:" + body + ")" + end).encode())))
+    for line in SIGNATURES.strip().splitlines():
+        label, version, kind, keyword, regex = (x.strip() for x in line.split("|", 4))
+        body = _spaced(regex.replace("{v}", r"(?:version |v\.? ?)?{n}")).replace("{n}", VERSION)
+        if kind in ("tag", "id"):
+            body = f"(?P<tag>{TAG}){'?' if kind == 'id' else ''}(?:{body})"
+        pattern = re.compile(rb"(?<!" + _WORD + rb")(?:" + body.encode() + rb")(?!" + _WORD + rb"|\.[0-9])")
+        plain = re.sub(r"[^0-9a-z]+", " ", keyword)
+        found.append(Rule(label, "" if "{" in version else version, f" {plain}", *KINDS[kind], pattern))
     return sorted(found, key=lambda r: (-r.priority, r.label, r.version))
 
 
+@cache
+def _keywords():
+    """Automaton of the keywords; each leads to the rules (or, below zero, the base phrases) that need it."""
+    needed: dict[str, list[int]] = {}
+    for k, r in enumerate(rules()):
+        needed.setdefault(r.keyword, []).append(k)
+    for k, phrase in enumerate(BASE_PHRASES):
+        needed.setdefault(f" {phrase}", []).append(-1 - k)
+    a = ahocorasick.Automaton()
+    for word, of in needed.items():
+        a.add_word(word, tuple(of))
+    a.make_automaton()
+    return a
+
+
 @cache
 def _base() -> list[tuple[str, re.Pattern]]:
     return [(label, re.compile(rb"(?<!" + _WORD + rb")" + _SEP.join(w.encode() for w in phrase.split()) + rb"(?!" + _WORD + rb")")) for phrase, label in BASE_PHRASES.items()]
 
 
-#: White space and hyphens, as between the words of a name; keywords are looked for with one space instead.
-BETWEEN = re.compile(rb"[\s-]+")
-#: What every rule and base phrase needs at least one of. No match takes more than one word: rows are searched end to end.
-GATE = re.compile(rb"licen|spdx|general(?=[\s-]+public)|gpl|unlicense|public(?=[\s-]+domain)|all(?=[\s-]+rights[\s-]+reserved)|creative(?=[\s-]+commons)|cc0|cc(?=" + _SEP + rb"by)")
+def _plain(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[str, np.ndarray]:
+    """The words with one blank before each, and where each ends in that."""
+    size = ends - starts + 1
+    stop = np.cumsum(size)
+    at = np.arange(size.sum()) - np.repeat(stop - size, size) - 1
+    out = low[np.repeat(starts, size) + np.maximum(at, 0)]
+    out[stop - size] = 0x20
+    return out.tobytes().decode("latin-1"), stop
+
+
+def candidates(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray) -> dict[int, set[int]]:
+    """Rules and base phrases whose keyword stands in a row; words are starts..ends, row their offsets by row."""
+    text, stop = _plain(low, starts, ends)
+    found: dict[int, set[int]] = {}
+    for end, of in _keywords().iter(text):
+        word = int(np.searchsorted(stop, end, "right"))
+        k = int(np.searchsorted(row, word, "right")) - 1
+        found.setdefault(k, set()).update(of)
+    return found
 
 
 class Detection(NamedTuple):
@@ -121,23 +113,57 @@ class Detection(NamedTuple):
     score: float
 
 
-def detect(low: bytes) -> list[Detection]:
-    """Detections in a lower-cased text that no other contains: of two, the one of higher priority, then the longer, stands."""
-    raw, plain = [], BETWEEN.sub(b" ", low)
-    for r in rules():
-        if any(k in plain for k in r.keywords):
-            raw += [Detection(m.start(), m.end(), r.label, r.version, r.priority, r.score) for m in r.pattern.finditer(low)]
-    raw.sort(key=lambda d: (-d.priority, d.start - d.end, d.start, -len(d.label), d.label))
+def _words(low: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    data = np.frombuffer(low, np.uint8)
+    return data, *spans(data, np.array([0, len(data)]), WORDS)
+
+
+def _apart(found: list[Detection]) -> list[Detection]:
+    """Detections that no stronger one overlaps and none of their strength contains, by sweeps over sorted intervals."""
     kept: list[Detection] = []
-    for d in raw:
-        if not any(k.start < d.end and d.start < k.end and (k.priority > d.priority or k.start <= d.start and d.end <= k.end) for k in kept):
-            kept.append(d)
+    taken = np.zeros((0, 2), np.int64)  # disjoint, ascending: what stronger ones cover
+    for _, same in groupby(sorted(found, key=lambda d: (-d.priority, d.start, -d.end, -len(d.label), d.label)), key=lambda d: d.priority):
+        own, reach = [], -1
+        for d in same:
+            k = int(np.searchsorted(taken[:, 1], d.start, "right"))
+            if k < len(taken) and taken[k, 0] < d.end:
+                continue
+            if d.end > reach:
+                own.append(d)
+                reach = d.end
+        kept += own
+        x = np.concatenate([taken, np.array([(d.start, d.end) for d in own], np.int64).reshape(-1, 2)])
+        x = x[np.argsort(x[:, 0], kind="stable")]
+        if len(x):
+            end = np.maximum.accumulate(x[:, 1])
+            first = np.flatnonzero(np.append(True, x[1:, 0] > end[:-1]))
+            taken = np.stack([x[first, 0], end[np.append(first[1:], len(x)) - 1]], 1)
     return sorted(kept)
 
 
-def base_places(low: bytes) -> list[tuple[int, str]]:
+def detect(low: bytes, tried: set[int] | None = None) -> list[Detection]:
+    """Detections in a lower-cased text: of two that overlap the one of higher priority stands, of one kind the containing one.
+
+    tried are the rules whose keyword the text has; they are looked up where not given.
+    """
+    if tried is None:
+        tried = candidates(*_words(low)).get(0, set())
+    raw = []
+    for k in tried:
+        if k < 0:
+            continue
+        r = rules()[k]
+        for m in r.pattern.finditer(low):
+            got = m.groupdict()
+            version = got["v"].decode() if got.get("v") else r.version
+            strength = KINDS["tag"] if got.get("tag") else (r.priority, r.score)
+            raw.append(Detection(m.start(), m.end(), r.label, version.removesuffix(".0") if r.label.endswith("gpl") else version, *strength))
+    return _apart(raw)
+
+
+def base_places(low: bytes, tried: set[int] | None = None) -> list[tuple[int, str]]:
     """Byte offset and label of each place of a base phrase."""
-    return [(m.start(), label) for label, p in _base() for m in p.finditer(low)]
+    return [(m.start(), label) for k, (label, p) in enumerate(_base()) if tried is None or -1 - k in tried for m in p.finditer(low)]
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,16 +178,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             data, offs = text_bytes(b.column(1))
             for i, j in groups(offs):
                 low, at = LOWER[data[offs[i] : offs[j]]], offs[i : j + 1] - offs[i]
-                starts, _, row = spans(low, at, WORDS)
-                raw = low.tobytes()
-                hits = set((np.searchsorted(at, [m.start() for m in GATE.finditer(raw)], "right") - 1).tolist())
+                starts, ends, row = spans(low, at, WORDS)
+                raw, hits = low.tobytes(), candidates(low, starts, ends, row)
                 cols = {k: [] for k in ("n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections")}
                 for k in range(j - i):
                     places, found = [], []
                     if k in hits:
                         text = raw[at[k] : at[k + 1]]
-                        places, found = base_places(text), detect(text)
-                    where = [int(np.searchsorted(starts, at[k] + p) - row[k]) for p, _ in places]
+                        places, found = base_places(text, hits[k]), detect(text, hits[k])
+                    where = (np.searchsorted(starts, at[k] + np.array([p for p, _ in places], np.int64)) - row[k]).tolist()
                     own = {x for _, x in places}
                     cols["n_base"].append(len(places))
                     cols["first_word"].append(min(where, default=None))
