@@ -99,8 +99,8 @@ def _ranked(encoded: DataFrame) -> list[int]:
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", vocab_size: int | None = None, parts: int | None = None) -> None:
     """Encode every whole text, append end_id, and write the store in ascending id order.
 
-    A null text is an empty document (just end_id); a null id comes first; rows with equal ids all stay, in order of
-    their tokens; an empty table gives an empty store; other columns are not read.
+    A null text is an empty document (just end_id); a null id comes first; rows with equal ids all stay, in order of a
+    hash of their tokens; an empty table gives an empty store; other columns are not read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -119,6 +119,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col:
         ids: list[int | None] = []
         sizes: list[int] = []
         held: list[bytes] = []
+        total = 0  # tokens in held
 
         def block():
             nonlocal inner
@@ -134,14 +135,17 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col:
 
         for b in batches:
             for doc, n, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if held and sum(sizes) + n > BLOCK_TOKENS:
+                if held and total + n > BLOCK_TOKENS:
                     yield block()
+                    total = 0
                 ids.append(doc), sizes.append(n), held.append(x)
+                total += n
         if held:
             yield block()
 
-    texts = encoded.filter("counts is null").select("doc_id", "n", "ids")
-    dealt = texts.repartitionByRange(parts or scratch.width(spark), "doc_id").sortWithinPartitions("doc_id", "ids")
+    # the hash only parts rows of one id (or of none), so that they need not share a task
+    texts = encoded.filter("counts is null").select("doc_id", "n", "ids", F.xxhash64("ids").alias("h"))
+    dealt = texts.repartitionByRange(parts or scratch.width(spark), "doc_id", "h").sortWithinPartitions("doc_id", "h", "ids").drop("h")
     dealt.mapInArrow(run, "part int, inner long, n_tokens long, doc_ids array<bigint>, sizes array<int>, control binary, data binary").write.parquet(f"{path}/blocks")
     kept.drop()
 

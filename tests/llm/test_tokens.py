@@ -124,3 +124,22 @@ def test_decoder_is_incremental_and_replaces_broken_bytes():
     ids = [r.randrange(50_257) for _ in range(3000)]
     want = vocab.tokenizer(BYTE).decode(ids, skip_special_tokens=False)
     assert "".join(t.decode_stream(ids)) == t.decode(_words(ids), block=7) == want
+
+
+def test_blocks_of_many_empty_documents(spark, tmp_path):
+    """200,000 null texts are one token each; a block holds them without adding up their sizes again and again."""
+    import time
+
+    docs = spark.range(200_000).selectExpr("id as doc_id", "cast(null as string) as text")
+    began = time.time()
+    token_store.write(docs, str(tmp_path / "nulls"), WORD, 1, vocab_size=49_408, parts=1)
+    got = token_store.read(spark, str(tmp_path / "nulls"))
+    assert got.count() == 200_000 and got.agg({"start": "max"}).first()[0] == 199_999
+    assert time.time() - began < 60
+
+
+def test_rows_without_an_id_are_dealt_out(spark, tmp_path):
+    docs = spark.range(3000).selectExpr("cast(null as long) as doc_id", "concat('text ', id) as text")
+    token_store.write(docs, str(tmp_path / "s"), WORD, 1, vocab_size=49_408, parts=3)
+    blocks = spark.read.parquet(str(tmp_path / "s") + "/blocks")
+    assert blocks.select("part").distinct().count() == 3 and token_store.read(spark, str(tmp_path / "s")).count() == 3000
