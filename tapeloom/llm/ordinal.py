@@ -120,7 +120,11 @@ def graded(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def train(docs: DataFrame, ratings: DataFrame, grades: int = 3, fit_rows: int = FIT_ROWS) -> Model:
-    """Fit on the texts of at most fit_rows rated documents, chosen by hash of the id; only their features reach the driver."""
+    """Fit on the texts of at most fit_rows rated documents, chosen by hash of the id; only their features reach the driver.
+
+    Of documents that share an id the text of the smallest hash is taken, so that fit_rows bounds texts. Null texts
+    count as empty; ids without a document, and documents without an id, teach nothing. Other columns are not read.
+    """
     chosen = ratings.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
 
     def run(batches):
@@ -132,7 +136,8 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int = 3, fit_rows: int =
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array([small[at[k] : at[k + 1]].tobytes() for k in range(j - i)], pa.binary())], names=["doc_id", "grade", "feats"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    found = rows.select("doc_id", "grade", "text").mapInArrow(run, "doc_id long, grade int, feats binary").withColumn("order", F.xxhash64("doc_id", F.lit(7))).toArrow()
+    rows = rows.groupBy("doc_id", "grade").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x"))
+    found = rows.select("doc_id", "grade", "x.text").mapInArrow(run, "doc_id long, grade int, feats binary").withColumn("order", F.xxhash64("doc_id", F.lit(7))).toArrow()
     ranked = sorted(zip(found["order"].to_pylist(), found["doc_id"].to_pylist(), found["grade"].to_pylist(), found["feats"].to_pylist(), strict=True))
     return fit([(np.frombuffer(x, "<i4").astype(np.int64), g) for _, _, g, x in ranked], grades)
 
