@@ -54,22 +54,35 @@ def evaluate(captures: DataFrame, changes: DataFrame, url_col: str = "url", time
     """One row per capture: id, host, decision (`allow`, `block`, `none`), and the deciding entry's value, category and start.
 
     Of the active entries that match, the longest value decides; of equal lengths `allow`, then the smaller list entry.
-    A null or host-less URL or a null time matches nothing (host empty, decision `none`). Repeated captures all stay;
-    other columns are not read.
+    A null or host-less URL or a null time matches nothing (decision `none`, host empty where there is none). Repeated
+    captures all stay; other columns are not read. Of a URL only the suffixes and prefixes of as many parts as some
+    entry has are looked up, however many parts it has itself.
     """
     rows = captures.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(time_col).cast("timestamp").alias("fetched"))
-    host, labels = host_of(F.col("url")), F.split("host", r"\.")
-    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, k, F.size(labels)), ".").alias("value")))
-    parts = F.split("path", "/")
-    below = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(F.lit("prefix").alias("kind"), F.lower(F.concat("host", F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("value")))
-    asked = rows.filter("url is not null and fetched is not null").select("url", "fetched").distinct().withColumn("host", host).filter("host <> ''").withColumn("path", path_of(F.col("url")))
-    keys = asked.select("url", "fetched", F.explode(F.array_distinct(F.concat(above, below))).alias("k")).select("url", "fetched", "k.kind", "k.value")
     active = scratch.Table(intervals(changes), "url-intervals").read()
+    depth = F.when(F.col("kind") == "domain", F.size(F.split("value", r"\."))).otherwise(F.size(F.split("value", "/")))
+    depths: dict[str, list[int]] = {"domain": [], "prefix": []}
+    for kind, n in active.select("kind", depth.alias("n")).distinct().collect():  # as many as the list has depths
+        depths.setdefault(kind, []).append(n)
+    host = host_of(F.col("url"))
+
+    def key(kind: str, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+
+    above = [key("domain", F.substring_index("host", ".", -n)) for n in sorted(depths["domain"])]
+    below = [key("prefix", F.lower(F.concat("host", F.substring_index("path", "/", n)))) for n in sorted(depths["prefix"])]
+    sound = F.col("url").isNotNull() & F.col("fetched").isNotNull()
+    asked = rows.filter(sound).select("url", "fetched").distinct().withColumn("host", host).filter("host <> ''").withColumn("path", path_of(F.col("url")))
+    wanted = F.array_distinct(F.array(*above, *below)) if above or below else F.array().cast("array<struct<kind:string,value:string>>")
+    keys = asked.select("url", "fetched", F.explode(wanted).alias("k")).select("url", "fetched", "k.kind", "k.value")
     if active.count() <= BROADCAST_INTERVALS:
         active = F.broadcast(active)
     hit = keys.join(active, ["kind", "value"]).filter((F.col("fetched") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to"))))
     best = hit.groupBy("url", "fetched").agg(F.min(F.struct((-F.length("value")).alias("n"), "list", "kind", "value", "category", "valid_from")).alias("best"))
-    return rows.join(best, ["url", "fetched"], "left").select(
+    best = scratch.Table(best, "url-answers").read()  # a plain table on that side: a URL captured very often can be dealt out
+    judged = rows.filter(sound).join(best, ["url", "fetched"], "left").select("id", "url", "best")
+    judged = judged.union(rows.filter(~sound).select("id", "url", F.lit(None).cast(best.schema["best"].dataType).alias("best")))
+    return judged.select(
         F.col("id").alias(id_col),
         F.coalesce(host, F.lit("")).alias("host"),
         F.coalesce("best.list", F.lit("none")).alias("decision"),
