@@ -4,6 +4,8 @@ import re
 
 import duckdb
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as hs
 
 import corpus_pipeline
 from tapeloom.llm import decontaminate, licenses, ordinal, queries, url_filter
@@ -55,20 +57,76 @@ def test_detections(text, want):
     assert [(d.label, d.version) for d in licenses.detect(text.lower().encode())] == want
 
 
-def test_names_are_found_however_their_words_are_parted(spark):
-    names = {label: re.sub(r"\(\?:([^|()]*)[^()]*\)\??", r"\1", re.sub(r"\[\\s-\]\*", " ", name.replace("[sc]", "s"))) for label, name, *_ in licenses.FAMILIES}
-    names |= {"cc-by-nd": "cc by nd", "cc-by-nc-nd": "cc by nc nd", "bsd": "bsd 3 clause license", "lgpl": "gnu lesser general public license", "agpl": "affero general public license", "public-domain": "released to the public domain"}
-    more = {label: x for label, x in (("cc-by", "creative commons attribution"), ("cc-by-sa", "creative commons attribution share alike"), ("cc-by-nc", "creative commons attribution non commercial"), ("cc0", "creative commons zero"))}
-    cases = [(label, x) for group in (names, more) for label, x in group.items()]
-    for label, x in cases:
-        assert [d.label for d in licenses.detect(x.encode())] == [label], x
-    rows = [(label, form.replace("N", x.replace(" ", sep))) for label, x in cases for sep in (" ", "\n", "  ", "\r\n\t", "-") for form in ("N", "some general\n", "so N,")]
+WORDINGS = [
+    ("gpl", "3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("lgpl", "2.1", "redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1"),
+    ("mit", "", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("bsd", "", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("isc", "", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("apache", "2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License'),
+    ("mpl", "2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("unlicense", "", "This is free and unencumbered software released into the public domain"),
+    ("bsd", "3-clause", "BSD-3-Clause"),
+    ("gpl", "3", "GPL-3.0-or-later"),
+    ("cc-by", "4.0", "CC-BY-4.0"),
+    ("cc-by-sa", "3.0", "https://creativecommons.org/licenses/by-sa/3.0/"),
+    ("apache", "2.0", "http://www.apache.org/licenses/LICENSE-2.0.txt"),
+    ("mit", "", "https://opensource.org/licenses/MIT"),
+    ("mit", "", "MIT licensed"),
+    ("lgpl", "", "GNU Lesser General Public License"),
+    ("agpl", "", "Affero General Public License"),
+    ("public-domain", "", "released into the public domain"),
+    ("proprietary", "", "All rights reserved"),
+    ("cc-by-nc", "", "Creative Commons Attribution NonCommercial"),
+    ("cc-by-sa", "", "CC BY-SA"),
+    ("bsd", "2-clause", "2-clause BSD License"),
+    ("ofl", "1.1", "SIL Open Font License, Version 1.1"),
+    ("boost", "1.0", "SPDX-License-Identifier: BSL-1.0"),
+    ("mit-0", "", "SPDX-License-Identifier: MIT-0"),
+]
+
+
+def test_wordings_are_found_however_their_words_are_parted(spark):
+    rows = []
+    for label, version, text in WORDINGS:
+        low = text.lower()
+        assert [(d.label, d.version) for d in licenses.detect(low.encode())] == [(label, version)], text
+        loose = "/" not in text.replace("and/or", "") and "SPDX" not in text
+        rows += [(label, form.replace("N", text.replace(" ", sep))) for sep in ((" ", "\n", "  ", "\r\n * ", "\n// ") if loose else (" ",)) for form in ("N", "some general\n", "so N,")]
     got = licenses.scan(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string").coalesce(1)).collect()
     labels = {x["doc_id"]: x["labels"].split(",") for x in got}
     assert [t for k, (label, t) in enumerate(rows) if label not in labels[k] and "some" not in t] == []
     assert all(x == [""] for k, x in labels.items() if "some" in rows[k][1])
 
 
+@given(hs.sampled_from(licenses.rules()).flatmap(lambda r: hs.tuples(hs.just(r), hs.from_regex(r.pattern))))
+@settings(max_examples=800, deadline=None, suppress_health_check=list(HealthCheck))
+def test_every_match_of_a_rule_has_its_keyword(case):
+    """The keyword prefilter loses nothing: texts made from each regex lead to the rule."""
+    rule, text = case
+    assert licenses.rules().index(rule) in licenses.candidates(*licenses._words(text)).get(0, set()), (rule.label, rule.keyword, text)
+
+
+def test_overlaps_equal_a_plain_comparison_of_all_pairs():
+    r = random.Random(2)
+    for _ in range(200):
+        found = list({licenses.Detection(a, a + r.randint(1, 9), r.choice("xyz"), "", r.choice([20, 50, 90]), 0.5) for a in (r.randrange(40) for _ in range(r.randrange(30)))})
+        kept = []
+        for d in sorted(found, key=lambda d: (-d.priority, d.start - d.end, d.start, -len(d.label), d.label)):
+            if not any(k.start < d.end and d.start < k.end and (k.priority > d.priority or k.start <= d.start and d.end <= k.end) for k in kept):
+                kept.append(d)
+        assert licenses._apart(found) == sorted(kept)
+
+
+def test_a_long_list_of_licences_takes_linear_time():
+    import time
+
+    text = b"released under the mit license. gpl-3.0-or-later; apache license, version 2.0\n" * 27_000
+    began = time.time()
+    found = licenses.detect(text)
+    assert len(found) == 81_000 and time.time() - began < 60
+
+
 def test_no_documents(none):
     assert licenses.scan(none).count() == 0
 
@@ -95,6 +153,14 @@ def test_entries_hold_from_their_date_to_the_next_change(spark):
     assert {r["decision"] for r in url_filter.evaluate(captures, lists.limit(0)).collect()} == {"none"}
 
 
+def test_a_url_of_many_parts(spark):
+    changes = [("block", "prefix", "long.example/a", "x", "add", "2024-01-01"), ("block", "domain", "b.example", "y", "add", "2024-01-01")]
+    lists = spark.createDataFrame(changes, "list string, kind string, value string, category string, action string, effective string").selectExpr("list", "kind", "value", "category", "action", "cast(effective as timestamp) effective")
+    urls = ["http://long.example/a" + "/" * 100_000, "http://" + "a." * 50_000 + "b.example/"]
+    captures = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string").selectExpr("*", "timestamp '2024-05-01' fetched")
+    assert {r["page_id"]: r["entry"] for r in url_filter.evaluate(captures, lists).collect()} == {0: "long.example/a", 1: "b.example"}
+
+
 def test_edited_copies_are_found_and_clean_texts_are_not(spark, odd, none):
     r = random.Random(5)
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
@@ -178,6 +244,64 @@ def test_held_out_documents_are_graded(spark):
     assert got["expected_grade"].between(0, 2).all() and (model.cuts[1:] >= model.cuts[:-1]).all()
 
 
+def test_scores_and_fit_equal_a_plain_version():
+    """The same sums with dictionaries, one feature at a time."""
+    import math
+
+    import numpy as np
+
+    r = random.Random(3)
+    good, bad = ["fine", "clear", "useful", "text"], ["XXX", "$$$", "buy", "now"]
+    texts = [(" ".join(r.choice(good + bad[:k]) for _ in range(12)), 2 - min(k, 2)) for k in (0, 1, 3, 4) * 15]
+    data = np.frombuffer("".join(t for t, _ in texts).encode(), np.uint8)
+    offs = np.concatenate([[0], np.cumsum([len(t) for t, _ in texts])])
+    feats, at = ordinal.features(data, offs)
+    rows = [(feats[at[k] : at[k + 1]], g) for k, (_, g) in enumerate(texts)]
+    model = ordinal.fit(rows, 3, l1=0.5)
+    z, n, cuts, cut_n = {}, {}, [-math.log(2 / 1), -math.log(1 / 2)], [1.0, 1.0]
+
+    def weight(f):
+        a = z.get(f, 0.0)
+        return 0.0 if abs(a) <= 0.5 else -(a - math.copysign(0.5, a)) / (1 + math.sqrt(n.get(f, 0.0)))
+
+    def sigmoid(x):
+        return 1 / (1 + math.exp(-min(max(x, -30), 30)))
+
+    for _ in range(6):
+        for fs, grade in rows:
+            w = {f: weight(f) for f in fs.tolist()}
+            above = [1.0, *(sigmoid(sum(w.values()) - c) for c in cuts), 0.0]
+            p = max(above[grade] - above[grade + 1], 1e-9)
+            slope = [x * (1 - x) for x in above]
+            g = -(slope[grade] - slope[grade + 1]) / p
+            for f, x in w.items():
+                step = math.sqrt(n.get(f, 0.0) + g * g) - math.sqrt(n.get(f, 0.0))
+                z[f], n[f] = z.get(f, 0.0) + g - step * x, n.get(f, 0.0) + g * g
+            move = [0.0, 0.0]
+            if grade > 0:
+                move[grade - 1] += slope[grade] / p
+            if grade < 2:
+                move[grade] -= slope[grade + 1] / p
+            for k in range(2):
+                cut_n[k] += move[k] ** 2
+                cuts[k] -= move[k] / math.sqrt(cut_n[k])
+            cuts[1] = max(cuts)
+    assert np.allclose(model.cuts, cuts) and np.allclose([model.weights[f] for f in z], [weight(f) for f in z])
+    tails = model.tails(feats, at)
+    for k, (fs, _) in enumerate(rows):
+        s = sum(model.weights[f] for f in fs.tolist())
+        assert np.allclose(tails[k], [sigmoid(s - c) for c in model.cuts])
+    assert np.mean([(tails[k, -1] >= 0.5) == (g == 2) for k, (_, g) in enumerate(texts)]) > 0.9
+
+
+def test_repeated_ids_do_not_widen_the_fit(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(500)] + [(2, "other")], "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(ordinal, "fit", lambda rows, grades: seen.append(len(rows)))
+    ordinal.train(docs, spark.createDataFrame([(1, 2), (2, 0)], "doc_id long, grade int"))
+    assert seen == [2]
+
+
 def test_grading_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(9, 1, 0), (9, 0, 1), (None, 1, 1), (5, None, 1), (16, 1, 0)], "doc_id long, quality int, toxic int")
     ratings = ordinal.graded(labels)
