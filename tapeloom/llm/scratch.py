@@ -1,20 +1,34 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables in the folder that driver and executors share, and rows dealt to buckets of bounded size."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+#: Bytes that a bucket should hold: a task works on one bucket at a time.
+BUCKET_BYTES = 64 << 20
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own only where it is unset."""
+    """spark.checkpoint.dir of the session; where it is unset, a folder of our own, and only on one machine.
+
+    On a cluster an unset folder is an error: executors would not see what others wrote.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = _OWN.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tapeloom-"))
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        own = spark.sparkContext.applicationId
+        if own not in _OWN:
+            _OWN[own] = tempfile.mkdtemp(prefix="tapeloom-")
+        at = _OWN[own]
     return at.rstrip("/")
 
 
@@ -36,6 +50,59 @@ class Table:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Work:
+    """Tables of one operator's run, deleted at its end; what its result reads is written as a Table of its own."""
+
+    def __init__(self):
+        self.own: list[Table] = []
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        self.own.append(Table(df, name))
+        return self.own[-1].read()
+
+    def __enter__(self) -> Work:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for t in self.own:
+            t.drop()
+
+
 def width(spark: SparkSession) -> int:
     """Partitions to deal blocks of rows to: the session's own shuffle width."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bucket_count(spark: SparkSession, total_bytes: int | None) -> int:
+    """Buckets for so many bytes: the shuffle width, or as many more as keep each near BUCKET_BYTES."""
+    return max(width(spark), -(-(total_bytes or 0) // BUCKET_BYTES))
+
+
+def dealt(rows: DataFrame, buckets: int) -> DataFrame:
+    """Rows with a column bucket (0..buckets - 1), each bucket in one task and its rows together."""
+    n = width(rows.sparkSession)
+    if buckets <= n:
+        return rows.repartitionById(n, F.col("bucket"))
+    return rows.repartitionById(n, (F.col("bucket") % n).cast("int")).sortWithinPartitions("bucket")
+
+
+def each_bucket(of: Callable[[int, list[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A mapInArrow function that hands over the rows of one bucket (the first column) at a time."""
+
+    def run(batches):
+        held, now = [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                if held and ids[i] != now:
+                    yield from of(int(now), held)
+                    held = []
+                now = ids[i]
+                held.append(b.slice(i, j - i))
+        if held:
+            yield from of(int(now), held)
+
+    return run
