@@ -49,7 +49,7 @@ def op7_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove(_table(spark, sf_dir, "documents")).drop("text", "spans")
+    return repeats.remove(_table(spark, sf_dir, "documents")).drop("spans")
 
 
 # Dated changes of the URL lists that op8 judges the captures of pages by.

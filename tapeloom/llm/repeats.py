@@ -8,14 +8,16 @@ bucket. Marked positions are ranked once, by the text to their right and the rev
 bucket at a time is put in order, all its long ties resolved by those ranks (and the common lengths of neighbours in
 rank), so no suffix is ever compared byte by byte and memory is bounded by the block at hand.
 
-Marked positions whose hash occurs once are dropped before any text is moved. Blocks of texts settle their own ties
-first and send on one suffix of each tie, so a passage in a third of all rows reaches its bucket once a block.
+Marked positions whose hash occurs once are dropped before any text is moved. What a task finds repeated among its own
+rows it passes on as such and asks of it once, and blocks of texts settle their own ties first and send on one suffix
+of each tie, so a passage in a third of all rows reaches its bucket once a block.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,9 @@ from tapeloom.llm.bytesets import Rolling, groups, text_bytes
 LENGTH, GRAM = 400, 32
 #: Texts are cut into stretches of so many bytes, overlapping by a window less a byte; places fit PLACE bits.
 STRETCH, PLACE = 8 << 20, 24
+#: Marked positions that a task looks through for repetitions of its own before it deals them out, and the suffixes
+#: that are settled at a time.
+HELD, BLOCK = 1 << 18, 20_000
 U = np.uint64
 
 
@@ -88,51 +93,61 @@ def _common(texts: list[bytes], width: int, order: np.ndarray, group: np.ndarray
     return out
 
 
-def settle(hashes: np.ndarray, low: np.ndarray, high: np.ndarray, left: list[bytes], right: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+class Ties(NamedTuple):
+    """Runs of tied suffixes (occurrence, nearest and farthest distance), and the range of each occurrence's first suffixes."""
+
+    of: np.ndarray
+    near: np.ndarray
+    far: np.ndarray
+    leads: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+
+def settle(hashes: np.ndarray, low: np.ndarray, high: np.ndarray, left: list[bytes], right: list[bytes], length: int = LENGTH) -> Ties:
     """Which suffixes tie with another over length bytes, and which come first of their tie.
 
     Occurrence i of a marked position (of hash hashes[i]) has the suffixes that start low[i]..high[i] bytes before it;
-    left[i] is the text before it reversed, right[i] the text from it on. Both results have a row per occurrence and a
-    column per distance.
+    left[i] is the text before it reversed, right[i] the text from it on. Memory is that of the texts and a few numbers
+    an occurrence.
     """
     n, k = len(hashes), length - GRAM + 1
-    tied, first = np.zeros((n, k), bool), np.zeros((n, k), bool)
-    if not n:
-        return tied, first
     group = hashes.tolist()
-    rank = np.array(sorted(range(n), key=lambda i: (group[i], right[i])))
-    mirror = np.array(sorted(range(n), key=lambda i: (group[i], left[i])))
+    rank = np.array(sorted(range(n), key=lambda i: (group[i], right[i])), np.int64)
+    mirror = np.array(sorted(range(n), key=lambda i: (group[i], left[i])), np.int64)
     ahead, behind = _common(right, length, rank, hashes), _common(left, k, mirror, hashes)
     a, b = np.empty(n, np.int64), np.empty(n, np.int64)
-    for s in range(k):
-        live = np.flatnonzero((low <= s) & (s <= high))
-        if not len(live):
-            continue
-        a[rank], b[mirror] = np.cumsum(ahead < length - s), np.cumsum(behind < s)
-        key = a[live] * (n + 1) + b[live]
-        order = np.argsort(key, kind="stable")
-        same = key[order[1:]] == key[order[:-1]]
-        twin = np.zeros(len(live), bool)
-        twin[order[1:]] |= same
-        twin[order[:-1]] |= same
-        tied[live, s] = twin
-        lead = np.ones(len(live), bool)
-        lead[order[1:]] = ~same
-        first[live, s] = lead
-    return tied, first
-
-
-def _runs(tied: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Occurrence and byte range of each run of tied suffixes."""
-    edge = np.zeros((tied.shape[0], tied.shape[1] + 2), np.int8)
-    edge[:, 1:-1] = tied
-    step = np.diff(edge, axis=1)
-    i, s = np.nonzero(step == 1)
-    _, e = np.nonzero(step == -1)
-    return i, place[i] - (e - 1), place[i] - s + length
-
-
-_MARK = np.dtype([("hash", "<u8"), ("key", "S16"), ("at", "<u4")])
+    since, leads, least, most = np.full(n, -1), np.zeros(n, bool), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    runs = []
+    for s in range(k + 1):
+        tied = np.zeros(n, bool)
+        live = np.flatnonzero((low <= s) & (s <= high)) if s < k else []
+        if len(live):
+            a[rank], b[mirror] = np.cumsum(ahead < length - s), np.cumsum(behind < s)
+            key = a[live] * (n + 1) + b[live]
+            order = np.argsort(key, kind="stable")
+            same = key[order[1:]] == key[order[:-1]]
+            twin = np.zeros(len(live), bool)
+            twin[order[1:]] |= same
+            twin[order[:-1]] |= same
+            tied[live] = twin
+            first = np.ones(len(live), bool)
+            first[order[1:]] = ~same
+            first = live[first]
+            least[first[~leads[first]]] = s
+            most[first], leads[first] = s, True
+        over = np.flatnonzero(~tied & (since >= 0))
+        if len(over):
+            runs.append(np.stack([over, since[over], np.full(len(over), s - 1)]))
+            since[over] = -1
+        since[tied & (since < 0)] = s
+    return Ties(*(np.concatenate(runs, 1) if runs else np.zeros((3, 0), np.int64)), leads, least, most)
+
+
+#: A marked position asks whether its hash has another place; it may also speak for places that are known to be
+#: repeated, or be one of those.
+ASKS, SPEAKS, KNOWN = 0, 1, 2
+_MARK = np.dtype([("hash", "<u8"), ("key", "S16"), ("at", "<u4"), ("kind", "u1")])
 _SPOT = np.dtype([("hash", "<u8"), ("key", "S16"), ("place", "<i8"), ("low", "<u4"), ("high", "<u4"), ("left", "<u4"), ("right", "<u4")])
 
 
@@ -140,24 +155,54 @@ def _keys(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.dtype("V16")).view("S16") if len(column) else np.zeros(0, "S16")
 
 
-def _mark_blocks(width: int, length: int):
-    """Marked positions of texts (key, text), dealt to width buckets by hash: bucket, block."""
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in order of their hashes, each once, and whether the hash has others."""
+    rows = rows[np.lexsort((rows["at"], rows["key"], rows["hash"]))]
+    fresh = np.ones(len(rows), bool)
+    fresh[1:] = (rows[1:]["hash"] != rows[:-1]["hash"]) | (rows[1:]["key"] != rows[:-1]["key"]) | (rows[1:]["at"] != rows[:-1]["at"])
+    rows = rows[fresh]
+    same = rows[1:]["hash"] == rows[:-1]["hash"]
+    twin = np.zeros(len(rows), bool)
+    twin[1:] |= same
+    twin[:-1] |= same
+    return rows, twin
+
+
+def _mark_blocks(buckets: int, length: int):
+    """Marked positions of texts (key, text), dealt by hash, those known to be repeated by text: bucket, block."""
+
+    def send(held: list[np.ndarray]):
+        rows, twin = _distinct(np.concatenate(held))
+        known = rows[twin]
+        known["kind"] = KNOWN
+        speaks = known[np.append(True, known[1:]["hash"] != known[:-1]["hash"])] if len(known) else known
+        speaks["kind"] = SPEAKS
+        by_text = np.frombuffer(known["key"].astype("S16").tobytes(), "<u8").reshape(-1, 2)[:, 0] if len(known) else np.zeros(0, np.uint64)
+        rows = np.concatenate([rows[~twin], speaks, known])
+        yield from _dealt(rows, np.concatenate([rows["hash"][: len(rows) - len(known)], by_text]), buckets, [])
 
     def run(batches):
+        held, count = [], 0
         for b in batches:
             keys, (data, offs) = _keys(b.column(0)), text_bytes(b.column(1))
             for part, at, row, before in _stretches(data, offs, length):
                 h, _, lo, _ = marks(part, at, length)
                 of = np.searchsorted(at, lo, "right") - 1
                 out = np.empty(len(h), _MARK)
-                out["hash"], out["key"], out["at"] = h, keys[row + of], lo - at[of] + before
-                yield from _dealt(out, width, [])
+                out["hash"], out["key"], out["at"], out["kind"] = h, keys[row + of], lo - at[of] + before, ASKS
+                held.append(out)
+                count += len(out)
+                if count >= HELD:
+                    yield from send(held)
+                    held, count = [], 0
+        if held:
+            yield from send(held)
 
     return run
 
 
-def _dealt(rows: np.ndarray, width: int, texts: list[bytes]):
-    bucket = (rows["hash"] % U(width)).astype(np.int32)
+def _dealt(rows: np.ndarray, by: np.ndarray, buckets: int, texts: list[bytes]):
+    bucket = (by % U(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     which, first = np.unique(bucket[order], return_index=True)
     if not len(which):
@@ -172,27 +217,20 @@ def _dealt(rows: np.ndarray, width: int, texts: list[bytes]):
     yield pa.RecordBatch.from_arrays(cols, names=names)
 
 
-def _repeated(batches):
+@scratch.each_bucket
+def _repeated(_, batches):
     """Of a bucket, the marked positions whose hash has two places or more: key, positions."""
-    got = [x for b in batches for x in b.column(1).to_pylist()]
-    rows = np.frombuffer(b"".join(got), _MARK)
-    rows = rows[np.lexsort((rows["at"], rows["key"], rows["hash"]))]
-    if len(rows) > 1:
-        fresh = np.ones(len(rows), bool)
-        fresh[1:] = (rows[1:]["hash"] != rows[:-1]["hash"]) | (rows[1:]["key"] != rows[:-1]["key"]) | (rows[1:]["at"] != rows[:-1]["at"])
-        rows = rows[fresh]
-        same = rows[1:]["hash"] == rows[:-1]["hash"]
-        twin = np.zeros(len(rows), bool)
-        twin[1:] |= same
-        twin[:-1] |= same
-        rows = rows[twin]
-        rows = rows[np.argsort(rows["key"], kind="stable")]
-        _, first = np.unique(rows["key"], return_index=True)
-        cut = np.append(first, len(rows))
-        if len(rows):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([rows["key"][i].ljust(16, b"\0") for i in first], pa.binary()), pa.array([rows["at"][cut[k] : cut[k + 1]].tobytes() for k in range(len(first))], pa.binary())], names=["key", "at"]
-            )
+    rows = np.frombuffer(b"".join([x for b in batches for x in b.column(1).to_pylist()]), _MARK)
+    known, (asking, twin) = rows[rows["kind"] == KNOWN], _distinct(rows[rows["kind"] == ASKS])
+    spoken = np.isin(asking["hash"], rows["hash"][rows["kind"] == SPEAKS])
+    rows = np.concatenate([known, asking[twin | spoken]])
+    rows = rows[np.argsort(rows["key"], kind="stable")]
+    _, first = np.unique(rows["key"], return_index=True)
+    cut = np.append(first, len(rows))
+    if len(rows):
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([rows["key"][i].ljust(16, b"\0") for i in first], pa.binary()), pa.array([rows["at"][cut[k] : cut[k + 1]].tobytes() for k in range(len(first))], pa.binary())], names=["key", "at"]
+        )
 
 
 def _removed(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray):
@@ -215,44 +253,44 @@ def _out(bucket, rows, texts, keys, ranges):
 _SCHEMA = "bucket int, rows binary, texts binary, key binary, ranges binary"
 
 
-def _around(width: int, length: int):
+def _settle_block(part: np.ndarray, left: list[bytes], right: list[bytes], length: int):
+    """Ranges of tied suffixes by text (keys, ranges), and the suffixes that stand for the rest: rows, their places in part."""
+    ties = settle(part["hash"], part["low"], part["high"], left, right, length)
+    at = part["place"][ties.of]
+    found = _removed(part["key"][ties.of], at - ties.far, at - ties.near + length) if len(at) else ([], [])
+    on = np.flatnonzero(ties.leads)
+    leads = part[on]
+    leads["low"], leads["high"] = ties.low[on], ties.high[on]
+    return found, leads, on.tolist()
+
+
+def _around(buckets: int, length: int):
     """The suffixes at repeated marked positions (key, text, at): ties within the block are settled, the rest sent on."""
 
     def run(batches):
         for b in batches:
             data, offs = text_bytes(b.column(1))
             keys, wanted = _keys(b.column(0)), b.column(2).to_pylist()
-            spots, left, right = [], [], []
             for part, at, row, before in _stretches(data, offs, length):
                 h, place, lo, hi = marks(part, at, length)
                 of = np.searchsorted(at, lo, "right") - 1
                 ask = np.concatenate([np.frombuffer(b"".join(wanted[row + k]), "<u4").astype(np.int64) + at[k] - before for k in range(len(at) - 1)])
                 on = np.flatnonzero(np.isin(lo, ask))
                 raw = part.tobytes()
-                out = np.empty(len(on), _SPOT)
-                out["hash"], out["key"] = h[on], keys[row + of[on]]
-                out["place"] = place[on] - at[of[on]] + before
-                out["low"], out["high"] = place[on] - hi[on], place[on] - lo[on]
-                out["left"], out["right"] = place[on] - lo[on], hi[on] + length - place[on]
-                spots.append(out)
-                left += [raw[i:j][::-1] for i, j in zip(lo[on].tolist(), place[on].tolist(), strict=True)]
-                right += [raw[i:j] for i, j in zip(place[on].tolist(), (hi[on] + length).tolist(), strict=True)]
-            all_ = np.concatenate(spots) if spots else np.zeros(0, _SPOT)
-            for lo_ in range(0, len(all_), 20_000):
-                part = all_[lo_ : lo_ + 20_000].copy()
-                ls, rs = left[lo_ : lo_ + 20_000], right[lo_ : lo_ + 20_000]
-                tied, first = settle(part["hash"], part["low"], part["high"], ls, rs, length)
-                i, a, z = _runs(tied, part["place"], length)
-                k, ranges = _removed(part["key"][i], a, z) if len(i) else ([], [])
-                on = np.flatnonzero(first.any(1))
-                part["low"][on] = first[on].argmax(1)
-                part["high"][on] = first.shape[1] - 1 - first[on][:, ::-1].argmax(1)
-                sent = part[on]
-                texts = [ls[x] + rs[x] for x in on.tolist()]
-                for batch in _dealt(sent, width, texts) if len(on) else ():
-                    yield _out(*(c.to_pylist() for c in batch.columns), [], [])
-                if k:
-                    yield _out([], [], [], k, ranges)
+                for first in range(0, len(on), BLOCK):
+                    x = on[first : first + BLOCK]
+                    out = np.empty(len(x), _SPOT)
+                    out["hash"], out["key"] = h[x], keys[row + of[x]]
+                    out["place"] = place[x] - at[of[x]] + before
+                    out["low"], out["high"] = place[x] - hi[x], place[x] - lo[x]
+                    out["left"], out["right"] = place[x] - lo[x], hi[x] + length - place[x]
+                    left = [raw[i:j][::-1] for i, j in zip(lo[x].tolist(), place[x].tolist(), strict=True)]
+                    right = [raw[i:j] for i, j in zip(place[x].tolist(), (hi[x] + length).tolist(), strict=True)]
+                    (k, ranges), sent, who = _settle_block(out, left, right, length)
+                    for batch in _dealt(sent, sent["hash"], buckets, [left[m] + right[m] for m in who]) if len(sent) else ():
+                        yield _out(*(c.to_pylist() for c in batch.columns), [], [])
+                    if k:
+                        yield _out([], [], [], k, ranges)
 
     return run
 
@@ -260,59 +298,72 @@ def _around(width: int, length: int):
 def _settled(length: int):
     """A bucket's ties: key, ranges of the bytes that tied suffixes cover."""
 
-    def run(batches):
-        rows, texts = [], []
-        for b in batches:
-            rows += b.column(1).to_pylist()
-            texts += b.column(2).to_pylist()
+    def batch(found):
+        return pa.RecordBatch.from_arrays([pa.array(found[0], pa.binary()), pa.array(found[1], pa.binary())], names=["key", "ranges"])
+
+    def of(_, batches):
         spots, left, right = [], [], []
-        for r, t in zip(rows, texts, strict=True):
-            x = np.frombuffer(r, _SPOT)
-            spots.append(x)
-            at = np.concatenate([[0], np.cumsum(x["left"].astype(np.int64) + x["right"])]).tolist()
-            for k, m in enumerate(x["left"].tolist()):
-                left.append(t[at[k] : at[k] + m])
-                right.append(t[at[k] + m : at[k + 1]])
-        if not spots:
-            return
+        for b in batches:
+            for r, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                x = np.frombuffer(r, _SPOT)
+                spots.append(x)
+                at = np.concatenate([[0], np.cumsum(x["left"].astype(np.int64) + x["right"])]).tolist()
+                for k, m in enumerate(x["left"].tolist()):
+                    left.append(t[at[k] : at[k] + m])
+                    right.append(t[at[k] + m : at[k + 1]])
         all_ = np.concatenate(spots)
         order = np.argsort(all_["hash"], kind="stable")
         first = np.flatnonzero(np.append(True, all_["hash"][order][1:] != all_["hash"][order][:-1]))
         ends = np.append(first[1:], len(order))
         lo = 0
         while lo < len(first):  # a block of whole groups at a time
-            hi = max(lo + 1, int(np.searchsorted(ends, first[lo] + 20_000, "right")))
+            hi = max(lo + 1, int(np.searchsorted(ends, first[lo] + BLOCK, "right")))
             at = order[first[lo] : ends[hi - 1]]
             lo = hi
-            if len(at) < 2:
-                continue
             part = all_[at]
-            tied, _ = settle(part["hash"], part["low"], part["high"], [left[k] for k in at.tolist()], [right[k] for k in at.tolist()], length)
-            i, a, z = _runs(tied, part["place"], length)
-            if len(i):
-                k, ranges = _removed(part["key"][i], a, z)
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.binary()), pa.array(ranges, pa.binary())], names=["key", "ranges"])
-
-    return run
+            while len(part) > BLOCK:  # one group of many: those alike settle among themselves first
+                at = at[sorted(range(len(at)), key=lambda k: right[at[k]])]
+                part, own, leads = all_[at], [], []
+                for k in range(0, len(at), BLOCK):
+                    where = at[k : k + BLOCK]
+                    found, lead, who = _settle_block(all_[where], [left[m] for m in where.tolist()], [right[m] for m in where.tolist()], length)
+                    all_[where[who]] = lead
+                    own.append(where[who])
+                    if found[0]:
+                        yield batch(found)
+                at = np.concatenate(own)
+                if len(at) > 0.9 * len(part):
+                    break
+                part = all_[at]
+            if len(at) > 1:
+                found, _, _ = _settle_block(all_[at], [left[k] for k in at.tolist()], [right[k] for k in at.tolist()], length)
+                if found[0]:
+                    yield batch(found)
+
+    return scratch.each_bucket(of)
 
 
 def _text_key(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def find(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """key (128-bit hash of a text), ranges (arrays of byte ranges, unmerged) of texts with bytes to remove; docs: doc_id, text (no nulls)."""
+def find(docs: DataFrame, work: scratch.Work, length: int = LENGTH) -> DataFrame:
+    """key (128-bit hash of a text), ranges (arrays of byte ranges, unmerged) of texts with bytes to remove; docs: doc_id, text (no nulls).
+
+    The result reads tables of work.
+    """
     spark = docs.sparkSession
-    width = scratch.width(spark)
     long = docs.filter(F.octet_length("text") >= length).withColumn("key", _text_key(F.col("text")))
-    seen = scratch.Table(long.groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.max(F.octet_length("text")).cast("long").alias("n")), "text-keys").read()
-    blocks = long.select("key", "text").mapInArrow(_mark_blocks(width, length), "bucket int, rows binary")
-    where = scratch.Table(blocks.repartitionById(width, F.col("bucket")).mapInArrow(_repeated, "key binary, at binary"), "repeated-marks").read().groupBy("key").agg(F.collect_list("at").alias("at"))
-    chosen = where.join(seen, "key").select("key", F.col("doc_id").alias("own"), "at")
+    seen = work.table(long.groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.max(F.octet_length("text")).cast("long").alias("n")), "text-keys")
+    size = seen.agg(F.sum(F.col("n") * F.col("copies"))).first()[0] or 0
+    buckets = scratch.bucket_count(spark, 2 * _MARK.itemsize * size // (length - GRAM + 1))
+    blocks = long.select("key", "text").mapInArrow(_mark_blocks(buckets, length), "bucket int, rows binary")
+    marked = work.table(scratch.dealt(blocks, buckets).mapInArrow(_repeated, "key binary, at binary"), "repeated-marks")
+    buckets = scratch.bucket_count(spark, 2 * length * ((marked.agg(F.sum(F.octet_length("at"))).first()[0] or 0) // 4))
+    chosen = marked.groupBy("key").agg(F.collect_list("at").alias("at")).join(seen, "key").select("key", F.col("doc_id").alias("own"), "at")
     texts = long.join(chosen, (long["key"] == chosen["key"]) & long["doc_id"].eqNullSafe(chosen["own"])).select(long["key"], "text", "at")
-    spots = scratch.Table(texts.mapInArrow(_around(width, length), _SCHEMA), "suffixes").read()
-    sent = spots.filter("bucket is not null").select("bucket", "rows", "texts")
-    far = sent.repartitionById(width, F.col("bucket")).mapInArrow(_settled(length), "key binary, ranges binary")
+    spots = work.table(texts.mapInArrow(_around(buckets, length), _SCHEMA), "suffixes")
+    far = scratch.dealt(spots.filter("bucket is not null").select("bucket", "rows", "texts"), buckets).mapInArrow(_settled(length), "key binary, ranges binary")
     near = spots.filter("key is not null").select("key", "ranges")
     whole = seen.filter("copies > 1").select("key", F.unhex(F.concat(F.lit("00" * 8), _little(F.col("n")))).alias("ranges"))
     return far.unionByName(near).unionByName(whole).groupBy("key").agg(F.collect_list("ranges").alias("ranges"))
@@ -344,7 +395,8 @@ def remove(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_c
     a character that a range cut are left out.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *([F.struct(*(F.col(c) for c in extra)).alias("rest")] if extra else []))
-    cuts = scratch.Table(find(rows.select("doc_id", "text"), length), "removed").read()
+    with scratch.Work() as work:
+        cuts = scratch.Table(find(rows.select("doc_id", "text"), work, length), "removed").read()
 
     def run(batches):
         for b in batches:
@@ -368,8 +420,10 @@ def remove(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_c
             else:
                 yield pa.RecordBatch.from_arrays([ids, pa.array(cols["text"], pa.string()), *b.columns[3:]], names=["doc_id", "text", *b.schema.names[3:]])
 
-    keyed = rows.withColumn("key", F.when(F.octet_length("text") >= length, _text_key(F.col("text"))))
-    joined = keyed.join(cuts, "key", "left")
+    # only texts that are long enough are looked up; the others stay where they are
+    long = F.octet_length("text") >= length
+    joined = rows.filter(long).withColumn("key", _text_key(F.col("text"))).join(cuts, "key", "left").drop("key")
+    joined = joined.unionByName(rows.filter(~long).withColumn("ranges", F.lit(None).cast("array<binary>")))
     if extra is not None:
         more = ["rest"] if extra else []
         kept = joined.select("doc_id", "text", "ranges", *more).mapInArrow(run, joined.select("doc_id", "text", *more).schema)
