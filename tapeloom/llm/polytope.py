@@ -2,12 +2,14 @@
 
 A hash is the largest coordinate, with its sign, after three rounds of random signs and a fast Hadamard transform;
 a bucket joins several. Each vector also goes to the buckets its closest runner-up coordinates give. Every pair that
-shares a bucket is verified in double precision. Identical vectors stand for one another, and buckets of any size are
-dealt out as pairs of chunks, so no pair is dropped and no group gathers in one task.
+shares a bucket is verified in double precision, and counted in the first bucket that it shares: each vector carries
+its bucket keys, which are computed once. Identical vectors stand for one another, and buckets of any size are dealt
+out as pairs of chunks, so no pair is dropped and no group gathers in one task.
 """
 
 from __future__ import annotations
 
+import zlib
 from itertools import groupby
 
 import numpy as np
@@ -20,8 +22,9 @@ from tapeloom.llm.bytesets import mix
 from tapeloom.llm.components import components, local_roots
 
 TABLES, ROTATIONS, PROBES = 10, 3, 4
-#: Vectors of a bucket that one task compares with as many others at most.
-CHUNK = 2048
+#: Vectors of a bucket that one task compares with as many others at most: a vector of a large bucket is sent once for
+#: so many others.
+CHUNK = 4096
 LEAST = 0.93
 U = np.uint64
 
@@ -93,8 +96,6 @@ def _prepared(vectors: DataFrame, id_col: str, vector_col: str, label_col: str)
 
 
 def _salt(labels: list[str], dim: int) -> np.ndarray:
-    import zlib
-
     return mix(np.array([zlib.crc32(x.encode()) for x in labels], np.uint64) * U(1 << 16) + U(dim))
 
 
@@ -104,30 +105,44 @@ def _unit(raw: list[bytes]) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
-def _keyed(classes: DataFrame) -> DataFrame:
-    def run(batches):
-        for b in batches:
-            labels, reps, raw = (b.column(k).to_pylist() for k in range(3))
-            for dim in {len(x) for x in raw}:
-                at = [k for k, x in enumerate(raw) if len(x) == dim]
-                keys = buckets(_unit([raw[k] for k in at]), _salt([labels[k] for k in at], dim // 8)).reshape(len(at), -1)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().astype(np.int64)), pa.array(np.repeat([reps[k] for k in at], keys.shape[1]))], names=["key", "rep"])
-
-    return classes.select("label", "rep", "v").mapInArrow(run, "key long, rep long").distinct()
-
-
-def _compare(ka: np.ndarray, kb: np.ndarray, i: np.ndarray, j: np.ndarray, key: np.uint64) -> np.ndarray:
+def _hashed(batches):
+    """Classes with the bucket keys of their vectors."""
+    for b in batches:
+        labels, raw = b.column(0).to_pylist(), b.column(4).to_pylist()
+        keys: list[bytes | None] = [None] * len(raw)
+        for dim in {len(x) for x in raw}:
+            at = [k for k, x in enumerate(raw) if len(x) == dim]
+            for lo in range(0, len(at), 1024):
+                part = at[lo : lo + 1024]
+                got = buckets(_unit([raw[k] for k in part]), _salt([labels[k] for k in part], dim // 8))
+                for k, x in zip(part, got, strict=True):
+                    keys[k] = x.tobytes()
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.binary())], names=[*b.schema.names, "keys"])
+
+
+def _places(batches):
+    """key, rep of each bucket that a class goes to."""
+    for b in batches:
+        reps = b.column(0).to_numpy(zero_copy_only=False)
+        keys = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64).reshape(len(reps), -1)
+        keys = np.sort(keys, 1)
+        on = np.ones(keys.shape, bool)
+        on[:, 1:] = keys[:, 1:] != keys[:, :-1]
+        yield pa.RecordBatch.from_arrays([pa.array(keys[on]), pa.array(np.repeat(reps, on.sum(1)))], names=["key", "rep"])
+
+
+def _mine(keys: np.ndarray, i: np.ndarray, j: np.ndarray, key: np.uint64) -> np.ndarray:
     """Whether this bucket is the first that the pairs share: the one in which they count."""
     mine, open_ = np.zeros(len(i), bool), np.arange(len(i))
-    for t in range(TABLES):
+    for t in range(keys.shape[1]):
         if not len(open_):
             break
         least = np.full(len(open_), np.iinfo(np.uint64).max, np.uint64)
-        for p in range(PROBES):
-            for q in range(PROBES):
-                x = ka[i[open_], t, p]
-                same = x == kb[j[open_], t, q]
-                least[same] = np.minimum(least[same], x[same])
+        for lo in range(0, len(open_), 1 << 16):
+            at = open_[lo : lo + (1 << 16)]
+            x, y = keys[i[at], t], keys[j[at], t]
+            same = x[:, :, None] == y[:, None, :]
+            least[lo : lo + (1 << 16)] = np.where(same.any(2), x, least[lo : lo + (1 << 16), None]).min(1)
         found = least < np.iinfo(np.uint64).max
         mine[open_[found]] = least[found] == key
         open_ = open_[~found]
@@ -136,7 +151,7 @@ def _compare(ka: np.ndarray, kb: np.ndarray, i: np.ndarray, j: np.ndarray, key:
 
 def _verify(least: float):
     def group(key: int, rows: list[tuple]) -> tuple[list, list]:
-        """rows: mine (0: first chunk, 1: second), rep, weight, label, v."""
+        """rows: mine (0: first chunk, 1: second), rep, weight, label, v, keys."""
         sums: dict[int, int] = {}
         us, vs = [], []
         for _, part in groupby(sorted(rows, key=lambda r: (r[3], len(r[4]), r[0], r[1])), key=lambda r: (r[3], len(r[4]))):
@@ -146,7 +161,7 @@ def _verify(least: float):
             rep, weight = np.array([r[1] for r in part]), np.array([r[2] for r in part])
             unit = _unit([r[4] for r in part])
             side = np.array([r[0] for r in part])
-            keys = None
+            keys = np.frombuffer(b"".join([r[5] for r in part]), np.uint64).reshape(len(part), -1, PROBES)
             within = not side.any()
             left = np.arange(len(part)) if within else np.flatnonzero(side == 0)
             right = left if within else np.flatnonzero(side == 1)
@@ -160,11 +175,12 @@ def _verify(least: float):
                 if not len(i):
                     continue
                 us.append(rep[i]), vs.append(rep[j])
-                if keys is None:
-                    keys = buckets(unit, _salt([r[3] for r in part], unit.shape[1]))
-                first = _compare(keys, keys, i, j, np.int64(key).astype(np.uint64))
+                first = _mine(keys, i, j, np.int64(key).astype(np.uint64))
                 np.add.at(got, i[first], weight[j[first]])
                 np.add.at(got, j[first], weight[i[first]])
+                if len(us) > 64:
+                    nodes, roots = local_roots(np.concatenate(us), np.concatenate(vs))
+                    us, vs = [nodes], [roots]
             for r, n in zip(rep[got > 0].tolist(), got[got > 0].tolist(), strict=True):
                 sums[r] = sums.get(r, 0) + n
         edges = []
@@ -174,24 +190,30 @@ def _verify(least: float):
         return list(sums.items()), edges
 
     def run(batches):
-        held, at = [], None
+        held, at, out = [], None, []
+
+        def flush():
+            kind, rep, value = zip(*out, strict=True)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(rep, pa.int64()), pa.array(value, pa.int64())], names=["kind", "rep", "value"])
 
-        def out(found):
-            links, edges = found
-            return pa.RecordBatch.from_arrays(
-                [pa.array([0] * len(links) + [1] * len(edges), pa.int32()), pa.array([x for x, _ in links + edges], pa.int64()), pa.array([y for _, y in links + edges], pa.int64())],
-                names=["kind", "rep", "value"],
-            )
+        def settle():
+            if len(held) > 1:
+                links, edges = group(at[0], held)
+                out.extend((0, x, y) for x, y in links)
+                out.extend((1, x, y) for x, y in edges)
 
         for b in batches:
             for key, a, c, *row in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if (key, a, c) != at:
-                    if len(held) > 1:
-                        yield out(group(at[0], held))
+                    settle()
                     held, at = [], (key, a, c)
+                    if len(out) > 20_000:
+                        yield flush()
                 held.append(tuple(row))
-        if len(held) > 1:
-            yield out(group(at[0], held))
+        settle()
+        if out:
+            yield flush()
 
     return run
 
@@ -202,27 +224,29 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, id_col: str = "vec
     Rows link when labels are equal and not null and the cosine is least or more; candidates share a bucket, so a few
     true links may be missed (recall is measured in the tests) and none below least is made. Vectors that are null,
     empty, zero or hold null or non-finite numbers link with nothing, nor do vectors of different length. Repeated
-    rows each count as a vector; null ids stay and never link. An empty table gives an empty one.
+    rows each count as a vector; null ids stay and never link. Other columns are not read. An empty table gives an
+    empty one. Identical vectors are told by label and a 128-bit hash.
     """
     spark = vectors.sparkSession
-    rows = scratch.Table(_prepared(vectors, id_col, vector_col, label_col), "vectors").read()
-    sound = rows.filter("v is not null and vec_id is not null")
-    classes = scratch.Table(sound.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "vector-classes").read()
-    keyed = scratch.Table(_keyed(classes), "vector-buckets").read()
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("k", F.ceil(F.col("n") / CHUNK).cast("int"))
-    dealt = (
-        keyed.join(shared, "key")
-        .withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        .select("key", "rep", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), (F.col("chunk") > F.col("other")).cast("int").alias("mine"))
-    )
-    full = dealt.join(classes.select("rep", "weight", "label", "v"), "rep").select("key", "a", "b", "mine", "rep", "weight", "label", "v")
-    found = scratch.Table(full.repartition(scratch.width(spark), "key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(_verify(least), "kind int, rep long, value long"), "vector-links").read()
-    links = found.filter("kind = 0").groupBy("rep").agg(F.sum("value").alias("near"))
-    comps = components(found.filter("kind = 1").select(F.col("rep").alias("u"), F.col("value").alias("v"))).select(F.col("node").alias("rep"), "component_id")
-    known = classes.join(links, "rep", "left").join(comps, "rep", "left").select("label", "v", (F.col("weight") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
-    return (
-        rows.join(known.filter("v is not null"), ["label", "v"], "left")
-        .select("vec_id", F.when(F.col("vec_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"), F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id")).alias("component_id"))
-        .withColumn("kept", F.col("vec_id") == F.col("component_id"))
-    )
+    rows = scratch.Table(_prepared(vectors, id_col, vector_col, label_col).withColumn("code", F.unhex(F.md5("v"))), "vectors").read()
+    linkable = F.col("code").isNotNull() & F.col("vec_id").isNotNull()
+    with scratch.Work() as work:
+        alike = rows.filter(linkable).groupBy("label", "code").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("v").alias("v"))
+        classes = work.table(alike.mapInArrow(_hashed, "label string, code binary, rep long, weight long, v binary, keys binary"), "vector-classes")
+        keyed = classes.select("rep", "keys").mapInArrow(_places, "key long, rep long")
+        shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").withColumn("k", F.ceil(F.col("n") / CHUNK).cast("int"))
+        dealt = (
+            keyed.join(shared, "key")
+            .withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("k")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+            .select("key", "rep", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), (F.col("chunk") > F.col("other")).cast("int").alias("mine"))
+        )
+        full = dealt.join(classes.select("rep", "weight", "label", "v", "keys"), "rep").select("key", "a", "b", "mine", "rep", "weight", "label", "v", "keys")
+        found = work.table(full.repartition(scratch.width(spark), "key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(_verify(least), "kind int, rep long, value long"), "vector-links")
+        links = found.filter("kind = 0").groupBy("rep").agg(F.sum("value").alias("near"))
+        comps = components(found.filter("kind = 1").select(F.col("rep").alias("u"), F.col("value").alias("v")), work).select(F.col("node").alias("rep"), "component_id")
+        near = (F.col("weight") - 1 + F.coalesce("near", F.lit(0))).alias("n_links")
+        known = scratch.Table(classes.join(links, "rep", "left").join(comps, "rep", "left").select("label", "code", near, F.coalesce("component_id", "rep").alias("component_id")), "vector-answers").read()
+    joined = rows.filter(linkable).join(known, ["label", "code"]).select("vec_id", "n_links", "component_id")
+    alone = rows.filter(~linkable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return joined.union(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
