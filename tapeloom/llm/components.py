@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.llm import scratch
@@ -38,25 +38,38 @@ def _contract(batches):
         yield pa.RecordBatch.from_arrays([pa.array(nodes[on]), pa.array(roots[on])], names=["u", "v"])
 
 
-def components(links: DataFrame) -> DataFrame:
+def _passed(batches):
+    """Links u - m and v - m of each row u, v, m, contracted."""
+    for b in batches:
+        u, v, m = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+        yield from _contract([pa.RecordBatch.from_arrays([pa.array(np.concatenate([u, v])), pa.array(np.concatenate([m, m]))], names=["u", "v"])])
+
+
+def components(links: DataFrame, work: scratch.Work) -> DataFrame:
     """node, component_id (smallest node reachable) for every node of links (u, v: long); other nodes are their own.
 
-    Alternating stars: each node passes its larger, then its smaller neighbours to the smallest one it knows, until
-    nothing changes: a number of rounds that grows with the logarithm of the nodes. Each round is a written table.
-    Nulls and links of a node with itself are left out; repeated links count once.
+    Links point to the smaller node. In a round each link is passed on to its target's smallest target, and then all
+    targets of a node to the smallest of them, until only stars are left: a number of rounds that grows with the
+    logarithm of the nodes. A node has one link a block at most, so no node gathers its followers in one task. Each
+    round is a written table. Nulls and links of a node with itself are left out; repeated links count once. The result
+    reads a table of work.
     """
-    table = scratch.Table(links.filter("u <> v").select(F.col("u").cast("long"), F.col("v").cast("long")).mapInArrow(_contract, "u long, v long").distinct(), "links")
-    last = None
-    while True:
-        now = table.read().agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == last:
-            return table.read().select(F.col("u").alias("node"), F.col("v").alias("component_id")).union(table.read().select(F.col("v").alias("node"), F.col("v").alias("component_id")).distinct())
-        last, e = now, table.read()
-        both = e.union(e.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        after = scratch.Table(small.filter("u <> v").mapInArrow(_contract, "u long, v long").distinct(), "links")
+    table = scratch.Table(links.filter("u <> v").select(F.col("u").cast("long"), F.col("v").cast("long")).mapInArrow(_contract, "u long, v long"), "links")
+    while not _stars(table.read()):
+        e = table.read()
+        above = e.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("up"))
+        jumped = e.join(above, "v", "left").select("u", F.coalesce("up", "v").alias("v"))
+        least = jumped.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        after = scratch.Table(least.select("u", "v", "m").mapInArrow(_passed, "u long, v long"), "links")
         table.drop()
         table = after
+    work.own.append(table)
+    stars = table.read().distinct()
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("component_id")).union(stars.select(F.col("v").alias("node"), F.col("v").alias("component_id")).distinct())
+
+
+def _stars(links: DataFrame) -> bool:
+    """Whether each node has links to one smaller node only, and that has none."""
+    ends = links.select(F.col("u").alias("n"), "v").union(links.select("v", F.lit(None).cast("long")))
+    of = ends.groupBy("n").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.max(F.col("v").isNull()).alias("aim"))
+    return not of.agg(F.max((F.col("lo") < F.col("hi")) | (F.col("aim") & F.col("lo").isNotNull()))).first()[0]

@@ -33,8 +33,11 @@ WORDS = 5
 FREQUENT, ORDERED = 4, 1 << 19
 #: One shingle of so many serves the first round, which need not be complete.
 SAMPLED = 16
-#: Bits of the filter that says which sets may have a partner; a full filter costs space, not links.
-FILTER_BITS = 26
+#: Bits of the filter that says which sets may have a partner: eight a row, within these powers of two. A full filter
+#: costs space, not links; the largest is a broadcast of 128 MB.
+FILTER_BITS = (20, 30)
+#: Index entries that a task holds before it deals them out.
+HELD = 1 << 19
 #: Bits of the smallest sketch of a set.
 SKETCH = 1024
 #: The largest set whose sketch, folded to the smallest, still tells sets apart on the index lists.
@@ -73,11 +76,11 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _batches(batches):
-    """ids (Arrow), sets, offsets, set hashes of each group of rows (id, text)."""
+    """Rows, sets, offsets, set hashes of each group of rows, whose last column is the text."""
     for b in batches:
-        data, offs = text_bytes(b.column(1))
+        data, offs = text_bytes(b.column(b.num_columns - 1))
         for i, j in groups(offs):
-            yield b.column(0).slice(i, j - i), *shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+            yield b.slice(i, j - i), *shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
 
 
 def _once(flat: np.ndarray, ends: np.ndarray, keys: np.ndarray, of: set) -> tuple[np.ndarray, np.ndarray]:
@@ -94,38 +97,55 @@ def _flat(flat: np.ndarray, ends: np.ndarray, rows: np.ndarray, size: np.ndarray
 
 
 def _described(width: int):
-    """Of each row its set's size and hash; of each batch its frequent shingles, dealt by hash."""
+    """Of each row (doc_id, row_key, text) its set's size and hash; of each group of rows its frequent shingles and their counts, dealt by hash."""
+    names = ["doc_id", "row_key", "n", "key", "bucket", "counts"]
 
     def run(batches):
-        for ids, flat, ends, keys in _batches(batches):
-            n = len(ids)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(ends)), pa.array(keys.astype(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["doc_id", "n", "key", "bucket", "counts"])
+        for b, flat, ends, keys in _batches(batches):
+            n = b.num_rows
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(ends)), pa.array(keys.astype(np.int64)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
             rows, size = _once(flat, ends, keys, set())
             h, c = np.unique(_flat(flat, ends, rows, size), return_counts=True)
-            h, c = h[c >= FREQUENT], c[c >= FREQUENT]
-            which = (h % U(width)).astype(np.int32)
-            for k in np.unique(which):
-                on = which == k
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([k], pa.int32()), pa.array([np.stack([h[on], c[on].astype(np.uint64)]).tobytes()], pa.binary())],
-                    names=["doc_id", "n", "key", "bucket", "counts"],
-                )
+            h, c = h[c >= FREQUENT], c[c >= FREQUENT].astype(np.uint64)
+            parts = list(_parts((h % U(width)).astype(np.int32)))
+            if parts:
+                counts = [np.stack([h[on], c[on]]).tobytes() for _, on in parts]
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(parts), pa.int64()) for _ in range(4)), pa.array([k for k, _ in parts], pa.int32()), pa.array(counts, pa.binary())], names=names)
 
     return run
 
 
+def _summed(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    h, c = np.concatenate([np.frombuffer(x, "<u8").reshape(2, -1) for x in parts], 1)
+    h, back = np.unique(h, return_inverse=True)
+    return h, np.bincount(back, c.astype(float)).astype(np.uint64)
+
+
+def _parts(bucket: np.ndarray):
+    """Each bucket that occurs, and the places where it does."""
+    order = np.argsort(bucket, kind="stable")
+    which, first = np.unique(bucket[order], return_index=True)
+    cut = np.append(first, len(order))
+    for k, x in enumerate(which.tolist()):
+        yield x, order[cut[k] : cut[k + 1]]
+
+
 def _most_frequent(keep: int):
-    def run(batches):
-        parts = [np.frombuffer(x, "<u8").reshape(2, -1) for b in batches for x in b.column(1).to_pylist()]
-        if not parts:
-            return
-        h, c = np.concatenate(parts, 1)
-        h, back = np.unique(h, return_inverse=True)
-        c = np.bincount(back, c.astype(float)).astype(np.uint64)
+    """The most frequent shingles of a bucket; blocks are added up as they come."""
+
+    def of(_, batches):
+        held, size = [], 0
+        for x in (x for b in batches for x in b.column(1).to_pylist()):
+            held.append(x)
+            size += len(x)
+            if size > scratch.BUCKET_BYTES:
+                held = [np.stack(_summed(held)).tobytes()]
+                size = 0
+        h, c = _summed(held)
         top = np.lexsort((h, -c.astype(np.int64)))[:keep]
         yield pa.RecordBatch.from_arrays([pa.array([np.stack([h[top], c[top]]).tobytes()], pa.binary())], names=["top"])
 
-    return run
+    return scratch.each_bucket(of)
 
 
 class _Order:
@@ -150,11 +170,16 @@ class _Order:
 _ENTRY = np.dtype([("key", "<u8"), ("token", "<u4"), ("size", "<u4"), ("pos", "<u4")])
 
 
-def _prefixes(width: int, shared):
+def _prefixes(buckets: int, shared):
     """Index entries of each set's prefix, dealt by shingle: bucket, block."""
 
+    def packed(held: list[tuple]):
+        out, bucket = (np.concatenate(x) for x in zip(*held, strict=True))
+        parts = list(_parts(bucket))
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([out[on].tobytes() for _, on in parts], pa.binary())], names=["bucket", "rows"])
+
     def run(batches):
-        order, sent = _Order(*shared.value), set()
+        order, sent, held, count = _Order(*shared.value), set(), [], 0
         for _, flat, ends, keys in _batches(batches):
             rows, size = _once(flat, ends, keys, sent)
             if not len(rows):
@@ -163,81 +188,97 @@ def _prefixes(width: int, shared):
                 sent.update(keys[rows].tolist())
             h = _flat(flat, ends, rows, size)
             row = np.repeat(np.arange(len(rows)), size)
-            count = order(h)
-            if count.any():
-                h = h[np.lexsort((h, count, row))]
+            often = order(h)
+            if often.any():
+                h = h[np.lexsort((h, often, row))]
             pos = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
             on = pos < np.repeat(size - needed(size) + 1, size)
             h, row, pos = h[on], row[on], pos[on]
             out = np.empty(len(h), _ENTRY)
             out["key"], out["token"], out["size"], out["pos"] = keys[rows][row], h >> U(32), size[row], pos
-            bucket = ((h & U(0xFFFFFFFF)) % U(width)).astype(np.int32)
-            at = np.argsort(bucket, kind="stable")
-            which, first = np.unique(bucket[at], return_index=True)
-            cut = np.append(first, len(at))
-            yield pa.RecordBatch.from_arrays([pa.array(which), pa.array([out[at[cut[k] : cut[k + 1]]].tobytes() for k in range(len(which))], pa.binary())], names=["bucket", "rows"])
+            held.append((out, ((h & U(0xFFFFFFFF)) % U(buckets)).astype(np.int32)))
+            count += len(out)
+            if count >= HELD:
+                yield from packed(held)
+                held, count = [], 0
+        if held:
+            yield from packed(held)
 
     return run
 
 
-def _live(batches):
-    """Of a bucket, the entries that have a partner: one row per set (bucket, key, size, entries); and leader pairs (key, other)."""
-    got, bucket = [], None
-    for b in batches:
-        got += b.column(1).to_pylist()
-        bucket = b.column(0)[0].as_py() if b.num_rows else bucket
-    x = np.frombuffer(b"".join(got), _ENTRY)
-    got.clear()
-    if len(x) < 2:
-        return
-    x = x[np.lexsort((x["key"], x["size"], x["token"]))]
-    x = x[np.append(True, (x["token"][1:] != x["token"][:-1]) | (x["key"][1:] != x["key"][:-1]))]
-    near = (x["token"][1:] == x["token"][:-1]) & (5 * x["size"][:-1].astype(np.int64) >= 4 * x["size"][1:])
-    on = np.zeros(len(x), bool)
-    on[1:] |= near
-    on[:-1] |= near
-    x = x[on]
-    if not len(x):
-        return
-    s = x[x["token"] % SAMPLED == 0]
-    if len(s):
-        s = s[np.lexsort((s["key"], s["token"]))]
-        fresh = np.append(True, s["token"][1:] != s["token"][:-1])
-        lead = s[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
-        a, b = lead["size"].astype(np.int64), s["size"].astype(np.int64)
-        ok = (lead["key"] != s["key"]) & (5 * np.minimum(a, b) >= 4 * np.maximum(a, b))
-        pairs = np.unique(np.stack([lead["key"][ok], s["key"][ok]], 1), axis=0)
-        n = len(pairs)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.array(pairs[:, 0].astype(np.int64)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(pairs[:, 1].astype(np.int64))], names=["bucket", "key", "size", "entries", "other"])
-    x = x[np.argsort(x["key"], kind="stable")]
+_PLACE = np.dtype([("key", "<u8"), ("size", "<u4"), ("list", "<u4"), ("token", "<u4"), ("pos", "<u4")])
+
+
+def _live(buckets: int):
+    """Of a bucket, the entries that have a partner, dealt by set (bucket, rows); and leader pairs (a, b)."""
+
+    def of(bucket, batches):
+        x = np.frombuffer(b"".join([r for b in batches for r in b.column(1).to_pylist()]), _ENTRY)
+        x = x[np.lexsort((x["key"], x["size"], x["token"]))]
+        x = x[np.append(True, (x["token"][1:] != x["token"][:-1]) | (x["key"][1:] != x["key"][:-1]))] if len(x) else x
+        near = (x["token"][1:] == x["token"][:-1]) & (5 * x["size"][:-1].astype(np.int64) >= 4 * x["size"][1:])
+        on = np.zeros(len(x), bool)
+        on[1:] |= near
+        on[:-1] |= near
+        x = x[on]
+        if not len(x):
+            return
+        s = x[x["token"] % SAMPLED == 0]
+        if len(s):
+            s = s[np.lexsort((s["key"], s["token"]))]
+            fresh = np.append(True, s["token"][1:] != s["token"][:-1])
+            lead = s[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
+            a, b = lead["size"].astype(np.int64), s["size"].astype(np.int64)
+            ok = (lead["key"] != s["key"]) & (5 * np.minimum(a, b) >= 4 * np.maximum(a, b))
+            pairs = np.unique(np.stack([lead["key"][ok], s["key"][ok]], 1), axis=0)
+            n = len(pairs)
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), *(pa.array(pairs[:, k].astype(np.int64)) for k in range(2))], names=["bucket", "rows", "a", "b"])
+        out = np.empty(len(x), _PLACE)
+        for k in ("key", "size", "token", "pos"):
+            out[k] = x[k]
+        out["list"] = bucket
+        parts = list(_parts((out["key"] % U(buckets)).astype(np.int32)))
+        n = len(parts)
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([out[at].tobytes() for _, at in parts], pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=["bucket", "rows", "a", "b"])
+        del x, out
+        trim()
+
+    return scratch.each_bucket(of)
+
+
+@scratch.each_bucket
+def _by_set(_, batches):
+    """One row per set: key, size, its places on the index lists (list, token, position)."""
+    x = np.frombuffer(b"".join([r for b in batches for r in b.column(1).to_pylist()]), _PLACE)
+    x = x[np.lexsort((x["list"], x["key"]))]
     which, first = np.unique(x["key"], return_index=True)
     cut = np.append(first, len(x))
-    tail = np.stack([x["token"], x["pos"]], 1).astype("<u4")
-    n = len(which)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(np.full(n, bucket), pa.int32()), pa.array(which.astype(np.int64)), pa.array(x["size"][first].astype(np.int64)), pa.array([tail[cut[k] : cut[k + 1]].tobytes() for k in range(n)], pa.binary()), pa.nulls(n, pa.int64())],
-        names=["bucket", "key", "size", "entries", "other"],
-    )
-    del x, tail
+    tail = np.stack([x["list"], x["token"], x["pos"]], 1)
+    for lo in range(0, len(which), 10_000):
+        part = range(lo, min(lo + 10_000, len(which)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(which[part].astype(np.int64)), pa.array(x["size"][first[part]].astype(np.int64)), pa.array([tail[cut[k] : cut[k + 1]].tobytes() for k in part], pa.binary())],
+            names=["key", "size", "places"],
+        )
     trim()
 
 
-def _filter(keys: DataFrame) -> np.ndarray:
-    """Bit set of the keys, of fixed size."""
-    place = F.col("key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+def _filter(keys: DataFrame, power: int) -> np.ndarray:
+    """Bit set of the keys (packed, lowest bit first) with 2^power places."""
+    place = F.col("key").bitwiseAND(F.lit((1 << power) - 1))
     rows = keys.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
-    out = np.zeros(1 << FILTER_BITS, bool)
+    out = np.zeros(1 << power, bool)
     for r in rows:
-        bits = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little")
-        at = (r["b"] - 1) * 32768 + 1  # buckets count from 1, and bucket 1 begins at 1; bucket 0 holds 0 and below
-        for k in np.flatnonzero(bits).tolist():
-            out[(at + k) % (1 << FILTER_BITS)] = True
-    return out
+        at = np.flatnonzero(np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little"))
+        # buckets count from 1, and bucket 1 begins at 1; bucket 0 holds 0 and below
+        out[(at + ((r["b"] - 1) * 32768 + 1)) & ((1 << power) - 1)] = True
+    return np.packbits(out, bitorder="little")
 
 
 def _passing(packed: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    place = (keys & U((1 << FILTER_BITS) - 1)).astype(np.int64)
+    place = (keys & U(8 * len(packed) - 1)).astype(np.int64)
     return (packed[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
 
 
@@ -311,53 +352,100 @@ def _bounded(batches):
 class _Compare:
     """Overlaps of pairs of sets: sketches first, then the sets of the pairs that those leave open, from the texts again."""
 
-    def __init__(self, rows: DataFrame, live: DataFrame):
-        self.rows, self.sc = rows, rows.sparkSession.sparkContext
+    def __init__(self, rows: DataFrame, live: DataFrame, power: int, work: scratch.Work):
+        self.rows, self.sc, self.power, self.work = rows, rows.sparkSession.sparkContext, power, work
         self.sketches = self._table(live, parity_bits, "sketches")
 
     def _table(self, keys: DataFrame, of, name: str) -> DataFrame:
-        shared = self.sc.broadcast(np.packbits(_filter(keys), bitorder="little"))
-        return scratch.Table(self.rows.mapInArrow(_chosen(shared, of), "key long, n long, value binary"), name).read()
+        """key, n, value of the sets that keys hold (and a few more), each once."""
+        shared = self.sc.broadcast(_filter(keys, self.power))
+        return self.work.table(self.rows.mapInArrow(_chosen(shared, of), "key long, n long, value binary").dropDuplicates(["key"]), name)
 
     def exact(self, pairs: DataFrame) -> DataFrame:
         """a, b, overlap, na, nb of pairs (a table)."""
         sets = self._table(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))), lambda x: x.tobytes(), "shingles")
         both = pairs.select("a", "b").join(sets.select(F.col("key").alias("b"), F.col("value").alias("sb")), "b").join(sets.select(F.col("key").alias("a"), F.col("value").alias("sa")), "a")
-        return scratch.Table(both.select("a", "b", "sa", "sb").mapInArrow(_exact, "a long, b long, overlap long, na long, nb long").distinct(), "overlaps").read()
+        return self.work.table(both.select("a", "b", "sa", "sb").mapInArrow(_exact, "a long, b long, overlap long, na long, nb long"), "overlaps")
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         """a, b, overlap, na, nb: the overlap itself, or the most it can be where that is too little to link."""
-        s = self.sketches.dropDuplicates(["key"])
+        s = self.sketches
         both = pairs.select("a", "b").join(s.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("value").alias("vb")), "b").join(s.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("value").alias("va")), "a")
-        seen = scratch.Table(both.select("a", "b", "na", "nb", "va", "vb").mapInArrow(_bounded, "a long, b long, overlap long, na long, nb long, open boolean"), "bounds").read()
+        seen = self.work.table(both.select("a", "b", "na", "nb", "va", "vb").mapInArrow(_bounded, "a long, b long, overlap long, na long, nb long, open boolean"), "bounds")
         return seen.filter("not open").drop("open").unionByName(self.exact(seen.filter("open").select("a", "b")))
 
 
-def _cluster_pairs(opened: bool):
-    """Pairs of clusters that an index list brings together and neither sizes nor positions exclude.
+_SET = np.dtype([("key", "<i8"), ("lead", "<i8"), ("size", "<u4"), ("d", "<u4"), ("places", "<u4")])
+_UNIT = np.dtype([("id", "<i8"), ("n", "<u4"), ("known", "<u4"), ("bits", f"V{SKETCH // 8}")])
+
 
-    Rows: bucket, key, size, entries, lead, d (members' difference from the leader), n and sketch of the leader (or, if
-    opened, of the set), and, if opened, the clusters to open it with. What the sketches exclude is never sent on. Gives a, b, slack, least: leaders (or, if opened, sets), the most that members differ
-    by, and the least overlap that could link them.
+def _lists(opened: bool):
+    """One row per set (key, size, places, lead, d, n, sketch) to blocks of the index lists: bucket, sets, places, units.
+
+    A unit is a cluster, named by its leader, or, if opened, a set; n and sketch are the unit's. Each task sends a list
+    a unit's sketch once a block.
     """
 
     def run(batches):
-        cols = [[] for _ in range(8)]
         for b in batches:
-            for k, name in enumerate(("key", "size", "entries", "lead", "d", "open", "n", "sketch")):
-                cols[k] += b.column(b.schema.get_field_index(name)).to_pylist()
-        if not cols[0]:
-            return
-        key, size, lead, d = (np.array(cols[k], np.int64) for k in (0, 1, 3, 4))
-        n = np.array([len(x) // 8 for x in cols[2]])
-        row = np.repeat(np.arange(len(n)), n)
-        token, pos = np.frombuffer(b"".join(cols[2]), "<u4").reshape(-1, 2).astype(np.int64).T
-        ids = key if opened else lead
-        which, one = np.unique(ids, return_index=True)
-        bits = np.frombuffer(b"".join([folded(cols[7][k]) for k in one.tolist()]), np.uint64).reshape(len(one), -1)
-        known = np.array([cols[7][k] is not None for k in one.tolist()])
-        count = np.array([cols[6][k] for k in one.tolist()], np.int64)
-        unit = ids[row]
+            _, offs = text_bytes(b.column(2))
+            for i, j in groups(offs, 4 << 20):
+                key, size, places, lead, d, n, sketch = (c.slice(i, j - i).to_pylist() for c in b.columns)
+                sets = np.zeros(j - i, _SET)
+                sets["key"], sets["lead"], sets["size"], sets["d"] = key, lead, size, d
+                units = np.zeros(j - i, _UNIT)
+                units["id"], units["n"], units["known"] = key if opened else lead, [x or 0 for x in n], [x is not None for x in sketch]
+                units["bits"] = np.frombuffer(b"".join([folded(x) for x in sketch]), _UNIT["bits"])
+                count = np.array([len(x) // 12 for x in places])
+                row = np.repeat(np.arange(j - i), count)
+                lists, token, pos = np.frombuffer(b"".join(places), "<u4").reshape(-1, 3).T
+                out = [[], [], [], []]
+                for k, on in _parts(lists.astype(np.int32)):
+                    own, first = np.unique(row[on], return_index=True)  # places ascend by row within a list
+                    part = sets[own]
+                    part["places"] = np.diff(np.append(first, len(on)))
+                    unit = units[own]
+                    unit = unit[np.unique(unit["id"], return_index=True)[1]]
+                    for at, x in enumerate((k, part.tobytes(), np.stack([token[on], pos[on]], 1).tobytes(), unit.tobytes())):
+                        out[at].append(x)
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["bucket", "sets", "places", "units"])
+
+    return run
+
+
+_LISTS = "bucket int, sets binary, places binary, units binary"
+
+
+def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of each pair of set hashes."""
+    return mix(mix(a.astype(np.uint64)) * MIX[62] + b.astype(np.uint64))
+
+
+def _pair_keys(batches):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(pair_keys(b.column(0).to_numpy(), b.column(1).to_numpy()).astype(np.int64))], names=["key"])
+
+
+def _cluster_pairs(asked=None):
+    """Pairs of clusters (of sets, if asked is given) that an index list brings together and neither sizes, positions nor sketches exclude.
+
+    Gives a, b, slack, least, la, lb: leaders (or sets), the most that members differ by, the least overlap that could
+    link them, and the leaders. asked is a filter of pairs of leaders: only sets of such clusters are paired.
+    """
+    opened = asked is not None
+
+    def of(_, batches):
+        sets, places, units = (b"".join([x for b in batches for x in b.column(k).to_pylist()]) for k in (1, 2, 3))
+        sets, units = np.frombuffer(sets, _SET), np.frombuffer(units, _UNIT)
+        units = units[np.unique(units["id"], return_index=True)[1]]
+        size, lead = sets["size"].astype(np.int64), sets["lead"]
+        d = np.zeros(len(sets), np.int64) if opened else sets["d"].astype(np.int64)
+        row = np.repeat(np.arange(len(sets)), sets["places"])
+        token, pos = np.frombuffer(places, "<u4").reshape(-1, 2).astype(np.int64).T
+        count, known = units["n"].astype(np.int64), units["known"] > 0
+        bits = np.frombuffer(units["bits"].tobytes(), np.uint64).reshape(len(units), -1)
+        unit = (sets["key"] if opened else lead)[row]
         order = np.lexsort((unit, token))
         token, unit, row, pos = token[order], unit[order], row[order], pos[order]
         fresh = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (unit[1:] != unit[:-1])))
@@ -366,13 +454,8 @@ def _cluster_pairs(opened: bool):
         token, unit, owner = token[fresh], unit[fresh], lead[row[fresh]]
         order = np.lexsort((low, token))
         token, unit, owner, low, high, rest, most = (v[order] for v in (token, unit, owner, low, high, rest, most))
-        asked = {}
-        if opened:
-            for k, x in zip(lead.tolist(), cols[5], strict=True):
-                if x:
-                    asked[k] = set(x)
         at, step, found = np.arange(len(token)), 1, []
-        place = np.searchsorted(which, unit)
+        place = np.searchsorted(units["id"], unit)
 
         def may_link(i: np.ndarray, j: np.ndarray, slack: np.ndarray, least: np.ndarray) -> np.ndarray:
             """Whether the sketches leave a link of the two, or of members that differ by slack, possible."""
@@ -394,90 +477,112 @@ def _cluster_pairs(opened: bool):
                 break
             least = (4 * (low[at] + low[to]) + 8) // 9
             ok = (owner[at] != owner[to]) & (np.minimum(rest[at], rest[to]) >= least)
-            i, j = at[ok], to[ok]
+            i, j, least = at[ok], to[ok], least[ok]
             if opened and len(i):
-                keep = np.array([v in asked.get(u, ()) or u in asked.get(v, ()) for u, v in zip(owner[i].tolist(), owner[j].tolist(), strict=True)])
-                i, j = i[keep], j[keep]
-                least = (4 * (low[i] + low[j]) + 8) // 9
-            else:
-                least = least[ok]
+                keep = _passing(asked.value, pair_keys(np.minimum(owner[i], owner[j]), np.maximum(owner[i], owner[j])))
+                i, j, least = i[keep], j[keep], least[keep]
             if len(i):
                 keep = may_link(i, j, most[i] + most[j], least)
                 i, j, least = i[keep], j[keep], least[keep]
             if len(i):
-                a, b = np.minimum(unit[i], unit[j]), np.maximum(unit[i], unit[j])
-                found.append(np.stack([a, b, most[i] + most[j], least], 1))
+                swap = unit[i] > unit[j]
+                i, j = np.where(swap, j, i), np.where(swap, i, j)
+                found.append(np.stack([unit[i], unit[j], most[i] + most[j], least, np.minimum(owner[i], owner[j]), np.maximum(owner[i], owner[j])], 1))
             if len(found) > 64:
                 found = [_pairs(found)]
             step += 1
         if found:
             out = _pairs(found)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(out[:, k])) for k in range(4)], names=["a", "b", "slack", "least"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(out[:, k])) for k in range(6)], names=["a", "b", "slack", "least", "la", "lb"])
+
+    return scratch.each_bucket(of)
 
-    return run
+
+_PAIRS = "a long, b long, slack long, least long, la long, lb long"
 
 
 def _pairs(found: list[np.ndarray]) -> np.ndarray:
     x = np.concatenate(found)
     x = x[np.lexsort((x[:, 1], x[:, 0]))]
     first = np.flatnonzero(np.append(True, (x[1:, 0] != x[:-1, 0]) | (x[1:, 1] != x[:-1, 1])))
-    return np.stack([x[first, 0], x[first, 1], np.maximum.reduceat(x[:, 2], first), np.minimum.reduceat(x[:, 3], first)], 1)
+    return np.stack([x[first, 0], x[first, 1], np.maximum.reduceat(x[:, 2], first), np.minimum.reduceat(x[:, 3], first), x[first, 4], x[first, 5]], 1)
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included).
+    """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included), group_key, row_key.
 
     Words are lower-cased in A-Z; a text of fewer than five words is one shingle. Null, empty and word-less texts have
     no shingles and link with nothing; null ids stay, with a null component, and link nothing. Repeated rows stay and
-    count as equal sets. Other columns are not read. An empty table gives an empty one.
+    count as equal sets. Other columns are not read. An empty table gives an empty one. group_key names the group of
+    linked sets (null: no shingles), row_key is a hash of the text (xxhash64, null for null): where ids repeat, these
+    tell rows apart that component_id cannot.
     """
     spark = docs.sparkSession
-    width = scratch.width(spark)
     sc = spark.sparkContext
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    known = scratch.Table(rows.mapInArrow(_described(width), "doc_id long, n long, key long, bucket int, counts binary"), "shingle-sets").read()
-    sets_of = known.filter("bucket is null").select("doc_id", "n", "key")
-    tops = known.filter("bucket is not null").select("bucket", "counts").repartitionById(width, F.col("bucket")).mapInArrow(_most_frequent(max(1, ORDERED // width)), "top binary").collect()
+    described = rows.select("doc_id", F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("row_key"), "text")
+    width = scratch.width(spark)
+    known = scratch.Table(described.mapInArrow(_described(width), "doc_id long, row_key long, n long, key long, bucket int, counts binary"), "shingle-sets").read()
+    with scratch.Work() as work:
+        groups_of = scratch.Table(_groups(rows, known, work, sc), "shingle-groups").read()
+    sets_of = known.filter("counts is null")
+    named = sets_of.filter("n > 0").join(groups_of, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), "group_key", "row_key")
+    none = F.lit(None).cast("long").alias("group_key")
+    return named.union(sets_of.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), none, "row_key"))
+
+
+def _groups(rows: DataFrame, known: DataFrame, work: scratch.Work, sc) -> DataFrame:
+    """key (a set), group_key, component_id (null: no row of the group has an id), from rows (doc_id, text) and their sets."""
+    spark = rows.sparkSession
+    sums, width = known.agg(F.sum("n").alias("n"), F.count("n").alias("rows")).first(), scratch.width(spark)
+    tops = scratch.dealt(known.filter("counts is not null").select("bucket", "counts"), width).mapInArrow(_most_frequent(max(1, ORDERED // width)), "top binary").collect()
     top = np.concatenate([np.zeros((2, 0), np.uint64), *(np.frombuffer(bytes(r["top"]), "<u8").reshape(2, -1) for r in tops)], 1)
-    index = rows.mapInArrow(_prefixes(width, sc.broadcast((top[0], top[1].astype(np.uint32)))), "bucket int, rows binary")
-    found = scratch.Table(index.repartitionById(width, F.col("bucket")).mapInArrow(_live, "bucket int, key long, size long, entries binary, other long"), "shingle-index").read()
-    live = found.filter("bucket is not null").select("bucket", "key", "size", "entries")
-    compare = _Compare(rows, live.select("key"))
-
-    # first round: members against leaders
-    first = found.filter("bucket is null").select(F.col("key").alias("a"), F.col("other").alias("b")).distinct()
+    buckets = scratch.bucket_count(spark, _ENTRY.itemsize * ((sums["n"] or 0) // 5 + sums["rows"]))
+    index = rows.mapInArrow(_prefixes(buckets, sc.broadcast((top[0], top[1].astype(np.uint32)))), "bucket int, rows binary")
+    found = work.table(scratch.dealt(index, buckets).mapInArrow(_live(buckets), "bucket int, rows binary, a long, b long"), "shingle-index")
+    live = work.table(scratch.dealt(found.filter("bucket is not null").select("bucket", "rows"), buckets).mapInArrow(_by_set, "key long, size long, places binary"), "sets-by-place")
+    power = min(max(FILTER_BITS[0], 3 + sums["rows"].bit_length()), FILTER_BITS[1])
+    compare = _Compare(rows, live.select("key"), power, work)
+
+    # first round: members against leaders; a leader is smaller (unsigned) than its members
+    first = found.filter("bucket is null").select("a", "b").distinct()
     is_link = F.col("overlap") * 100 >= (F.col("na") + F.col("nb") - F.col("overlap")) * 80
-    near = scratch.Table(compare(scratch.Table(first, "leader-pairs").read()).filter(is_link), "near").read()
-    stars = scratch.Table(components(near.select(F.col("a").alias("u"), F.col("b").alias("v"))), "clusters").read()
-    members = stars.filter("node <> component_id").select(F.col("component_id").alias("a"), F.col("node").alias("b"))
-    ask = members.join(near.select("a", "b"), ["a", "b"], "left_anti").join(near.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    ask = scratch.Table(ask, "unmeasured").read()
-    measured = near.select("a", "b", "overlap", "nb").union(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "overlap", F.col("na").alias("nb"))).join(members, ["a", "b"]).union(compare.exact(ask).select("a", "b", "overlap", "nb"))
-    like = scratch.Table(measured.groupBy(F.col("b").alias("key")).agg(F.max("a").alias("lead"), F.max(F.col("nb") - F.col("overlap")).alias("d")), "differences").read()
-
-    # second round: clusters against clusters, by their leaders
-    placed = scratch.Table(live.join(like, "key", "left").select("bucket", "key", "size", "entries", F.coalesce("lead", "key").alias("lead"), F.coalesce("d", F.lit(0)).alias("d")), "placed").read()
-    short = scratch.Table(compare.sketches.dropDuplicates(["key"]).select("key", "n", "value").mapInArrow(_folded, "key long, n long, sketch binary"), "short-sketches").read()
-    dealt = placed.withColumn("open", F.lit(None).cast("array<bigint>")).join(short.withColumnRenamed("key", "lead"), "lead", "left").repartitionById(width, F.col("bucket"))
-    between = dealt.mapInArrow(_cluster_pairs(False), "a long, b long, slack long, least long").groupBy("a", "b").agg(F.max("slack").alias("slack"), F.min("least").alias("least"))
-    asked = scratch.Table(between, "cluster-pairs").read()
-    answers = scratch.Table(compare(asked).join(asked, ["a", "b"]), "leader-overlaps").read()
+    near = work.table(compare(work.table(first, "leader-pairs")).filter(is_link), "near")
+    unsigned = F.col("a").bitwiseXOR(F.lit(-(1 << 63)))
+    led = near.groupBy(F.col("b").alias("key")).agg(F.min(F.struct(unsigned.alias("o"), F.col("a").alias("lead"), (F.col("nb") - F.col("overlap")).alias("d"))).alias("x")).select("key", "x.lead", "x.d")
+    led = work.table(led, "leaders")
+    for _ in range(2):  # the leader's leader, and his: what members differ by adds up to no less than the difference
+        up = led.select(F.col("key").alias("lead"), F.col("lead").alias("above"), F.col("d").alias("more"))
+        led = led.join(up, "lead", "left").select("key", F.coalesce("above", "lead").alias("lead"), (F.col("d") + F.coalesce("more", F.lit(0))).alias("d"))
+    led = work.table(led, "clusters")
+    like = led.join(led.select(F.col("key").alias("lead")), "lead", "left_anti").select("key", "lead", "d")  # longer chains: a cluster of one's own
+
+    # second round: clusters against clusters, by their leaders; the joins carry one row per set
+    placed = work.table(live.join(like, "key", "left").select("key", "size", "places", F.coalesce("lead", "key").alias("lead"), F.coalesce("d", F.lit(0)).alias("d")), "placed")
+    short = work.table(compare.sketches.select("key", "n", "value").mapInArrow(_folded, "key long, n long, sketch binary"), "short-sketches")
+    columns = ["key", "size", "places", "lead", "d", "n", "sketch"]
+    by_lead = placed.join(short.withColumnRenamed("key", "lead"), "lead", "left").select(columns).mapInArrow(_lists(False), _LISTS)
+    between = scratch.dealt(by_lead, buckets).mapInArrow(_cluster_pairs(), _PAIRS).groupBy("a", "b").agg(F.max("slack").alias("slack"), F.min("least").alias("least"))
+    asked = work.table(between, "cluster-pairs")
+    answers = work.table(compare(asked).join(asked, ["a", "b"]), "leader-overlaps")
     links = near.select("a", "b").union(answers.filter(is_link).select("a", "b"))
 
     # third round: the sets of clusters that the leaders leave open and no chain of links has joined
-    joined = scratch.Table(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "joined").read()
+    joined = work.table(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), work), "joined")
     ends_of = [joined.select(F.col("node").alias(k), F.col("component_id").alias(f"c{k}")) for k in "ab"]
     open_ = answers.filter(~is_link & (F.col("overlap") + F.col("slack") >= F.col("least"))).select("a", "b")
     open_ = open_.join(ends_of[0], "a", "left").join(ends_of[1], "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    open_ = scratch.Table(open_, "open-clusters").read()
-    lists = open_.groupBy(F.col("a").alias("lead")).agg(F.collect_set("b").alias("open"))
+    open_ = work.table(open_, "open-clusters")
+    pairs = sc.broadcast(_filter(open_.select("a", "b").mapInArrow(_pair_keys, "key long"), power))
     ends = open_.select(F.col("a").alias("lead")).union(open_.select(F.col("b").alias("lead"))).distinct()
-    reopened = placed.join(ends, "lead", "left_semi").join(lists, "lead", "left").join(short, "key", "left").select("bucket", "key", "size", "entries", "lead", "d", "open", "n", "sketch").repartitionById(width, F.col("bucket"))
-    single = reopened.mapInArrow(_cluster_pairs(True), "a long, b long, slack long, least long").select("a", "b").distinct()
-    links = links.union(compare(scratch.Table(single, "opened").read()).filter(is_link).select("a", "b"))
-
-    clusters = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("key"), F.col("component_id").alias("cluster"))
-    grouped = sets_of.join(clusters, "key", "left").withColumn("cluster", F.when(F.col("n") > 0, F.coalesce("cluster", "key")))
-    grouped = scratch.Table(grouped, "grouped").read()
-    smallest = grouped.filter("cluster is not null and doc_id is not null").groupBy("cluster").agg(F.min("doc_id").alias("component_id"))
-    return grouped.join(smallest, "cluster", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    reopened = placed.join(ends, "lead", "left_semi").join(short, "key", "left").select(columns).mapInArrow(_lists(True), _LISTS)
+    single = scratch.dealt(reopened, buckets).mapInArrow(_cluster_pairs(pairs), _PAIRS)
+    single = single.join(open_.select(F.col("a").alias("la"), F.col("b").alias("lb")), ["la", "lb"], "left_semi").select("a", "b").distinct()
+    links = links.union(compare(work.table(single, "opened")).filter(is_link).select("a", "b"))
+
+    # one row per set until the end: a set's smallest id, its group's, and back
+    sets = work.table(known.filter("counts is null and n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "sets")
+    clusters = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), work).select(F.col("node").alias("key"), F.col("component_id").alias("cluster"))
+    grouped = work.table(sets.join(clusters, "key", "left").select("key", "doc_id", F.coalesce("cluster", "key").alias("group_key")), "grouped")
+    smallest = work.table(grouped.groupBy("group_key").agg(F.min("doc_id").alias("component_id")), "smallest-ids")
+    return grouped.join(smallest, "group_key").select("key", "group_key", "component_id")

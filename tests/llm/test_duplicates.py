@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from tapeloom.llm import components, jaccard, polytope, repeats
+from tapeloom.llm import components, jaccard, polytope, repeats, scratch
 
 
 def _roots(nodes, links):
@@ -27,7 +27,7 @@ def _roots(nodes, links):
 def test_components(spark, shape):
     r = random.Random(3)
     links = {"path": [(k, k + 1) for k in range(300)], "star": [(0, k) for k in range(1, 200)], "random": [(r.randrange(400), r.randrange(400)) for _ in range(300)]}[shape]
-    got = components.components(spark.createDataFrame(links, "u long, v long").repartition(7)).collect()
+    got = components.components(spark.createDataFrame(links, "u long, v long").repartition(7), scratch.Work()).collect()
     want = _roots({x for e in links for x in e}, links)
     want = {k: v for k, v in want.items() if any(k in e and e[0] != e[1] for e in links)}
     assert {x["node"]: x["component_id"] for x in got} == want and len(got) == len(want)
@@ -51,6 +51,9 @@ def _brute(rows):
     return sorted(((i, len(s), root.get(i)) for (i, _), s in zip(rows, sets, strict=True)), key=str)
 
 
+CONTRACT = ("doc_id", "n_shingles", "component_id")
+
+
 def _near(seed, groups=12, copies=14):
     """Groups of edited copies, sharing passages across groups, and chains whose ends are far apart."""
     r = random.Random(seed)
@@ -71,10 +74,13 @@ def _near(seed, groups=12, copies=14):
 
 
 @pytest.mark.parametrize("seed", range(2))
-def test_jaccard_join_is_exact(spark, seed):
+def test_jaccard_join_is_exact(spark, monkeypatch, seed):
+    """The second time with more buckets than tasks."""
+    if seed:
+        monkeypatch.setattr(scratch, "BUCKET_BYTES", 5000)
     rows = _near(seed)
     got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
-    assert sorted(map(tuple, got.collect()), key=str) == _brute(rows)
+    assert sorted(map(tuple, got.select(*CONTRACT).collect()), key=str) == _brute(rows)
 
 
 def test_jaccard_join_opens_clusters_of_subsets(spark):
@@ -89,12 +95,12 @@ def test_jaccard_join_opens_clusters_of_subsets(spark):
     r.shuffle(rows)
     rows = list(enumerate(rows))
     got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
-    assert sorted(map(tuple, got.collect()), key=str) == _brute(rows)
+    assert sorted(map(tuple, got.select(*CONTRACT).collect()), key=str) == _brute(rows)
 
 
 def test_jaccard_odd_rows(odd, none):
     rows = [tuple(x) for x in odd.select("doc_id", "text").collect()]
-    assert sorted(map(tuple, jaccard.join(odd).collect()), key=str) == _brute(rows)
+    assert sorted(map(tuple, jaccard.join(odd).select(*CONTRACT).collect()), key=str) == _brute(rows)
     assert jaccard.join(none).count() == 0
 
 
@@ -131,8 +137,13 @@ def _passages(seed):
     return [*texts, texts[3], texts[3], None, "", "x" * 1500, "ab" * 500, "x" * 399, "y" * 400, "y" * 400, texts[7][:450], texts[7][1:500]]
 
 
-@pytest.mark.parametrize("length", [400, 120])
-def test_repeats_equal_brute_force(spark, length):
+@pytest.mark.parametrize(("length", "small"), [(400, False), (120, False), (120, True)])
+def test_repeats_equal_brute_force(spark, monkeypatch, length, small):
+    """Also with more buckets than tasks, and with groups larger than a block."""
+    if small:
+        monkeypatch.setattr(scratch, "BUCKET_BYTES", 3000)
+        monkeypatch.setattr(repeats, "BLOCK", 7)
+        monkeypatch.setattr(repeats, "HELD", 50)
     texts = _passages(length)
     got = repeats.remove(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5), length).collect()
     assert {x["doc_id"]: tuple(x)[1:5] for x in got} == dict(enumerate(_removed(texts, length)))
