@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeloom.llm import bpe_stream, decontaminate, jaccard, ordinal, repeats, scratch
@@ -20,10 +20,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(_: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of linked documents, that of the smallest id; rows without an id stay."""
-    found = jaccard.join(docs)
-    keep = found.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    """One row of each group of linked documents: that of the smallest id, then of the smallest text hash.
+
+    Rows without an id or without words link with nothing and stay. Of rows that carry one id but texts that do not
+    link, each group keeps its own. Of rows of a group that share id and text one stays: that whose other columns have
+    the smallest hash.
+    """
+    found = jaccard.join(docs).filter("group_key is not null and doc_id is not null")
+    first = found.groupBy("group_key").agg(F.min(F.struct("doc_id", "row_key")).alias("x")).select(F.col("x.doc_id").alias("own_id"), F.col("x.row_key").alias("own_key"))
+    first = scratch.Table(first, "first-rows").read()
+    row = F.struct(*(F.col(c) for c in docs.columns)).alias("row")  # other columns may have any name
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"), F.xxhash64(*docs.columns).alias("tie"), F.col("text").rlike(r"[^ \t-\r]").alias("worded"), row)
+    linkable = F.col("id").isNotNull() & F.coalesce("worded", F.lit(False))
+    same = rows.filter(linkable).join(first, (F.col("id") == F.col("own_id")) & (F.col("key") == F.col("own_key")), "left_semi")
+    one = same.withColumn("place", F.row_number().over(Window.partitionBy("id", "key").orderBy("tie"))).filter("place = 1")
+    return one.select("row.*").union(rows.filter(~linkable).select("row.*"))
 
 
 def passages(_: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
