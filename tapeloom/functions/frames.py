@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -36,8 +36,29 @@ def back(x: Column | str, n: int = 1) -> Column:
     return F.lag(F.col(x) if isinstance(x, str) else x, n).over(own())
 
 
+def with_totals(df: DataFrame, *columns: str) -> DataFrame:
+    """Running sum `_s_x` and count `_n_x` of each column, which mean() reads.
+
+    A moving frame costs its length for every row, a difference of running sums the same for any length. Sums of prices
+    in whole ticks are exact; of other doubles, a mean carries the rounding of the sum from a ticker's first bar on.
+    """
+    every = own().rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumns({k: f(x).over(every) for x in columns for k, f in ((f"_s_{x}", F.sum), (f"_n_{x}", F.count))})
+
+
+def mean(x: str, n: int, gap: int = 0) -> Column:
+    """Mean of the n bars that end gap bars ago, null until there are n values."""
+
+    def at(name: str, bars: int) -> Column:
+        return F.coalesce(F.lag(name, bars).over(own()) if bars else F.col(name), F.lit(0))
+
+    values = at(f"_n_{x}", gap) - at(f"_n_{x}", gap + n)
+    return F.when(values == n, (at(f"_s_{x}", gap) - at(f"_s_{x}", gap + n)) / n)
+
+
 def percentile_rank(x: str, *by: str) -> Column:
-    """Rank over the non-null values as a share of their number, ties at their mean rank."""
+    """Rank over the non-null values as a share of their number, ties at their mean rank; one sort serves all of it."""
     group = Window.partitionBy(*by)
-    ties = F.count("*").over(Window.partitionBy(*by, x))
-    return F.when(F.col(x).isNotNull(), (F.rank().over(group.orderBy(F.col(x).asc_nulls_last())) + (ties - 1) / 2) / F.count(x).over(group))
+    order = group.orderBy(F.col(x).asc_nulls_last())
+    ties = F.count("*").over(order.rangeBetween(Window.currentRow, Window.currentRow))
+    return F.when(F.col(x).isNotNull(), (F.rank().over(order) + (ties - 1) / 2) / F.count(x).over(group))

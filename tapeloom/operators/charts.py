@@ -1,11 +1,10 @@
-"""Chart patterns over the last 120 bars, and what the board says of a candidate."""
+"""Chart patterns over the last 120 bars."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom import config
 from tapeloom.operators.structures import _tail, swings
 
 KEY = ["market", "ticker"]
@@ -80,34 +79,3 @@ def chart_patterns(bars: DataFrame) -> DataFrame:
     tight = high_tight_flag(bars)
     flags = bull_flag(bars).join(tight.select(*KEY), KEY, "left_anti")
     return cup_and_handle(bars).unionByName(tight).unionByName(flags).unionByName(ascending_triangle(bars)).unionByName(head_and_shoulders(bars))
-
-
-def dossier(x: DataFrame) -> DataFrame:
-    """Newest feature rows with pivot, depths, dry_up, vcp, r1, r0, hi40, accumulation, distribution, depth75: extension, bucket, quality, readiness, targets and warnings."""
-    c, pivot = F.col("c"), F.when(F.col("c") >= 0.8 * F.col("pivot"), F.col("pivot"))
-    x = x.withColumn("pv", pivot)
-    last = F.get("depths", F.size("depths") - 1)
-    clamp = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
-    from_pivot = c / F.col("pv") - 1
-    extended = F.coalesce(F.round(from_pivot * 100, 1) > 5, F.lit(False)) | (F.round((c / F.col("ma50") - 1) * 100, 1) > 25)
-    near = F.coalesce(from_pivot.between(-config.BUY_BELOW, config.BUY_ABOVE), F.lit(False))
-    x = x.withColumns({"extended": F.coalesce(extended, F.lit(False)), "from_pivot": from_pivot})
-    bucket = F.when(F.col("vcp"), F.when(near & ~F.col("extended"), "swing").otherwise("watchlist")).when(F.size("depths") >= 2, "watchlist").otherwise("position")
-    volume = F.when(F.col("vol50") > 0, F.when(F.col("dry_up"), 15.0).otherwise(0.0) + 15 * clamp(F.col("v") / F.col("vol50") - 1)).otherwise(0.0)
-    quality = 25 * clamp((35 - F.col("depth75")) / 20) + F.when(last.isNotNull(), 25 * clamp((12 - last) / 9)).otherwise(0.0) + volume + 20 * clamp(1 - (F.col("hi252") - F.coalesce("pv", "c")) / F.col("hi252") / 0.15)
-    tight = F.coalesce((F.col("r0") > 0) & (F.col("r1") < 0.6 * F.col("r0")) & (c >= F.col("hi40") * 0.9), F.lit(False))
-    dist = (F.col("pv") - c) / F.col("pv")
-    ready = F.when((F.size("depths") >= 2) & (c < F.col("pv")) & (dist <= 0.06), 30 * (1 - dist / 0.06) + 30 * clamp((12 - last) / 12) + F.when(F.col("dry_up"), 20).otherwise(0) + F.when(tight, 20).otherwise(0))
-    stop = F.greatest(F.col("low10"), F.coalesce("pv", "c") * 0.92)
-    entry = F.coalesce("pv", "c")
-    stop = F.when(stop >= entry, entry * 0.92).otherwise(stop)
-    warn = F.concat_ws(",", F.when(c < F.col("ma50"), "below_50ma"), F.when((F.col("best9") >= F.col("pv")) & (c < F.col("pv") * 0.99), "failed_breakout"), F.when(F.col("distribution") >= F.col("accumulation") + 3, "distribution"), F.when(c / F.col("c10") - 1 >= 0.25, "climax_run"))
-    return x.withColumns({"bucket": bucket, "quality": F.greatest(F.lit(0.0), F.least(F.lit(100.0), quality)), "ready": ready, "entry": entry, "stop": stop, "target2r": entry + 2 * (entry - stop), "target3r": entry + 3 * (entry - stop), "warnings": warn})
-
-
-def position_size(x: DataFrame, equity: float, risk: float = config.RISK, most: float = config.MAX_POSITION) -> DataFrame:
-    """Shares of entry and stop columns, in whole lots of the market, at risk of equity and at most a quarter of it; 0 where risk is not positive."""
-    lot = F.when(F.col("market") == "MY", config.MARKETS["MY"]["lot"]).otherwise(config.MARKETS["US"]["lot"])
-    per = F.col("entry") - F.col("stop")
-    n = F.least(F.floor(F.try_divide(F.lit(equity * risk), per)), F.floor(F.try_divide(F.lit(equity * most), F.col("entry"))))
-    return x.withColumn("shares", F.when(per > 0, F.floor(n / lot) * lot).otherwise(0).cast("long"))

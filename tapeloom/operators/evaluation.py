@@ -21,7 +21,11 @@ def grade(signals: DataFrame, bars: DataFrame) -> DataFrame:
     """
     b = numbered(bars)
     at = signals.join(b.select("market", "ticker", "d", F.col("k").alias("k0")), ["market", "ticker", "d"])
-    after = at.join(b.select("market", "ticker", "k", "h", "l", "c"), ["market", "ticker"]).filter((F.col("k") > F.col("k0")) & (F.col("k") <= F.col("k0") + config.TRIGGER_WINDOW + config.EVAL_WINDOW)).withColumn("i", F.col("k") - F.col("k0") - 1)
+    # bars are dealt to stretches as long as a signal lives, so a signal meets two stretches, not all bars of its ticker
+    life = config.TRIGGER_WINDOW + config.EVAL_WINDOW
+    stretch = F.floor(F.col("k") / life).alias("stretch")
+    at = at.withColumn("stretch", F.explode(F.array_distinct(F.array(F.floor((F.col("k0") + 1) / life), F.floor((F.col("k0") + life) / life)))))
+    after = at.join(b.select("market", "ticker", "k", "h", "l", "c", stretch), ["market", "ticker", "stretch"]).filter((F.col("k") > F.col("k0")) & (F.col("k") <= F.col("k0") + life)).withColumn("i", F.col("k") - F.col("k0") - 1)
     key = ["market", "ticker", "d", "kind"]
     hit = F.min(F.when((F.col("i") < config.TRIGGER_WINDOW) & (F.col("h") >= F.col("trigger")), F.col("i"))).over(Window.partitionBy(*key))
     tail = after.withColumn("t", hit).filter((F.col("i") >= F.col("t")) & (F.col("i") < F.col("t") + config.EVAL_WINDOW))
@@ -46,11 +50,20 @@ def forward_returns(rows: DataFrame, bars: DataFrame, sessions: int = config.FOR
     return x.select("row.*", ((F.col("next.c1") / F.col("next.c") - 1) * 100).alias("fwd"))
 
 
-def buckets(rows: DataFrame, factor: str, n: int = config.BUCKETS) -> DataFrame:
-    """Equal-count buckets 1..n of a factor by market; ties go by ticker and day."""
-    w = Window.partitionBy("market")
-    k, size = F.row_number().over(w.orderBy(factor, "ticker", "d")), F.count("*").over(w)
-    return rows.filter(F.col(factor).isNotNull()).withColumn("_k", k).withColumn("_n", size).filter("_n > 1").withColumn("bucket", F.expr(f"greatest(1, ((_k - 1) * {n} + _n - 2) div (_n - 1))").cast("int")).drop("_k", "_n")
+def buckets(rows: DataFrame, factor: str, n: int = config.BUCKETS, ranges: int = 200) -> DataFrame:
+    """Equal-count buckets 1..n of a factor by market; ties go by ticker and day; rows without a factor go.
+
+    Rows are ordered in value ranges (approximate percentiles of the market) whose counts add up to exact places, so
+    no market is sorted in one task; only rows of one and the same value share a range of necessity.
+    """
+    x = rows.filter(F.col(factor).isNotNull())
+    cuts = x.groupBy("market").agg(F.percentile_approx(factor, [k / ranges for k in range(1, ranges)], 10_000).alias("_cuts"), F.count("*").alias("_n"))
+    x = x.join(F.broadcast(cuts), "market").withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(factor)))).drop("_cuts")
+    sizes = x.groupBy("market", "_range").agg(F.count("*").alias("_size"))  # at most so many rows a market
+    before = sizes.select("market", "_range", (F.sum("_size").over(Window.partitionBy("market").orderBy("_range")) - F.col("_size")).alias("_before"))
+    w = Window.partitionBy("market", "_range").orderBy(factor, "ticker", "d")
+    x = x.join(F.broadcast(before), ["market", "_range"]).withColumn("_k", F.row_number().over(w) + F.col("_before")).filter("_n > 1")
+    return x.withColumn("bucket", F.expr(f"greatest(1, ((_k - 1) * {n} + _n - 2) div (_n - 1))").cast("int")).drop("_k", "_n", "_range", "_before")
 
 
 def factor_table(rows: DataFrame) -> DataFrame:

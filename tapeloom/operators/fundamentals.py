@@ -79,6 +79,73 @@ def quarter_grid(series: DataFrame, slots: int = 12, step: int = 91, snap: int =
     return grid.select("ticker", "slot", F.date_from_unix_date("x.e").alias("q_end"), F.col("x.val").alias("val"))
 
 
+def complete(quarters: DataFrame, least: int = 5) -> DataFrame:
+    """Quarters (ticker, q_end, ...) of tickers that have least dated ones: with fewer there is no year to compare with."""
+    dated = quarters.filter("q_end is not null")
+    n = dated.groupBy("ticker").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least)
+    return dated.join(n.select("ticker"), "ticker", "left_semi")
+
+
+def from_filed(revenue: DataFrame, income: DataFrame, eps: DataFrame, least: int = 5) -> DataFrame:
+    """Quarters (ticker, slot, q_end, revenue, net_income, eps) on the walked grid of the periods that have both revenue and income; tickers with fewer than least such periods, or series of fewer, have none.
+
+    Series: ticker, end, val. A slot without a filing keeps its label with nulls: what is compared by position must be
+    consecutive quarters. eps is null where it was not filed.
+    """
+
+    def enough(x: DataFrame) -> DataFrame:
+        return x.groupBy("ticker").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("ticker")
+
+    both = revenue.select("ticker", "end").join(income.select("ticker", "end"), ["ticker", "end"])
+    for x in (revenue, income, both):
+        both = both.join(enough(x), "ticker", "left_semi")
+    grid = quarter_grid(both.withColumn("val", F.lit(1.0)))
+    slots = grid.withColumn("end", F.when(F.col("val").isNotNull(), F.col("q_end"))).drop("val")
+    for name, x in (("revenue", revenue), ("net_income", income), ("eps", eps)):
+        slots = slots.join(x.select("ticker", "end", F.col("val").alias(name)), ["ticker", "end"], "left")
+    return slots.select("ticker", "slot", "q_end", "revenue", "net_income", "eps")
+
+
+def trailing_roe(income: DataFrame, equity: DataFrame) -> DataFrame:
+    """ticker, roe: the last four quarters' income over the newest equity, in per cent; null with fewer than four or an equity that is not positive."""
+    w = Window.partitionBy("ticker").orderBy(F.desc("end"))
+    last = income.withColumn("_r", F.row_number().over(w)).filter("_r <= 4").groupBy("ticker").agg(F.sum("val").alias("_sum"), F.count("*").alias("_n"))
+    x = last.join(equity.select("ticker", F.col("val").alias("_equity")), "ticker", "left")
+    return x.select("ticker", F.when((F.col("_n") >= 4) & (F.col("_equity") > 0), F.round(F.col("_sum") / F.col("_equity") * 100, 1)).alias("roe"))
+
+
+def graded(growths: DataFrame, roe: DataFrame, registered: DataFrame) -> DataFrame:
+    """grade of every registered ticker, or the reason why it is withheld: too few quarters, or too few known boxes.
+
+    A margin beyond 100 % either way measures one-off items: its change is not graded.
+    """
+    odd = F.abs(F.col("margin")) > 100
+    x = growths.withColumn("margin_delta", F.when(~F.coalesce(odd, F.lit(False)), F.col("margin_delta"))).join(roe, "ticker", "left")
+    x = registered.select("ticker").distinct().join(scorecard(x), "ticker", "left")
+    why = F.when(F.col("quarter_end").isNull(), "too few quarters with both revenue and income").when(F.col("grade").isNull(), "too few gradeable measures")
+    return x.select("ticker", "quarter_end", "roe", "grade", why.alias("withheld"))
+
+
+def annual_roe(quarters: DataFrame) -> DataFrame:
+    """ticker, roe: four times the newest quarterly figure (ticker, q_end, roe) that is known."""
+    known = quarters.filter("roe is not null").groupBy("ticker").agg(F.max_by("roe", "q_end").alias("_roe"))
+    return known.select("ticker", F.round(F.col("_roe") * 4, 1).alias("roe"))
+
+
+def shareholding(events: DataFrame, as_of: str, days: int = 90, top: int = 5) -> DataFrame:
+    """Per ticker of events (ticker, name, kind, shares, d): shares acquired and disposed of in the last days, the net, and the top holders by net movement, the largest first.
+
+    A kind that begins with `acquir` adds, any other takes; nulls count as no shares. Of equal movements the name decides.
+    """
+    x = events.filter(F.col("d") >= F.date_sub(F.lit(as_of).cast("date"), days))
+    signed = F.coalesce("shares", F.lit(0)) * F.when(F.lower(F.trim("kind")).startswith("acquir"), 1).otherwise(-1)
+    per = x.withColumn("_s", signed).groupBy("ticker", "name").agg(F.sum("_s").alias("net"), F.sum(F.greatest("_s", F.lit(0))).alias("up"), F.sum(F.greatest(-F.col("_s"), F.lit(0))).alias("down"))
+    place = F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc(F.abs("net")), "name"))
+    placed = per.withColumn("place", place)
+    held = F.array_sort(F.collect_list(F.when(F.col("place") <= top, F.struct("place", "name", "net"))))
+    return placed.groupBy("ticker").agg(F.sum("up").alias("acquired"), F.sum("down").alias("disposed"), F.sum("net").alias("net"), F.transform(held, lambda h: h["name"]).alias("holders"))
+
+
 def number(text: Column) -> Column:
     """Numbers as pages print them: separators, per cent, currency, k/m/b/t, brackets for negative; null where there is none."""
     t = F.lower(F.trim(text))

@@ -23,14 +23,56 @@ def distribution(index: DataFrame, window: int = 25) -> DataFrame:
     return x.withColumn("dist_days", F.when((F.col("_n") >= window) & (F.col("_v") > 0), F.size(F.filter("_drops", lambda y: F.col("c") < y * 1.05))))
 
 
+def indices(bars: DataFrame) -> DataFrame:
+    """Two stand-in indices a market, as the panel has no index instruments: the mean close of all its tickers, and of those with an even industry digit.
+
+    v is the number of tickers, as meaningless as a fund's own turnover: see regime_frame.
+    """
+    some = F.substring("ticker", 7, 1).cast("int") % 2 == 0
+    each = bars.select("market", "d", "c", F.explode(F.array(F.lit("IX.ALL"), F.when(some, "IX.EVEN"))).alias("ticker")).filter("ticker is not null")
+    return each.groupBy("market", "ticker", "d").agg((F.sum("c") / F.count("c")).alias("c"), F.count("*").cast("double").alias("v"))
+
+
+def regime_frame(index: DataFrame, bars: DataFrame) -> DataFrame:
+    """Index prices with the whole market's volume, carried on over days on which nothing traded; 0 before the first."""
+    total = bars.groupBy("market", "d").agg(F.sum("v").alias("_v"))
+    w = Window.partitionBy("market", "ticker").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
+    x = index.drop("v").join(total, ["market", "d"], "left")
+    return x.withColumn("v", F.coalesce(F.last("_v", ignorenulls=True).over(w), F.lit(0.0))).drop("_v")
+
+
+def recent_follow_through(index: DataFrame, lookback: int = 40) -> DataFrame:
+    """Index bars with recent_ft: whether, as of that day, the first follow-through day of the lookback is one of the last five bars (see follow_through)."""
+    w = Window.partitionBy("market", "ticker").orderBy("d").rowsBetween(1 - lookback, 0)
+    x = index.withColumns({"_c": F.collect_list("c").over(w), "_v": F.collect_list("v").over(w)})
+    n, low = F.size("_c"), F.array_min("_c")
+    at = (F.array_position("_c", low) - 1).cast("int")
+
+    def rises(i):
+        return (F.get("_c", i) / F.get("_c", i - 1) - 1 >= 0.015) & (F.get("_v", i) > F.get("_v", i - 1)) & (F.get("_v", i - 1) > 0)
+
+    days = F.when(at + 3 < n, F.filter(F.sequence(at + 3, n - 1), rises))
+    fallen = (at >= 5) & (low <= F.array_max(F.slice("_c", 1, F.greatest(at, F.lit(0)))) * 0.94)
+    return x.withColumn("recent_ft", F.coalesce(fallen & (F.get(days, F.lit(0)) >= n - 5), F.lit(False))).drop("_c", "_v")
+
+
 def regime(index: DataFrame) -> DataFrame:
-    """Light of each day from the 50- and 200-day means, lowered a step by six distribution days or more; null before 200 bars. Only bars up to the day count."""
+    """Light of each market and day from all its indices: market, d, light, risk_pct, dist_days (the most of any), recent_ft.
+
+    Green if every index closes above its 50- and 200-day means, yellow if half of these tests hold, else red. Six
+    distribution days or more in any index lower it a step; without them a recent follow-through day lifts red to
+    yellow. An index counts from its 200th bar; only bars up to the day count.
+    """
     w = Window.partitionBy("market", "ticker").orderBy("d")
-    x = distribution(index).withColumns({"ma50": F.avg("c").over(w.rowsBetween(-49, 0)), "ma200": F.avg("c").over(w.rowsBetween(-199, 0)), "_k": F.row_number().over(w)})
-    score = (F.col("c") > F.col("ma50")).cast("int") + (F.col("c") > F.col("ma200")).cast("int")
-    light = F.when(score == 2, 2).when(score == 1, 1).otherwise(0)
-    lowered = F.greatest(F.lit(0), light - F.when(F.coalesce("dist_days", F.lit(0)) >= 6, 1).otherwise(0))
-    return x.filter("_k >= 200").withColumn("light", F.element_at(F.array(F.lit("red"), F.lit("yellow"), F.lit("green")), lowered + 1)).withColumn("risk_pct", F.when(F.col("light") == "green", 1.0).when(F.col("light") == "yellow", 0.5).otherwise(0.0))
+    x = recent_follow_through(distribution(index)).withColumns({"_50": F.avg("c").over(w.rowsBetween(-49, 0)), "_200": F.avg("c").over(w.rowsBetween(-199, 0)), "_k": F.row_number().over(w)})
+    above = (F.col("c") > F.col("_50")).cast("int") + (F.col("c") > F.col("_200")).cast("int")
+    day = x.filter("_k >= 200").groupBy("market", "d").agg(F.sum(above).alias("_score"), (2 * F.count("*")).alias("_checks"), F.max(F.coalesce("dist_days", F.lit(0))).alias("dist_days"), F.bool_or("recent_ft").alias("recent_ft"))
+    light = F.when(F.col("_score") == F.col("_checks"), 2).when(2 * F.col("_score") >= F.col("_checks"), 1).otherwise(0)
+    heavy = F.col("dist_days") >= 6
+    step = F.when(heavy, F.greatest(F.lit(0), light - 1)).when((light == 0) & F.col("recent_ft"), 1).otherwise(light)
+    out = day.withColumn("light", F.element_at(F.array(F.lit("red"), F.lit("yellow"), F.lit("green")), step + 1))
+    risk = F.when(F.col("light") == "green", 1.0).when(F.col("light") == "yellow", 0.5).otherwise(0.0)
+    return out.withColumn("risk_pct", risk).select("market", "d", "light", "risk_pct", "dist_days", "recent_ft")
 
 
 def follow_through(index: DataFrame, lookback: int = 40) -> DataFrame:
@@ -57,8 +99,24 @@ def breadth(newest: DataFrame) -> DataFrame:
     )
 
 
-def rotation(groups: DataFrame) -> DataFrame:
-    """Quadrant of each group by its momentum less the market's (short, long), and its place in the market."""
-    x = groups.withColumns({"rel_long": F.col("long") - F.col("market_long"), "rel_short": F.col("short") - F.col("market_short")})
-    q = F.when((F.col("rel_long") >= 0) & (F.col("rel_short") >= 0), "leading").when(F.col("rel_long") >= 0, "weakening").when(F.col("rel_short") >= 0, "improving").otherwise("lagging")
-    return x.withColumn("quadrant", q).withColumn("place", F.row_number().over(Window.partitionBy("market").orderBy(F.desc("rel_long"), "industry")))
+def group_bars(bars: DataFrame) -> DataFrame:
+    """Each industry's mean close and volume by day, as bars of one ticker (the industry) that stand in for sector funds; bars: with a column industry."""
+    g = bars.groupBy("market", F.col("industry").alias("ticker"), "d")
+    return g.agg(*((F.sum(x) / F.count(x)).alias(x) for x in ("o", "h", "l", "c")), F.sum("v").alias("v"))
+
+
+def rotation(groups: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Groups (newest feature rows) against the market's benchmark (one such row a market): momentum over 21 and 63 bars, the same less the benchmark's, quadrant, direction, place.
+
+    Groups of fewer than 260 bars or without a momentum have no row; a benchmark without one counts as 0. Places are by
+    raw momentum, ties by name. A group rotates in when its short relative momentum is above the long one and positive,
+    out when below and negative.
+    """
+    short, long = F.col("c") / F.col("c21") - 1, F.col("c") / F.col("c63") - 1
+    base = benchmark.select("market", F.coalesce(short, F.lit(0.0)).alias("_short"), F.coalesce(long, F.lit(0.0)).alias("_long"))
+    x = groups.filter("k >= 260 and rs_raw is not null and c21 is not null and c63 is not null").join(base, "market")
+    x = x.withColumns({"short": short, "long": long, "rel_short": short - F.col("_short"), "rel_long": long - F.col("_long")})
+    s, g = F.col("rel_short"), F.col("rel_long")
+    quadrant = F.when((g >= 0) & (s >= 0), "leading").when(g >= 0, "weakening").when(s >= 0, "improving").otherwise("lagging")
+    place = F.row_number().over(Window.partitionBy("market").orderBy(F.desc("rs_raw"), "ticker"))
+    return x.withColumns({"quadrant": quadrant, "rotating_in": (s > g) & (s > 0), "rotating_out": (s < g) & (s < 0), "place": place})

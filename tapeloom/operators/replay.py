@@ -28,7 +28,10 @@ def candidates(features: DataFrame, max_hold: int = config.MAX_HOLD, stop_pct: f
     x = features.select("market", "ticker", "s", "o", "l", "c", "ma50", "signal", F.row_number().over(own).alias("k"), F.lag("s").over(own).alias("_s"), F.lag("signal").over(own).alias("_was"))
     fill = F.col("o") * (1 + slip)
     entries = x.filter((F.col("_s") == F.col("s") - 1) & F.col("_was") & (F.col("o") > 0)).select("market", "ticker", F.col("s").alias("entry_s"), F.col("k").alias("k0"), fill.alias("entry"), (fill * (1 - stop_pct)).alias("stop"), F.coalesce(F.col("o") >= F.col("ma50"), F.lit(False)).alias("armed0"), F.col("l").alias("l0"))
-    path = entries.join(x.select("market", "ticker", F.col("s").alias("s1"), "k", "o", "l", "c", "ma50"), ["market", "ticker"]).filter((F.col("k") > F.col("k0")) & (F.col("k") <= F.col("k0") + max_hold))
+    # bars are dealt to stretches of a trade's longest life: a trade meets two of them
+    stretches = entries.withColumn("stretch", F.explode(F.array_distinct(F.array(F.floor((F.col("k0") + 1) / max_hold), F.floor((F.col("k0") + max_hold) / max_hold)))))
+    later = x.select("market", "ticker", F.col("s").alias("s1"), "k", "o", "l", "c", "ma50", F.floor(F.col("k") / max_hold).alias("stretch"))
+    path = stretches.join(later, ["market", "ticker", "stretch"]).filter((F.col("k") > F.col("k0")) & (F.col("k") <= F.col("k0") + max_hold))
     w = Window.partitionBy("market", "ticker", "k0").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     armed = F.col("armed0") | F.coalesce(F.max(F.col("c") >= F.col("ma50")).over(w), F.lit(False))
     held = F.col("k") - F.col("k0")
@@ -46,9 +49,14 @@ def candidates(features: DataFrame, max_hold: int = config.MAX_HOLD, stop_pct: f
 
 
 def admit(cands: pd.DataFrame, closes: pd.DataFrame, risk: float, slots: int, start: float, most: float) -> tuple[list[tuple], list[tuple]]:
-    """Trades taken and the equity after each session of one market: exits, then entries in ticker order, then the mark."""
+    """Trades taken and the equity after each session of one market: exits, then entries in ticker order, then the mark.
+
+    closes: the closes that a candidate trade may be marked at, and a row without ticker for the first and last session.
+    """
     if closes.empty:
         return [], []
+    sessions = closes.loc[closes["ticker"].isna(), "s"]
+    first, last = int(sessions.min()), int(sessions.max())
     market = closes["market"].iloc[0]
     cost = config.MARKETS[market]
     price = {t: dict(zip(g["s"].tolist(), g["c"].tolist(), strict=True)) for t, g in closes.groupby("ticker")}
@@ -66,8 +74,7 @@ def admit(cands: pd.DataFrame, closes: pd.DataFrame, risk: float, slots: int, st
         cash += p["shares"] * out - fee
         trades.append((market, t, p["entry_s"], s, p["entry"], out, p["stop"], p["shares"], (out - p["entry"]) / (p["entry"] - p["stop"]), held, reason, fee))
 
-    sessions = sorted(set(closes["s"].tolist()))
-    for s in range(sessions[0] + 1, sessions[-1] + 1):
+    for s in range(first + 1, last + 1):
         for t in [t for t, p in open_.items() if p["exit_s"] == s]:
             close(t, open_[t]["px"], s, open_[t]["held"], open_[t]["reason"])
         for x in by.get(s, []):
@@ -87,16 +94,26 @@ def admit(cands: pd.DataFrame, closes: pd.DataFrame, risk: float, slots: int, st
         equity = cash + sum(p["shares"] * price[t].get(s, p["entry"]) for t, p in open_.items())
         curve.append((market, s, equity))
     for t in list(open_):
-        last = sessions[-1]
         held = sum(1 for s in order[t] if s > open_[t]["entry_s"])
         close(t, price[t].get(last, open_[t]["entry"]), last, held, "end_of_data")
     return trades, curve
 
 
 def replay(features: DataFrame, risk: float = config.RISK, slots: int = config.SLOTS, start: float = config.START, most: float = config.MAX_POSITION, equity: bool = False) -> DataFrame:
-    """Trades (or, with equity, the curve) of an independent portfolio per market. risk is a fraction of equity."""
-    closes = features.select("market", "ticker", F.col("s").cast("long").alias("entry_s"), F.col("c").alias("entry"))
-    both = candidates(features).withColumn("entry_s", F.col("entry_s").cast("long")).withColumn("exit_s", F.col("exit_s").cast("long")).withColumn("is_close", F.lit(False)).unionByName(closes.withColumn("is_close", F.lit(True)), allowMissingColumns=True)
+    """Trades (or, with equity, the curve) of an independent portfolio per market. risk is a fraction of equity.
+
+    Admission is sequential by nature: a market's candidate trades and the closes inside them go to one task, its other
+    bars do not.
+    """
+    key = ["market", "ticker"]
+    cands = candidates(features).withColumns({"entry_s": F.col("entry_s").cast("long"), "exit_s": F.col("exit_s").cast("long")})
+    # of the bars only those between entry and exit of some candidate are ever asked for
+    ends = cands.groupBy(*key, F.col("entry_s").alias("s")).agg(F.max(F.coalesce("exit_s", F.lit(1 << 62))).alias("_end"))
+    marks = features.select(*key, F.col("s").cast("long").alias("s"), "c").join(ends, [*key, "s"], "left")
+    until = F.max("_end").over(Window.partitionBy(*key).orderBy("s").rowsBetween(Window.unboundedPreceding, 0))
+    marks = marks.withColumn("_until", until).filter(F.col("_until") >= F.col("s")).select(*key, F.col("s").alias("entry_s"), F.col("c").alias("entry"))
+    edges = features.groupBy("market").agg(F.array(F.min("s").cast("long"), F.max("s").cast("long")).alias("s")).select("market", F.lit(None).cast("string").alias("ticker"), F.explode("s").alias("entry_s"), F.lit(None).cast("double").alias("entry"))
+    both = cands.withColumn("is_close", F.lit(False)).unionByName(marks.union(edges).withColumn("is_close", F.lit(True)), allowMissingColumns=True)
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
         prices = x[x["is_close"]].rename(columns={"entry_s": "s", "entry": "c"})
@@ -131,10 +148,19 @@ def drawdown(curve: DataFrame) -> DataFrame:
     ).withColumns({"sharpe": F.col("_a") * math.sqrt(252), "sortino": F.col("_b") * math.sqrt(252)}).drop("_a", "_b")
 
 
+#: Trades under which a resampled spread says nothing, and the trades of a year.
+THIN, YEARLY = 20, 50
+
+
 def bootstrap(trades: DataFrame, risk: float = config.RISK, draws: int = 10_000, seed: int = 7) -> DataFrame:
-    """Per market: percentiles of final growth and worst fall over resampled trade orders; trades of a market are bounded by its slots and sessions."""
-    rs = trades.groupBy("market").agg(F.array_sort(F.collect_list("r")).alias("rs")).filter(F.size("rs") > 1)
-    work = rs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    """Per market: percentiles of the yearly growth and of the worst fall over resampled orders of its trades, in per cent, and how often the worst reaches 25 and 50 % and the account halves.
+
+    Markets of fewer than 20 trades are thin: no draws, nulls. A fall is from the highest point after a trade. The
+    trades of a market are bounded by its slots and sessions; draws are dealt to tasks in blocks.
+    """
+    rs = trades.filter("r is not null").groupBy("market").agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    sized = rs.select("market", F.size("rs").cast("long").alias("trades"), (F.size("rs") < THIN).alias("thin"))
+    work = rs.filter(F.size("rs") >= THIN).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(19))))
 
     def run(frames):
         import numpy as np
@@ -144,8 +170,13 @@ def bootstrap(trades: DataFrame, risk: float = config.RISK, draws: int = 10_000,
                 rng = np.random.default_rng([seed, int(x["block"])])
                 pick = rng.choice(np.asarray(x["rs"]), size=(draws // 20, len(x["rs"])))
                 path = np.cumprod(1 + risk * pick, axis=1)
-                peak = np.maximum.accumulate(np.concatenate([np.ones((len(path), 1)), path], axis=1), axis=1)[:, 1:]
-                yield pd.DataFrame({"market": x["market"], "growth": path[:, -1], "fall": (path / peak - 1).min(axis=1)})
-
-    drawn = work.mapInPandas(run, "market string, growth double, fall double")
-    return drawn.groupBy("market").agg(F.count("*").alias("draws"), *(F.percentile("growth", F.lit(p / 100)).alias(f"growth_p{p}") for p in (5, 50, 95)), F.percentile("fall", F.lit(0.05)).alias("fall_p5"), (F.count_if(F.col("fall") < -0.2) / F.count("*")).alias("fall_over_20"))
+                fall = (path / np.maximum.accumulate(path, axis=1) - 1).min(axis=1)
+                growth = np.maximum(path[:, -1], 0) ** (YEARLY / len(x["rs"])) - 1
+                yield pd.DataFrame({"market": x["market"], "final": path[:, -1], "growth": growth * 100, "fall": fall * 100})
+
+    drawn = work.mapInPandas(run, "market string, final double, growth double, fall double")
+    spread = [F.percentile(c, F.lit(p / 100)).alias(f"{c}_p{p}") for c in ("growth", "fall") for p in (5, 50, 95)]
+    often = {"fall_25": F.col("fall") <= -25, "fall_50": F.col("fall") <= -50, "halved": F.col("final") < 0.5}
+    shares = [(F.count_if(v) / F.count("*") * 100).alias(k) for k, v in often.items()]
+    found = drawn.groupBy("market").agg(F.count("*").alias("_draws"), *spread, *shares)
+    return sized.join(found, "market", "left").withColumn("draws", F.coalesce("_draws", F.lit(0))).drop("_draws")

@@ -9,23 +9,55 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tapeloom import config
+from tapeloom.functions.frames import percentile_rank
 
+# The strategies.
 STRATEGIES = ("breakout", "ma20_bounce", "ma50_bounce", "episodic_pivot", "pocket_pivot", "buyable_gap_up", "ma200_reclaim", "undercut_rally", "donchian", "darvas")
 
 
 def numbered(bars: DataFrame, least: float = 0.2) -> DataFrame:
-    """Bars on real sessions (a fifth of the market's tickers trade), with the session's number s in its market."""
-    tickers = bars.groupBy("market").agg(F.count_distinct("ticker").alias("tickers"))
-    days = bars.filter(F.col("c").isNotNull()).groupBy("market", "d").agg(F.count("*").alias("n")).join(F.broadcast(tickers), "market").filter(F.col("n") / F.col("tickers") >= least)
-    return bars.join(days.select("market", "d", F.row_number().over(Window.partitionBy("market").orderBy("d")).alias("s")), ["market", "d"])
+    """Bars on real sessions (a fifth of the market's tickers trade), with the session's number s in its market.
+
+    A ticker counts for its market from its first bar, so one pass counts sessions and tickers. Sessions are few (days
+    of the calendar, for each market) and therefore broadcast; the bars stay dealt by ticker, as every later window wants.
+    """
+    x = bars.withColumn("_first", (F.row_number().over(Window.partitionBy("market", "ticker").orderBy("d")) == 1).cast("int"))
+    days = x.groupBy("market", "d").agg(F.count("c").alias("n"), F.sum("_first").alias("tickers"))
+    days = days.withColumn("tickers", F.sum("tickers").over(Window.partitionBy("market"))).filter((F.col("n") > 0) & (F.col("n") / F.col("tickers") >= least))
+    days = days.select("market", "d", F.row_number().over(Window.partitionBy("market").orderBy("d")).alias("s"))
+    return x.drop("_first").join(F.broadcast(days), ["market", "d"])
+
+
+def _clock() -> WindowSpec:
+    return Window.partitionBy("market", "ticker").orderBy("s")
+
+
+def _with_totals(x: DataFrame, sums: list[str], counts: list[str]) -> DataFrame:
+    """Running sums `_s_x` and counts `_n_x`; see frames.with_totals for what that spares and how it rounds."""
+    every = _clock().rowsBetween(Window.unboundedPreceding, 0)
+    return x.withColumns({f"_s_{c}": F.sum(c).over(every) for c in sums} | {f"_n_{c}": F.count(c).over(every) for c in counts})
+
+
+def _until(name: str, n: int) -> Column:
+    """A running total as it stood n sessions ago, whether or not that session has a bar."""
+    return F.coalesce(F.last(name).over(_clock().rangeBetween(Window.unboundedPreceding, -n)) if n else F.col(name), F.lit(0))
+
+
+def _values(x: str, n: int, gap: int = 0) -> Column:
+    return _until(f"_n_{x}", gap) - _until(f"_n_{x}", gap + n)
+
+
+def _mean(x: str, n: int, gap: int = 0) -> Column:
+    """Mean of the n sessions that end gap sessions ago; null if one of them has no value."""
+    return F.when(_values(x, n, gap) == n, (_until(f"_s_{x}", gap) - _until(f"_s_{x}", gap + n)) / n)
 
 
 def _at(f: Callable, x: Column | str, first: int, last: int = 0) -> Column:
-    return f(F.col(x) if isinstance(x, str) else x).over(Window.partitionBy("market", "ticker").orderBy("s").rangeBetween(first, last))
+    return f(F.col(x) if isinstance(x, str) else x).over(_clock().rangeBetween(first, last))
 
 
 def _full(f: Callable, x: Column | str, n: int, gap: int = 0) -> Column:
@@ -44,26 +76,26 @@ def _times(flag: Column, n: int) -> Column:
 def session_features(bars: DataFrame) -> DataFrame:
     """Numbered bars with the shared windows, the daily momentum rank and the trend gate tt."""
     x = numbered(bars)
-    x = x.select(
-        "*",
-        *(_full(F.avg, "c", n).alias(f"ma{n}") for n in (10, 20, 50, 150, 200)),
-        F.when(_at(F.count, "h", -251) >= 126, _at(F.max, "h", -251)).alias("hi52"),
-        F.when(_at(F.count, "l", -251) >= 126, _at(F.min, "l", -251)).alias("lo52"),
-        _full(F.avg, "v", 50, 1).alias("vol50"),
+    x = _with_totals(x, ["c", "v"], ["c", "v", "h", "l"]).select(
+        *x.columns,
+        *(_mean("c", n).alias(f"ma{n}") for n in (10, 20, 50, 150, 200)),
+        F.when(_values("h", 252) >= 126, _at(F.max, "h", -251)).alias("hi52"),
+        F.when(_values("l", 252) >= 126, _at(F.min, "l", -251)).alias("lo52"),
+        _mean("v", 50, 1).alias("vol50"),
         *(_back("c", n).alias(f"c{n}") for n in (1, 63, 64, 126, 189, 252)),
         _back("h").alias("h1"),
-        _full(F.max, "h", 25, 1).alias("pivot"),
-        _full(F.max, "h", 25, 2).alias("pivot1"),
+        F.when(_values("h", 25, 1) == 25, _at(F.max, "h", -25, -1)).alias("pivot"),
+        F.when(_values("h", 25, 2) == 25, _at(F.max, "h", -26, -2)).alias("pivot1"),
     )
     legs = [(w, F.col(f"c{n}")) for w, n in config.LEGS]
     weight = reduce(lambda a, b: a + b, [F.when(v.isNotNull(), F.lit(w)).otherwise(F.lit(0.0)) for w, v in legs])
     total = reduce(lambda a, b: a + b, [F.when(v.isNotNull(), F.lit(w) * (F.col("c") / v)).otherwise(F.lit(0.0)) for w, v in legs])
-    day = Window.partitionBy("market", "s")
     x = x.withColumn("mom", F.when(weight > 0.39, total / weight)).withColumn("ma200_22", _back("ma200", 22))
-    ties = F.count("*").over(Window.partitionBy("market", "s", "mom"))
-    x = x.withColumn("rs_rank", F.when(F.col("mom").isNotNull(), (F.rank().over(day.orderBy(F.col("mom").asc_nulls_last())) + (ties - 1) / 2) / F.count("mom").over(day) * 99))
+    x = x.withColumn("rs_rank", percentile_rank("mom", "market", "s") * 99)
     c = F.col("c")
-    gate = (c > F.col("ma150")) & (c > F.col("ma200")) & (F.col("ma150") > F.col("ma200")) & (F.col("ma200") > F.col("ma200_22")) & (F.col("ma50") > F.col("ma150")) & (F.col("ma50") > F.col("ma200")) & (c > F.col("ma50")) & (c >= F.col("lo52") * 1.30) & (c >= F.col("hi52") * 0.75) & (F.col("rs_rank") >= 70)
+    rising = (F.col("ma150") > F.col("ma200")) & (F.col("ma200") > F.col("ma200_22")) & (F.col("ma50") > F.col("ma150")) & (F.col("ma50") > F.col("ma200"))
+    above = (c > F.col("ma150")) & (c > F.col("ma200")) & (c > F.col("ma50")) & (c >= F.col("lo52") * 1.30) & (c >= F.col("hi52") * 0.75)
+    gate = rising & above & (F.col("rs_rank") >= 70)
     return x.withColumn("tt", F.coalesce(gate, F.lit(False)))
 
 

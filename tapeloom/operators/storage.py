@@ -22,12 +22,65 @@ def replace_scope(old: DataFrame, new: DataFrame, scope: list[str]) -> DataFrame
     return old.join(new.select(*scope).distinct(), scope, "left_anti").unionByName(new)
 
 
-def newest(df: DataFrame, n: int, order: list[Column], by: list[str] = ()) -> DataFrame:
+def newest(df: DataFrame, n: int, order: list[Column], by: list[str]) -> DataFrame:
     """The first n rows in order, by group: retention."""
     w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
 
 
+def append(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Both, nothing replaced."""
+    return old.unionByName(new)
+
+
+def ingest(bars: DataFrame, fresh: DataFrame, meta: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Next states of the bars and of meta (market, last_ingested): fresh bars over stored ones by ticker and day; a market's newest fresh day, never back."""
+    days = fresh.groupBy("market").agg(F.max("d").alias("last_ingested"))
+    later = meta.unionByName(days).groupBy("market").agg(F.max("last_ingested").alias("last_ingested"))
+    return upsert(bars, fresh, ["market", "ticker", "d"]), later
+
+
+def merge_maps(old: Column, new: Column) -> Column:
+    """Entries of both maps; of one key the new entry stands. A null map counts as empty."""
+    a, b = F.coalesce(old, F.map_filter(new, lambda k, v: F.lit(False))), F.coalesce(new, F.map_filter(old, lambda k, v: F.lit(False)))
+    return F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k)), b)
+
+
+def save_run(runs: DataFrame, run: DataFrame) -> DataFrame:
+    """Runs (run_day, regime map, ...) after one is saved: by run_day, its regime entries merged over the stored ones."""
+    both = runs.select("run_day", F.col("regime").alias("_old")).join(run.select("run_day", F.col("regime").alias("_new")), "run_day", "full")
+    return both.select("run_day", merge_maps(F.col("_old"), F.col("_new")).alias("regime"))
+
+
+def repull(bars: DataFrame, affected: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Bars with every affected ticker's history replaced by the fresh one; an affected ticker without fresh rows keeps its old ones."""
+    got = affected.select("ticker").distinct().join(fresh.select("ticker").distinct(), "ticker", "left_semi")
+    return bars.join(got, "ticker", "left_anti").unionByName(fresh.join(got, "ticker", "left_semi"))
+
+
+def save_news(old: DataFrame, new: DataFrame) -> DataFrame:
+    """News after an upsert by kind and item id: rows without an id are skipped, and a missing date keeps the stored one."""
+    return upsert(old, newest(new.filter("item_id is not null"), 1, [F.desc_nulls_last("published")], ["kind", "item_id"]), ["kind", "item_id"], keep=["published"])
+
+
+def news_window(news: DataFrame, now: str, days: int = 90, headlines: int = 12, announcements: int = 10) -> DataFrame:
+    """Per ticker its newest headlines within days, and its newest announcements of any age: by date, then by ids that are numbers, others last."""
+    number = F.when(F.col("item_id").rlike("^[0-9]+$"), F.col("item_id").try_cast("decimal(38,0)"))
+    since = F.date_sub(F.lit(now).cast("date"), days)
+    items = newest(news.filter((F.col("kind") == "news") & (F.col("published") > since)), headlines, [F.desc("published"), F.asc("item_id")], ["ticker"])
+    filed = newest(news.filter("kind = 'announcement'"), announcements, [F.desc_nulls_last("published"), number.desc_nulls_last(), F.asc("item_id")], ["ticker"])
+    return items.unionByName(filed)
+
+
+def known_ids(news: DataFrame) -> DataFrame:
+    return news.filter("item_id is not null").select("item_id").distinct()
+
+
+def prune(df: DataFrame, now: str, keep: int) -> DataFrame:
+    """Rows no older than what keep sessions span: int(keep x 1.45) calendar days."""
+    return df.filter(F.col("d") >= F.date_sub(F.lit(now).cast("date"), int(keep * 1.45)))
+
+
 def purge(table: DataFrame, directory: DataFrame, key: str, always: list[str] = ()) -> DataFrame:
     """Rows whose key the directory (or always) has; everything where the directory is empty."""
     if directory.isEmpty():

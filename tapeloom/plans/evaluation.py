@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tapeloom import config
 from tapeloom.operators import evaluation as ev
 from tapeloom.operators import replay as rp
 from tapeloom.operators import signals as sg
@@ -90,34 +91,71 @@ def _flagged(spark, sf_dir, strategy="donchian"):
     return sg.signals(sg.session_features(session_bars(spark, sf_dir)), strategy)
 
 
-@query()
+CAND_SQL = GRID_SQL + _dz.replace(", z AS", ", dz AS") + f""",
+e0 AS (SELECT *, row_number() OVER w AS k, lag(s) OVER w AS ps, lag(coalesce({_dw}, false)) OVER w AS was FROM dz WINDOW w AS (PARTITION BY market, ticker ORDER BY s)),
+ent AS (SELECT market, ticker, s AS entry_s, k AS k0, o * (1 + CASE market WHEN 'MY' THEN 0.0030::DOUBLE ELSE 0.0010::DOUBLE END) AS entry, coalesce(o >= ma50, false) AS armed0, l AS l0 FROM e0 WHERE ps = s - 1 AND was AND o > 0),
+pth AS (SELECT ent.*, entry * (1 - 0.08::DOUBLE) AS stop, b.s AS s1, b.k, b.o, b.l, b.c, b.ma50, armed0 OR coalesce(bool_or(b.c >= b.ma50) OVER (PARTITION BY ent.market, ent.ticker, k0 ORDER BY b.k), false) AS armed FROM ent JOIN e0 b ON b.market = ent.market AND b.ticker = ent.ticker AND b.k > k0 AND b.k <= k0 + 40),
+hw AS (SELECT *, CASE WHEN l <= stop THEN 'stop' WHEN armed AND c < ma50 THEN 'ma50_break' WHEN k - k0 >= 40 THEN 'time' END AS reason, CASE WHEN l <= stop THEN least(stop, o) ELSE c END AS px FROM pth),
+fin AS (SELECT * FROM hw WHERE reason IS NOT NULL QUALIFY row_number() OVER (PARTITION BY market, ticker, k0 ORDER BY k) = 1),
+cand AS (SELECT ent.market, ent.ticker, ent.entry_s, ent.k0, ent.entry, ent.entry * (1 - 0.08::DOUBLE) AS stop, ent.l0 <= ent.entry * (1 - 0.08::DOUBLE) AS at_once,
+  CASE WHEN at_once THEN 'stop' ELSE fin.reason END AS reason, CASE WHEN at_once THEN ent.entry_s ELSE fin.s1 END AS exit_s, CASE WHEN at_once THEN ent.entry * (1 - 0.08::DOUBLE) ELSE fin.px END AS px, CASE WHEN at_once THEN 0 ELSE fin.k - ent.k0 END AS held FROM ent LEFT JOIN fin USING (market, ticker, k0))"""
+#: The portfolio replay, a session a step: who leaves, who enters in ticker order while slots and cash last, then the mark.
+_SLIP, _FEE = (f"CASE market {' '.join(f'WHEN {m!r} THEN {v[k]}::DOUBLE' for m, v in config.MARKETS.items())} END" for k in ("slip", "fee"))
+REPLAY_SQL = CAND_SQL.replace("WITH daily", "WITH RECURSIVE daily", 1) + f""",
+enter AS (SELECT market, entry_s AS s, list({{'ticker': ticker, 'entry_s': entry_s, 'entry': entry, 'stop': stop, 'exit_s': exit_s, 'px': px, 'held': held, 'reason': reason}} ORDER BY ticker) AS cs FROM cand GROUP BY 1, 2),
+asked AS (SELECT DISTINCT market, ticker FROM cand),
+marks AS (SELECT market, s, map_from_entries(list((ticker, c))) AS price FROM num JOIN asked USING (market, ticker) GROUP BY 1, 2),
+edge AS (SELECT market, min(s) AS first, max(s) AS last, {_SLIP} AS slip, {_FEE} AS fee FROM num GROUP BY 1),
+sess AS MATERIALIZED (SELECT d.market, d.s, slip, fee, coalesce(cs, []) AS cs, price FROM (SELECT DISTINCT market, s FROM num) d JOIN edge USING (market) LEFT JOIN enter USING (market, s) LEFT JOIN marks USING (market, s)),
+run AS (
+  SELECT market, first AS s, {config.START}::DOUBLE AS cash, {config.START}::DOUBLE AS eq, []::STRUCT(ticker VARCHAR, entry_s BIGINT, entry DOUBLE, stop DOUBLE, exit_s BIGINT, px DOUBLE, held BIGINT, reason VARCHAR, shares BIGINT)[] AS held_, []::STRUCT(ticker VARCHAR, entry_s BIGINT, entry DOUBLE, stop DOUBLE, exit_s BIGINT, px DOUBLE, held BIGINT, reason VARCHAR, shares BIGINT)[] AS done FROM edge
+  UNION ALL
+  SELECT market, s, st.cash, st.cash + coalesce(list_sum(list_transform(st.open, lambda p: p.shares * coalesce(price[p.ticker], p.entry))), 0), st.open, list_concat(gone, st.done) FROM (
+    SELECT market, s, price, gone, list_reduce(cs, lambda st, x: CASE WHEN len(st.open) >= {config.SLOTS} OR list_contains(list_transform(st.open, lambda p: p.ticker), x.ticker) OR x.shares <= 0 OR x.shares * x.entry * (1 + fee) > st.cash THEN st
+      WHEN x.exit_s = s THEN {{'cash': st.cash - x.shares * x.entry * (1 + fee) + x.shares * (x.px * (1 - slip)) - x.shares * (x.px * (1 - slip)) * fee, 'open': st.open, 'done': list_append(st.done, x)}}
+      ELSE {{'cash': st.cash - x.shares * x.entry * (1 + fee), 'open': list_append(st.open, x), 'done': st.done}} END,
+      {{'cash': cash + coalesce(list_sum(list_transform(gone, lambda p: p.shares * (p.px * (1 - slip)) - p.shares * (p.px * (1 - slip)) * fee)), 0), 'open': stay, 'done': []::STRUCT(ticker VARCHAR, entry_s BIGINT, entry DOUBLE, stop DOUBLE, exit_s BIGINT, px DOUBLE, held BIGINT, reason VARCHAR, shares BIGINT)[]}}) AS st FROM (
+      SELECT sess.market, sess.s, slip, fee, price, cash, list_filter(held_, lambda p: coalesce(p.exit_s = sess.s, false)) AS gone, list_filter(held_, lambda p: coalesce(p.exit_s <> sess.s, true)) AS stay,
+        list_transform(cs, lambda x: {{'ticker': x.ticker, 'entry_s': CAST(x.entry_s AS BIGINT), 'entry': x.entry, 'stop': x.stop, 'exit_s': CAST(x.exit_s AS BIGINT), 'px': x.px, 'held': CAST(x.held AS BIGINT), 'reason': x.reason, 'shares': CAST(least(floor(eq * {config.RISK}::DOUBLE / (x.entry - x.stop)), floor(eq * {config.MAX_POSITION}::DOUBLE / x.entry)) AS BIGINT)}}) AS cs
+      FROM run JOIN sess ON sess.market = run.market AND sess.s = run.s + 1))),
+closed AS (SELECT market, unnest(done) AS t FROM run UNION ALL
+  SELECT market, {{'ticker': p.ticker, 'entry_s': p.entry_s, 'entry': p.entry, 'stop': p.stop, 'exit_s': s, 'px': coalesce((SELECT c FROM num WHERE num.market = o.market AND num.ticker = p.ticker AND num.s = o.s), p.entry), 'held': (SELECT count(*) FROM num WHERE num.market = o.market AND num.ticker = p.ticker AND num.s > p.entry_s), 'reason': 'end_of_data', 'shares': p.shares}} FROM (SELECT market, s, unnest(held_) AS p FROM run JOIN edge USING (market) WHERE s = last) o),
+trades AS (SELECT market, t.ticker AS ticker, t.entry_s AS entry_s, t.exit_s AS exit_s, t.entry AS entry, t.px * (1 - slip) AS px, t.stop AS stop, t.shares AS shares, (t.px * (1 - slip) - t.entry) / (t.entry - t.stop) AS r, t.held AS held, t.reason AS reason, t.shares * (t.px * (1 - slip)) * fee AS fees FROM closed JOIN edge USING (market)),
+curve AS (SELECT market, s, eq FROM run JOIN edge USING (market) WHERE s > first)"""
+
+
+@query(REPLAY_SQL + " SELECT market, ticker, entry_s, exit_s, round(entry, 6) AS entry, round(px, 6) AS exit, round(stop, 6) AS stop, shares, round(r, 6) AS r, held, reason, round(fees, 4) AS fees FROM trades")
 def replay_trades(spark, sf_dir):
-    return rp.replay(_flagged(spark, sf_dir))
+    x = rp.replay(_flagged(spark, sf_dir))
+    return x.select("market", "ticker", "entry_s", "exit_s", *(_r(F.col(k), k) for k in ("entry", "exit", "stop")), "shares", _r(F.col("r"), "r"), "held", "reason", F.round("fees", 4).alias("fees"))
 
 
-@query()
+@query(REPLAY_SQL + """ SELECT market, count(*) AS trades, round(count(*) FILTER (r > 0) / count(*) * 100, 6) AS win_rate, round(avg(r), 6) AS expectancy, round(sum(r) FILTER (r > 0) / abs(sum(r) FILTER (r <= 0)), 6) AS profit_factor,
+ round(avg(r) FILTER (r > 0), 6) AS mean_win, round(avg(r) FILTER (r <= 0), 6) AS mean_loss, round(avg(held), 6) AS mean_hold FROM trades GROUP BY 1""")
 def replay_statistics(spark, sf_dir):
-    return rp.statistics(rp.replay(_flagged(spark, sf_dir)))
+    x = rp.statistics(rp.replay(_flagged(spark, sf_dir)))
+    return x.select("market", "trades", *(_r(F.col(k), k) for k in ("win_rate", "expectancy", "profit_factor", "mean_win", "mean_loss", "mean_hold")))
 
 
-@query()
+@query(REPLAY_SQL + """, pk AS (SELECT *, max(eq) OVER w AS peak, eq / lag(eq) OVER w - 1 AS ret FROM curve WINDOW w AS (PARTITION BY market ORDER BY s))
+SELECT market, round(arg_max(eq, s), 4) AS final_equity, round(min(eq / peak - 1) * 100, 6) AS max_drawdown, round(stddev_samp(ret) * sqrt(252) * 100, 6) AS volatility, round(avg(ret) / stddev_samp(ret) * sqrt(252), 6) AS sharpe, round(avg(ret) / stddev_samp(ret) FILTER (ret < 0) * sqrt(252), 6) AS sortino FROM pk GROUP BY 1""")
 def replay_equity(spark, sf_dir):
-    return rp.drawdown(rp.replay(_flagged(spark, sf_dir), equity=True))
+    x = rp.drawdown(rp.replay(_flagged(spark, sf_dir), equity=True))
+    return x.select("market", F.round("final_equity", 4).alias("final_equity"), *(_r(F.col(k), k) for k in ("max_drawdown", "volatility", "sharpe", "sortino")))
+
+
+@query(REPLAY_SQL + " SELECT market, count(*) AS trades, count(*) < 20 AS thin, CASE WHEN count(*) < 20 THEN 0 ELSE 10000 END AS draws FROM trades GROUP BY 1")
+def bootstrap_sizes(spark, sf_dir):
+    return rp.bootstrap(rp.replay(_flagged(spark, sf_dir))).select("market", "trades", "thin", "draws")
 
 
 @query()
 def bootstrap_risk(spark, sf_dir):
+    """Drawn at random from a fixed seed: no SQL; tests hold it against exact small cases."""
     return rp.bootstrap(rp.replay(_flagged(spark, sf_dir)))
 
 
-@query(GRID_SQL + _dz.replace(", z AS", ", dz AS") + f""",
-e0 AS (SELECT *, row_number() OVER w AS k, lag(s) OVER w AS ps, lag(coalesce({_dw}, false)) OVER w AS was FROM dz WINDOW w AS (PARTITION BY market, ticker ORDER BY s)),
-ent AS (SELECT market, ticker, s AS entry_s, k AS k0, o * (1 + CASE market WHEN 'MY' THEN 0.0030::DOUBLE ELSE 0.0010::DOUBLE END) AS entry, coalesce(o >= ma50, false) AS armed0, l AS l0 FROM e0 WHERE ps = s - 1 AND was AND o > 0),
-pth AS (SELECT ent.*, entry * (1 - 0.08::DOUBLE) AS stop, b.s AS s1, b.k, b.o, b.l, b.c, b.ma50, armed0 OR coalesce(bool_or(b.c >= b.ma50) OVER (PARTITION BY ent.market, ent.ticker, k0 ORDER BY b.k), false) AS armed FROM ent JOIN e0 b ON b.market = ent.market AND b.ticker = ent.ticker AND b.k > k0 AND b.k <= k0 + 40),
-hw AS (SELECT *, CASE WHEN l <= stop THEN 'stop' WHEN armed AND c < ma50 THEN 'ma50_break' WHEN k - k0 >= 40 THEN 'time' END AS reason, CASE WHEN l <= stop THEN least(stop, o) ELSE c END AS px FROM pth),
-fin AS (SELECT * FROM hw WHERE reason IS NOT NULL QUALIFY row_number() OVER (PARTITION BY market, ticker, k0 ORDER BY k) = 1)
-SELECT ent.ticker, ent.entry_s, round(ent.entry, 6) AS entry, coalesce(CASE WHEN ent.l0 <= ent.entry * (1 - 0.08::DOUBLE) THEN 'stop' ELSE fin.reason END, 'open') AS reason, coalesce(CASE WHEN ent.l0 <= ent.entry * (1 - 0.08::DOUBLE) THEN ent.entry_s ELSE fin.s1 END, -1) AS exit_s,
- round(coalesce(CASE WHEN ent.l0 <= ent.entry * (1 - 0.08::DOUBLE) THEN ent.entry * (1 - 0.08::DOUBLE) ELSE fin.px END, 0), 6) AS px FROM ent LEFT JOIN fin USING (market, ticker, k0)""")
+@query(CAND_SQL + " SELECT ticker, entry_s, round(entry, 6) AS entry, coalesce(reason, 'open') AS reason, coalesce(exit_s, -1) AS exit_s, round(coalesce(px, 0), 6) AS px FROM cand")
 def replay_candidates(spark, sf_dir):
     x = rp.candidates(_flagged(spark, sf_dir))
     return x.select("ticker", F.col("entry_s").cast("long").alias("entry_s"), _r(F.col("entry"), "entry"), F.coalesce("reason", F.lit("open")).alias("reason"), F.coalesce("exit_s", F.lit(-1)).cast("long").alias("exit_s"), _r(F.coalesce("px", F.lit(0.0)), "px"))

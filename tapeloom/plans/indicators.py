@@ -25,7 +25,7 @@ OWN_SQL = "OVER (PARTITION BY market, ticker ORDER BY d)"
 FEATURES_SQL = BARS_SQL + f""",
 f0 AS (SELECT *, row_number() {OWN_SQL} AS k, {", ".join(f"{_full('avg', 'c', n)} AS ma{n}" for n in (10, 20, 50, 150, 200))},
   max(h) {_w(-251)} AS hi252, min(l) {_w(-251)} AS lo252, CASE WHEN count(v) {_w(-50, -1)} = 50 THEN avg(v) {_w(-50, -1)} END AS vol50,
-  {", ".join(f"lag(c, {n}) {OWN_SQL} AS c{n}" for n in (1, 5, 6, 10, 20, 63, 126, 189, 252))},
+  {", ".join(f"lag(c, {n}) {OWN_SQL} AS c{n}" for n in (1, 5, 6, 10, 20, 21, 63, 126, 189, 252))},
   lag(h) {OWN_SQL} AS h1, lag(l) {OWN_SQL} AS l1, lag(o) {OWN_SQL} AS o1, lag(v) {OWN_SQL} AS v1 FROM bars),
 features AS (SELECT *, lag(ma200, 22) {OWN_SQL} AS ma200_22,
   CASE WHEN k >= 126 AND c63 IS NOT NULL THEN
@@ -88,19 +88,6 @@ def trend_template(spark, sf_dir):
     return _templated(spark, sf_dir).select("ticker", "checks.*", "passed", "total", "failed", "pass_all")
 
 
-BOARD_SQL = FEATURES_SQL + """,
-board AS (SELECT *, CASE WHEN passed = total THEN 'position' ELSE 'forming' END AS bucket FROM templated WHERE rs_rank >= 55 AND passed >= total - 2),
-capped AS (SELECT *, row_number() OVER (PARTITION BY market, bucket ORDER BY rs_rank DESC, rs_raw DESC, ticker) AS place FROM board)
-SELECT market, ticker, bucket, place, rs_rank, passed, total, round(c, 6) AS price, round(hi252, 6) AS hi252 FROM capped WHERE place <= CASE bucket WHEN 'position' THEN 30 ELSE 15 END"""
-
-
-@query(BOARD_SQL)
-def board(spark, sf_dir):
-    from tapeloom.plans.board import board as plan
-
-    return plan(bars(spark, sf_dir)).select("market", "ticker", "bucket", "place", "rs_rank", "passed", "total", _r(F.col("c"), "price"), _r(F.col("hi252"), "hi252"))
-
-
 @query(FEATURES_SQL + f", a AS (SELECT *, greatest(h - l, abs(h - c1), abs(l - c1)) AS tr FROM features) SELECT ticker, d, round({_full('avg', 'tr', 14)}, 6) AS atr FROM a")
 def average_true_range(spark, sf_dir):
     x = _features(spark, sf_dir)
@@ -187,19 +174,6 @@ def base_counts(spark, sf_dir):
     return ind.base_count(_features(spark, sf_dir))
 
 
-EXIT_SQL = FEATURES_SQL + """, p AS (SELECT *, c10 * 1.02::DOUBLE AS pv, c5 AS entry, c5 * 0.92::DOUBLE AS stop, 5 AS held FROM newest WHERE k >= 60)
-SELECT ticker, held >= 5 AND c < entry * 1.02::DOUBLE AND c >= stop AS time_stop, c < stop AS stop_violated, c < ma50 AS below_50ma, vol50 > 0 AND v > 1.5 * vol50 AS heavy,
- entry >= pv AND c < pv AS failed_breakout, c / c10 - 1 >= 0.25 AS climax_run, entry >= pv * 0.97::DOUBLE AND c < pv * 0.99::DOUBLE AS line_failure, c >= pv * 1.15::DOUBLE AND held <= 21 AS sell_strength FROM p"""
-
-
-@query(EXIT_SQL)
-def exit_signals(spark, sf_dir):
-    from tapeloom.operators.exits import exit_signals as rules
-
-    x = _newest(spark, sf_dir).filter("k >= 60").withColumns({"pivot": F.col("c10") * 1.02, "entry": F.col("c5"), "stop": F.col("c5") * 0.92, "held": F.lit(5)})
-    return rules(x).select("ticker", "signals.*")
-
-
 @query(FEATURES_SQL + """, g AS (SELECT market, substr(ticker, 7, 1) AS industry, median(rs_rank) AS m, count(*) AS n FROM ranked WHERE rs_rank IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 3)
 SELECT market, industry, n, round(m, 6) AS median_rank, CAST(greatest(1, least(99, round_even((rank() OVER (PARTITION BY market ORDER BY m) + (count(*) OVER (PARTITION BY market, m) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY market) * 99, 0))) AS INTEGER) AS group_rank FROM g""")
 def industry_group_ranks(spark, sf_dir):
@@ -209,14 +183,4 @@ def industry_group_ranks(spark, sf_dir):
     return group_ranks(x, "industry").select("market", "industry", "n", _r(F.col("median_rank"), "median_rank"), "group_rank")
 
 
-@query(FEATURES_SQL + f""", g AS (SELECT *, max(h) {_w(-24, -1)} AS pv, max(h) {_w(-4)} AS trig, min(l) {_w(-7)} AS low8 FROM features),
-e AS (SELECT *, (trig - low8) / trig * 100 AS risk FROM g WHERE k >= 30 AND c < pv * 0.98::DOUBLE AND c >= pv * 0.80::DOUBLE AND trig < pv AND trig > c * 0.995::DOUBLE AND low8 < trig * 0.99::DOUBLE)
-SELECT ticker, d, round(trig, 6) AS trigger_price, round(CASE WHEN risk >= 8.05::DOUBLE THEN trig * 0.94::DOUBLE ELSE low8 END, 6) AS stop, round(CASE WHEN risk >= 8.05::DOUBLE THEN 6.0::DOUBLE ELSE risk END, 6) AS risk_pct FROM e""")
-def early_entries(spark, sf_dir):
-    x = _features(spark, sf_dir).withColumns({"pivot": over(F.max, "h", -24, -1), "trig": over(F.max, "h", -4), "low8": over(F.min, "l", -7)})
-    x = x.filter((F.col("k") >= 30) & (F.col("c") < F.col("pivot") * 0.98) & (F.col("c") >= F.col("pivot") * 0.8) & (F.col("trig") < F.col("pivot")) & (F.col("trig") > F.col("c") * 0.995) & (F.col("low8") < F.col("trig") * 0.99))
-    risk = (F.col("trig") - F.col("low8")) / F.col("trig") * 100
-    return x.select("ticker", "d", _r(F.col("trig"), "trigger_price"), _r(F.when(risk >= 8.05, F.col("trig") * 0.94).otherwise(F.col("low8")), "stop"), _r(F.when(risk >= 8.05, F.lit(6.0)).otherwise(risk), "risk_pct"))
-
-
 assert config.FULL_BARS == 260 and config.RANK_FLOOR == 55

@@ -22,11 +22,31 @@ def distribution_days(spark, sf_dir):
     return mk.distribution(mk.benchmark(bars(spark, sf_dir))).filter("dist_days is not null").select("market", "d", F.col("dist_days").cast("long").alias("dist_days"))
 
 
-@query(INDEX_SQL + """, m AS (SELECT ix.*, dist_days, avg(c) OVER (PARTITION BY market ORDER BY d ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS ma50, avg(c) OVER (PARTITION BY market ORDER BY d ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS ma200 FROM ix JOIN dist USING (market, d)),
-s AS (SELECT *, greatest(0, CASE WHEN c > ma50 THEN 1 ELSE 0 END + CASE WHEN c > ma200 THEN 1 ELSE 0 END - CASE WHEN dist_days >= 6 THEN 1 ELSE 0 END) AS g FROM m WHERE k >= 200)
-SELECT market, d, CASE g WHEN 2 THEN 'green' WHEN 1 THEN 'yellow' ELSE 'red' END AS light, CASE g WHEN 2 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END AS risk_pct FROM s""")
+#: The light of each market and day from two indices with the market's volume.
+REGIME_SQL = BARS_SQL + """,
+each AS (SELECT market, 'IX.ALL' AS ticker, d, c FROM bars UNION ALL SELECT market, 'IX.EVEN', d, c FROM bars WHERE CAST(substr(ticker, 7, 1) AS INTEGER) % 2 = 0),
+total AS (SELECT market, d, sum(v) AS v FROM bars GROUP BY 1, 2),
+ix0 AS (SELECT market, ticker, d, sum(c) / count(c) AS c FROM each GROUP BY 1, 2, 3),
+ix AS (SELECT ix0.*, v, row_number() OVER w AS k, lag(c) OVER w AS c1, lag(v) OVER w AS v1, avg(c) OVER (w ROWS 49 PRECEDING) AS m50, avg(c) OVER (w ROWS 199 PRECEDING) AS m200, list(c) OVER (w ROWS 39 PRECEDING) AS cs, list(v) OVER (w ROWS 39 PRECEDING) AS vs
+  FROM ix0 JOIN total USING (market, d) WINDOW w AS (PARTITION BY market, ticker ORDER BY d)),
+dist AS (SELECT a.market, a.ticker, a.d, count(*) FILTER (b.c < b.c1 * 0.998::DOUBLE AND b.v > b.v1 AND b.v1 > 0 AND a.c < b.c * 1.05::DOUBLE) AS n FROM ix a JOIN ix b ON b.market = a.market AND b.ticker = a.ticker AND b.k BETWEEN a.k - 24 AND a.k WHERE a.k >= 200 GROUP BY 1, 2, 3),
+lows AS (SELECT *, len(cs) AS n, list_position(cs, list_min(cs)) AS p FROM ix WHERE k >= 200),
+rises AS (SELECT *, list_filter(range(p + 3, n + 1), lambda i: cs[i] / cs[i - 1] - 1 >= 0.015::DOUBLE AND vs[i] > vs[i - 1] AND vs[i - 1] > 0) AS hits FROM lows),
+judged AS (SELECT market, ticker, d, CASE WHEN c > m50 THEN 1 ELSE 0 END + CASE WHEN c > m200 THEN 1 ELSE 0 END AS score, coalesce(p >= 6 AND p < n - 2 AND list_min(cs) <= list_max(cs[1:p - 1]) * 0.94::DOUBLE AND hits[1] >= n - 4, false) AS ft FROM rises),
+days AS (SELECT market, d, sum(score) AS score, 2 * count(*) AS checks, max(n) AS dist_days, bool_or(ft) AS recent_ft FROM judged JOIN dist USING (market, ticker, d) GROUP BY 1, 2),
+first AS (SELECT *, CASE WHEN score = checks THEN 2 WHEN 2 * score >= checks THEN 1 ELSE 0 END AS g FROM days),
+step AS (SELECT *, CASE WHEN dist_days >= 6 THEN greatest(0, g - 1) WHEN g = 0 AND recent_ft THEN 1 ELSE g END AS s FROM first),
+regime AS (SELECT market, d, CASE s WHEN 2 THEN 'green' WHEN 1 THEN 'yellow' ELSE 'red' END AS light, CASE s WHEN 2 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.0 END AS risk_pct, CAST(dist_days AS BIGINT) AS dist_days, recent_ft FROM step)"""
+
+
+def regime(b):
+    """The market's light by day, of its two stand-in indices."""
+    return mk.regime(mk.regime_frame(mk.indices(b), b))
+
+
+@query(REGIME_SQL + " SELECT market, d, light, risk_pct, dist_days, recent_ft FROM regime")
 def regime_by_date(spark, sf_dir):
-    return mk.regime(mk.benchmark(bars(spark, sf_dir))).select("market", "d", "light", "risk_pct")
+    return regime(bars(spark, sf_dir)).withColumn("dist_days", F.col("dist_days").cast("long"))
 
 
 @query(INDEX_SQL + """, t AS (SELECT *, row_number() OVER (PARTITION BY market ORDER BY d) - 1 AS i, count(*) OVER (PARTITION BY market) AS n FROM (SELECT market, d, c, v FROM ix QUALIFY row_number() OVER (PARTITION BY market ORDER BY d DESC) <= 40)),
@@ -45,24 +65,21 @@ def market_breadth(spark, sf_dir):
     return x.select("market", _r(F.col("above_200"), "above_200"), _r(F.col("above_50"), "above_50"), "new_highs", "new_lows", "universe")
 
 
-@query(FEATURES_SQL + """, g AS (SELECT market, substr(ticker, 7, 1) AS industry, avg(c / c63 - 1) AS long, avg(c / c20 - 1) AS short FROM newest WHERE c63 IS NOT NULL GROUP BY 1, 2),
-m AS (SELECT market, avg(c / c63 - 1) AS ml, avg(c / c20 - 1) AS ms FROM newest WHERE c63 IS NOT NULL GROUP BY 1)
-SELECT market, industry, round(long - ml, 6) AS rel_long, round(short - ms, 6) AS rel_short, CASE WHEN long - ml >= 0 AND short - ms >= 0 THEN 'leading' WHEN long - ml >= 0 THEN 'weakening' WHEN short - ms >= 0 THEN 'improving' ELSE 'lagging' END AS quadrant, row_number() OVER (PARTITION BY market ORDER BY long - ml DESC, industry) AS place FROM g JOIN m USING (market)""")
-def sector_rotation(spark, sf_dir):
-    x = ind.newest(ind.features(bars(spark, sf_dir))).filter("c63 is not null").withColumn("industry", F.substring("ticker", 7, 1))
-    long, short = F.avg(F.col("c") / F.col("c63") - 1), F.avg(F.col("c") / F.col("c20") - 1)
-    whole = x.groupBy("market").agg(long.alias("market_long"), short.alias("market_short"))
-    groups = x.groupBy("market", "industry").agg(long.alias("long"), short.alias("short")).join(F.broadcast(whole), "market")
-    return mk.rotation(groups).select("market", "industry", _r(F.col("rel_long"), "rel_long"), _r(F.col("rel_short"), "rel_short"), "quadrant", F.col("place").cast("long").alias("place"))
-
+_LAG = ", ".join(f"lag(c, {n}) OVER (PARTITION BY market, industry ORDER BY d) AS c{n}" for n in (21, 63, 126, 189, 252))
 
-@query(FEATURES_SQL + f", x AS (SELECT *, avg(c * v) OVER (PARTITION BY market, ticker ORDER BY d ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS value FROM features), n AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY market, ticker ORDER BY d DESC) = 1) SELECT market, ticker, round(value, 6) AS value FROM n WHERE c >= CASE market WHEN 'MY' THEN 0.5 ELSE 10 END AND value >= CASE market WHEN 'MY' THEN 1000 ELSE 1500 END")
-def liquidity_filter(spark, sf_dir):
-    from tapeloom.functions.frames import over
 
-    floors = F.when(F.col("market") == "MY", 0.5).otherwise(10.0), F.when(F.col("market") == "MY", 1000.0).otherwise(1500.0)
-    x = ind.newest(ind.features(bars(spark, sf_dir)).withColumn("value", over(F.avg, F.col("c") * F.col("v"), -19)))
-    return x.filter((F.col("c") >= floors[0]) & (F.col("value") >= floors[1])).select("market", "ticker", _r(F.col("value"), "value"))
+@query(BARS_SQL + f""", g0 AS (SELECT market, substr(ticker, 7, 1) AS industry, d, sum(c) / count(c) AS c FROM bars GROUP BY 1, 2, 3 UNION ALL SELECT market, 'IX', d, sum(c) / count(c) FROM bars GROUP BY 1, 3),
+g1 AS (SELECT *, row_number() OVER (PARTITION BY market, industry ORDER BY d) AS k, {_LAG} FROM g0),
+g2 AS (SELECT *, c / c21 - 1 AS short, c / c63 - 1 AS long, 0.4::DOUBLE * (c / c63) + 0.2::DOUBLE * (c / c126) + 0.2::DOUBLE * (c / c189) + 0.2::DOUBLE * (c / c252) AS raw FROM g1 QUALIFY row_number() OVER (PARTITION BY market, industry ORDER BY d DESC) = 1),
+g AS (SELECT a.*, a.short - coalesce(b.short, 0) AS s, a.long - coalesce(b.long, 0) AS l FROM g2 a JOIN g2 b ON b.market = a.market AND b.industry = 'IX' WHERE a.industry <> 'IX' AND a.k >= 260)
+SELECT market, industry, round(raw, 4) AS rs_raw, round(s, 6) AS rel_short, round(l, 6) AS rel_long, CASE WHEN l >= 0 AND s >= 0 THEN 'leading' WHEN l >= 0 THEN 'weakening' WHEN s >= 0 THEN 'improving' ELSE 'lagging' END AS quadrant,
+ s > l AND s > 0 AS rotating_in, s < l AND s < 0 AS rotating_out, row_number() OVER (PARTITION BY market ORDER BY raw DESC, industry) AS place FROM g""")
+def sector_rotation(spark, sf_dir):
+    b = bars(spark, sf_dir)
+    newest = lambda x: ind.newest(ind.features(x))
+    whole = newest(mk.group_bars(b.withColumn("industry", F.lit("IX"))))
+    x = mk.rotation(newest(mk.group_bars(b.withColumn("industry", F.substring("ticker", 7, 1)))), whole)
+    return x.select("market", F.col("ticker").alias("industry"), F.round("rs_raw", 4).alias("rs_raw"), _r(F.col("rel_short"), "rel_short"), _r(F.col("rel_long"), "rel_long"), "quadrant", "rotating_in", "rotating_out", F.col("place").cast("long").alias("place"))
 
 
 WEEK_SQL = BARS_SQL + """,

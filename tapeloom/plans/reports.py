@@ -6,13 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tapeloom.operators import indicators as ind
-from tapeloom.operators import market as mk
 from tapeloom.operators import replay as rp
-from tapeloom.plans.evaluation import _flagged
+from tapeloom.plans import market as mk_plans
+from tapeloom.plans.evaluation import REPLAY_SQL, _flagged
 from tapeloom.plans.fundamentals import QUARTERS_SQL, quarters
 from tapeloom.plans.indicators import FEATURES_SQL, _r
 from tapeloom.registry import ORACLE_SQL, query
-from tapeloom.sources.panel import bars, session_bars, table
+from tapeloom.sources.panel import BARS_SQL, SESSION_SQL, bars, session_bars, table
 
 
 @query("SELECT reason, count(*) AS n, round(sum(px - entry), 1) AS points FROM (" + ORACLE_SQL["replay_candidates"] + ") WHERE reason <> 'open' GROUP BY 1")
@@ -48,11 +48,12 @@ def board_changes(spark, sf_dir):
     return top.filter("now <> was").select("market", "ticker", F.when(F.col("now") == 1, "new").otherwise("dropped").alias("change"))
 
 
-@query()
+@query(REPLAY_SQL + """, rg AS (SELECT market, s AS entry_s, light FROM days JOIN regime USING (market, d))
+SELECT market, coalesce(light, 'unmeasured') AS light, count(*) AS trades, round(avg(r), 6) AS expectancy, round(count(*) FILTER (r > 0) / count(*), 6) AS win_rate, count(*) < 20 AS thin FROM trades LEFT JOIN rg USING (market, entry_s) GROUP BY 1, 2""".replace("regime USING", f"({mk_plans.REGIME_SQL.replace(BARS_SQL, SESSION_SQL)} SELECT * FROM regime) USING"))
 def trades_by_regime(spark, sf_dir):
     """Trades by the benchmark's light on the entry session; thin under 20 trades."""
     flagged = _flagged(spark, sf_dir)
-    lights = mk.regime(mk.benchmark(session_bars(spark, sf_dir))).select("market", "d", "light")
+    lights = mk_plans.regime(session_bars(spark, sf_dir)).select("market", "d", "light")
     days = flagged.groupBy("market", F.col("s").cast("long").alias("entry_s")).agg(F.min("d").alias("d")).join(lights, ["market", "d"]).select("market", "entry_s", "light")
     x = rp.replay(flagged).join(days, ["market", "entry_s"], "left").groupBy("market", F.coalesce("light", F.lit("unmeasured")).alias("light")).agg(F.count("*").alias("trades"), F.avg("r").alias("expectancy"), (F.count_if(F.col("r") > 0) / F.count("*")).alias("win_rate"))
     return x.select("market", "light", "trades", _r(F.col("expectancy"), "expectancy"), _r(F.col("win_rate"), "win_rate"), (F.col("trades") < 20).alias("thin"))

@@ -24,17 +24,21 @@ def swing_points(spark, sf_dir):
     return st.swings(bars(spark, sf_dir), 120).filter("high or low").select("ticker", "d", F.when(F.col("high"), F.col("h")).alias("swing_high"), F.when(F.col("low"), F.col("l")).alias("swing_low"))
 
 
-@query(_swings_sql(75) + """,
+#: Contractions of each ticker, after the swings of 75 bars.
+VCP_SQL = """,
 highs AS (SELECT market, ticker, i AS hi_i, h AS hi, lead(i) OVER (PARTITION BY market, ticker ORDER BY i) AS next_i, row_number() OVER (PARTITION BY market, ticker ORDER BY i DESC) AS back FROM swings WHERE high AND n >= 40),
 pairs AS (SELECT a.market, a.ticker, hi_i, (hi - min(b.l)) / hi * 100 AS depth FROM highs a JOIN swings b ON a.market = b.market AND a.ticker = b.ticker AND b.low AND b.i > hi_i AND (next_i IS NULL OR b.i < next_i) GROUP BY a.market, a.ticker, hi_i, hi),
 kept AS (SELECT *, row_number() OVER (PARTITION BY market, ticker ORDER BY hi_i) AS k, count(*) OVER (PARTITION BY market, ticker) AS m, lag(depth) OVER (PARTITION BY market, ticker ORDER BY hi_i) AS was FROM pairs WHERE depth > 0 AND depth < 40),
 legs AS (SELECT market, ticker, max(m) AS m, max(CASE WHEN k = 1 THEN depth END) AS first, max(CASE WHEN k = m THEN depth END) AS last, count(*) FILTER (depth >= was) AS worse FROM kept GROUP BY 1, 2),
 pv AS (SELECT market, ticker, max(hi) AS pv FROM highs WHERE back <= 2 GROUP BY 1, 2),
 recent AS (SELECT *, row_number() OVER (PARTITION BY market, ticker ORDER BY d DESC) AS r FROM bars),
-vol AS (SELECT market, ticker, count(*) AS n, avg(v) FILTER (r <= 5) AS v5, avg(v) FILTER (r > 5 AND r <= 55) AS v50 FROM recent GROUP BY 1, 2 HAVING count(*) >= 40)
-SELECT ticker, coalesce(m, 0) AS contractions, round(last, 6) AS last_depth, coalesce(n >= 55 AND v5 < 0.6::DOUBLE * v50, false) AS dry_up, round(pv, 6) AS pivot,
+vol AS (SELECT market, ticker, count(*) AS n, avg(v) FILTER (r <= 5) AS v5, avg(v) FILTER (r > 5 AND r <= 55) AS v50 FROM recent GROUP BY 1, 2 HAVING count(*) >= 40),
+contractions AS (SELECT market, ticker, coalesce(m, 0) AS contractions, last, coalesce(n >= 55 AND v5 < 0.6::DOUBLE * v50, false) AS dry_up, pv AS pvt,
   coalesce(m >= 2 AND last < first AND last < 12.05::DOUBLE AND worse <= 1 AND n >= 55 AND v5 < 0.6::DOUBLE * v50 AND pv IS NOT NULL, false) AS vcp
-FROM vol LEFT JOIN legs USING (market, ticker) LEFT JOIN pv USING (market, ticker)""")
+FROM vol LEFT JOIN legs USING (market, ticker) LEFT JOIN pv USING (market, ticker))"""
+
+
+@query(_swings_sql(75) + VCP_SQL + " SELECT ticker, contractions, round(last, 6) AS last_depth, dry_up, round(pvt, 6) AS pivot, vcp FROM contractions")
 def volatility_contractions(spark, sf_dir):
     x = st.contractions(bars(spark, sf_dir))
     return x.select("ticker", F.size("depths").cast("long").alias("contractions"), _r(F.get("depths", F.size("depths") - 1), "last_depth"), "dry_up", _r(F.col("pivot"), "pivot"), "vcp")

@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Shares of a line item's unit: brings a day's value near the floors of real markets.
+LOTS = 2500
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -34,7 +38,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.greatest("o", "c") + 0.25 * (F.col("v").cast("long") % 5)).alias("h"),
         F.greatest(F.lit(0.5), F.least("o", "c") - 0.25 * (F.col("v").cast("long") % 4)).alias("l"),
         "c",
-        "v",
+        (F.col("v") * LOTS).alias("v"),
     )
 
 
@@ -49,7 +53,7 @@ bars AS (
   SELECT CASE WHEN s % 2 = 0 THEN 'MY' ELSE 'US' END AS market,
          'T' || lpad(CAST(s AS VARCHAR), 6, '0') || CASE WHEN s % 2 = 0 THEN '.KL' ELSE '' END AS ticker, d, o,
          greatest(o, c) + 0.25::DOUBLE * (CAST(v AS BIGINT) % 5) AS h,
-         greatest(0.5::DOUBLE, least(o, c) - 0.25::DOUBLE * (CAST(v AS BIGINT) % 4)) AS l, c, v FROM opened)"""
+         greatest(0.5::DOUBLE, least(o, c) - 0.25::DOUBLE * (CAST(v AS BIGINT) % 4)) AS l, c, v * 2500 AS v FROM opened)"""
 
 
 def session_bars(spark: SparkSession, sf_dir: str) -> DataFrame:

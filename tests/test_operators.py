@@ -8,15 +8,20 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeloom import config
+from tapeloom.operators import board as bd
+from tapeloom.operators import enrich as en
 from tapeloom.operators import evaluation as ev
+from tapeloom.operators import exits
 from tapeloom.operators import fundamentals as fu
 from tapeloom.operators import indicators as ind
 from tapeloom.operators import market as mk
+from tapeloom.operators import receipts as rc
 from tapeloom.operators import replay as rp
 from tapeloom.operators import signals as sg
 from tapeloom.operators import storage as st
 from tapeloom.operators import structures as sx
 from tapeloom.operators import weekly as wk
+from tapeloom.sources import vendor as vd
 
 DAY = dt.date(2020, 1, 1)
 BARS = "market string, ticker string, d date, o double, h double, l double, c double, v double"
@@ -82,6 +87,129 @@ def test_regime_uses_bars_up_to_the_day(spark):
     pd.testing.assert_frame_equal(whole, cut)
 
 
+def _index(spark, paths, volume=None):
+    rows = [("US", t, DAY + dt.timedelta(days=k), float(c), float((volume or {}).get(k, 1000.0))) for t, p in paths.items() for k, c in enumerate(p)]
+    return spark.createDataFrame(rows, "market string, ticker string, d date, c double, v double")
+
+
+def test_every_index_has_to_agree_for_green(spark):
+    up, down = [100 + 0.5 * i for i in range(230)], [100 + 0.5 * i for i in range(200)] + [150 - 3 * i for i in range(30)]
+    last = lambda x: mk.regime(x).orderBy(F.desc("d")).first()["light"]
+    assert last(_index(spark, {"A": up})) == "green"
+    assert last(_index(spark, {"A": up, "B": down})) == "yellow"
+    assert last(_index(spark, {"B": down})) == "red"
+
+
+def test_a_recent_follow_through_lifts_red_to_yellow_but_not_under_distribution(spark):
+    fall = [200 - 0.4 * i for i in range(220)] + [112 - 2.5 * i for i in range(10)]
+    rally = [*fall, 90.0, 90.5, 91.0, 93.0]
+    day = len(rally) - 1
+    assert mk.regime(_index(spark, {"A": rally}, {day: 2000.0})).orderBy(F.desc("d")).first()["light"] == "yellow"
+    assert mk.regime(_index(spark, {"A": rally})).orderBy(F.desc("d")).first()["light"] == "red"
+    heavy = {k: 1000.0 + 10 * k for k in range(day)} | {day: 99_999.0}
+    x = mk.regime(_index(spark, {"A": rally}, heavy)).orderBy(F.desc("d")).first()
+    assert x["recent_ft"] and x["dist_days"] >= 6 and x["light"] == "red"
+
+
+def test_market_volume_is_grafted_onto_the_index(spark):
+    b = _bars(spark, {"A": [10.0] * 5, "B": [None, None, 20.0, 20.0, None]})
+    x = mk.regime_frame(_index(spark, {"IX": [1.0] * 7}), b).orderBy("d").select("v").toPandas()["v"].tolist()
+    assert x == [1e6, 1e6, 2e6, 2e6, 1e6, 1e6, 1e6]
+
+
+def _weeks(spark, closes, volumes):
+    rows = [("US", "A", dt.date(2020, 1, 6) + dt.timedelta(days=7 * k), *[float(c)] * 4, float(v)) for k, (c, v) in enumerate(zip(closes, volumes, strict=True))]
+    return exits.distribution_weeks(spark.createDataFrame(rows, BARS)).first()["distribution_weeks"]
+
+
+def test_two_falling_weeks_on_more_volume_are_distribution(spark):
+    assert _weeks(spark, [10, 10, 10, 10, 10, 10, 9, 8], [1] * 6 + [2, 2])
+    assert not _weeks(spark, [10, 10, 10, 10, 10, 10, 9, 8], [1] * 8)
+    assert not _weeks(spark, [10, 10, 10, 10, 10, 8, 9, 8], [1] * 6 + [2, 2])
+    assert not _weeks(spark, [10, 10, 9, 8], [1, 1, 2, 2])
+
+
+def _setup(spark, **change):
+    """A complete base inside the buy window, with some columns changed."""
+    row = dict(
+        market="US", ticker="A", k=300, o=99.0, h=101.0, l=98.0, c=100.0, v=1e6, h1=99.0, c10=95.0, ma50=95.0, vol50=1e6, hi252=105.0, pivot=101.0, depths=[20.0, 10.0, 5.0], dry_up=True, vcp=True, r0=10.0, r1=9.0, hi40=104.0, low10=94.0, best9=99.0, depth75=15.0, high5=100.5,
+        low8=97.0, adr=3.0, atr=2.0, accumulation=1, distribution=1, pass_all=True, episodic=False, burst=False, ma20_bounce=False, ma20_stop=97.0, ma50_bounce=False, ma50_stop=96.0, price_above_ma50=True,
+    ) | change
+    kinds = {"market": "string", "ticker": "string", "k": "int", "depths": "array<double>", "accumulation": "long", "distribution": "long"}
+    kind = lambda n, v: kinds.get(n) or ("boolean" if n in ("dry_up", "vcp", "pass_all", "episodic", "burst", "ma20_bounce", "ma50_bounce", "price_above_ma50") else "double")
+    df = spark.createDataFrame([tuple(row.values())], ", ".join(f"{n} {kind(n, v)}" for n, v in row.items()))
+    return bd.judge(df.withColumn("checks", F.struct("price_above_ma50"))).first()
+
+
+def test_buckets_follow_base_window_range_and_warnings(spark):
+    assert _setup(spark)["bucket"] == "swing"
+    assert _setup(spark, pass_all=False)["bucket"] == "forming"
+    assert _setup(spark, adr=1.0)["bucket"] == "watchlist"
+    assert _setup(spark, pivot=97.0)["bucket"] == "watchlist"  # 3 % above: chasing
+    assert _setup(spark, vcp=False)["bucket"] == "watchlist" and _setup(spark, vcp=False, depths=[5.0])["bucket"] == "position"
+    x = _setup(spark, pivot=102.0, best9=102.5)
+    assert (x["bucket"], x["demoted_by"], x["failed_breakout"]) == ("watchlist", "failed_breakout", True)
+    assert _setup(spark, episodic=True, burst=True)["demoted_by"] == "episodic_pivot_unverified"
+
+
+def test_a_live_bounce_decides_entry_and_stop(spark):
+    x = _setup(spark)
+    assert (x["tactic"], x["entry"], x["stop"]) == ("breakout", 101.0, 94.0)
+    x = _setup(spark, ma20_bounce=True, ma50_bounce=True)
+    assert (x["tactic"], x["entry"], x["stop"], x["target2r"]) == ("ma20_bounce", 100.0, 97.0, 106.0)
+    assert _setup(spark, ma20_bounce=True, pass_all=False)["tactic"] == "breakout"
+    far = _setup(spark, pivot=130.0)
+    assert far["pv"] is None and far["entry"] == 100.0
+
+
+def test_burst_yields_to_the_episodic_pivot(spark):
+    assert _setup(spark, burst=True)["burst"] and not _setup(spark, burst=True, episodic=True)["burst"]
+
+
+def test_signals_need_a_base_and_both_prices(spark):
+    names = "market ticker d bucket pivot stop target2r early_entry_trigger early_entry_stop ma20_bounce_trigger ma20_bounce_stop ma50_bounce_trigger ma50_bounce_stop episodic_pivot_trigger episodic_pivot_stop".split()
+    rows = [("US", "A", DAY, "swing", 10.0, 9.0, 12.0, 9.5, 9.0, None, None, None, None, 11.0, None), ("US", "B", DAY, "position", 10.0, 9.0, 12.0, 9.5, 9.0, 8.0, 7.0, None, None, None, None)]
+    got = rc.from_board(spark.createDataFrame(rows, ", ".join(f"{n} {'date' if n == 'd' else 'string' if k < 4 else 'double'}" for k, n in enumerate(names)))).collect()
+    assert sorted((r["ticker"], r["kind"], r["target"]) for r in got) == [("A", "breakout", 12.0), ("A", "early_entry", 10.5), ("B", "ma20_bounce", 10.0)]
+
+
+def test_curves_without_movement_have_no_ratio(spark):
+    x = rc.curve_statistics(spark.createDataFrame([("US", DAY + dt.timedelta(days=k), 100.0) for k in range(5)], "market string, d date, equity double"), 100.0).first()
+    assert x["sharpe"] is None and x["max_drawdown"] == 0.0 and x["growth"] == 0.0
+
+
+def test_a_stale_market_is_an_error(spark):
+    b = _bars(spark, {"A": [10.0] * 3})
+    vd.assert_fresh(b, spark.createDataFrame([("US", DAY + dt.timedelta(days=2))], "market string, session date"))
+    with pytest.raises(ValueError):
+        vd.assert_fresh(b, spark.createDataFrame([("MY", DAY)], "market string, session date"))
+
+
+def test_vendor_codes(spark):
+    x = spark.createDataFrame([("1155.KL",), ("AAPL",), ("BRK.B",)], "t string").select(vd.to_vendor(F.col("t")).alias("v")).toPandas()["v"].tolist()
+    assert x == ["1155.KLSE", "AAPL.US", "BRK.B"]
+
+
+def test_a_grade_demotes_only_swings(spark):
+    rows = [("US", "A", "swing", "x", ""), ("US", "B", "position", "x", ""), ("US", "C", "swing", "x", "below_50ma")]
+    b = spark.createDataFrame(rows, "market string, ticker string, bucket string, industry string, demoted_by string")
+    fund = spark.createDataFrame([("A", "E"), ("B", "E"), ("C", "E")], "ticker string, grade string")
+    none = spark.createDataFrame([], "ticker string, name string"), spark.createDataFrame([], "market string, industry string, group_rank int")
+    got = {r["ticker"]: (r["bucket"], r["demoted_by"]) for r in en.enrich(b, *none, fund).collect()}
+    assert got == {"A": ("watchlist", "grade_E"), "B": ("position", ""), "C": ("watchlist", "below_50ma,grade_E")}
+
+
+def test_merged_maps_let_the_new_entry_stand(spark):
+    x = spark.sql("select map('US', 1, 'MY', 2) a, map('MY', 3) b, cast(null as map<string,int>) c").select(st.merge_maps(F.col("a"), F.col("b")).alias("ab"), st.merge_maps(F.col("a"), F.col("c")).alias("ac"), st.merge_maps(F.col("c"), F.col("b")).alias("cb")).first()
+    assert (x["ab"], x["ac"], x["cb"]) == ({"US": 1, "MY": 3}, {"US": 1, "MY": 2}, {"MY": 3})
+
+
+def test_news_order_survives_ids_that_are_no_numbers(spark):
+    rows = [("A", "announcement", i, None) for i in ("9", "10", "00-1", "123456789012345678901234567890")] + [("A", "announcement", "5", DAY)]
+    x = st.news_window(spark.createDataFrame(rows, "ticker string, kind string, item_id string, published date"), "2020-02-01", announcements=4).toPandas()["item_id"].tolist()
+    assert sorted(x) == sorted(["5", "123456789012345678901234567890", "10", "9"])
+
+
 def test_ghost_sessions_are_no_sessions(spark):
     paths = {f"T{k:02}": [10 + 0.1 * i if i not in (150, 151) else None for i in range(300)] for k in range(20)}
     paths["JUNK"] = [5.0] * 300
@@ -203,9 +331,14 @@ def test_two_phase_replay_equals_a_daily_loop(spark, seed):
 
 
 def test_bootstrap_repeats_and_orders_its_percentiles(spark):
-    t = spark.createDataFrame([("US", r) for r in (2.0, -1.0, 1.5, -1.0, 0.5)], "market string, r double")
-    a, b = rp.bootstrap(t, draws=400).first(), rp.bootstrap(t, draws=400).first()
-    assert a == b and a["growth_p5"] <= a["growth_p50"] <= a["growth_p95"]
+    r = random.Random(3)
+    rows = [("US", r.choice([-1.0, -0.5, 2.0])) for _ in range(30)] + [("MY", 1.0)] * 25 + [("SG", 1.0)] * 19
+    t = spark.createDataFrame(rows, "market string, r double")
+    a, b = ({x["market"]: x for x in rp.bootstrap(t).collect()} for _ in range(2))
+    assert a == b and a["US"]["growth_p5"] < a["US"]["growth_p50"] < a["US"]["growth_p95"] and a["US"]["fall_p5"] < a["US"]["fall_p95"] <= 0
+    # one and the same win in any order: half a year of it, and no fall
+    assert a["MY"]["growth_p5"] == pytest.approx((1.01**50 - 1) * 100) and (a["MY"]["fall_p5"], a["MY"]["halved"], a["MY"]["draws"]) == (0.0, 0.0, 10_000)
+    assert a["SG"]["thin"] and a["SG"]["growth_p50"] is None and a["SG"]["draws"] == 0
 
 
 def test_negative_base_has_no_growth_and_few_boxes_no_grade(spark):
