@@ -24,7 +24,7 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(_table(spark, sf_dir, "documents"))
+    return jaccard.join(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,8 @@ LIST_CHANGES = [
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pages has no fetch time: each page counts as fetched at noon of a day of 2024 that its id gives."""
-    changes = spark.createDataFrame(LIST_CHANGES, "list string, kind string, value string, category string, action string, effective string").withColumn("effective", F.to_timestamp("effective"))
+    names = "list string, kind string, value string, category string, action string, effective string"
+    changes = spark.createDataFrame(LIST_CHANGES, names).withColumn("effective", F.to_timestamp("effective"))
     fetched = F.timestamp_seconds(F.lit(1_704_110_400) + F.pmod("page_id", F.lit(366)) * 86_400)
     return url_filter.evaluate(_table(spark, sf_dir, "pages").select("page_id", "url").withColumn("fetched", fetched), changes)
 
@@ -99,5 +100,31 @@ SELECT page_id, host, coalesce(list, 'none') AS decision, value AS entry, catego
 FROM pages_at LEFT JOIN (SELECT * FROM hits WHERE k = 1) USING (page_id)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_store, op2_ngram_jaccard, op3_decontaminate, op4_ordinal_quality, op5_token_counts, op6_polytope_neardup, op7_bpe_stream, op8_url_filter, op9_repeated_strings, op10_license_scan)}
-ORACLE_SQL: dict[str, str] = {"op8_url_filter": OP8_SQL}
+OP2_SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+runs AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM words),
+shingles AS (SELECT DISTINCT doc_id, s FROM runs),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+links AS (SELECT a.doc_id AS u, b.doc_id AS v FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id WHERE 5 * x.n >= 4 * y.n AND 5 * y.n >= 4 * x.n
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+ends AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT reach.doc_id, ends.v FROM reach JOIN ends ON ends.u = reach.c),
+least AS (SELECT doc_id, min(c) AS component_id FROM reach GROUP BY 1)
+SELECT documents.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents JOIN least USING (doc_id) LEFT JOIN sizes USING (doc_id)
+"""
+
+OP6_SQL = """
+WITH RECURSIVE sound AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ends AS (SELECT a.vec_id AS u, b.vec_id AS v FROM sound a JOIN sound b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.93),
+reach AS (SELECT vec_id, vec_id AS c FROM embeddings UNION SELECT reach.vec_id, ends.v FROM reach JOIN ends ON ends.u = reach.c),
+degree AS (SELECT u, count(*) AS n FROM ends GROUP BY 1), least AS (SELECT vec_id, min(c) AS component_id FROM reach GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM least LEFT JOIN degree ON u = vec_id
+"""
+
+_ALL = (
+    op1_token_store, op2_ngram_jaccard, op3_decontaminate, op4_ordinal_quality, op5_token_counts,
+    op6_polytope_neardup, op7_bpe_stream, op8_url_filter, op9_repeated_strings, op10_license_scan,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
+ORACLE_SQL: dict[str, str] = {"op2_ngram_jaccard": OP2_SQL, "op6_polytope_neardup": OP6_SQL, "op8_url_filter": OP8_SQL}

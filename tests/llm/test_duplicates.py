@@ -208,5 +208,31 @@ def test_vectors_link_as_their_cosines_do(spark, monkeypatch, chunk):
     assert all(x["kept"] == (x["component_id"] == k) for k, x in got.items())
 
 
+@pytest.mark.parametrize("dim", [48, 384])
+def test_recall_at_the_threshold(spark, dim):
+    """Pairs just above the threshold, the hardest to find: at least nine in ten have to be found."""
+    r, rows = np.random.default_rng(dim), []
+    for k in range(250):
+        a, b = r.normal(size=dim), r.normal(size=dim)
+        a /= np.linalg.norm(a)
+        b -= (a @ b) * a
+        b /= np.linalg.norm(b)
+        c = r.uniform(0.93, 0.95)
+        rows += [(2 * k, a.tolist(), k % 3), (2 * k + 1, (c * a + np.sqrt(1 - c * c) * b).tolist(), k % 3)]
+    got = polytope.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)).collect()
+    links = _cosines(rows)
+    assert len(links) >= 240 and sum(x["n_links"] for x in got) >= 0.9 * 2 * len(links)
+    assert sum(x["n_links"] for x in got) <= 2 * len(links)
+
+
+def test_vectors_without_or_with_repeated_ids(spark):
+    """Null ids link with nothing; rows of one id each count; other columns, whatever their names, are not read."""
+    v, w = [1.0, 2.0, 3.0, 4.0], [1.0, 2.0, 3.0, 4.01]
+    rows = [(None, v, 1, "x", 7), (5, v, 1, None, 7), (5, v, 1, "x", None), (7, w, 1, "k", 1), (8, v, None, "k", 1), (9, v, 2, "k", 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, rep string, n_links int")
+    got = sorted(map(tuple, polytope.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(None, 0, None, None), (5, 2, 5, True), (5, 2, 5, True), (7, 2, 5, False), (8, 0, 8, True), (9, 0, 9, True)], key=str)
+
+
 def test_no_vectors(spark):
     assert polytope.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int, key string")).count() == 0

@@ -326,6 +326,42 @@ def test_pipeline_stages_decide_and_keep_whole_rows(spark):
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, corpus_pipeline.run(spark, SF).collect()))
 
 
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long, row_key string, place int"
+
+
+def _write(spark, path, docs):
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(1, "a question that the benchmark asks of every model alone"), (None, "x"), (2, None)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path, monkeypatch):
+    """Nulls in every column, repeated ids, equal rows, names that clash: every stage has its defined result."""
+    r = random.Random(9)
+    words = [f"w{k}" for k in range(400)]
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    a, b, c = text(60), text(60), text(80)
+    rows = [(1, a, "en", "s", 1, "k", 1), (1, b, None, "s", 1, "k", 1), (2, a, "en", None, 1, None, 2), (3, c, "en", "s", None, "k", None), (3, c, "en", "s", None, "k", None), (3, c, "de", "s", 5, "k", None)]
+    rows += [(None, a, None, None, None, None, None), (None, None, None, None, None, None, None), (4, None, "en", "s", 0, "k", 1), (5, "", "en", "s", 0, "k", 1), (5, " ", "en", "s", 0, "k", 1), (6, text(40) + " a question that the benchmark asks of every model alone " + text(40), "en", "s", 9, "k", 1)]
+    docs = spark.createDataFrame(rows, DOCUMENTS).repartition(3)
+    _write(spark, str(tmp_path), docs)
+    monkeypatch.setattr(ordinal, "select", lambda d, *_: d)
+    kept = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    got = sorted(((x["doc_id"], x["text"], x["lang"]) for x in kept.collect()), key=str)
+    third = [x for x in got if x[0] == 3]
+    assert len(third) == 1 and third[0][1] == c
+    assert [x for x in got if x[0] != 3] == sorted([(1, a, "en"), (1, b, None), (None, a, None), (None, None, None), (4, None, "en"), (5, "", "en"), (5, " ", "en"), (6, rows[-1][1], "en")], key=str)
+    assert got == sorted(((x["doc_id"], x["text"], x["lang"]) for x in corpus_pipeline.near_duplicates(spark, docs.repartition(5), str(tmp_path)).collect()), key=str)
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(out) == len(got) - 1 and 6 not in {x["doc_id"] for x in out}
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    _write(spark, str(tmp_path), spark.createDataFrame([], DOCUMENTS))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_registered_names():
     assert sorted(queries.QUERIES, key=lambda x: int(re.match(r"op(\d+)_", x)[1])) and {int(re.match(r"op(\d+)_", x)[1]) for x in queries.QUERIES} == set(range(1, 11))
     assert os.path.exists(corpus_pipeline.__file__)
