@@ -63,6 +63,7 @@ def note_order(board: DataFrame, per_market: int = NOTES) -> DataFrame:
 
 def tactic_markers(rows: DataFrame) -> DataFrame:
     """market, ticker, d, position, text of a chart's marks for the live tactics of each row (flags, and the tag days of bounces)."""
+    # The texts of the marks, and where they stand.
 
     def mark(on: Column, day: Column, position: str, text: str) -> Column:
         return F.when(on, F.struct(day.alias("at"), F.lit(position).alias("position"), F.lit(text).alias("text")))
