@@ -1,12 +1,11 @@
-"""Queries of chart patterns and of what the board says of each candidate."""
+"""Queries of chart patterns."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from tapeloom.operators import charts
-from tapeloom.operators import indicators as ind
-from tapeloom.plans.indicators import FEATURES_SQL, _r
+from tapeloom.plans.indicators import _r
 from tapeloom.plans.structures import _swings_sql
 from tapeloom.registry import query
 from tapeloom.sources.panel import bars
@@ -33,14 +32,3 @@ r_head AS (SELECT market, ticker, 'head and shoulders' AS name, neck AS pv FROM
 @query(_T + ", " + ", ".join((CUP_SQL, TIGHT_SQL, FLAG_SQL, TRI_SQL, HEAD_SQL)) + " SELECT ticker, name, round(pv, 6) AS pivot FROM (SELECT * FROM r_cup UNION ALL SELECT * FROM r_tight UNION ALL SELECT * FROM r_flag UNION ALL SELECT * FROM r_tri UNION ALL SELECT * FROM r_head)")
 def chart_patterns(spark, sf_dir):
     return charts.chart_patterns(bars(spark, sf_dir)).select("ticker", "name", _r(F.col("pivot"), "pivot"))
-
-
-@query(FEATURES_SQL + """, recent AS (SELECT *, row_number() OVER (PARTITION BY market, ticker ORDER BY d DESC) AS r FROM features),
-last AS (SELECT ticker, list({'d': d, 'c': c, 'm': round(ma50, 4)} ORDER BY d) AS candles FROM recent WHERE r <= 130 GROUP BY 1) SELECT ticker, len(candles) AS n, candles[1].d AS first, candles[-1].d AS last, round(list_sum([x.c for x in candles]), 4) AS total, round(candles[-1].m, 4) AS ma50 FROM last""")
-def candle_payload(spark, sf_dir):
-    x = ind.features(bars(spark, sf_dir))
-    from tapeloom.functions.frames import newest_first
-
-    last = x.withColumn("r", F.row_number().over(newest_first())).filter("r <= 130").groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("d", "o", "h", "l", "c", "v", F.round("ma50", 4).alias("m50")))).alias("candles"))
-    total = F.aggregate("candles", F.lit(0.0), lambda a, y: a + y["c"])
-    return last.select("ticker", F.size("candles").cast("long").alias("n"), F.get("candles", F.lit(0))["d"].alias("first"), F.element_at("candles", -1)["d"].alias("last"), F.round(total, 4).alias("total"), F.element_at("candles", -1)["m50"].alias("ma50"))

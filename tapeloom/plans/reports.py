@@ -1,18 +1,17 @@
-"""Queries of the reports: exits, filing windows, grouped news, board changes, regimes of trades."""
+"""Queries of the reports: exits, filing windows, grouped news, regimes of trades."""
 
 from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tapeloom.operators import indicators as ind
 from tapeloom.operators import replay as rp
 from tapeloom.plans import market as mk_plans
 from tapeloom.plans.evaluation import REPLAY_SQL, _flagged
 from tapeloom.plans.fundamentals import QUARTERS_SQL, quarters
-from tapeloom.plans.indicators import FEATURES_SQL, _r
+from tapeloom.plans.indicators import _r
 from tapeloom.registry import ORACLE_SQL, query
-from tapeloom.sources.panel import BARS_SQL, SESSION_SQL, bars, session_bars, table
+from tapeloom.sources.panel import BARS_SQL, SESSION_SQL, session_bars, table
 
 
 @query("SELECT reason, count(*) AS n, round(sum(px - entry), 1) AS points FROM (" + ORACLE_SQL["replay_candidates"] + ") WHERE reason <> 'open' GROUP BY 1")
@@ -37,17 +36,6 @@ def grouped_news(spark, sf_dir):
     return docs.join(F.broadcast(top.select("lang")), "lang").withColumn("place", F.row_number().over(w)).filter("place <= 2").select("lang", "doc_id", F.col("place").cast("long").alias("place"))
 
 
-@query(FEATURES_SQL + """, n AS (SELECT market, ticker, rs_raw, row_number() OVER (PARTITION BY market, ticker ORDER BY d DESC) AS r FROM features), now AS (SELECT market, ticker FROM n WHERE r = 1 AND rs_raw IS NOT NULL QUALIFY row_number() OVER (PARTITION BY market ORDER BY rs_raw DESC, ticker) <= 10),
-was AS (SELECT market, ticker FROM n WHERE r = 21 AND rs_raw IS NOT NULL QUALIFY row_number() OVER (PARTITION BY market ORDER BY rs_raw DESC, ticker) <= 10)
-SELECT market, ticker, 'new' AS change FROM now WHERE (market, ticker) NOT IN (SELECT (market, ticker) FROM was) UNION ALL SELECT market, ticker, 'dropped' FROM was WHERE (market, ticker) NOT IN (SELECT (market, ticker) FROM now)""")
-def board_changes(spark, sf_dir):
-    w = Window.partitionBy("market", "ticker").orderBy(F.desc("d"))
-    n = ind.features(bars(spark, sf_dir)).select("market", "ticker", "rs_raw", F.row_number().over(w).alias("r")).filter("r in (1, 21) and rs_raw is not null")
-    place = F.row_number().over(Window.partitionBy("market", "r").orderBy(F.desc("rs_raw"), "ticker"))
-    top = n.withColumn("place", place).filter("place <= 10").groupBy("market", "ticker").agg(F.count_if(F.col("r") == 1).alias("now"), F.count_if(F.col("r") == 21).alias("was"))
-    return top.filter("now <> was").select("market", "ticker", F.when(F.col("now") == 1, "new").otherwise("dropped").alias("change"))
-
-
 @query(REPLAY_SQL + """, rg AS (SELECT market, s AS entry_s, light FROM days JOIN regime USING (market, d))
 SELECT market, coalesce(light, 'unmeasured') AS light, count(*) AS trades, round(avg(r), 6) AS expectancy, round(count(*) FILTER (r > 0) / count(*), 6) AS win_rate, count(*) < 20 AS thin FROM trades LEFT JOIN rg USING (market, entry_s) GROUP BY 1, 2""".replace("regime USING", f"({mk_plans.REGIME_SQL.replace(BARS_SQL, SESSION_SQL)} SELECT * FROM regime) USING"))
 def trades_by_regime(spark, sf_dir):

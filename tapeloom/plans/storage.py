@@ -41,11 +41,11 @@ def purge_unlisted(spark, sf_dir):
     return st.purge(o, table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'"), "c_custkey").select("o_orderkey", F.col("c_custkey").alias("o_custkey"))
 
 
-@query("SELECT event_type, count(*) AS n, min(CAST(ts AS DATE)) AS first, max(CAST(ts AS DATE)) AS last FROM events WHERE CAST(ts AS DATE) >= (SELECT max(CAST(ts AS DATE)) FROM events) - 14 GROUP BY 1")
+@query("SELECT event_type, count(*) AS n, min(CAST(ts AS DATE)) AS first, max(CAST(ts AS DATE)) AS last FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-25' - 14 GROUP BY 1")
 def prune_window(spark, sf_dir):
-    e = _events(spark, sf_dir)
-    edge = e.agg(F.date_sub(F.max("d"), 14).alias("edge"))
-    return e.join(F.broadcast(edge), F.col("d") >= F.col("edge")).groupBy("event_type").agg(F.count("*").alias("n"), F.min("d").alias("first"), F.max("d").alias("last"))
+    """What ten sessions span: fourteen days."""
+    x = st.prune(_events(spark, sf_dir), "2024-01-25", 10)
+    return x.groupBy("event_type").agg(F.count("*").alias("n"), F.min("d").alias("first"), F.max("d").alias("last"))
 
 
 @query(BARS_SQL + """, rec AS (SELECT market, min(d) AS since FROM (SELECT DISTINCT market, d FROM bars QUALIFY dense_rank() OVER (PARTITION BY market ORDER BY d DESC) <= 3) GROUP BY 1),
@@ -66,9 +66,11 @@ def coverage_check(spark, sf_dir):
     return x.select("market", "d", "n", F.round(F.coalesce("usual", F.lit(0.0)), 6).alias("usual"), "short")
 
 
-@query(BARS_SQL + " SELECT market, count(*) AS bars, count(DISTINCT ticker) AS tickers, min(d) AS first, max(d) AS last, (SELECT mode(d) FROM (SELECT d FROM bars b2 WHERE b2.market = bars.market ORDER BY d)) IS NOT NULL AS has_mode FROM bars GROUP BY market")
+@query(BARS_SQL + """, n AS (SELECT market, d, count(*) AS n FROM bars GROUP BY 1, 2), m AS (SELECT market, d AS mode FROM n QUALIFY row_number() OVER (PARTITION BY market ORDER BY n DESC, d) = 1)
+SELECT market, count(*) AS bars, count(DISTINCT ticker) AS tickers, min(d) AS first, max(d) AS last, max(mode) AS mode FROM bars JOIN m USING (market) GROUP BY market""")
 def size_report(spark, sf_dir):
-    return bars(spark, sf_dir).groupBy("market").agg(F.count("*").alias("bars"), F.count_distinct("ticker").alias("tickers"), F.min("d").alias("first"), F.max("d").alias("last"), F.mode("d", True).isNotNull().alias("has_mode"))
+    x = bars(spark, sf_dir).groupBy("market")
+    return x.agg(F.count("*").alias("bars"), F.count_distinct("ticker").alias("tickers"), F.min("d").alias("first"), F.max("d").alias("last"), F.mode("d", True).alias("mode"))
 
 
 # An ordered list of rules for kinds of announcement; the first that fits decides.

@@ -27,5 +27,5 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
-for _part in ("indicators", "structures", "dossier", "board", "market", "signals", "evaluation", "fundamentals", "storage", "vendor", "receipts", "reports"):
+for _part in ("indicators", "structures", "dossier", "board", "market", "signals", "evaluation", "fundamentals", "storage", "vendor", "receipts", "reads", "reports"):
     import_module(f"tapeloom.plans.{_part}")

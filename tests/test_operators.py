@@ -380,3 +380,20 @@ def test_stream_counts_equal_the_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("hours").agg(F.sum("n")).first()[0] == e.count()
+
+
+def test_command_line_scans_and_backtests(spark, tmp_path, capsys):
+    from tapeloom import __main__ as cli
+    from tapeloom.sources.panel import session_bars
+
+    session_bars(spark, "/root/testdata/sf0.001").write.parquet(str(tmp_path / "bars"))
+    cli.main(["scan", "--bars", str(tmp_path / "bars"), "--out", str(tmp_path / "scan")])
+    cli.main(["backtest", "--bars", str(tmp_path / "bars"), "--out", str(tmp_path / "test"), "--strategy", "donchian", "--market", "MY"])
+    trades = spark.read.parquet(str(tmp_path / "test" / "trades"))
+    assert trades.count() > 0 and {r["market"] for r in trades.select("market").distinct().collect()} == {"MY"}
+    assert spark.read.parquet(str(tmp_path / "scan" / "candles")).count() == spark.read.parquet(str(tmp_path / "scan" / "board")).count()
+    cli.main(["list"])
+    cli.main(["sql", "board"])
+    assert "replay_trades" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        cli.main(["backtest", "--bars", "x", "--out", "y", "--strategy", "none"])
