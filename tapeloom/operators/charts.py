@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.operators.structures import _tail, swings
+from tapeloom.operators.storage import union_all
+from tapeloom.operators.structures import _tail, double_bottoms, double_tops, swings
 
 KEY = ["market", "ticker"]
 
@@ -75,7 +76,8 @@ def head_and_shoulders(bars: DataFrame) -> DataFrame:
 
 
 def chart_patterns(bars: DataFrame) -> DataFrame:
-    """All of these, one row per ticker and name; a high tight flag suppresses a bull flag."""
+    """All of these and the double bottoms and tops, one row per ticker and name: market, ticker, name, pivot; a high tight flag suppresses a bull flag."""
     tight = high_tight_flag(bars)
     flags = bull_flag(bars).join(tight.select(*KEY), KEY, "left_anti")
-    return cup_and_handle(bars).unionByName(tight).unionByName(flags).unionByName(ascending_triangle(bars)).unionByName(head_and_shoulders(bars))
+    doubles = [f(bars).select(*KEY, F.lit(name).alias("name"), F.col("middle").alias("pivot")) for f, name in ((double_bottoms, "double bottom"), (double_tops, "double top"))]
+    return union_all([cup_and_handle(bars), tight, flags, ascending_triangle(bars), head_and_shoulders(bars), *doubles]).dropDuplicates([*KEY, "name"])

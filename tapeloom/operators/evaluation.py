@@ -50,31 +50,43 @@ def forward_returns(rows: DataFrame, bars: DataFrame, sessions: int = config.FOR
     return x.select("row.*", ((F.col("next.c1") / F.col("next.c") - 1) * 100).alias("fwd"))
 
 
-def buckets(rows: DataFrame, factor: str, n: int = config.BUCKETS, ranges: int = 200) -> DataFrame:
-    """Equal-count buckets 1..n of a factor by market; ties go by ticker and day; rows without a factor go.
+def unpivoted(rows: DataFrame, factors: list[str]) -> DataFrame:
+    """One row per row and factor that it has: market, ticker, d, fwd, factor, value."""
+    pairs = F.array(*(F.struct(F.lit(f).alias("factor"), F.col(f).cast("double").alias("value")) for f in factors))
+    return rows.select("market", "ticker", "d", "fwd", F.explode(pairs).alias("x")).select("market", "ticker", "d", "fwd", "x.*").filter("value is not null and not isnan(value)")
 
-    Rows are ordered in value ranges (approximate percentiles of the market) whose counts add up to exact places, so
-    no market is sorted in one task; only rows of one and the same value share a range of necessity.
+
+def buckets(rows: DataFrame, factor: str, n: int = config.BUCKETS, by: tuple[str, ...] = ("market",), ranges: int = 200) -> DataFrame:
+    """Equal-count buckets 1..n of a factor by group; ties go by ticker and day; rows without a factor go, and groups of one row.
+
+    Rows are ordered in value ranges (approximate percentiles of the group) whose counts add up to exact places, so no
+    group is sorted in one task; only rows of one and the same value share a range of necessity.
     """
     x = rows.filter(F.col(factor).isNotNull())
-    cuts = x.groupBy("market").agg(F.percentile_approx(factor, [k / ranges for k in range(1, ranges)], 10_000).alias("_cuts"), F.count("*").alias("_n"))
-    x = x.join(F.broadcast(cuts), "market").withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(factor)))).drop("_cuts")
-    sizes = x.groupBy("market", "_range").agg(F.count("*").alias("_size"))  # at most so many rows a market
-    before = sizes.select("market", "_range", (F.sum("_size").over(Window.partitionBy("market").orderBy("_range")) - F.col("_size")).alias("_before"))
-    w = Window.partitionBy("market", "_range").orderBy(factor, "ticker", "d")
-    x = x.join(F.broadcast(before), ["market", "_range"]).withColumn("_k", F.row_number().over(w) + F.col("_before")).filter("_n > 1")
+    cuts = x.groupBy(*by).agg(F.percentile_approx(factor, [k / ranges for k in range(1, ranges)], 10_000).alias("_cuts"), F.count("*").alias("_n"))
+    x = x.join(F.broadcast(cuts), [*by]).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(factor)))).drop("_cuts")
+    sizes = x.groupBy(*by, "_range").agg(F.count("*").alias("_size"))  # at most so many rows a group
+    before = sizes.select(*by, "_range", (F.sum("_size").over(Window.partitionBy(*by).orderBy("_range")) - F.col("_size")).alias("_before"))
+    w = Window.partitionBy(*by, "_range").orderBy(factor, "ticker", "d")
+    x = x.join(F.broadcast(before), [*by, "_range"]).withColumn("_k", F.row_number().over(w) + F.col("_before")).filter("_n > 1")
     return x.withColumn("bucket", F.expr(f"greatest(1, ((_k - 1) * {n} + _n - 2) div (_n - 1))").cast("int")).drop("_k", "_n", "_range", "_before")
 
 
-def factor_table(rows: DataFrame) -> DataFrame:
-    """Per market and bucket n, mean, median and win share of fwd, and whether the means never fall from bucket to bucket (three or more, 30 rows or more)."""
-    g = rows.groupBy("market", "bucket").agg(F.count("*").alias("n"), F.avg("fwd").alias("mean"), F.median("fwd").alias("median"), (F.count_if(F.col("fwd") > 0) / F.count("*") * 100).alias("win"))
-    w = Window.partitionBy("market")
+def factor_table(rows: DataFrame, by: tuple[str, ...] = ("market",)) -> DataFrame:
+    """Per group and bucket n, mean, median and win share of fwd, and whether the means never fall from bucket to bucket (three or more, 30 rows or more)."""
+    g = rows.groupBy(*by, "bucket").agg(F.count("*").alias("n"), F.avg("fwd").alias("mean"), F.median("fwd").alias("median"), (F.count_if(F.col("fwd") > 0) / F.count("*") * 100).alias("win"))
+    w = Window.partitionBy(*by)
     up = F.coalesce(F.col("mean") >= F.lag("mean").over(w.orderBy("bucket")), F.lit(True))
     x = g.withColumn("_up", up)
     return x.withColumns({"monotone": F.bool_and("_up").over(w) & (F.count("*").over(w) >= 3), "_all": F.sum("n").over(w)}).filter(F.col("_all") >= config.FACTOR_ROWS).drop("_up", "_all")
 
 
+def graded_table(rows: DataFrame, order: tuple[str, ...] = ("E", "D", "C", "B", "A")) -> DataFrame:
+    """The same for grades, which are buckets themselves, from worst to best; rows of no such grade go."""
+    place = F.array_position(F.array(*(F.lit(x) for x in order)), F.col("grade")).cast("int")
+    return factor_table(rows.withColumn("bucket", place).filter("bucket > 0")).withColumn("grade", F.element_at(F.array(*(F.lit(x) for x in order)), F.col("bucket"))).drop("bucket")
+
+
 def scoreboard(outcomes: DataFrame, as_of: str) -> DataFrame:
     """Per market and kind: counts, win rate of the decided, mean R and profit factor over all time and 30 days, and the drift between them."""
     done = F.col("outcome").isin("win", "loss")

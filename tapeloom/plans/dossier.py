@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.operators import charts
 from tapeloom.plans.indicators import _r
-from tapeloom.plans.structures import _swings_sql
+from tapeloom.plans.structures import BOTTOM_SQL, TOP_SQL, _swings_sql
 from tapeloom.registry import query
 from tapeloom.sources.panel import bars
 
@@ -29,6 +29,6 @@ nk AS (SELECT hs.*, (SELECT min(l) FROM swings s WHERE s.market = hs.market AND
 r_head AS (SELECT market, ticker, 'head and shoulders' AS name, neck AS pv FROM nk JOIN price USING (market, ticker) WHERE neck IS NOT NULL AND h2 > h1 * 1.03::DOUBLE AND h2 > h3 * 1.03::DOUBLE AND abs(h1 - h3) / h1 <= 0.04::DOUBLE AND i3 >= size - 30 AND price.price < h2 * 0.97::DOUBLE)"""
 
 
-@query(_T + ", " + ", ".join((CUP_SQL, TIGHT_SQL, FLAG_SQL, TRI_SQL, HEAD_SQL)) + " SELECT ticker, name, round(pv, 6) AS pivot FROM (SELECT * FROM r_cup UNION ALL SELECT * FROM r_tight UNION ALL SELECT * FROM r_flag UNION ALL SELECT * FROM r_tri UNION ALL SELECT * FROM r_head)")
+@query(_T + ", " + ", ".join((CUP_SQL, TIGHT_SQL, FLAG_SQL, TRI_SQL, HEAD_SQL, BOTTOM_SQL, TOP_SQL)) + " SELECT ticker, name, round(pv, 6) AS pivot FROM (SELECT * FROM r_cup UNION ALL SELECT * FROM r_tight UNION ALL SELECT * FROM r_flag UNION ALL SELECT * FROM r_tri UNION ALL SELECT * FROM r_head UNION ALL SELECT market, ticker, 'double bottom', middle FROM r_bottom UNION ALL SELECT market, ticker, 'double top', middle FROM r_top)")
 def chart_patterns(spark, sf_dir):
     return charts.chart_patterns(bars(spark, sf_dir)).select("ticker", "name", _r(F.col("pivot"), "pivot"))

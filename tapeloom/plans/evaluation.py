@@ -87,6 +87,40 @@ def factor_buckets(spark, sf_dir):
     return x.select("market", "bucket", "n", _r(F.col("mean"), "mean"), _r(F.col("median"), "median"), _r(F.col("win"), "win"), "monotone")
 
 
+@query(GRID_SQL + """,
+own2 AS (SELECT *, lead(c, 20) OVER (PARTITION BY market, ticker ORDER BY d) AS c20 FROM bars),
+cand AS (SELECT market, ticker, d, rs_rank, c / ma50 AS stretch, CASE WHEN s % 40 = 0 THEN v / vol50 END AS surge FROM grid WHERE s % 20 = 0),
+fwd AS (SELECT cand.*, (c20 / c - 1) * 100 AS fwd FROM cand ASOF JOIN (SELECT market AS m2, ticker AS t2, d AS d2, c, c20 FROM own2) o ON m2 = market AND t2 = ticker AND d <= d2 WHERE c20 IS NOT NULL AND c > 0),
+long AS (SELECT market, ticker, d, fwd, 'rs_rank' AS factor, rs_rank AS value FROM fwd UNION ALL SELECT market, ticker, d, fwd, 'stretch', stretch FROM fwd UNION ALL SELECT market, ticker, d, fwd, 'surge', surge FROM fwd),
+rn AS (SELECT *, row_number() OVER (PARTITION BY market, factor ORDER BY value, ticker, d) AS k, count(*) OVER (PARTITION BY market, factor) AS n FROM long WHERE value IS NOT NULL),
+bk AS (SELECT *, CAST(greatest(1, ((k - 1) * 5 + n - 2) // (n - 1)) AS INTEGER) AS bucket FROM rn),
+st AS (SELECT market, factor, bucket, count(*) AS n, avg(fwd) AS mean, median(fwd) AS med, count(*) FILTER (fwd > 0) / count(*) * 100 AS win FROM bk GROUP BY 1, 2, 3),
+up AS (SELECT *, coalesce(mean >= lag(mean) OVER (PARTITION BY market, factor ORDER BY bucket), true) AS up FROM st)
+SELECT market, factor, bucket, n, round(mean, 6) AS mean, round(med, 6) AS median, round(win, 6) AS win, bool_and(up) OVER (PARTITION BY market, factor) AND count(*) OVER (PARTITION BY market, factor) >= 3 AS monotone FROM up QUALIFY sum(n) OVER (PARTITION BY market, factor) >= 30""")
+def factors_compared(spark, sf_dir):
+    """Several factors of a board at once: momentum rank, distance from the 50-day mean, volume surge."""
+    b, by = session_bars(spark, sf_dir), ("market", "factor")
+    x = sg.session_features(b).filter("s % 20 = 0")
+    rows = x.select("market", "ticker", "d", "rs_rank", (F.col("c") / F.col("ma50")).alias("stretch"), F.when(F.col("s") % 40 == 0, F.col("v") / F.col("vol50")).alias("surge"))
+    long = ev.unpivoted(ev.forward_returns(rows, b), ["rs_rank", "stretch", "surge"])
+    y = ev.factor_table(ev.buckets(long, "value", by=by), by)
+    return y.select(*by, "bucket", "n", _r(F.col("mean"), "mean"), _r(F.col("median"), "median"), _r(F.col("win"), "win"), "monotone")
+
+
+@query(GRID_SQL + """,
+own2 AS (SELECT *, lead(c, 20) OVER (PARTITION BY market, ticker ORDER BY d) AS c20 FROM bars),
+cand AS (SELECT market, ticker, d, ['A', 'B', 'C', 'D', 'E', 'none'][ascii(ticker[7]) % 6 + 1] AS grade FROM grid WHERE s % 20 = 0),
+fwd AS (SELECT cand.*, (c20 / c - 1) * 100 AS fwd, list_position(['E', 'D', 'C', 'B', 'A'], grade) AS place FROM cand ASOF JOIN (SELECT market AS m2, ticker AS t2, d AS d2, c, c20 FROM own2) o ON m2 = market AND t2 = ticker AND d <= d2 WHERE c20 IS NOT NULL AND c > 0),
+st AS (SELECT market, grade, place, count(*) AS n, avg(fwd) AS mean, median(fwd) AS med FROM fwd WHERE place > 0 GROUP BY 1, 2, 3), up AS (SELECT *, coalesce(mean >= lag(mean) OVER (PARTITION BY market ORDER BY place), true) AS up FROM st)
+SELECT market, grade, n, round(mean, 6) AS mean, round(med, 6) AS median, bool_and(up) OVER (PARTITION BY market) AND count(*) OVER (PARTITION BY market) >= 3 AS monotone FROM up QUALIFY sum(n) OVER (PARTITION BY market) >= 30""")
+def grades_compared(spark, sf_dir):
+    b = session_bars(spark, sf_dir)
+    letter = F.element_at(F.array(*(F.lit(x) for x in ("A", "B", "C", "D", "E", "none"))), F.ascii(F.substring("ticker", 7, 1)) % 6 + 1)
+    rows = sg.session_features(b).filter("s % 20 = 0").select("market", "ticker", "d", letter.alias("grade"))
+    x = ev.graded_table(ev.forward_returns(rows, b))
+    return x.select("market", "grade", "n", _r(F.col("mean"), "mean"), _r(F.col("median"), "median"), "monotone")
+
+
 def _flagged(spark, sf_dir, strategy="donchian"):
     return sg.signals(sg.session_features(session_bars(spark, sf_dir)), strategy)
 

@@ -52,18 +52,24 @@ def candle_shapes(spark, sf_dir):
     return st.candle_shapes(ind.features(bars(spark, sf_dir))).select("ticker", "d", "doji", "hammer", "shooting_star", "bullish_engulfing", "bearish_engulfing", "inside_day", "nr7", "gap_up")
 
 
-@query(_swings_sql(120) + """, price AS (SELECT market, ticker, c AS price FROM swings WHERE i = n - 1 AND n >= 45),
+BOTTOM_SQL = """bprice AS (SELECT market, ticker, c AS price FROM swings WHERE i = n - 1 AND n >= 45),
 lows AS (SELECT market, ticker, i AS i1, l AS l1, lead(i) OVER w AS i2, lead(l) OVER w AS l2 FROM swings WHERE low AND n >= 45 WINDOW w AS (PARTITION BY market, ticker ORDER BY i)),
-mid AS (SELECT a.*, (SELECT max(h) FROM swings s WHERE s.market = a.market AND s.ticker = a.ticker AND s.high AND s.i > i1 AND s.i < i2) AS middle FROM lows a WHERE i2 - i1 >= 10 AND abs(l1 - l2) / l1 <= 0.03::DOUBLE)
-SELECT ticker, i1, i2, round(middle, 6) AS middle FROM mid JOIN price USING (market, ticker) WHERE middle >= least(l1, l2) * 1.06::DOUBLE AND price > middle * 0.97::DOUBLE QUALIFY row_number() OVER (PARTITION BY market, ticker ORDER BY i1) = 1""")
+bmid AS (SELECT a.*, (SELECT max(h) FROM swings s WHERE s.market = a.market AND s.ticker = a.ticker AND s.high AND s.i > i1 AND s.i < i2) AS middle FROM lows a WHERE i2 - i1 >= 10 AND abs(l1 - l2) / l1 <= 0.03::DOUBLE),
+r_bottom AS (SELECT market, ticker, i1, i2, middle FROM bmid JOIN bprice USING (market, ticker) WHERE middle >= least(l1, l2) * 1.06::DOUBLE AND price > middle * 0.97::DOUBLE QUALIFY row_number() OVER (PARTITION BY market, ticker ORDER BY i1) = 1)"""
+
+
+@query(_swings_sql(120) + ", " + BOTTOM_SQL + " SELECT ticker, i1, i2, round(middle, 6) AS middle FROM r_bottom")
 def double_bottoms(spark, sf_dir):
     return st.double_bottoms(bars(spark, sf_dir)).select("ticker", F.col("i1").cast("long").alias("i1"), F.col("i2").cast("long").alias("i2"), _r(F.col("middle"), "middle"))
 
 
-@query(_swings_sql(120) + """, price AS (SELECT market, ticker, c AS price, n AS size FROM swings WHERE i = n - 1 AND n >= 45),
+TOP_SQL = """tprice AS (SELECT market, ticker, c AS price, n AS size FROM swings WHERE i = n - 1 AND n >= 45),
 tops AS (SELECT market, ticker, i AS i1, h AS h1, lead(i) OVER w AS i2, lead(h) OVER w AS h2 FROM swings WHERE high AND n >= 45 WINDOW w AS (PARTITION BY market, ticker ORDER BY i)),
-mid AS (SELECT a.*, (SELECT min(l) FROM swings s WHERE s.market = a.market AND s.ticker = a.ticker AND s.low AND s.i > i1 AND s.i < i2) AS middle FROM tops a WHERE i2 - i1 >= 10 AND abs(h1 - h2) / h1 <= 0.03::DOUBLE)
-SELECT ticker, i1, i2, round(middle, 6) AS middle FROM mid JOIN price USING (market, ticker) WHERE i2 >= size - 40 AND middle <= greatest(h1, h2) * 0.94::DOUBLE AND price < greatest(h1, h2) * 0.99::DOUBLE QUALIFY row_number() OVER (PARTITION BY market, ticker ORDER BY i1) = 1""")
+tmid AS (SELECT a.*, (SELECT min(l) FROM swings s WHERE s.market = a.market AND s.ticker = a.ticker AND s.low AND s.i > i1 AND s.i < i2) AS middle FROM tops a WHERE i2 - i1 >= 10 AND abs(h1 - h2) / h1 <= 0.03::DOUBLE),
+r_top AS (SELECT market, ticker, i1, i2, middle FROM tmid JOIN tprice USING (market, ticker) WHERE i2 >= size - 40 AND middle <= greatest(h1, h2) * 0.94::DOUBLE AND price < greatest(h1, h2) * 0.99::DOUBLE QUALIFY row_number() OVER (PARTITION BY market, ticker ORDER BY i1) = 1)"""
+
+
+@query(_swings_sql(120) + ", " + TOP_SQL + " SELECT ticker, i1, i2, round(middle, 6) AS middle FROM r_top")
 def double_tops(spark, sf_dir):
     return st.double_tops(bars(spark, sf_dir)).select("ticker", F.col("i1").cast("long").alias("i1"), F.col("i2").cast("long").alias("i2"), _r(F.col("middle"), "middle"))
 
