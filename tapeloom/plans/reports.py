@@ -20,7 +20,9 @@ def exits_by_reason(spark, sf_dir):
     return x.groupBy("reason").agg(F.count("*").alias("n"), F.round(F.sum(F.round("px", 6) - F.round("entry", 6)), 1).alias("points"))
 
 
-@query(QUARTERS_SQL + " SELECT ticker, CAST(max(q_end) + 151 AS DATE) AS expected, date_diff('day', DATE '2001-11-15', CAST(max(q_end) + 151 AS DATE)) AS days, date_diff('day', DATE '2001-11-15', CAST(max(q_end) + 151 AS DATE)) BETWEEN -7 AND 14 AS high_risk FROM quarters WHERE q_end <= DATE '2001-11-15' GROUP BY 1")
+@query(QUARTERS_SQL + """ SELECT ticker, CAST(max(q_end) + 151 AS DATE) AS expected, date_diff('day', DATE '2001-11-15', CAST(max(q_end) + 151 AS DATE)) AS days,
+  date_diff('day', DATE '2001-11-15', CAST(max(q_end) + 151 AS DATE)) BETWEEN -7 AND 14 AS high_risk FROM quarters WHERE q_end <= DATE '2001-11-15'
+  GROUP BY 1""")
 def filing_windows(spark, sf_dir):
     as_of = F.lit("2001-11-15").cast("date")
     x = quarters(spark, sf_dir).filter(F.col("q_end") <= as_of).groupBy("ticker").agg(F.date_add(F.max("q_end"), 151).alias("expected"))
@@ -28,7 +30,9 @@ def filing_windows(spark, sf_dir):
     return x.select("ticker", "expected", days.cast("long").alias("days"), days.between(-7, 14).alias("high_risk"))
 
 
-@query("WITH top AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, lang LIMIT 3), ranked AS (SELECT lang, doc_id, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS place FROM documents JOIN top USING (lang)) SELECT lang, doc_id, place FROM ranked WHERE place <= 2")
+@query("""WITH top AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, lang LIMIT 3), ranked AS (SELECT lang, doc_id, n_chars,
+  row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS place FROM documents JOIN top USING (lang)) SELECT lang, doc_id, place
+  FROM ranked WHERE place <= 2""")
 def grouped_news(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("lang", "doc_id", "n_chars")
     top = docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(3)
@@ -37,7 +41,8 @@ def grouped_news(spark, sf_dir):
 
 
 @query(REPLAY_SQL + """, rg AS (SELECT market, s AS entry_s, light FROM days JOIN regime USING (market, d))
-SELECT market, coalesce(light, 'unmeasured') AS light, count(*) AS trades, round(avg(r), 6) AS expectancy, round(count(*) FILTER (r > 0) / count(*), 6) AS win_rate, count(*) < 20 AS thin FROM trades LEFT JOIN rg USING (market, entry_s) GROUP BY 1, 2""".replace("regime USING", f"({mk_plans.REGIME_SQL.replace(BARS_SQL, SESSION_SQL)} SELECT * FROM regime) USING"))
+SELECT market, coalesce(light, 'unmeasured') AS light, count(*) AS trades, round(avg(r), 6) AS expectancy, round(count(*) FILTER (r > 0) / count(*),
+  6) AS win_rate, count(*) < 20 AS thin FROM trades LEFT JOIN rg USING (market, entry_s) GROUP BY 1, 2""".replace("regime USING", f"({mk_plans.REGIME_SQL.replace(BARS_SQL, SESSION_SQL)} SELECT * FROM regime) USING"))
 def trades_by_regime(spark, sf_dir):
     """Trades by the benchmark's light on the entry session; thin under 20 trades."""
     flagged = _flagged(spark, sf_dir)

@@ -25,15 +25,22 @@ def _tm(flag: str, n: int) -> str:
 
 
 GRID_SQL = SESSION_SQL + f""",
-days AS (SELECT market, d, row_number() OVER (PARTITION BY market ORDER BY d) AS s FROM (SELECT market, d, count(c) AS n FROM bars GROUP BY 1, 2) JOIN (SELECT market, count(DISTINCT ticker) AS m FROM bars GROUP BY 1) USING (market) WHERE n / m >= 0.2),
+days AS (SELECT market, d, row_number() OVER (PARTITION BY market ORDER BY d) AS s FROM (SELECT market, d, count(c) AS n FROM bars GROUP BY 1, 2)
+  JOIN (SELECT market, count(DISTINCT ticker) AS m FROM bars GROUP BY 1) USING (market) WHERE n / m >= 0.2),
 num AS (SELECT bars.*, s FROM bars JOIN days USING (market, d)),
-g0 AS (SELECT *, {", ".join(f"{_fl('avg', 'c', n)} AS ma{n}" for n in (10, 20, 50, 150, 200))}, CASE WHEN count(h) {_fr(-251)} >= 126 THEN max(h) {_fr(-251)} END AS hi52, CASE WHEN count(l) {_fr(-251)} >= 126 THEN min(l) {_fr(-251)} END AS lo52,
-  {_fl('avg', 'v', 50, 1)} AS vol50, {", ".join(f"{_bk('c', n)} AS c{n}" for n in (1, 63, 64, 126, 189, 252))}, {_bk('h')} AS h1, {_fl('max', 'h', 25, 1)} AS pv, {_fl('max', 'h', 25, 2)} AS pv1 FROM num),
-g1 AS (SELECT *, {_bk('ma200', 22)} AS ma200_22, CASE WHEN c63 IS NULL THEN 0 ELSE 0.4::DOUBLE END + CASE WHEN c126 IS NULL THEN 0 ELSE 0.2::DOUBLE END + CASE WHEN c189 IS NULL THEN 0 ELSE 0.2::DOUBLE END + CASE WHEN c252 IS NULL THEN 0 ELSE 0.2::DOUBLE END AS wt,
+g0 AS (SELECT *, {", ".join(f"{_fl('avg', 'c', n)} AS ma{n}" for n in (10, 20, 50, 150, 200))}, CASE WHEN count(h) {_fr(-251)} >= 126
+  THEN max(h) {_fr(-251)} END AS hi52, CASE WHEN count(l) {_fr(-251)} >= 126 THEN min(l) {_fr(-251)} END AS lo52,
+  {_fl('avg', 'v', 50, 1)} AS vol50, {", ".join(f"{_bk('c', n)} AS c{n}" for n in (1, 63, 64, 126, 189, 252))}, {_bk('h')} AS h1,
+  {_fl('max', 'h', 25, 1)} AS pv, {_fl('max', 'h', 25, 2)} AS pv1 FROM num),
+g1 AS (SELECT *, {_bk('ma200', 22)} AS ma200_22, CASE WHEN c63 IS NULL THEN 0 ELSE 0.4::DOUBLE END + CASE WHEN c126 IS NULL THEN 0
+  ELSE 0.2::DOUBLE END + CASE WHEN c189 IS NULL THEN 0 ELSE 0.2::DOUBLE END + CASE WHEN c252 IS NULL THEN 0 ELSE 0.2::DOUBLE END AS wt,
   coalesce(0.4::DOUBLE * (c / c63), 0) + coalesce(0.2::DOUBLE * (c / c126), 0) + coalesce(0.2::DOUBLE * (c / c189), 0) + coalesce(0.2::DOUBLE * (c / c252), 0) AS tot FROM g0),
 g2 AS (SELECT *, CASE WHEN wt > 0.39 THEN tot / wt END AS mom FROM g1),
-g3 AS (SELECT *, CASE WHEN mom IS NOT NULL THEN (rank() OVER (PARTITION BY market, s ORDER BY mom ASC NULLS LAST) + (count(*) OVER (PARTITION BY market, s, mom) - 1) / 2.0::DOUBLE) / count(mom) OVER (PARTITION BY market, s) * 99 END AS rs_rank FROM g2),
-grid AS (SELECT *, coalesce(c > ma150 AND c > ma200 AND ma150 > ma200 AND ma200 > ma200_22 AND ma50 > ma150 AND ma50 > ma200 AND c > ma50 AND c >= lo52 * 1.30::DOUBLE AND c >= hi52 * 0.75::DOUBLE AND rs_rank >= 70, false) AS tt FROM g3)"""
+g3 AS (SELECT *, CASE WHEN mom IS NOT NULL THEN (rank() OVER (PARTITION BY market, s
+  ORDER BY mom ASC NULLS LAST) + (count(*) OVER (PARTITION BY market, s, mom) - 1) / 2.0::DOUBLE) / count(mom) OVER (PARTITION BY market,
+  s) * 99 END AS rs_rank FROM g2),
+grid AS (SELECT *, coalesce(c > ma150 AND c > ma200 AND ma150 > ma200 AND ma200 > ma200_22 AND ma50 > ma150 AND ma50 > ma200 AND c > ma50
+  AND c >= lo52 * 1.30::DOUBLE AND c >= hi52 * 0.75::DOUBLE AND rs_rank >= 70, false) AS tt FROM g3)"""
 _STRONG = "(c - l) >= 0.5::DOUBLE * (h - l)"
 
 

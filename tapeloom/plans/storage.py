@@ -16,7 +16,9 @@ def _events(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", F.to_date("ts").alias("d"))
 
 
-@query("WITH last AS (SELECT user_id, event_type, count(*) FILTER (event_id % 2 = 1) AS n_new, round(coalesce(sum(value) FILTER (event_id % 2 = 1), sum(value) FILTER (event_id % 2 = 0)), 4) AS value FROM events GROUP BY 1, 2) SELECT user_id, event_type, value, CASE WHEN n_new > 0 THEN 'new' ELSE 'old' END AS origin FROM last")
+@query("""WITH last AS (SELECT user_id, event_type, count(*) FILTER (event_id % 2 = 1) AS n_new, round(coalesce(sum(value) FILTER (event_id % 2 = 1),
+  sum(value) FILTER (event_id % 2 = 0)), 4) AS value FROM events GROUP BY 1, 2) SELECT user_id, event_type, value, CASE WHEN n_new > 0 THEN 'new'
+  ELSE 'old' END AS origin FROM last""")
 def upsert_by_key(spark, sf_dir):
     e = _events(spark, sf_dir)
     key = ["user_id", "event_type"]
@@ -48,25 +50,31 @@ def prune_window(spark, sf_dir):
     return x.groupBy("event_type").agg(F.count("*").alias("n"), F.min("d").alias("first"), F.max("d").alias("last"))
 
 
-@query(BARS_SQL + """, rec AS (SELECT market, min(d) AS since FROM (SELECT DISTINCT market, d FROM bars QUALIFY dense_rank() OVER (PARTITION BY market ORDER BY d DESC) <= 3) GROUP BY 1),
-ok AS (SELECT market, ticker FROM bars JOIN rec USING (market) GROUP BY 1, 2 HAVING max(d) >= max(since) AND count(*) >= 200) SELECT ticker, count(*) AS n, max(d) AS last FROM bars JOIN ok USING (market, ticker) GROUP BY 1""")
+@query(BARS_SQL + """, rec AS (SELECT market, min(d) AS since FROM (SELECT DISTINCT market, d FROM bars QUALIFY dense_rank() OVER (PARTITION BY market
+  ORDER BY d DESC) <= 3) GROUP BY 1),
+ok AS (SELECT market, ticker FROM bars JOIN rec USING (market) GROUP BY 1, 2 HAVING max(d) >= max(since) AND count(*) >= 200) SELECT ticker,
+  count(*) AS n, max(d) AS last FROM bars JOIN ok USING (market, ticker) GROUP BY 1""")
 def load_window(spark, sf_dir):
     return st.load_window(bars(spark, sf_dir)).groupBy("ticker").agg(F.count("*").alias("n"), F.max("d").alias("last"))
 
 
-@query(BARS_SQL + " SELECT ticker, d, round(o * f, 6) AS o, round(c * f, 6) AS c, round(v / f) AS v FROM (SELECT *, CASE WHEN day(d) % 3 = 0 THEN c * 0.5::DOUBLE ELSE c END / c AS f FROM bars)")
+@query(BARS_SQL + """ SELECT ticker, d, round(o * f, 6) AS o, round(c * f, 6) AS c, round(v / f) AS v FROM (SELECT *, CASE WHEN day(d) % 3 = 0 THEN c * 0.5::DOUBLE
+  ELSE c END / c AS f FROM bars)""")
 def adjust_prices(spark, sf_dir):
     x = bars(spark, sf_dir).withColumn("adj", F.when(F.dayofmonth("d") % 3 == 0, F.col("c") * 0.5).otherwise(F.col("c")))
     return st.adjust(x).select("ticker", "d", _r(F.col("o"), "o"), _r(F.col("c"), "c"), "v")
 
 
-@query(BARS_SQL + ", n AS (SELECT market, d, count(*) FILTER (v > 0) AS n FROM bars GROUP BY 1, 2), u AS (SELECT *, quantile_cont(CAST(n AS DOUBLE), 0.5) OVER (PARTITION BY market ORDER BY d ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS usual FROM n) SELECT market, d, n, round(coalesce(usual, 0), 6) AS usual, coalesce(n < 0.98::DOUBLE * usual, false) AS short FROM u")
+@query(BARS_SQL + """, n AS (SELECT market, d, count(*) FILTER (v > 0) AS n FROM bars GROUP BY 1, 2), u AS (SELECT *, quantile_cont(CAST(n AS DOUBLE),
+  0.5) OVER (PARTITION BY market ORDER BY d ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS usual FROM n) SELECT market, d, n, round(coalesce(usual, 0),
+  6) AS usual, coalesce(n < 0.98::DOUBLE * usual, false) AS short FROM u""")
 def coverage_check(spark, sf_dir):
     x = st.coverage(bars(spark, sf_dir))
     return x.select("market", "d", "n", F.round(F.coalesce("usual", F.lit(0.0)), 6).alias("usual"), "short")
 
 
-@query(BARS_SQL + """, n AS (SELECT market, d, count(*) AS n FROM bars GROUP BY 1, 2), m AS (SELECT market, d AS mode FROM n QUALIFY row_number() OVER (PARTITION BY market ORDER BY n DESC, d) = 1)
+@query(BARS_SQL + """, n AS (SELECT market, d, count(*) AS n FROM bars GROUP BY 1, 2), m AS (SELECT market, d AS mode FROM n
+  QUALIFY row_number() OVER (PARTITION BY market ORDER BY n DESC, d) = 1)
 SELECT market, count(*) AS bars, count(DISTINCT ticker) AS tickers, min(d) AS first, max(d) AS last, max(mode) AS mode FROM bars JOIN m USING (market) GROUP BY market""")
 def size_report(spark, sf_dir):
     x = bars(spark, sf_dir).groupBy("market")
@@ -82,13 +90,19 @@ def classify_documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", st.classify(F.col("text"), KINDS, "text").alias("kind"))
 
 
-@query("WITH h AS (SELECT lang AS ticker, doc_id AS item_id, split_part(trim(text), '.', 1) AS title, n_chars AS published FROM documents), o AS (SELECT *, regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g') AS t FROM h), u AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY ticker, t ORDER BY published DESC, item_id) = 1) SELECT ticker, item_id FROM u QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY published DESC, item_id) <= 20")
+@query("""WITH h AS (SELECT lang AS ticker, doc_id AS item_id, split_part(trim(text), '.', 1) AS title, n_chars AS published FROM documents), o AS (SELECT *,
+  regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g') AS t FROM h), u AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY ticker, t
+  ORDER BY published DESC, item_id) = 1) SELECT ticker, item_id FROM u QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY published DESC,
+  item_id) <= 20""")
 def newest_headlines(spark, sf_dir):
     x = table(spark, sf_dir, "documents").select(F.col("lang").alias("ticker"), F.col("doc_id").alias("item_id"), F.split_part(F.trim("text"), F.lit("."), F.lit(1)).alias("title"), F.col("n_chars").alias("published"))
     return st.headlines(x, 20).select("ticker", "item_id")
 
 
-@query("WITH t AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '(' || CAST(event_id AS VARCHAR) || ')' WHEN 1 THEN 'RM ' || CAST(event_id AS VARCHAR) || 'k' WHEN 2 THEN CAST(event_id AS VARCHAR) || '.5%' WHEN 3 THEN 'n/a' ELSE CAST(event_id AS VARCHAR) || ' m' END AS s FROM events) SELECT event_id, CASE event_id % 5 WHEN 0 THEN -CAST(event_id AS DOUBLE) WHEN 1 THEN event_id * 1000.0::DOUBLE WHEN 2 THEN event_id + 0.5::DOUBLE WHEN 4 THEN event_id * 1000000.0::DOUBLE ELSE -1 END AS value FROM t")
+@query("""WITH t AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '(' || CAST(event_id AS VARCHAR) || ')' WHEN 1
+  THEN 'RM ' || CAST(event_id AS VARCHAR) || 'k' WHEN 2 THEN CAST(event_id AS VARCHAR) || '.5%' WHEN 3 THEN 'n/a'
+  ELSE CAST(event_id AS VARCHAR) || ' m' END AS s FROM events) SELECT event_id, CASE event_id % 5 WHEN 0 THEN -CAST(event_id AS DOUBLE) WHEN 1
+  THEN event_id * 1000.0::DOUBLE WHEN 2 THEN event_id + 0.5::DOUBLE WHEN 4 THEN event_id * 1000000.0::DOUBLE ELSE -1 END AS value FROM t""")
 def parse_numbers(spark, sf_dir):
     k, s = F.col("event_id") % 5, F.col("event_id").cast("string")
     text = F.when(k == 0, F.concat(F.lit("("), s, F.lit(")"))).when(k == 1, F.concat(F.lit("RM "), s, F.lit("k"))).when(k == 2, F.concat(s, F.lit(".5%"))).when(k == 3, "n/a").otherwise(F.concat(s, F.lit(" m")))
@@ -106,6 +120,7 @@ def latest_per_key(spark, sf_dir):
     return table(spark, sf_dir, "events").withColumn("k", F.row_number().over(w)).filter("k = 1").select("user_id", "event_type", "event_id")
 
 
-@query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<li>')) AS items, len(regexp_extract_all(html, '<p>')) AS paragraphs FROM pages")
+@query("""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<li>')) AS items,
+  len(regexp_extract_all(html, '<p>')) AS paragraphs FROM pages""")
 def page_sections(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_count("html", F.lit("<li>")).cast("long").alias("items"), F.regexp_count("html", F.lit("<p>")).cast("long").alias("paragraphs"))

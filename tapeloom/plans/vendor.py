@@ -38,10 +38,14 @@ def ticker_history(spark, sf_dir):
     return vd.history(b.unionByName(late)).select("ticker", "d", _r(F.col("c"), "c"), "v")
 
 
-_LISTED_SQL = """listing AS (SELECT CASE WHEN s_suppkey % 11 = 0 THEN 'X' ELSE '' END || lpad(CAST(s_suppkey AS VARCHAR), 5, '0') AS code, s_name AS name, CASE WHEN s_suppkey % 7 = 0 THEN 'ETF' ELSE 'Common Stock' END AS type,
- CASE s_nationkey % 5 WHEN 0 THEN 'PINK' WHEN 1 THEN 'otc markets' ELSE 'NYSE' END AS exchange, CASE WHEN s_suppkey % 2 = 0 THEN 'MY' ELSE 'US' END AS market, s_suppkey AS s FROM supplier),
+_LISTED_SQL = """listing AS (SELECT CASE WHEN s_suppkey % 11 = 0 THEN 'X' ELSE '' END || lpad(CAST(s_suppkey AS VARCHAR), 5, '0') AS code, s_name AS name, CASE
+  WHEN s_suppkey % 7 = 0 THEN 'ETF' ELSE 'Common Stock' END AS type,
+ CASE s_nationkey % 5 WHEN 0 THEN 'PINK' WHEN 1 THEN 'otc markets' ELSE 'NYSE' END AS exchange, CASE WHEN s_suppkey % 2 = 0 THEN 'MY'
+  ELSE 'US' END AS market, s_suppkey AS s FROM supplier),
 listings AS (SELECT *, false AS delisted FROM listing WHERE s % 4 <> 1 UNION ALL SELECT *, true FROM listing WHERE s % 3 = 0),
-directory AS (SELECT market, code || CASE market WHEN 'MY' THEN '.KL' ELSE '' END AS ticker, name, type, exchange, bool_and(delisted) AS delisted FROM listings WHERE type = 'Common Stock' AND NOT (market = 'US' AND (exchange = 'PINK' OR exchange = 'otc markets')) AND NOT (market = 'MY' AND code[1] = 'X') GROUP BY ALL)"""
+directory AS (SELECT market, code || CASE market WHEN 'MY' THEN '.KL' ELSE '' END AS ticker, name, type, exchange, bool_and(delisted) AS delisted
+  FROM listings WHERE type = 'Common Stock' AND NOT (market = 'US' AND (exchange = 'PINK' OR exchange = 'otc markets')) AND NOT (market = 'MY'
+  AND code[1] = 'X') GROUP BY ALL)"""
 
 
 def _directory(spark, sf_dir):
@@ -62,7 +66,8 @@ def symbol_directory(spark, sf_dir):
     return _directory(spark, sf_dir)
 
 
-@query("SELECT 'T' || lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS ticker, min(CAST(l_shipdate AS DATE)) AS first, count(*) AS n FROM lineitem WHERE l_discount = 0.1 AND l_quantity = 50 AND CAST(l_shipdate AS DATE) >= DATE '1999-06-01' GROUP BY 1")
+@query("""SELECT 'T' || lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS ticker, min(CAST(l_shipdate AS DATE)) AS first, count(*) AS n FROM lineitem
+  WHERE l_discount = 0.1 AND l_quantity = 50 AND CAST(l_shipdate AS DATE) >= DATE '1999-06-01' GROUP BY 1""")
 def splits_since(spark, sf_dir):
     x = table(spark, sf_dir, "lineitem").filter("l_discount = 0.1 and l_quantity = 50").select(F.concat(F.lit("T"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0")).alias("ticker"), F.to_date("l_shipdate").alias("d"))
     return vd.splits(x, "1999-06-01")
@@ -80,7 +85,8 @@ def deep_history(spark, sf_dir):
 _FORMS = ["8-K", "4", "10-Q", "S-3", "144"]
 
 
-@query(f"SELECT o_custkey AS ticker, CAST(o_orderkey AS VARCHAR) AS accession, {_FORMS}[o_orderkey % 5 + 1] AS form, CAST(o_orderdate AS DATE) AS filed FROM orders WHERE o_orderkey % 5 IN (0, 2, 3)")
+@query(f"""SELECT o_custkey AS ticker, CAST(o_orderkey AS VARCHAR) AS accession, {_FORMS}[o_orderkey % 5 + 1] AS form, CAST(o_orderdate AS DATE) AS filed
+  FROM orders WHERE o_orderkey % 5 IN (0, 2, 3)""")
 def material_filings(spark, sf_dir):
     form = F.element_at(F.array(*(F.lit(f) for f in _FORMS)), (F.col("o_orderkey") % 5 + 1).cast("int"))
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("ticker"), F.struct(F.col("o_orderkey").cast("string").alias("accession"), form.alias("form"), F.to_date("o_orderdate").alias("filed")).alias("f"))
@@ -88,7 +94,8 @@ def material_filings(spark, sf_dir):
     return vd.filings(lists.withColumn("document", F.transform("accession", lambda x: F.concat(x, F.lit(".htm"))))).select("ticker", "accession", "form", "filed")
 
 
-@query("SELECT event_id, event_type || ' ' || CAST(event_id AS VARCHAR) AS title, 'desk ' || CAST(user_id AS VARCHAR) AS publisher, 'http://n.example/' || CAST(event_id AS VARCHAR) AS url, CAST(ts AS DATE) AS d FROM events WHERE event_id % 13 <> 0")
+@query("""SELECT event_id, event_type || ' ' || CAST(event_id AS VARCHAR) AS title, 'desk ' || CAST(user_id AS VARCHAR) AS publisher,
+  'http://n.example/' || CAST(event_id AS VARCHAR) AS url, CAST(ts AS DATE) AS d FROM events WHERE event_id % 13 <> 0""")
 def headline_shapes(spark, sf_dir):
     """Every third item nested, the others flat with a time in seconds; every thirteenth without an address."""
     k = F.col("event_id")
@@ -112,7 +119,8 @@ def headline_relevance(spark, sf_dir):
     return x.select("event_id", "relevant")
 
 
-_FEED_SQL = """WITH items AS (SELECT event_type AS feed, (row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) - 1) // 20 AS page, event_id AS item_id, CAST(ts AS DATE) AS d FROM events),
+_FEED_SQL = """WITH items AS (SELECT event_type AS feed, (row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) - 1) // 20 AS page,
+  event_id AS item_id, CAST(ts AS DATE) AS d FROM events),
 edge AS (SELECT CAST(max(d) - 5 AS DATE) AS since FROM items), k AS (SELECT *, d >= since AS fresh, item_id % 400 < 370 AND d < since + 3 AS known FROM items, edge),
 pages AS (SELECT feed, page, count(*) FILTER (fresh) AS f, count(*) FILTER (fresh AND NOT known) AS n FROM k GROUP BY 1, 2),
 ends AS (SELECT feed, least(coalesce(min(page) FILTER (f = 0), 1e9), coalesce(min(page) FILTER (n = 0) + 1, 1e9)) AS stop FROM pages GROUP BY 1)
@@ -131,7 +139,8 @@ def feed_walk(spark, sf_dir):
     return vd.feed_walk(items, known, since)
 
 
-@query(BARS_SQL + ", last AS (SELECT market, max(d) AS last FROM bars GROUP BY 1) SELECT market, CAST(last + CASE market WHEN 'MY' THEN 0 ELSE 1 END AS DATE) AS session, last FROM last WHERE market <> 'MY'")
+@query(BARS_SQL + """, last AS (SELECT market, max(d) AS last FROM bars GROUP BY 1) SELECT market, CAST(last + CASE market WHEN 'MY' THEN 0 ELSE 1 END AS DATE) AS session,
+  last FROM last WHERE market <> 'MY'""")
 def stale_markets(spark, sf_dir):
     b = bars(spark, sf_dir)
     expected = b.groupBy("market").agg(F.max("d").alias("d")).select("market", F.when(F.col("market") == "MY", F.col("d")).otherwise(F.date_add("d", 1)).alias("session"))
