@@ -82,10 +82,10 @@ def prune(df: DataFrame, now: str, keep: int) -> DataFrame:
 
 
 def purge(table: DataFrame, directory: DataFrame, key: str, always: list[str] = ()) -> DataFrame:
-    """Rows whose key the directory (or always) has; everything where the directory is empty."""
-    if directory.isEmpty():
-        return table
-    return table.join(directory.select(key).distinct(), key, "left_semi").unionByName(table.filter(F.col(key).isin(list(always))).join(directory.select(key).distinct(), key, "left_anti")) if always else table.join(directory.select(key).distinct(), key, "left_semi")
+    """Rows whose key the directory (or always) has; everything where the directory is empty. Rows without a key go."""
+    listed = directory.select(key).dropna().distinct().withColumn("_listed", F.lit(True))
+    keep = F.col("_listed") | F.col(key).isin(list(always)) | ~directory.exists()
+    return table.join(listed, key, "left").filter(keep).select(table.columns)
 
 
 def load_window(bars: DataFrame, sessions: int = 3, least: int = 200) -> DataFrame:

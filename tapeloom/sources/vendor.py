@@ -118,7 +118,7 @@ def feed_walk(items: DataFrame, known: DataFrame, since: str) -> DataFrame:
     marked = recent.join(known.select("item_id").distinct().withColumn("_known", F.lit(True)), "item_id", "left").withColumn("new", F.col("fresh") & F.col("_known").isNull())
     pages = items.select("feed", "page").distinct().join(marked.groupBy("feed", "page").agg(F.count_if("fresh").alias("fresh"), F.count_if("new").alias("new")), ["feed", "page"], "left")
     ends = pages.groupBy("feed").agg(F.min(F.when(F.coalesce("fresh", F.lit(0)) == 0, F.col("page"))).alias("_before"), F.min(F.when(F.coalesce("new", F.lit(0)) == 0, F.col("page"))).alias("_after"))
-    use = F.least(F.coalesce("_before", F.lit(1 << 30)), F.when(F.lit(not known.isEmpty()), F.coalesce(F.col("_after") + 1, F.lit(1 << 30))).otherwise(F.lit(1 << 30)))
+    use = F.least(F.coalesce("_before", F.lit(1 << 30)), F.when(known.exists(), F.coalesce(F.col("_after") + 1, F.lit(1 << 30))).otherwise(F.lit(1 << 30)))
     return marked.filter("new").join(ends, "feed").filter(F.col("page") < use).select("feed", "page", "item_id", "d")
 
 

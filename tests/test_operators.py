@@ -397,3 +397,9 @@ def test_command_line_scans_and_backtests(spark, tmp_path, capsys):
     assert "replay_trades" in capsys.readouterr().out
     with pytest.raises(SystemExit):
         cli.main(["backtest", "--bars", "x", "--out", "y", "--strategy", "none"])
+
+
+def test_purge_keeps_everything_where_the_directory_is_empty(spark):
+    t = spark.createDataFrame([("A", 1), ("B", 2), ("IX", 3), (None, 4)], "ticker string, v int")
+    kept = lambda d, *always: sorted(r["v"] for r in st.purge(t, spark.createDataFrame([(x,) for x in d], "ticker string"), "ticker", list(always)).collect())
+    assert kept(["A", "A"]) == [1] and kept(["A"], "IX") == [1, 3] and kept(["Z"]) == [] and kept([]) == [1, 2, 3, 4]
