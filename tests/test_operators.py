@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tapeloom import config
 from tapeloom.operators import board as bd
+from tapeloom.operators import candles as cd
 from tapeloom.operators import enrich as en
 from tapeloom.operators import evaluation as ev
 from tapeloom.operators import exits
@@ -403,3 +404,25 @@ def test_purge_keeps_everything_where_the_directory_is_empty(spark):
     t = spark.createDataFrame([("A", 1), ("B", 2), ("IX", 3), (None, 4)], "ticker string, v int")
     kept = lambda d, *always: sorted(r["v"] for r in st.purge(t, spark.createDataFrame([(x,) for x in d], "ticker string"), "ticker", list(always)).collect())
     assert kept(["A", "A"]) == [1] and kept(["A"], "IX") == [1, 3] and kept(["Z"]) == [] and kept([]) == [1, 2, 3, 4]
+
+
+@pytest.mark.parametrize(
+    ("name", "last"),
+    [
+        ("piercing", [(11.0, 11.1, 8.9, 9.0), (8.5, 10.3, 8.4, 10.2)]),
+        ("dark_cloud_cover", [(9.0, 11.1, 8.9, 11.0), (11.5, 11.6, 9.7, 9.8)]),
+        ("morning_star", [(12.0, 12.1, 9.9, 10.0), (9.5, 9.7, 9.4, 9.6), (9.8, 11.6, 9.7, 11.5)]),
+        ("evening_star", [(10.0, 12.1, 9.9, 12.0), (12.4, 12.6, 12.3, 12.5), (12.2, 12.3, 10.4, 10.5)]),
+        ("hammer", [(9.9, 10.25, 9.0, 10.2)]),
+        ("shooting_star", [(11.2, 12.5, 11.15, 11.5)]),
+        ("bullish_harami", [(12.0, 12.1, 9.4, 9.5), (10.5, 11.0, 10.2, 10.8)]),
+        ("three_white_soldiers", [(10.2, 11.42, 10.1, 11.4), (10.9, 12.22, 10.8, 12.2), (11.7, 13.02, 11.6, 13.0)]),
+        ("three_black_crows", [(10.0, 12.1, 9.9, 12.0), (12.0, 12.1, 10.78, 10.8), (11.5, 11.6, 9.98, 10.0), (10.6, 10.7, 8.98, 9.0)]),
+    ],
+)
+def test_candles_by_their_definitions(spark, name, last):
+    even = [(10.0, 11.2, 9.8, 11.0) if k % 2 else (11.0, 11.2, 9.8, 10.0) for k in range(14)]
+    rows = [("US", "A", DAY + dt.timedelta(days=k), *x, 1e6) for k, x in enumerate([*even, *last])]
+    x = cd.candle_patterns(spark.createDataFrame(rows, BARS)).orderBy("d").collect()
+    assert x[-1][name] and not x[5][name]
+    assert name in cd.shown(cd.candle_patterns(spark.createDataFrame(rows, BARS))).orderBy(F.desc("d")).first()["patterns"]
