@@ -22,6 +22,7 @@ def candidates(features: DataFrame, max_hold: int = config.MAX_HOLD, stop_pct: f
     """The trade each signal would make: filled at the next session's open with slippage, ended by the stop, the first close under an armed 50-day mean, or time.
 
     features: market, ticker, s, o, h, l, c, ma50, signal. A trade without an end runs to the data's end (exit null).
+    A market without costs of its own pays those of US.
     """
     slip = F.when(F.col("market") == "MY", config.MARKETS["MY"]["slip"]).otherwise(config.MARKETS["US"]["slip"])
     own = Window.partitionBy("market", "ticker").orderBy("s")
@@ -58,7 +59,7 @@ def admit(cands: pd.DataFrame, closes: pd.DataFrame, risk: float, slots: int, st
     sessions = closes.loc[closes["ticker"].isna(), "s"]
     first, last = int(sessions.min()), int(sessions.max())
     market = closes["market"].iloc[0]
-    cost = config.MARKETS[market]
+    cost = config.MARKETS.get(market, config.MARKETS["US"])
     price = {t: dict(zip(g["s"].tolist(), g["c"].tolist(), strict=True)) for t, g in closes.groupby("ticker")}
     order = {t: sorted(p) for t, p in price.items()}
     by = {s: g.sort_values("ticker").to_dict("records") for s, g in cands.groupby("entry_s")}

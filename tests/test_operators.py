@@ -331,6 +331,13 @@ def test_two_phase_replay_equals_a_daily_loop(spark, seed):
     assert [(y["s"], round(y["equity"], 4)) for y in rp.replay(x, equity=True, **kw).orderBy("s").collect()] == curve
 
 
+def test_a_market_without_costs_of_its_own_pays_those_of_us(spark):
+    rows = [(m, "A", s, 10.0 + s, 10.5 + s, 9.5 + s, 10.0 + s, 8.0, s == 2) for m in ("US", "SG") for s in range(1, 50)]
+    x = spark.createDataFrame(rows, "market string, ticker string, s long, o double, h double, l double, c double, ma50 double, signal boolean")
+    got = {r["market"]: (r["exit"], r["fees"], r["reason"]) for r in rp.replay(x).collect()}
+    assert got["SG"] == got["US"] and got["US"][2] == "time"
+
+
 def test_bootstrap_repeats_and_orders_its_percentiles(spark):
     r = random.Random(3)
     rows = [("US", r.choice([-1.0, -0.5, 2.0])) for _ in range(30)] + [("MY", 1.0)] * 25 + [("SG", 1.0)] * 19
