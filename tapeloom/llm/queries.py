@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import bpe_stream, decontaminate, jaccard, licenses, ordinal, polytope, repeats, token_counts, token_store, url_filter
+from tapeloom.llm import bpe_stream, decontaminate, jaccard, licenses, ordinal, packing, polytope, prefix_trie, repair, repeats, token_counts, token_store, url_filter
 
 WORD_BPE, WORD_END, WORD_SIZE = "word_bpe_49k.json", 1, 49_408
 BYTE_BPE = "byte_bpe_50k.json"
@@ -82,6 +82,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(repair.damage(_table(spark, sf_dir, "conversations")))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.shared(_table(spark, sf_dir, "conversations"))
+
+
 OP8_SQL = f"""
 WITH changes(list, kind, value, category, action, effective) AS (VALUES {", ".join("('" + "','".join(x) + "')" for x in LIST_CHANGES)}),
 ranges AS (
@@ -125,6 +137,7 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS
 _ALL = (
     op1_token_store, op2_ngram_jaccard, op3_decontaminate, op4_ordinal_quality, op5_token_counts,
     op6_polytope_neardup, op7_bpe_stream, op8_url_filter, op9_repeated_strings, op10_license_scan,
+    op11_conversation_repair, op12_packing, op13_prefix_trie,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 ORACLE_SQL: dict[str, str] = {"op2_ngram_jaccard": OP2_SQL, "op6_polytope_neardup": OP6_SQL, "op8_url_filter": OP8_SQL}
