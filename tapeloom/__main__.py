@@ -6,11 +6,14 @@ scan and backtest read bars (market, ticker, d, o, h, l, c, v) from a Parquet fo
 from __future__ import annotations
 
 import argparse
+from collections.abc import Sequence
+from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom import registry
+from tapeloom import config, registry
+from tapeloom.functions import stage
 from tapeloom.operators import board as bd
 from tapeloom.operators import indicators as ind
 from tapeloom.operators import market as mk
@@ -36,11 +39,39 @@ def scan(bars: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def backtest(bars: DataFrame, strategy: str, **how) -> dict[str, DataFrame]:
-    """Trades, statistics, equity and resampled risk of one strategy, an independent portfolio per market."""
-    flagged = sg.signals(sg.session_features(bars), strategy)
-    trades, curve = rp.replay(flagged, **how), rp.replay(flagged, equity=True, **how)
-    return {"trades": trades, "statistics": rp.statistics(trades), "equity": curve, "drawdown": rp.drawdown(curve), "risk": rp.bootstrap(trades)}
+def backtest(bars: DataFrame, plans: Sequence[rp.Plan]) -> dict[str, DataFrame]:
+    """Trades, statistics, equity and resampled risk of every plan, an independent portfolio per plan and market; features are worked out once."""
+    by = ("plan", "market")
+    features = sg.fired(sg.session_features(bars), sorted({p.strategy for p in plans}))
+    trades, curve = rp.grid(features, plans)
+    return {"trades": trades, "statistics": rp.statistics(trades, by), "equity": curve, "drawdown": rp.drawdown(curve, by), "risk": rp.bootstrap(trades, by=by)}
+
+
+def selected(bars: DataFrame, markets: Sequence[str] = (), tickers: Sequence[str] = (), years: int | None = None, least: int = 0) -> DataFrame:
+    """Bars of these markets and tickers (none named: all), of the years before each market's newest day, of tickers with least bars or more."""
+    if markets:
+        bars = bars.filter(F.col("market").isin(list(markets)))
+    if tickers:
+        bars = bars.filter(F.col("ticker").isin(list(tickers)))
+    if years:
+        last = bars.groupBy("market").agg(F.add_months(F.max("d"), -12 * years).alias("_since"))
+        bars = bars.join(F.broadcast(last), "market").filter(F.col("d") > F.col("_since")).drop("_since")
+    if least:
+        bars = bars.join(bars.groupBy("market", "ticker").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).drop("_n"), ["market", "ticker"], "left_semi")
+    return bars
+
+
+def plans_of(args: argparse.Namespace) -> list[rp.Plan]:
+    """Every combination of the values given for strategy, stop, hold, risk and slots."""
+    costs = {}
+    for what in ("slip", "fee"):
+        own = {m: v[what] for m, v in config.MARKETS.items()} | dict((m, float(x)) for m, x in (y.split("=", 1) for y in getattr(args, what)))
+        costs[f"{what}s"] = tuple(own.items())
+    out = []
+    for strategy, stop, hold, risk, slots in product(args.strategy, args.stop, args.hold, args.risk, args.slots):
+        name = f"{args.label} {strategy} stop={stop} hold={hold} risk={risk} slots={slots}".strip()
+        out.append(rp.Plan(name, strategy, stop, hold, risk, slots, args.start, **costs))
+    return out
 
 
 def _write(tables: dict[str, DataFrame], out: str) -> None:
@@ -62,11 +93,20 @@ def main(argv: list[str] | None = None) -> None:
         p = parts.add_parser(name)
         p.add_argument("--bars", required=True)
         p.add_argument("--out", required=True)
+        p.add_argument("--market", nargs="*", default=[], help="only these markets")
+        p.add_argument("--ticker", nargs="*", default=[], help="only these tickers")
+        p.add_argument("--years", type=int, help="only so many years before the newest day")
+        p.add_argument("--min-bars", type=int, default=0, help="only tickers with so many bars")
         if name == "backtest":
-            p.add_argument("--strategy", default="breakout", choices=sg.STRATEGIES)
-            p.add_argument("--market", help="only this market")
-            p.add_argument("--risk", type=float, default=0.01, help="fraction of equity at risk in a trade")
-            p.add_argument("--slots", type=int, default=8)
+            p.add_argument("--strategy", nargs="*", default=["breakout"], choices=sg.STRATEGIES)
+            p.add_argument("--stop", nargs="*", type=float, default=[config.STOP], help="fractions below the entry")
+            p.add_argument("--hold", nargs="*", type=int, default=[config.MAX_HOLD], help="longest holds in bars")
+            p.add_argument("--risk", nargs="*", type=float, default=[config.RISK], help="fractions of equity at risk in a trade")
+            p.add_argument("--slots", nargs="*", type=int, default=[config.SLOTS], help="open trades at most")
+            p.add_argument("--start", type=float, default=config.START, help="equity at the start")
+            p.add_argument("--slip", nargs="*", default=[], metavar="MARKET=SHARE", help="slippage per side")
+            p.add_argument("--fee", nargs="*", default=[], metavar="MARKET=SHARE", help="fee per side")
+            p.add_argument("--label", default="", help="begins the names of the plans")
     args = parser.parse_args(argv)
     if args.command == "list":
         print("\n".join(sorted(registry.QUERIES)))
@@ -82,13 +122,9 @@ def main(argv: list[str] | None = None) -> None:
         else:
             df.show(50, truncate=False)
         return
-    bars = spark.read.parquet(args.bars)
-    if args.command == "scan":
-        _write(scan(bars), args.out)
-        return
-    if args.market:
-        bars = bars.filter(F.col("market") == args.market)
-    _write(backtest(bars, args.strategy, risk=args.risk, slots=args.slots), args.out)
+    bars = selected(spark.read.parquet(args.bars), args.market, args.ticker, args.years, args.min_bars)
+    with stage.kept():
+        _write(scan(bars) if args.command == "scan" else backtest(bars, plans_of(args)), args.out)
 
 
 if __name__ == "__main__":

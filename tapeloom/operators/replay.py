@@ -1,47 +1,96 @@
-"""Portfolio replay in two phases.
+"""Portfolio replay in two phases, for one configuration or a grid of them.
 
-How a trade ends depends on its entry and the prices alone, so every signal's trade is worked out first, in parallel.
-Only admission (slots, cash, size) is sequential: one pass per market over its candidate trades and their closes.
+How a trade ends depends on its entry, the prices and the exit rule alone, so every signal's trade is worked out first,
+in parallel, once for each exit rule. Only admission (slots, cash, size) is sequential: one pass per configuration and
+market over its candidate trades and their closes. Features are written once and read by all phases.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom import config
+from tapeloom.functions import stage
 
 TRADES = "market string, ticker string, entry_s long, exit_s long, entry double, exit double, stop double, shares long, r double, held long, reason string, fees double"
 EQUITY = "market string, s long, equity double"
+#: Rows of admission: a trade, or with a null ticker the equity after a session.
+ADMITTED = f"plan string, {TRADES}, s long, equity double"
+#: Configurations of one grid: they travel with the plan.
+MOST_PLANS = 10_000
 
 
-def candidates(features: DataFrame, max_hold: int = config.MAX_HOLD, stop_pct: float = config.STOP) -> DataFrame:
-    """The trade each signal would make: filled at the next session's open with slippage, ended by the stop, the first close under an armed 50-day mean, or time.
+@dataclass(frozen=True)
+class Plan:
+    """One configuration. risk is a fraction of equity; slips and fees are per side, by market (others pay those of US)."""
 
-    features: market, ticker, s, o, h, l, c, ma50, signal. A trade without an end runs to the data's end (exit null).
-    A market without costs of its own pays those of US.
-    """
-    slip = F.when(F.col("market") == "MY", config.MARKETS["MY"]["slip"]).otherwise(config.MARKETS["US"]["slip"])
+    name: str = "run"
+    strategy: str = "signal"
+    stop: float = config.STOP
+    hold: int = config.MAX_HOLD
+    risk: float = config.RISK
+    slots: int = config.SLOTS
+    start: float = config.START
+    most: float = config.MAX_POSITION
+    slips: tuple[tuple[str, float], ...] = tuple((m, v["slip"]) for m, v in config.MARKETS.items())
+    fees: tuple[tuple[str, float], ...] = tuple((m, v["fee"]) for m, v in config.MARKETS.items())
+
+    def __post_init__(self):
+        if not 0 < self.stop < 1 or self.hold < 1 or self.slots < 0:
+            raise ValueError(f"{self.name}: a stop between 0 and 1, a hold of at least 1, slots of at least 0")
+        if "US" not in dict(self.slips) or "US" not in dict(self.fees):
+            raise ValueError(f"{self.name}: costs of US stand for markets without their own")
+
+    @property
+    def rule(self) -> tuple:
+        """What decides how a trade ends."""
+        return (self.strategy, self.stop, self.hold, self.slips)
+
+
+def _slim(features: DataFrame) -> DataFrame:
+    """What replay reads of the features, with the strategies that fired on each bar."""
+    fired = F.col("fired") if "fired" in features.columns else F.when(F.col("signal"), F.array(F.lit("signal"))).otherwise(F.array().cast("array<string>"))
+    return stage.written(features.select("market", "ticker", F.col("s").cast("long").alias("s"), "o", "l", "c", "ma50", fired.alias("fired")), "replay-features")
+
+
+def _candidates(slim: DataFrame, plans: Sequence[Plan]) -> DataFrame:
+    """Trades by the index of their exit rule."""
+    rules = list(dict.fromkeys(p.rule for p in plans))
+    life = max(hold for _, _, hold, _ in rules)
+    of = F.array(*(
+        F.struct(F.lit(i).alias("rule"), F.lit(name).alias("strategy"), F.lit(float(stop)).alias("stop_pct"), F.lit(hold).alias("hold"), F.create_map(*(F.lit(x) for m, v in slips for x in (m, float(v)))).alias("slips"))
+        for i, (name, stop, hold, slips) in enumerate(rules)
+    ))
     own = Window.partitionBy("market", "ticker").orderBy("s")
-    x = features.select("market", "ticker", "s", "o", "l", "c", "ma50", "signal", F.row_number().over(own).alias("k"), F.lag("s").over(own).alias("_s"), F.lag("signal").over(own).alias("_was"))
-    fill = F.col("o") * (1 + slip)
-    entries = x.filter((F.col("_s") == F.col("s") - 1) & F.col("_was") & (F.col("o") > 0)).select("market", "ticker", F.col("s").alias("entry_s"), F.col("k").alias("k0"), fill.alias("entry"), (fill * (1 - stop_pct)).alias("stop"), F.coalesce(F.col("o") >= F.col("ma50"), F.lit(False)).alias("armed0"), F.col("l").alias("l0"))
+    x = slim.select("market", "ticker", "s", "o", "l", "c", "ma50", F.row_number().over(own).alias("k"), F.lag("s").over(own).alias("_s"), F.lag("fired").over(own).alias("_was"))
+    hits = x.filter((F.col("_s") == F.col("s") - 1) & (F.size("_was") > 0) & (F.col("o") > 0))
+    hits = hits.withColumn("r", F.explode(F.filter(of, lambda y: F.array_contains("_was", y.strategy))))
+    fill = F.col("o") * (1 + F.coalesce(F.try_element_at("r.slips", "market"), F.try_element_at("r.slips", F.lit("US"))))
+    entries = hits.select(
+        F.col("r.rule").alias("rule"), F.col("r.hold").alias("hold"), "market", "ticker", F.col("s").alias("entry_s"), F.col("k").alias("k0"), fill.alias("entry"), (fill * (1 - F.col("r.stop_pct"))).alias("stop"),
+        F.coalesce(F.col("o") >= F.col("ma50"), F.lit(False)).alias("armed0"), F.col("l").alias("l0"),
+    )
+    key = ["rule", "market", "ticker", "k0"]
     # bars are dealt to stretches of a trade's longest life: a trade meets two of them
-    stretches = entries.withColumn("stretch", F.explode(F.array_distinct(F.array(F.floor((F.col("k0") + 1) / max_hold), F.floor((F.col("k0") + max_hold) / max_hold)))))
-    later = x.select("market", "ticker", F.col("s").alias("s1"), "k", "o", "l", "c", "ma50", F.floor(F.col("k") / max_hold).alias("stretch"))
-    path = stretches.join(later, ["market", "ticker", "stretch"]).filter((F.col("k") > F.col("k0")) & (F.col("k") <= F.col("k0") + max_hold))
-    w = Window.partitionBy("market", "ticker", "k0").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    stretches = entries.withColumn("stretch", F.explode(F.array_distinct(F.array(F.floor((F.col("k0") + 1) / life), F.floor((F.col("k0") + F.col("hold")) / life)))))
+    later = x.select("market", "ticker", F.col("s").alias("s1"), "k", "o", "l", "c", "ma50", F.floor(F.col("k") / life).alias("stretch"))
+    path = stretches.join(later, ["market", "ticker", "stretch"]).filter((F.col("k") > F.col("k0")) & (F.col("k") <= F.col("k0") + F.col("hold")))
+    w = Window.partitionBy(*key).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     armed = F.col("armed0") | F.coalesce(F.max(F.col("c") >= F.col("ma50")).over(w), F.lit(False))
     held = F.col("k") - F.col("k0")
-    how = F.when(F.col("l") <= F.col("stop"), F.struct(F.lit("stop").alias("reason"), F.least("stop", "o").alias("px"))).when(armed & (F.col("c") < F.col("ma50")), F.struct(F.lit("ma50_break").alias("reason"), F.col("c").alias("px"))).when(held >= max_hold, F.struct(F.lit("time").alias("reason"), F.col("c").alias("px")))
-    ends = path.withColumns({"how": how, "held": held}).filter("how is not null").groupBy("market", "ticker", "k0").agg(F.min(F.struct("k", "s1", "held", "how")).alias("x"))
-    out = entries.join(ends, ["market", "ticker", "k0"], "left")
+    how = F.when(F.col("l") <= F.col("stop"), F.struct(F.lit("stop").alias("reason"), F.least("stop", "o").alias("px"))).when(armed & (F.col("c") < F.col("ma50")), F.struct(F.lit("ma50_break").alias("reason"), F.col("c").alias("px"))).when(held >= F.col("hold"), F.struct(F.lit("time").alias("reason"), F.col("c").alias("px")))
+    ends = path.withColumns({"how": how, "held": held}).filter("how is not null").groupBy(*key).agg(F.min(F.struct("k", "s1", "held", "how")).alias("x"))
+    out = entries.join(ends, key, "left")
     at_once = F.col("l0") <= F.col("stop")
     return out.select(
-        "market", "ticker", "entry_s", "entry", "stop",
+        "rule", "market", "ticker", "entry_s", "entry", "stop",
         F.when(at_once, F.col("entry_s")).otherwise(F.col("x.s1")).alias("exit_s"),
         F.when(at_once, F.col("stop")).otherwise(F.col("x.how.px")).alias("px"),
         F.when(at_once, F.lit(0)).otherwise(F.col("x.held")).cast("long").alias("held"),
@@ -49,7 +98,16 @@ def candidates(features: DataFrame, max_hold: int = config.MAX_HOLD, stop_pct: f
     )
 
 
-def admit(cands: pd.DataFrame, closes: pd.DataFrame, risk: float, slots: int, start: float, most: float) -> tuple[list[tuple], list[tuple]]:
+def candidates(features: DataFrame, max_hold: int = config.MAX_HOLD, stop_pct: float = config.STOP) -> DataFrame:
+    """The trade each signal would make: filled at the next session's open with slippage, ended by the stop, the first close under an armed 50-day mean, or time.
+
+    features: market, ticker, s, o, l, c, ma50, signal. A trade without an end runs to the data's end (exit null).
+    A market without costs of its own pays those of US.
+    """
+    return _candidates(_slim(features), [Plan(hold=max_hold, stop=stop_pct)]).drop("rule")
+
+
+def admit(cands: pd.DataFrame, closes: pd.DataFrame, plan: Plan) -> tuple[list[tuple], list[tuple]]:
     """Trades taken and the equity after each session of one market: exits, then entries in ticker order, then the mark.
 
     closes: the closes that a candidate trade may be marked at, and a row without ticker for the first and last session.
@@ -59,19 +117,20 @@ def admit(cands: pd.DataFrame, closes: pd.DataFrame, risk: float, slots: int, st
     sessions = closes.loc[closes["ticker"].isna(), "s"]
     first, last = int(sessions.min()), int(sessions.max())
     market = closes["market"].iloc[0]
-    cost = config.MARKETS.get(market, config.MARKETS["US"])
+    slips, fees = dict(plan.slips), dict(plan.fees)
+    slip, fee_share = slips.get(market, slips["US"]), fees.get(market, fees["US"])
     price = {t: dict(zip(g["s"].tolist(), g["c"].tolist(), strict=True)) for t, g in closes.groupby("ticker")}
     order = {t: sorted(p) for t, p in price.items()}
     by = {s: g.sort_values("ticker").to_dict("records") for s, g in cands.groupby("entry_s")}
-    cash = equity = start
+    cash = equity = plan.start
     open_: dict[str, dict] = {}
     trades, curve = [], []
 
     def close(t: str, px: float, s: int, held: int, reason: str) -> None:
         nonlocal cash
         p = open_.pop(t)
-        out = px * (1 - cost["slip"])
-        fee = p["shares"] * out * cost["fee"]
+        out = px * (1 - slip)
+        fee = p["shares"] * out * fee_share
         cash += p["shares"] * out - fee
         trades.append((market, t, p["entry_s"], s, p["entry"], out, p["stop"], p["shares"], (out - p["entry"]) / (p["entry"] - p["stop"]), held, reason, fee))
 
@@ -79,12 +138,12 @@ def admit(cands: pd.DataFrame, closes: pd.DataFrame, risk: float, slots: int, st
         for t in [t for t, p in open_.items() if p["exit_s"] == s]:
             close(t, open_[t]["px"], s, open_[t]["held"], open_[t]["reason"])
         for x in by.get(s, []):
-            if len(open_) >= slots:
+            if len(open_) >= plan.slots:
                 break
             if x["ticker"] in open_:
                 continue
-            shares = min(math.floor(equity * risk / (x["entry"] - x["stop"])), math.floor(equity * most / x["entry"]))
-            paid = shares * x["entry"] * (1 + cost["fee"])
+            shares = min(math.floor(equity * plan.risk / (x["entry"] - x["stop"])), math.floor(equity * plan.most / x["entry"]))
+            paid = shares * x["entry"] * (1 + fee_share)
             if shares <= 0 or paid > cash:
                 continue
             cash -= paid
@@ -100,34 +159,63 @@ def admit(cands: pd.DataFrame, closes: pd.DataFrame, risk: float, slots: int, st
     return trades, curve
 
 
-def replay(features: DataFrame, risk: float = config.RISK, slots: int = config.SLOTS, start: float = config.START, most: float = config.MAX_POSITION, equity: bool = False) -> DataFrame:
-    """Trades (or, with equity, the curve) of an independent portfolio per market. risk is a fraction of equity.
+def admitted(features: DataFrame, plans: Sequence[Plan]) -> DataFrame:
+    """Rows ADMITTED of each plan's independent portfolio per market.
 
-    Admission is sequential by nature: a market's candidate trades and the closes inside them go to one task, its other
-    bars do not.
+    features: as for candidates(), with signal or with fired (the strategies that fired, for plans of several). Admission
+    is sequential by nature: a plan's candidate trades of a market and the closes inside them go to one task, other bars
+    do not.
     """
+    names = [p.name for p in plans]
+    if not plans or len(plans) > MOST_PLANS or len(set(names)) < len(names):
+        raise ValueError(f"from 1 to {MOST_PLANS} plans, each of its own name")
     key = ["market", "ticker"]
-    cands = candidates(features).withColumns({"entry_s": F.col("entry_s").cast("long"), "exit_s": F.col("exit_s").cast("long")})
+    slim = _slim(features)
+    cands = stage.written(_candidates(slim, plans), "replay-candidates")
     # of the bars only those between entry and exit of some candidate are ever asked for
     ends = cands.groupBy(*key, F.col("entry_s").alias("s")).agg(F.max(F.coalesce("exit_s", F.lit(1 << 62))).alias("_end"))
-    marks = features.select(*key, F.col("s").cast("long").alias("s"), "c").join(ends, [*key, "s"], "left")
+    marks = slim.select(*key, "s", "c").join(ends, [*key, "s"], "left")
     until = F.max("_end").over(Window.partitionBy(*key).orderBy("s").rowsBetween(Window.unboundedPreceding, 0))
     marks = marks.withColumn("_until", until).filter(F.col("_until") >= F.col("s")).select(*key, F.col("s").alias("entry_s"), F.col("c").alias("entry"))
-    edges = features.groupBy("market").agg(F.array(F.min("s").cast("long"), F.max("s").cast("long")).alias("s")).select("market", F.lit(None).cast("string").alias("ticker"), F.explode("s").alias("entry_s"), F.lit(None).cast("double").alias("entry"))
-    both = cands.withColumn("is_close", F.lit(False)).unionByName(marks.union(edges).withColumn("is_close", F.lit(True)), allowMissingColumns=True)
+    edges = slim.groupBy("market").agg(F.array(F.min("s"), F.max("s")).alias("s")).select("market", F.lit(None).cast("string").alias("ticker"), F.explode("s").alias("entry_s"), F.lit(None).cast("double").alias("entry"))
+    rules = {r: i for i, r in enumerate(dict.fromkeys(p.rule for p in plans))}
+    by_rule = F.create_map(*(x for r, i in rules.items() for x in (F.lit(i), F.array(*(F.lit(p.name) for p in plans if p.rule == r)))))
+    own = cands.withColumn("plan", F.explode(by_rule[F.col("rule")])).drop("rule").withColumn("is_close", F.lit(False))
+    closes = marks.union(edges).withColumn("plan", F.explode(F.array(*(F.lit(n) for n in names)))).withColumn("is_close", F.lit(True))
+    by_name = {p.name: p for p in plans}
+    trade, point = ([y.split(" ")[0] for y in x.split(", ")] for x in (TRADES, EQUITY))
+    every = [y.split(" ")[0] for y in ADMITTED.split(", ")]
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
+        plan = by_name[x["plan"].iloc[0]]
         prices = x[x["is_close"]].rename(columns={"entry_s": "s", "entry": "c"})
-        trades, curve = admit(x[~x["is_close"]], prices, risk, slots, start, most)
-        return pd.DataFrame(curve if equity else trades, columns=[y.split(" ")[0] for y in (EQUITY if equity else TRADES).split(", ")])
+        trades, curve = admit(x[~x["is_close"]], prices, plan)
+        both = pd.concat([pd.DataFrame(trades, columns=trade), pd.DataFrame(curve, columns=point)]).reindex(columns=every)
+        both["plan"] = plan.name
+        whole = {y.split(" ")[0]: "Int64" for y in ADMITTED.split(", ") if y.endswith(" long")}
+        return both.astype(whole)
+
+    return own.unionByName(closes, allowMissingColumns=True).groupBy("plan", "market").applyInPandas(run, ADMITTED)
+
+
+def grid(features: DataFrame, plans: Sequence[Plan]) -> tuple[DataFrame, DataFrame]:
+    """Trades and equity curves of all plans (with a column plan), from one pass that is written once."""
+    rows = stage.written(admitted(features, plans), "replay-admitted")
+    trade, point = ([y.split(" ")[0] for y in x.split(", ")] for x in (TRADES, EQUITY))
+    return rows.filter("ticker is not null").select("plan", *trade), rows.filter("ticker is null").select("plan", *point)
 
-    return both.groupBy("market").applyInPandas(run, EQUITY if equity else TRADES)
+
+def replay(features: DataFrame, risk: float = config.RISK, slots: int = config.SLOTS, start: float = config.START, most: float = config.MAX_POSITION, equity: bool = False) -> DataFrame:
+    """Trades (or, with equity, the curve) of an independent portfolio per market. risk is a fraction of equity."""
+    rows = admitted(features, [Plan(risk=risk, slots=slots, start=start, most=most)])
+    kind = EQUITY if equity else TRADES
+    return rows.filter("ticker is null" if equity else "ticker is not null").select(*(y.split(" ")[0] for y in kind.split(", ")))
 
 
-def statistics(trades: DataFrame) -> DataFrame:
+def statistics(trades: DataFrame, by: tuple[str, ...] = ("market",)) -> DataFrame:
     """Per market: trades, win rate, expectancy, profit factor in R, mean win, loss and hold; nulls where undefined."""
     r = F.col("r")
-    return trades.groupBy("market").agg(
+    return trades.groupBy(*by).agg(
         F.count("*").alias("trades"),
         (F.count_if(r > 0) / F.count("*") * 100).alias("win_rate"),
         F.avg("r").alias("expectancy"),
@@ -138,46 +226,61 @@ def statistics(trades: DataFrame) -> DataFrame:
     )
 
 
-def drawdown(curve: DataFrame) -> DataFrame:
+def drawdown(curve: DataFrame, by: tuple[str, ...] = ("market",)) -> DataFrame:
     """Per market: final equity, the largest fall from a peak (per cent), and volatility and ratio of the session returns a year."""
-    w = Window.partitionBy("market").orderBy("s")
+    w = Window.partitionBy(*by).orderBy("s")
     x = curve.withColumns({"peak": F.max("equity").over(w.rowsBetween(Window.unboundedPreceding, 0)), "ret": F.col("equity") / F.lag("equity").over(w) - 1})
     sd, mean = F.stddev_samp("ret"), F.avg("ret")
     down = F.stddev_samp(F.when(F.col("ret") < 0, F.col("ret")))
-    return x.groupBy("market").agg(
+    return x.groupBy(*by).agg(
         F.max_by("equity", "s").alias("final_equity"), (F.min(F.col("equity") / F.col("peak") - 1) * 100).alias("max_drawdown"), (sd * math.sqrt(252) * 100).alias("volatility"), F.try_divide(mean, sd).alias("_a"), F.try_divide(mean, down).alias("_b")
     ).withColumns({"sharpe": F.col("_a") * math.sqrt(252), "sortino": F.col("_b") * math.sqrt(252)}).drop("_a", "_b")
 
 
 #: Trades under which a resampled spread says nothing, and the trades of a year.
 THIN, YEARLY = 20, 50
+_MASK = (1 << 32) - 1
+#: Two odd multipliers below 2^31: products of 32-bit counters stay within 64 bits.
+_M1, _M2 = 0x7FEB352D, 0x2C1B3C6D
+
+
+def scattered(x: np.ndarray) -> np.ndarray:
+    """32 bits that look random of a 32-bit counter: shifts, xors and products, the same in any engine."""
+    for multiplier, shift in ((_M1, 16), (_M2, 15)):
+        x = ((x ^ (x >> shift)) * multiplier) & _MASK
+    return x ^ (x >> 16)
 
 
-def bootstrap(trades: DataFrame, risk: float = config.RISK, draws: int = 10_000, seed: int = 7) -> DataFrame:
+def picks(draw: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """Which of n trades (from 0) stands at each place (a column each) of each draw (a row each)."""
+    row = scattered((draw.astype(np.int64) + seed * 1_000_003) & _MASK)
+    return (scattered((row[:, None] + np.arange(n)) & _MASK) * n) >> 32
+
+
+def bootstrap(trades: DataFrame, risk: float = config.RISK, draws: int = 10_000, seed: int = 7, by: tuple[str, ...] = ("market",)) -> DataFrame:
     """Per market: percentiles of the yearly growth and of the worst fall over resampled orders of its trades, in per cent, and how often the worst reaches 25 and 50 % and the account halves.
 
-    Markets of fewer than 20 trades are thin: no draws, nulls. A fall is from the highest point after a trade. The
-    trades of a market are bounded by its slots and sessions; draws are dealt to tasks in blocks.
+    Markets of fewer than 20 trades are thin: no draws, nulls. A fall is from the highest point after a trade. Draws are
+    numbers of a counter, not of a generator's state, so any engine draws the same, block by block and in any order. The
+    trades of a market are bounded by its slots and sessions.
     """
-    rs = trades.filter("r is not null").groupBy("market").agg(F.array_sort(F.collect_list("r")).alias("rs"))
-    sized = rs.select("market", F.size("rs").cast("long").alias("trades"), (F.size("rs") < THIN).alias("thin"))
-    work = rs.filter(F.size("rs") >= THIN).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    rs = trades.filter("r is not null").groupBy(*by).agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    sized = rs.select(*by, F.size("rs").cast("long").alias("trades"), (F.size("rs") < THIN).alias("thin"))
+    rows = max(1, draws // 20)
+    work = rs.filter(F.size("rs") >= THIN).withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(rows)))).repartition(*by, "first")
 
     def run(frames):
-        import numpy as np
-
         for f in frames:
-            for _, x in f.iterrows():
-                rng = np.random.default_rng([seed, int(x["block"])])
-                pick = rng.choice(np.asarray(x["rs"]), size=(draws // 20, len(x["rs"])))
-                path = np.cumprod(1 + risk * pick, axis=1)
+            for x in f.to_dict("records"):
+                of = np.asarray(x["rs"])
+                path = np.cumprod(1 + risk * of[picks(np.arange(x["first"], min(x["first"] + rows, draws)), len(of), seed)], axis=1)
                 fall = (path / np.maximum.accumulate(path, axis=1) - 1).min(axis=1)
-                growth = np.maximum(path[:, -1], 0) ** (YEARLY / len(x["rs"])) - 1
-                yield pd.DataFrame({"market": x["market"], "final": path[:, -1], "growth": growth * 100, "fall": fall * 100})
+                growth = np.maximum(path[:, -1], 0) ** (YEARLY / len(of)) - 1
+                yield pd.DataFrame({c: x[c] for c in by} | {"final": path[:, -1], "growth": growth * 100, "fall": fall * 100})
 
-    drawn = work.mapInPandas(run, "market string, final double, growth double, fall double")
+    drawn = work.mapInPandas(run, ", ".join(f"{c} {dict(trades.dtypes)[c]}" for c in by) + ", final double, growth double, fall double")
     spread = [F.percentile(c, F.lit(p / 100)).alias(f"{c}_p{p}") for c in ("growth", "fall") for p in (5, 50, 95)]
     often = {"fall_25": F.col("fall") <= -25, "fall_50": F.col("fall") <= -50, "halved": F.col("final") < 0.5}
     shares = [(F.count_if(v) / F.count("*") * 100).alias(k) for k, v in often.items()]
-    found = drawn.groupBy("market").agg(F.count("*").alias("_draws"), *spread, *shares)
-    return sized.join(found, "market", "left").withColumn("draws", F.coalesce("_draws", F.lit(0))).drop("_draws")
+    found = drawn.groupBy(*by).agg(F.count("*").alias("_draws"), *spread, *shares)
+    return sized.join(found, list(by), "left").withColumn("draws", F.coalesce("_draws", F.lit(0))).drop("_draws")

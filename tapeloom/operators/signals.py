@@ -6,7 +6,7 @@ over it. Sessions are numbered per market and windows range over the number, so
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -136,3 +136,12 @@ def signals(x: DataFrame, strategy: str) -> DataFrame:
     else:
         raise ValueError(f"no such strategy: {strategy}")
     return x.withColumn("signal", F.coalesce(hit, F.lit(False)))
+
+
+def fired(x: DataFrame, strategies: Sequence[str]) -> DataFrame:
+    """Session features with the names of the strategies whose signal a bar gives: all of them in one pass over the windows."""
+    kept = x.columns
+    for name in strategies:
+        x = signals(x.select(*kept, *(c for c in x.columns if c.startswith("_fired_"))), name).withColumn(f"_fired_{name}", F.col("signal"))
+    names = F.array(*(F.when(F.col(f"_fired_{name}"), F.lit(name)) for name in strategies))
+    return x.select(*kept, F.array_compact(names).alias("fired"))

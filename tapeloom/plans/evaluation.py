@@ -144,25 +144,32 @@ def _flagged(spark, sf_dir, strategy="donchian"):
     return sg.signals(sg.session_features(session_bars(spark, sf_dir)), strategy)
 
 
-CAND_SQL = GRID_SQL + _dz.replace(", z AS", ", dz AS") + f""",
+def candidate_sql(stop: float, hold: int) -> str:
+    return GRID_SQL + _dz.replace(", z AS", ", dz AS") + f""",
 e0 AS (SELECT *, row_number() OVER w AS k, lag(s) OVER w AS ps, lag(coalesce({_dw}, false)) OVER w AS was FROM dz WINDOW w AS (PARTITION BY market, ticker ORDER BY s)),
 ent AS (SELECT market, ticker, s AS entry_s, k AS k0, o * (1 + CASE market WHEN 'MY' THEN 0.0030::DOUBLE ELSE 0.0010::DOUBLE END) AS entry,
   coalesce(o >= ma50, false) AS armed0, l AS l0 FROM e0 WHERE ps = s - 1 AND was AND o > 0),
-pth AS (SELECT ent.*, entry * (1 - 0.08::DOUBLE) AS stop, b.s AS s1, b.k, b.o, b.l, b.c, b.ma50, armed0
+pth AS (SELECT ent.*, entry * (1 - {stop}::DOUBLE) AS stop, b.s AS s1, b.k, b.o, b.l, b.c, b.ma50, armed0
   OR coalesce(bool_or(b.c >= b.ma50) OVER (PARTITION BY ent.market, ent.ticker, k0 ORDER BY b.k), false) AS armed
-  FROM (SELECT *, unnest(list_distinct([(k0 + 1) // 40, (k0 + 40) // 40])) AS stretch FROM ent) ent
-  JOIN (SELECT *, k // 40 AS stretch FROM e0) b ON b.market = ent.market AND b.ticker = ent.ticker AND b.stretch = ent.stretch
-    AND b.k > k0 AND b.k <= k0 + 40),
-hw AS (SELECT *, CASE WHEN l <= stop THEN 'stop' WHEN armed AND c < ma50 THEN 'ma50_break' WHEN k - k0 >= 40 THEN 'time' END AS reason, CASE
+  FROM (SELECT *, unnest(list_distinct([(k0 + 1) // {hold}, (k0 + {hold}) // {hold}])) AS stretch FROM ent) ent
+  JOIN (SELECT *, k // {hold} AS stretch FROM e0) b ON b.market = ent.market AND b.ticker = ent.ticker AND b.stretch = ent.stretch
+    AND b.k > k0 AND b.k <= k0 + {hold}),
+hw AS (SELECT *, CASE WHEN l <= stop THEN 'stop' WHEN armed AND c < ma50 THEN 'ma50_break' WHEN k - k0 >= {hold} THEN 'time' END AS reason, CASE
   WHEN l <= stop THEN least(stop, o) ELSE c END AS px FROM pth),
 fin AS (SELECT * FROM hw WHERE reason IS NOT NULL QUALIFY row_number() OVER (PARTITION BY market, ticker, k0 ORDER BY k) = 1),
-cand AS (SELECT ent.market, ent.ticker, ent.entry_s, ent.k0, ent.entry, ent.entry * (1 - 0.08::DOUBLE) AS stop, ent.l0 <= ent.entry * (1 - 0.08::DOUBLE) AS at_once,
+cand AS (SELECT ent.market, ent.ticker, ent.entry_s, ent.k0, ent.entry, ent.entry * (1 - {stop}::DOUBLE) AS stop, ent.l0 <= ent.entry * (1 - {stop}::DOUBLE) AS at_once,
   CASE WHEN at_once THEN 'stop' ELSE fin.reason END AS reason, CASE WHEN at_once THEN ent.entry_s ELSE fin.s1 END AS exit_s, CASE WHEN at_once
-  THEN ent.entry * (1 - 0.08::DOUBLE) ELSE fin.px END AS px, CASE WHEN at_once THEN 0 ELSE fin.k - ent.k0 END AS held FROM ent LEFT
+  THEN ent.entry * (1 - {stop}::DOUBLE) ELSE fin.px END AS px, CASE WHEN at_once THEN 0 ELSE fin.k - ent.k0 END AS held FROM ent LEFT
   JOIN fin USING (market, ticker, k0))"""
-#: The portfolio replay, a session a step: who leaves, who enters in ticker order while slots and cash last, then the mark.
+
+
+CAND_SQL = candidate_sql(config.STOP, config.MAX_HOLD)
+#: Costs of a market, for the portfolio replay: a session a step, who leaves, who enters in ticker order while slots and cash last, then the mark.
 _SLIP, _FEE = (f"CASE market {' '.join(f'WHEN {m!r} THEN {v[k]}::DOUBLE' for m, v in config.MARKETS.items())} END" for k in ("slip", "fee"))
-REPLAY_SQL = CAND_SQL.replace("WITH daily", "WITH RECURSIVE daily", 1) + f""",
+
+
+def replay_sql(stop: float = config.STOP, hold: int = config.MAX_HOLD, risk: float = config.RISK, slots: int = config.SLOTS) -> str:
+    return candidate_sql(stop, hold).replace("WITH daily", "WITH RECURSIVE daily", 1) + f""",
 enter AS (SELECT market, entry_s AS s, list({{'ticker': ticker, 'entry_s': entry_s, 'entry': entry, 'stop': stop, 'exit_s': exit_s, 'px': px, 'held': held, 'reason': reason}} ORDER BY ticker) AS cs FROM cand GROUP BY 1, 2),
 asked AS (SELECT DISTINCT market, ticker FROM cand),
 marks AS (SELECT market, s, map_from_entries(list((ticker, c))) AS price FROM num JOIN asked USING (market, ticker) GROUP BY 1, 2),
@@ -176,14 +183,14 @@ run AS (
   UNION ALL
   SELECT market, s, st.cash, st.cash + coalesce(list_sum(list_transform(st.open, lambda p: p.shares * coalesce(price[p.ticker], p.entry))), 0),
   st.open, list_concat(gone, st.done) FROM (
-    SELECT market, s, price, gone, list_reduce(cs, lambda st, x: CASE WHEN len(st.open) >= {config.SLOTS} OR list_contains(list_transform(st.open,
+    SELECT market, s, price, gone, list_reduce(cs, lambda st, x: CASE WHEN len(st.open) >= {slots} OR list_contains(list_transform(st.open,
   lambda p: p.ticker), x.ticker) OR x.shares <= 0 OR x.shares * x.entry * (1 + fee) > st.cash THEN st
       WHEN x.exit_s = s THEN {{'cash': st.cash - x.shares * x.entry * (1 + fee) + x.shares * (x.px * (1 - slip)) - x.shares * (x.px * (1 - slip)) * fee, 'open': st.open, 'done': list_append(st.done, x)}}
       ELSE {{'cash': st.cash - x.shares * x.entry * (1 + fee), 'open': list_append(st.open, x), 'done': st.done}} END,
       {{'cash': cash + coalesce(list_sum(list_transform(gone, lambda p: p.shares * (p.px * (1 - slip)) - p.shares * (p.px * (1 - slip)) * fee)), 0), 'open': stay, 'done': []::STRUCT(ticker VARCHAR, entry_s BIGINT, entry DOUBLE, stop DOUBLE, exit_s BIGINT, px DOUBLE, held BIGINT, reason VARCHAR, shares BIGINT)[]}}) AS st FROM (
       SELECT sess.market, sess.s, slip, fee, price, cash, list_filter(held_, lambda p: coalesce(p.exit_s = sess.s, false)) AS gone, list_filter(held_,
   lambda p: coalesce(p.exit_s <> sess.s, true)) AS stay,
-        list_transform(cs, lambda x: {{'ticker': x.ticker, 'entry_s': CAST(x.entry_s AS BIGINT), 'entry': x.entry, 'stop': x.stop, 'exit_s': CAST(x.exit_s AS BIGINT), 'px': x.px, 'held': CAST(x.held AS BIGINT), 'reason': x.reason, 'shares': CAST(least(floor(eq * {config.RISK}::DOUBLE / (x.entry - x.stop)), floor(eq * {config.MAX_POSITION}::DOUBLE / x.entry)) AS BIGINT)}}) AS cs
+        list_transform(cs, lambda x: {{'ticker': x.ticker, 'entry_s': CAST(x.entry_s AS BIGINT), 'entry': x.entry, 'stop': x.stop, 'exit_s': CAST(x.exit_s AS BIGINT), 'px': x.px, 'held': CAST(x.held AS BIGINT), 'reason': x.reason, 'shares': CAST(least(floor(eq * {risk}::DOUBLE / (x.entry - x.stop)), floor(eq * {config.MAX_POSITION}::DOUBLE / x.entry)) AS BIGINT)}}) AS cs
       FROM run JOIN sess ON sess.market = run.market AND sess.s = run.s + 1))),
 closed AS (SELECT market, unnest(done) AS t FROM run UNION ALL
   SELECT market, {{'ticker': p.ticker, 'entry_s': p.entry_s, 'entry': p.entry, 'stop': p.stop, 'exit_s': s, 'px': coalesce((SELECT c FROM num WHERE num.market = o.market AND num.ticker = p.ticker AND num.s = o.s), p.entry), 'held': (SELECT count(*) FROM num WHERE num.market = o.market AND num.ticker = p.ticker AND num.s > p.entry_s), 'reason': 'end_of_data', 'shares': p.shares}} FROM (SELECT market, s, unnest(held_) AS p FROM run JOIN edge USING (market) WHERE s = last) o),
@@ -193,6 +200,9 @@ trades AS (SELECT market, t.ticker AS ticker, t.entry_s AS entry_s, t.exit_s AS
 curve AS (SELECT market, s, eq FROM run JOIN edge USING (market) WHERE s > first)"""
 
 
+REPLAY_SQL = replay_sql()
+
+
 @query(REPLAY_SQL + """ SELECT market, ticker, entry_s, exit_s, round(entry, 6) AS entry, round(px, 8) AS exit, round(stop, 6) AS stop, shares, round(r, 6) AS r, held,
   reason, round(fees, 4) AS fees FROM trades""")
 def replay_trades(spark, sf_dir):
@@ -222,10 +232,39 @@ def bootstrap_sizes(spark, sf_dir):
     return rp.bootstrap(rp.replay(_flagged(spark, sf_dir))).select("market", "trades", "thin", "draws")
 
 
-@query()
+#: The same counter as replay.scattered, a step a column.
+_MIXED = "SELECT * REPLACE (xor({c}, {c} >> 16) AS {c}) FROM (SELECT * REPLACE ((xor({c}, {c} >> 15) * 739982445) & 4294967295 AS {c}) FROM (SELECT * REPLACE ((xor({c}, {c} >> 16) * 2146121005) & 4294967295 AS {c}) FROM {t}))"
+BOOTSTRAP_SQL = REPLAY_SQL + f""", rs AS (SELECT market, list(r ORDER BY r) AS rs, count(*) AS n FROM trades WHERE r IS NOT NULL GROUP BY 1),
+drawn AS (SELECT market, i, (i + 7 * 1000003) & 4294967295 AS x FROM rs, range(10000) q(i) WHERE n >= 20), drawx AS ({_MIXED.format(c="x", t="drawn")}),
+placed AS (SELECT market, i, j, (x + j) & 4294967295 AS y, rs, n FROM drawx JOIN rs USING (market), range(10000) p(j) WHERE j < n), placey AS ({_MIXED.format(c="y", t="placed")}),
+step AS (SELECT market, i, j, n, product(1 + {config.RISK}::DOUBLE * rs[((y * n) >> 32) + 1]) OVER (PARTITION BY market, i ORDER BY j) AS eq FROM placey),
+topped AS (SELECT *, max(eq) OVER (PARTITION BY market, i ORDER BY j) AS top FROM step),
+draws AS (SELECT market, arg_max(eq, j) AS final, (pow(greatest(0, arg_max(eq, j)), 50.0::DOUBLE / max(n)) - 1) * 100 AS growth, least(0, min(eq / top - 1)) * 100 AS fall FROM topped GROUP BY market, i)"""
+
+
+@query(BOOTSTRAP_SQL + """ SELECT market, max(rs.n) AS trades, bool_or(rs.n < 20) AS thin, count(final) AS draws,
+  """ + ", ".join(f"round(coalesce(quantile_cont({c}, {q / 100}), -1), 6) AS {c}_p{q}" for c in ("growth", "fall") for q in (5, 50, 95)) + """,
+  round(coalesce(count(*) FILTER (fall <= -25) / nullif(count(final), 0) * 100, -1), 6) AS fall_25, round(coalesce(count(*) FILTER (fall <= -50) / nullif(count(final), 0) * 100, -1), 6) AS fall_50,
+  round(coalesce(count(*) FILTER (final < 0.5) / nullif(count(final), 0) * 100, -1), 6) AS halved FROM rs LEFT JOIN draws USING (market) GROUP BY 1""")
 def bootstrap_risk(spark, sf_dir):
-    """Drawn at random from a fixed seed: no SQL; tests hold it against exact small cases."""
-    return rp.bootstrap(rp.replay(_flagged(spark, sf_dir)))
+    """-1 where a market has too few trades to draw from."""
+    x = rp.bootstrap(rp.replay(_flagged(spark, sf_dir)))
+    found = [f"{c}_p{q}" for c in ("growth", "fall") for q in (5, 50, 95)] + ["fall_25", "fall_50", "halved"]
+    return x.select("market", "trades", "thin", "draws", *(F.round(F.coalesce(c, F.lit(-1.0)), 6).alias(c) for c in found))
+
+
+#: A small grid: the stop, the longest hold, the risk and the slots vary.
+PLANS = {"base": {}, "tight": {"stop": 0.04}, "short": {"hold": 15, "slots": 3}, "bold": {"risk": 0.03}}
+
+
+@query(" UNION ALL ".join(f"""(SELECT '{name}' AS plan, * FROM ({replay_sql(**how)} SELECT market, count(*) AS trades, round(avg(r), 6) AS expectancy,
+  round(avg(held), 6) AS mean_hold, round(sum(fees), 4) AS fees FROM trades GROUP BY 1))""" for name, how in PLANS.items()))
+def replay_grid(spark, sf_dir):
+    """Statistics of every plan of the grid, from one pass."""
+    plans = [rp.Plan(name, "donchian", **how) for name, how in PLANS.items()]
+    trades, _ = rp.grid(sg.fired(sg.session_features(session_bars(spark, sf_dir)), ["donchian"]), plans)
+    x = trades.groupBy("plan", "market").agg(F.count("*").alias("trades"), F.avg("r").alias("expectancy"), F.avg("held").alias("mean_hold"), F.sum("fees").alias("fees"))
+    return x.select("plan", "market", "trades", _r(F.col("expectancy"), "expectancy"), _r(F.col("mean_hold"), "mean_hold"), F.round("fees", 4).alias("fees"))
 
 
 @query(CAND_SQL + """ SELECT ticker, entry_s, round(entry, 6) AS entry, coalesce(reason, 'open') AS reason, coalesce(exit_s, -1) AS exit_s, round(coalesce(px, 0),

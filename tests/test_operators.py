@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -331,6 +332,49 @@ def test_two_phase_replay_equals_a_daily_loop(spark, seed):
     assert [(y["s"], round(y["equity"], 4)) for y in rp.replay(x, equity=True, **kw).orderBy("s").collect()] == curve
 
 
+def test_a_grid_gives_the_rows_of_its_plans_run_alone(spark):
+    r = random.Random(5)
+    rows = []
+    for market in ("US", "MY"):
+        for t in range(9):
+            c = 50.0
+            for s in range(1, 140):
+                o, c = c * (1 + r.gauss(0, 0.01)), c * (1 + r.gauss(0.001, 0.03))
+                names = [n for n in ("one", "two") if r.random() < 0.06]
+                rows.append((market, f"{market}{t}", s, o, max(o, c) * 1.01, min(o, c) * 0.985, c, 50.0, names))
+    x = spark.createDataFrame(rows, "market string, ticker string, s long, o double, h double, l double, c double, ma50 double, fired array<string>")
+    free = (("US", 0.0), ("MY", 0.0))
+    plans = [rp.Plan("a", "one"), rp.Plan("b", "two", stop=0.04), rp.Plan("c", "one", slots=2, risk=0.03), rp.Plan("d", "two", hold=7, start=5_000.0), rp.Plan("e", "one", slips=free, fees=free)]
+    trades, curve = rp.grid(x, plans)
+    every = {y for y in map(tuple, trades.collect())}, {y for y in map(tuple, curve.collect())}
+    for p in plans:
+        own = rp.grid(x, [p])
+        for together, alone in zip(every, own, strict=True):
+            want = {tuple(y) for y in alone.collect()}
+            assert want and {y for y in together if y[0] == p.name} == want
+    one = x.withColumn("signal", F.array_contains("fired", "one")).drop("fired")
+    assert {tuple(y) for y in rp.replay(one).collect()} == {y[1:] for y in every[0] if y[0] == "a"}
+    for bad in ([], [plans[0], plans[0]]):
+        with pytest.raises(ValueError, match="plans"):
+            rp.admitted(x, bad)
+
+
+def test_draws_of_the_counter_are_even():
+    x = rp.picks(np.arange(200), 50, 7)
+    n = np.bincount(x.ravel(), minlength=50)
+    assert len(n) == 50 and n.min() > 140 and n.max() < 260 and len({tuple(row) for row in x.tolist()}) == 200
+
+
+def test_stages_are_deleted_when_the_caller_is_done(spark):
+    from tapeloom.functions import stage
+
+    with stage.kept():
+        x = stage.written(spark.range(5).toDF("n"), "probe")
+        p, fs = stage.path_of(spark, x.inputFiles()[0])
+        assert x.count() == 5 and fs.exists(p)
+    assert not fs.exists(p)
+
+
 def test_a_market_without_costs_of_its_own_pays_those_of_us(spark):
     rows = [(m, "A", s, 10.0 + s, 10.5 + s, 9.5 + s, 10.0 + s, 8.0, s == 2) for m in ("US", "SG") for s in range(1, 50)]
     x = spark.createDataFrame(rows, "market string, ticker string, s long, o double, h double, l double, c double, ma50 double, signal boolean")
@@ -396,9 +440,10 @@ def test_command_line_scans_and_backtests(spark, tmp_path, capsys):
 
     session_bars(spark, "/root/testdata/sf0.001").write.parquet(str(tmp_path / "bars"))
     cli.main(["scan", "--bars", str(tmp_path / "bars"), "--out", str(tmp_path / "scan")])
-    cli.main(["backtest", "--bars", str(tmp_path / "bars"), "--out", str(tmp_path / "test"), "--strategy", "donchian", "--market", "MY"])
+    cli.main(["backtest", "--bars", str(tmp_path / "bars"), "--out", str(tmp_path / "test"), "--strategy", "donchian", "darvas", "--market", "MY", "--stop", "0.08", "0.04", "--years", "2", "--min-bars", "50", "--fee", "MY=0.001", "--label", "try"])
     trades = spark.read.parquet(str(tmp_path / "test" / "trades"))
     assert trades.count() > 0 and {r["market"] for r in trades.select("market").distinct().collect()} == {"MY"}
+    assert {r["plan"] for r in spark.read.parquet(str(tmp_path / "test" / "statistics")).collect()} >= {f"try donchian stop={x} hold=40 risk=0.01 slots=8" for x in (0.08, 0.04)}
     assert spark.read.parquet(str(tmp_path / "scan" / "candles")).count() == spark.read.parquet(str(tmp_path / "scan" / "board")).count()
     cli.main(["list"])
     cli.main(["sql", "board"])
