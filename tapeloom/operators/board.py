@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom import config
-from tapeloom.functions.frames import over
+from tapeloom.functions.frames import newest_first, over
 from tapeloom.operators import indicators as ind
 from tapeloom.operators import structures as st
 
@@ -24,6 +24,15 @@ def clamp(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 
 
+#: Bars of a ticker that its newest bar is judged by: the longest window is 252, the oldest rule asks for 260.
+RECENT = 300
+
+
+def recent(bars: DataFrame, n: int = RECENT) -> DataFrame:
+    """The newest n bars of each ticker: the cut comes before the exchange, so older bars move nowhere."""
+    return bars.withColumn("_r", F.row_number().over(newest_first())).filter(F.col("_r") <= n).drop("_r")
+
+
 def setups(bars: DataFrame) -> DataFrame:
     """The newest bar of each ticker with every window that its setup is judged by."""
     x = ind.volume_profile(ind.features(bars)).withColumns(
@@ -134,6 +143,7 @@ def candidates(bars: DataFrame) -> DataFrame:
 
     The rank comes before any filter: a filtered pool would rank differently.
     """
+    bars = recent(bars)
     x = ind.template(liquid(ind.with_rank(setups(bars))).filter(F.col("rs_rank") >= config.RANK_FLOOR))
     return judge(x.filter(F.col("passed") >= F.col("total") - 2).join(st.contractions(bars), KEY))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom import config
+from tapeloom.functions import stage
 from tapeloom.functions.frames import own
 
 
@@ -19,7 +20,8 @@ def grade(signals: DataFrame, bars: DataFrame) -> DataFrame:
     The trigger must be reached within 15 bars after d; from that bar on, 60 bars count. A bar that reaches both stop
     and target is a loss. Risk that is not positive, or no trigger, is never_triggered.
     """
-    b = numbered(bars)
+    b = stage.written(numbered(bars).select("market", "ticker", "d", "k", "h", "l", "c"), "graded-bars")
+    signals = stage.written(signals, "graded-signals")
     at = signals.join(b.select("market", "ticker", "d", F.col("k").alias("k0")), ["market", "ticker", "d"])
     # bars are dealt to stretches as long as a signal lives, so a signal meets two stretches, not all bars of its ticker
     life = config.TRIGGER_WINDOW + config.EVAL_WINDOW
@@ -62,7 +64,7 @@ def buckets(rows: DataFrame, factor: str, n: int = config.BUCKETS, by: tuple[str
     Rows are ordered in value ranges (approximate percentiles of the group) whose counts add up to exact places, so no
     group is sorted in one task; only rows of one and the same value share a range of necessity.
     """
-    x = rows.filter(F.col(factor).isNotNull())
+    x = stage.written(rows.filter(F.col(factor).isNotNull()), "bucket-rows")  # read for the cuts, the sizes and the places
     cuts = x.groupBy(*by).agg(F.percentile_approx(factor, [k / ranges for k in range(1, ranges)], 10_000).alias("_cuts"), F.count("*").alias("_n"))
     x = x.join(F.broadcast(cuts), [*by]).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(factor)))).drop("_cuts")
     sizes = x.groupBy(*by, "_range").agg(F.count("*").alias("_size"))  # at most so many rows a group

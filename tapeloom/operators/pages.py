@@ -28,7 +28,7 @@ def json_number(text: Column, path: str) -> Column:
 
 def newest_board(candidates: DataFrame, runs: DataFrame) -> DataFrame:
     """Candidates of the newest run (run_id, run_day): joined on run_id."""
-    last = newest(runs, 1, [F.desc("run_day"), F.desc("run_id")], [])
+    last = runs.orderBy(F.desc("run_day"), F.desc("run_id")).limit(1)
     return candidates.join(F.broadcast(last.select("run_id", F.col("run_day").alias("as_of"))), "run_id")
 
 
