@@ -9,6 +9,7 @@ from tapeloom.operators import fundamentals as fu
 from tapeloom.operators import storage as st
 from tapeloom.plans.indicators import _r
 from tapeloom.registry import query
+from tapeloom.sources import markup
 from tapeloom.sources.panel import BARS_SQL, bars, table
 
 
@@ -120,7 +121,8 @@ def latest_per_key(spark, sf_dir):
     return table(spark, sf_dir, "events").withColumn("k", F.row_number().over(w)).filter("k = 1").select("user_id", "event_type", "event_id")
 
 
-@query("""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<li>')) AS items,
-  len(regexp_extract_all(html, '<p>')) AS paragraphs FROM pages""")
+@query("""SELECT page_id, trim(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS title, len(regexp_extract_all(html, '<li[ >]')) AS items,
+  len(regexp_extract_all(html, '<p[ >]')) AS paragraphs FROM pages""")
 def page_sections(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_count("html", F.lit("<li>")).cast("long").alias("items"), F.regexp_count("html", F.lit("<p>")).cast("long").alias("paragraphs"))
+    """The outline of real pages, by the tokenizer that also reads their tables."""
+    return markup.parsed(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "parsed.title", F.col("parsed.n_items").alias("items"), F.col("parsed.n_paragraphs").alias("paragraphs"))

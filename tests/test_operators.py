@@ -478,3 +478,58 @@ def test_candles_by_their_definitions(spark, name, last):
     x = cd.candle_patterns(spark.createDataFrame(rows, BARS)).orderBy("d").collect()
     assert x[-1][name] and not x[5][name]
     assert name in cd.shown(cd.candle_patterns(spark.createDataFrame(rows, BARS))).orderBy(F.desc("d")).first()["patterns"]
+
+
+def _page(spark, html):
+    from tapeloom.sources import markup
+
+    return markup.parsed(spark.createDataFrame([(1, html)], "tables long, html string")).first()["parsed"]
+
+
+def test_tables_keep_their_nesting_and_spans(spark):
+    html = """<table><tr><th>A<th colspan=2>B</tr><tr><td rowspan=2>x<td>1<td>2 <table><tr><th>in</th></tr><tr><td>ner &amp; b</td></tr></table> 3
+    <tr><td>4<td>5</table><table><tbody><tr><td>no head</td></tr></tbody></table><p>a<p>b<ul><li>1<li>2</ul>"""
+    x = _page(spark, html)
+    got = [(t["header"], t["rows"]) for t in x["tables"]]
+    assert got[0] == (["A", "B", "B"], [["x", "1", "2 3"], ["x", "4", "5"]])
+    assert got[1] == (["in"], [["ner & b"]]) and got[2] == ([], [["no head"]])
+    assert (x["n_items"], x["n_paragraphs"]) == (2, 2)
+    for odd in (None, "", "<", "<table><tr><td colspan=999999999999><td colspan=-1 rowspan=x>", "</td></tr></table>", "plain & text"):
+        assert _page(spark, odd)["feed"] == []
+
+
+def test_a_section_is_the_largest_fitting_table(spark):
+    from tapeloom.sources import dossier, markup
+
+    head = "<tr><th>EPS</th><th>Revenue</th><th>Quarter</th><th>Q Date</th></tr>"
+    html = f"<table>{head}</table><table>{head}<tr><td colspan=100>2020</td></tr><tr><td>(1.5)</td><td>14.9b</td><td>1</td><td>31 Mar, 2020</td></tr><tr><td>-</td><td></td><td>2</td><td>none</td></tr></table>"
+    annual = "<table><tr><th>Financial Year<th>Revenue ('000)<th>Net (x)<th>EPS<th>Report</tr><tr><td>31 December 2019<td>1,200<td>30<td>2<td>.</tr></table>"
+    rows = [(1, html + annual), (2, "<p>nothing"), (3, None)]
+    x = {r["id"]: r for r in dossier.sections(markup.parsed(spark.createDataFrame(rows, "id long, html string"))).collect()}
+    q = x[1]["quarters"]
+    assert len(q) == 1 and (q[0]["q_end"], q[0]["revenue"], q[0]["eps"], q[0]["net_income"]) == (dt.date(2020, 3, 31), 14.9e9, -1.5, None)
+    assert [tuple(y) for y in x[1]["annual"]] == [(dt.date(2019, 12, 31), 1_200_000.0, 30.0, 2.0)]
+    assert x[2]["quarters"] == [] and x[2]["unavailable"] == x[3]["unavailable"] == ["quarters", "annual"] and x[1]["unavailable"] == []
+
+
+def test_feed_items_come_once_from_their_outermost_own_block(spark):
+    html = """<body><div id=list><div class=item><a href=/v2/news/view/1><img></a><div class=item-title><a href=/v2/news/view/1>One &amp; only</a></div><span data-date="2024-05-06 07:08:09.5">Desk</span></div>
+    <div class=item><a href=/v2/news/view/2><img></a></div><a class=announcement-item href=/v2/announcements/view/3><div class=date-box><span>22</span><span>Jul</span></div><div class=title>Three</div></a>
+    <a href=/v2/news/view/1>again</a><a href=/about>no</a></div></body>"""
+    got = [(y["item_id"], y["title"], y["date"], y["source"]) for y in _page(spark, html)["feed"]]
+    assert got == [("1", "One & only", "2024-05-06 07:08:09", "Desk"), ("3", "Three", "22 Jul", "22")]
+
+
+def test_registry_looks_up_classes_and_reads_short_arrays(spark):
+    from tapeloom.sources import registry as rg
+
+    known = rg.ticker_map(spark.createDataFrame([('{"0":{"cik_str":7,"ticker":"brk-b"},"1":{"cik_str":8,"ticker":"KL"},"2":{"ticker":""}}',)], "raw string"))
+    doc = '{"name":"B","sicDescription":"Fire","exchanges":[],"filings":{"recent":{"accessionNumber":["a-1","a-2","a-3"],"form":["8-K","10-Q","4"],"items":["9.01, 5.02,2.02"],"filingDate":["2024-01-02"],"primaryDocument":["x.htm"]}}}'
+    sub = spark.createDataFrame([(7, doc), (9, "{}"), (8, "broken")], "cik long, raw string")
+    tickers = spark.createDataFrame([("BRK.B",), ("X.KL",), ("KL",), ("NONE",)], "ticker string")
+    assert [tuple(r) for r in rg.companies(tickers, known, sub).filter("name is not null").collect()] == [("BRK.B", 7, "B", "Fire", None)]
+    got = {r["item_id"]: r for r in rg.filings(tickers, known, sub, "http://r", None).collect()}
+    assert (got["a-1"]["category"], got["a-1"]["title"]) == ("management", "8-K: Director/officer departure or appointment; Results of operations (earnings release)")
+    assert (got["a-2"]["title"], got["a-2"]["url"], got["a-2"]["filed"]) == ("10-Q Quarterly report", "http://r/cgi-bin/browse-edgar?action=getcompany&CIK=7", None)
+    assert got["a-3"]["category"] == "insider_dealing" and len(got) == 3
+    assert {r["item_id"] for r in rg.filings(tickers, known, sub, "http://r").collect()} == {"a-1", "a-2"}
