@@ -85,3 +85,24 @@ def rotation_news(sectors: DataFrame, items: DataFrame, since: str, n: int = 3)
     fresh = items.filter(F.col("d") >= F.lit(since).cast("date")).groupBy("market", "industry", "url").agg(F.max("d").alias("d"))
     w = Window.partitionBy("market", "industry").orderBy(F.desc("d"), "url")
     return fresh.join(told, ["market", "industry"]).withColumn("k", F.row_number().over(w)).filter(F.col("k") <= n).select("market", "industry", "direction", "k", "url", "d")
+
+
+def leading_counters(candidates: DataFrame, industries: int = 3, counters: int = 2) -> DataFrame:
+    """The strongest counters (by rank, null as 0) of the industries with most candidates: market, industry, ticker, place. Ties go by name; candidates without industry go."""
+    known = candidates.filter("industry is not null")
+    sizes = known.groupBy("market", "industry").agg(F.count("*").alias("_n"))
+    largest = sizes.withColumn("_p", F.row_number().over(Window.partitionBy("market").orderBy(F.desc("_n"), "industry"))).filter(F.col("_p") <= industries)
+    order = Window.partitionBy("market", "industry").orderBy(F.desc(F.coalesce("rs_rank", F.lit(0))), "ticker")
+    x = known.join(F.broadcast(largest.select("market", "industry")), ["market", "industry"])  # so many rows a market
+    return x.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= counters).select("market", "industry", "ticker", "place")
+
+
+def industry_headlines(candidates: DataFrame, items: DataFrame, since: str, industries: int = 3, counters: int = 2, n: int = 3) -> DataFrame:
+    """Where a market has no sector funds: the newest n headlines on or after since of its leading industries, told by their strongest counters, one of each address.
+
+    candidates: market, industry, ticker, rs_rank; items: ticker, url, d. An industry without a headline has no row.
+    """
+    told = leading_counters(candidates, industries, counters)
+    fresh = items.filter(F.col("d") >= F.lit(since).cast("date")).join(F.broadcast(told), "ticker").groupBy("market", "industry", "url").agg(F.max("d").alias("d"))
+    w = Window.partitionBy("market", "industry").orderBy(F.desc("d"), "url")
+    return fresh.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= n).select("market", "industry", F.lit("leading").alias("direction"), "k", "url", "d")

@@ -154,3 +154,20 @@ def number(text: Column) -> Column:
     scale = F.regexp_extract(F.regexp_replace(t, r"[,\s)]", ""), r"[0-9]([kmbt])(?:n)?$", 1)
     value = digits.try_cast("double")
     return F.when(negative, -1.0).otherwise(1.0) * value * F.when(scale == "k", 1e3).when(scale == "m", 1e6).when(scale == "b", 1e9).when(scale == "t", 1e12).otherwise(1.0)
+
+
+#: Days from a quarter's end to the expected report of the next, and the days around it that are a hazard.
+REPORT_AFTER, HAZARD = 151, (-7, 14)
+
+
+def report_window(quarters: DataFrame, as_of: str) -> DataFrame:
+    """Per ticker: when its next report is expected after its newest quarter, in how many days, and whether a trade now would meet it. Tickers without a quarter by then go."""
+    day = F.lit(as_of).cast("date")
+    x = quarters.filter(F.col("q_end") <= day).groupBy("ticker").agg(F.date_add(F.max("q_end"), REPORT_AFTER).alias("expected"))
+    days = F.datediff("expected", day)
+    return x.select("ticker", "expected", days.alias("days"), days.between(*HAZARD).alias("high_risk"))
+
+
+def shared_quarters(revenue: DataFrame, income: DataFrame) -> DataFrame:
+    """Quarter ends (ticker, end) that both series have: each once."""
+    return revenue.select("ticker", "end").intersect(income.select("ticker", "end"))

@@ -70,3 +70,35 @@ def chart_levels(board: DataFrame, statistics: DataFrame) -> DataFrame:
     levels = {"stop": F.col("stop"), "expectancy": F.col("pivot") + F.col("expectancy") * risk, "mean_win": F.col("pivot") + F.col("mean_win") * risk}
     kinds = F.array_compact(F.array(*(F.when(v.isNotNull(), F.struct(F.lit(k).alias("level"), v.alias("price"))) for k, v in levels.items())))
     return x.select("market", "ticker", F.explode(kinds).alias("l")).select("market", "ticker", "l.*")
+
+
+def recent_runs(runs: DataFrame, n: int = 20) -> DataFrame:
+    """The newest n saved runs of any label, newest first."""
+    return runs.orderBy(F.desc("created"), F.desc("id")).limit(n)
+
+
+def run_by_id(runs: DataFrame, run_id: int) -> DataFrame:
+    return runs.filter(F.col("id") == run_id)
+
+
+def latest_review(reviews: DataFrame) -> DataFrame:
+    """The newest review (created, then id), or no row."""
+    return reviews.orderBy(F.desc("created"), F.desc("id")).limit(1)
+
+
+def latest_factor_tables(rows: DataFrame) -> DataFrame:
+    """Of each factor the rows of its newest batch (computed): factors of an older batch stay beside those of a newer one."""
+    newest_batch = rows.groupBy(F.col("factor").alias("_f")).agg(F.max("computed").alias("_c"))  # one row a factor
+    return rows.join(F.broadcast(newest_batch), (F.col("factor") == F.col("_f")) & (F.col("computed") == F.col("_c"))).drop("_f", "_c")
+
+
+def top_swings(board: DataFrame, n: int = 5) -> DataFrame:
+    """The first n swings of each market by quality, then rank, for the brief."""
+    order = Window.partitionBy("market").orderBy(F.desc_nulls_last("quality"), F.desc_nulls_last("rs_rank"), "ticker")
+    return board.filter("bucket = 'swing'").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
+
+
+def guarded(written: DataFrame, board: DataFrame, key: list[str]) -> DataFrame:
+    """Rows that someone else wrote about the board, without those on tickers that it does not have, and one of each ticker (the first by its place)."""
+    one = newest(written, 1, [F.asc("place")], key)
+    return one.join(board.select(*key).distinct(), key, "left_semi")

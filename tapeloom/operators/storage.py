@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def upsert(old: DataFrame, new: DataFrame, key: list[str], keep: list[str] = ()) -> DataFrame:
-    """Rows of old with those of new over them, by key; columns in keep fall back to the old value where the new is null."""
+def upsert(old: DataFrame, new: DataFrame, key: list[str], keep: list[str] = (), order: list[str] = ()) -> DataFrame:
+    """Rows of old with those of new over them, by key; columns in keep fall back to the old value where the new is null.
+
+    Of rows of one key within new that with the largest order counts; without an order new has one row a key.
+    """
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    w = Window.partitionBy(*key).orderBy(F.desc("_new"))
+    w = Window.partitionBy(*key).orderBy(F.desc("_new"), *(F.desc_nulls_last(c) for c in order))
     rest = [c for c in old.columns if c not in key]
     filled = [F.first(c, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias(c) if c in keep else F.col(c) for c in rest]
     return both.select(*key, *filled, F.row_number().over(w).alias("_r")).filter("_r = 1").drop("_r")
@@ -59,8 +62,11 @@ def repull(bars: DataFrame, affected: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def save_news(old: DataFrame, new: DataFrame) -> DataFrame:
-    """News after an upsert by kind and item id: rows without an id are skipped, and a missing date keeps the stored one."""
-    return upsert(old, newest(new.filter("item_id is not null"), 1, [F.desc_nulls_last("published")], ["kind", "item_id"]), ["kind", "item_id"], keep=["published"])
+    """News after an upsert by kind and item id: rows without an id are skipped, and a missing date keeps the stored one.
+
+    Of new rows of one item the newest counts, of one day that of the smallest hash.
+    """
+    return upsert(old, newest(new.filter("item_id is not null"), 1, [F.desc_nulls_last("published"), F.asc(F.xxhash64(*new.columns))], ["kind", "item_id"]), ["kind", "item_id"], keep=["published"])
 
 
 def news_window(news: DataFrame, now: str, days: int = 90, headlines: int = 12, announcements: int = 10) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tapeloom.operators import enrich as en
+from tapeloom.operators import fundamentals as fu
 from tapeloom.operators import replay as rp
 from tapeloom.plans import market as mk_plans
 from tapeloom.plans.evaluation import REPLAY_SQL, _flagged
@@ -24,20 +25,15 @@ def exits_by_reason(spark, sf_dir):
   date_diff('day', DATE '2001-11-15', CAST(max(q_end) + 151 AS DATE)) BETWEEN -7 AND 14 AS high_risk FROM quarters WHERE q_end <= DATE '2001-11-15'
   GROUP BY 1""")
 def filing_windows(spark, sf_dir):
-    as_of = F.lit("2001-11-15").cast("date")
-    x = quarters(spark, sf_dir).filter(F.col("q_end") <= as_of).groupBy("ticker").agg(F.date_add(F.max("q_end"), 151).alias("expected"))
-    days = F.datediff("expected", as_of)
-    return x.select("ticker", "expected", days.cast("long").alias("days"), days.between(-7, 14).alias("high_risk"))
+    return fu.report_window(quarters(spark, sf_dir), "2001-11-15").withColumn("days", F.col("days").cast("long"))
 
 
 @query("""WITH top AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, lang LIMIT 3), ranked AS (SELECT lang, doc_id, n_chars,
   row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS place FROM documents JOIN top USING (lang)) SELECT lang, doc_id, place
   FROM ranked WHERE place <= 2""")
 def grouped_news(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("lang", "doc_id", "n_chars")
-    top = docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(3)
-    w = Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")
-    return docs.join(F.broadcast(top.select("lang")), "lang").withColumn("place", F.row_number().over(w)).filter("place <= 2").select("lang", "doc_id", F.col("place").cast("long").alias("place"))
+    docs = table(spark, sf_dir, "documents").select(F.lit("-").alias("market"), F.col("lang").alias("industry"), F.col("doc_id").alias("ticker"), F.col("n_chars").alias("rs_rank"))
+    return en.leading_counters(docs).select(F.col("industry").alias("lang"), F.col("ticker").alias("doc_id"), F.col("place").cast("long").alias("place"))
 
 
 @query(REPLAY_SQL + """, rg AS (SELECT market, s AS entry_s, light FROM days JOIN regime USING (market, d))

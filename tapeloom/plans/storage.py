@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tapeloom.operators import fundamentals as fu
@@ -117,8 +116,8 @@ def event_summary(spark, sf_dir):
 
 @query("SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
 def latest_per_key(spark, sf_dir):
-    w = Window.partitionBy("user_id", "event_type").orderBy(F.desc("ts"), F.desc("event_id"))
-    return table(spark, sf_dir, "events").withColumn("k", F.row_number().over(w)).filter("k = 1").select("user_id", "event_type", "event_id")
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts")
+    return st.newest(e, 1, [F.desc("ts"), F.desc("event_id")], ["user_id", "event_type"]).drop("ts")
 
 
 @query("""SELECT page_id, trim(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS title, len(regexp_extract_all(html, '<li[ >]')) AS items,

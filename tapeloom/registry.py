@@ -27,5 +27,5 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
-for _part in ("indicators", "structures", "candles", "dossier", "board", "market", "signals", "evaluation", "fundamentals", "storage", "vendor", "receipts", "reads", "pages", "reports", "company", "sinks"):
+for _part in ("indicators", "structures", "candles", "dossier", "board", "market", "signals", "evaluation", "fundamentals", "storage", "vendor", "receipts", "reads", "pages", "reports", "company", "sinks", "desk"):
     import_module(f"tapeloom.plans.{_part}")

@@ -143,3 +143,26 @@ def sessions_on(calendar: DataFrame, day: str) -> DataFrame:
 def finite(x: Column) -> Column:
     """A number, or null for NaN and the infinities."""
     return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+
+
+# The instruments that a market's regime is read from; they are no common stock.
+BENCHMARKS = {"MY": ["0820EA.KL"], "US": ["SPY", "QQQ"]}
+
+
+def benchmark_dimension(spark) -> DataFrame:
+    """market, ticker, place of the benchmarks: a small table, to be joined and extended like others."""
+    rows = [(m, t, k) for m, ts in BENCHMARKS.items() for k, t in enumerate(ts)]
+    return spark.createDataFrame(rows, "market string, ticker string, place int")
+
+
+def benchmarks_for(bars: DataFrame, dimension: DataFrame, years: int, as_of: str) -> DataFrame:
+    """Bars of the benchmarks over so many years before a day, with their place; a benchmark without bars has none, and no error."""
+    since = F.add_months(F.lit(as_of).cast("date"), -12 * years)
+    x = bars.join(F.broadcast(dimension.select("market", "ticker", "place")), ["market", "ticker"])  # a few rows a market
+    return x.filter((F.col("d") > since) & (F.col("d") <= F.lit(as_of).cast("date")))
+
+
+def all_listed(live: DataFrame, delisted: DataFrame) -> DataFrame:
+    """Every ticker of either directory once: market, ticker, delisted (only where no live entry has it)."""
+    both = live.select("market", "ticker", F.lit(False).alias("delisted")).union(delisted.select("market", "ticker", F.lit(True).alias("delisted")))
+    return both.groupBy("market", "ticker").agg(F.bool_and("delisted").alias("delisted"))
