@@ -1,11 +1,12 @@
-"""Benchmark decontamination: pairs of words of the test items seed local alignments in the documents.
+"""Benchmark decontamination: rare pairs of words of the test items seed local alignments in the documents.
 
 The items are a stated query set, taken in blocks of bounded size. Alignments (Smith-Waterman: match 2, mismatch -1,
 gap -1) of a share of the best possible score are kept, and the seeds miss none of them. An alignment that scores T or
-more with k matches has 2k - T errors at most, so ceil(T/2) - 1 of the steps from one match to the next have at most
-one error: the two words are neighbours, or have one word between them, in the item and in the document. So many of
-the item's steps are found as pairs of words within 3m - T words, the most that the alignment can take (m: words of
-the item). Left out are steps whose pairs many items hold, and so many fewer need be found.
+more with k matches has 2k - T errors at most, so `need` = ceil(T/2) - 1 of the steps from one match to the next have at
+most one error: the two words are neighbours, or have one word between them, in the item and in the document. So `need`
+of the item's n steps are found as pairs of words within 3m - T words, the most that the alignment can take (m: words
+of the item). Of any n - need + SEEDS of the steps, SEEDS are found. Those are the item's seeds: the steps whose pairs
+are rarest in the corpus, counted over all documents. A passage is aligned where it holds SEEDS of them.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from tapeloom.llm.bytesets import MIX, groups, mix, text_bytes, word_hashes
 SEEDED_WORDS = 3
 #: The least share of an item's best score (its words, all matched).
 LEAST = 0.5
+#: Seeds of an item that must lie in one passage before it is aligned.
+SEEDS = 4
 #: Words of items broadcast at a time.
 BLOCK_WORDS = 2_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -33,10 +36,10 @@ WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0
 class Items:
     """A block of items: word hashes, and their pairs of words as (hash, item, place), ordered by hash.
 
-    An item is looked at where `need` places of its pairs lie within `reach` words.
+    An item is looked at where `need` places of its pairs lie within `reach` words. keys are the pairs' hashes, once each.
     """
 
-    def __init__(self, ids: list[int], texts: list[str], least: float = LEAST):
+    def __init__(self, ids: list[int], texts: list[str], least: float = LEAST, seeds: int = SEEDS):
         data, offs = text_bytes(pa.array(texts, pa.string()))
         words, at = word_hashes(data, offs, WORD)
         self.ids = ids
@@ -53,26 +56,42 @@ class Items:
             on = m[item] == 1 if step == 0 else (m[item] >= SEEDED_WORDS) | (m[item] == 2) & (step == 1)
             found.append((h[on], item[on], first[on] - at[item[on]]))
         h, item, place = (np.concatenate(x) for x in zip(*found, strict=True))
-        _, back = np.unique(h, return_inverse=True)
-        common = np.bincount(back)[back]
-        # of n places, `need` are found: of the n - need + some least common ones, some are
-        n = np.maximum(m - 1, 1)
-        some = (self.need + 1) // 2
-        place_of = np.repeat(np.cumsum(n) - n, n)
-        owner, worth = np.repeat(np.arange(len(m)), n), np.zeros(n.sum(), np.int64)
-        start = np.cumsum(n) - n
-        np.maximum.at(worth, start[item] + place, common)
-        order = np.lexsort((worth, owner))
-        kept = np.zeros(len(worth), bool)
-        kept[order] = np.arange(len(worth)) - place_of < (n - self.need + some)[owner]
-        on = kept[start[item] + place]
-        self.need = some
-        h, item, place = h[on], item[on], place[on]
         order = np.lexsort((place, item, h))
         self.hash, self.item, self.place = h[order], item[order], place[order]
+        self.n = np.maximum(m - 1, 1)
+        self.some = np.minimum(self.need, seeds)
+        self.keys, self.back = np.unique(self.hash, return_inverse=True)
+        self._index()
+
+    def _index(self) -> None:
         self.maybe = np.zeros(1 << max(16, int(len(self.hash)).bit_length() + 3), bool)
         self.maybe[self.hash & np.uint64(len(self.maybe) - 1)] = True
 
+    def rarest(self, counts: np.ndarray) -> Items:
+        """Only the seeds: of each item's n places the n - need + some whose pairs are rarest by counts of keys (ties: by place)."""
+        start = np.cumsum(self.n) - self.n
+        worth = np.zeros(self.n.sum(), np.int64)
+        np.add.at(worth, start[self.item] + self.place, counts[self.back])
+        owner = np.repeat(np.arange(len(self.n)), self.n)
+        order = np.lexsort((worth, owner))
+        kept = np.zeros(len(worth), bool)
+        kept[order] = np.arange(len(worth)) - np.repeat(start, self.n) < (self.n - self.need + self.some)[owner]
+        on = kept[start[self.item] + self.place]
+        self.hash, self.item, self.place = self.hash[on], self.item[on], self.place[on]
+        self.need = self.some
+        self._index()
+        return self
+
+    def count(self, words: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """How often each of keys stands in rows of words."""
+        out = np.zeros(len(self.keys), np.int64)
+        for step in (0, 1, 2):
+            h, _ = _steps(words, at, step)
+            h = h[self.maybe[h & np.uint64(len(self.maybe) - 1)]]
+            k = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+            out += np.bincount(k[self.keys[k] == h], minlength=len(out))
+        return out
+
 
 def _steps(words: np.ndarray, at: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each two words of a row that stand step apart (step 0: of each word), and the first one's index."""
@@ -102,6 +121,26 @@ def blocks(items: DataFrame, id_col: str, text_col: str, least: float) -> Iterat
         yield Items(ids, texts, least)
 
 
+def _seeded(block: Items, texts: DataFrame) -> Items:
+    """The block with its rarest pairs only, by their counts in all texts; a count for each of its pairs comes back, whatever the texts."""
+    shared = texts.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches):
+        b = shared.value
+        total = np.zeros(len(b.keys), np.int64)
+        for x in batches:
+            data, offs = text_bytes(x.column(0))
+            for i, j in groups(offs):
+                total += b.count(*word_hashes(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], WORD))
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["k", "n"])
+
+    got = texts.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(len(block.keys), np.int64)
+    counts[got.column("k").to_numpy()] = got.column("n").to_numpy()
+    return block.rarest(counts)
+
+
 def _hits(block: Items, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Item and word index of each place of a pair of an item in rows of words, ordered, each once."""
     wide = np.int64(len(words) + 1)
@@ -179,7 +218,7 @@ def matches(docs: DataFrame, items: DataFrame, least: float = LEAST, id_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = spark.createDataFrame([], "doc_id long, item_id long, score double, last_word long")
     for block in blocks(items, item_col, item_text, least):
-        shared = spark.sparkContext.broadcast(block)
+        shared = spark.sparkContext.broadcast(_seeded(block, rows.select("text")))
 
         def run(batches, shared=shared):
             b = shared.value
@@ -200,8 +239,9 @@ def matches(docs: DataFrame, items: DataFrame, least: float = LEAST, id_col: str
 
 def clean(docs: DataFrame, items: DataFrame, least: float = LEAST, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows, with all their columns, in which no item is found; nothing is shuffled."""
+    texts = docs.select(F.col(text_col).cast("string").alias("text"))
     for block in blocks(items, item_col, item_text, least):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        shared = docs.sparkSession.sparkContext.broadcast(_seeded(block, texts))
 
         def run(batches, shared=shared):
             for x in batches:
