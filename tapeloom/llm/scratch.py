@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -32,6 +33,10 @@ def folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Tables that are not dropped yet, in the order of their making.
+_KEPT: list[Table] = []
+
+
 class Table:
     """A written table: reading it again needs no upstream stage, whatever executors were lost."""
 
@@ -39,6 +44,7 @@ class Table:
         self.spark, self.schema = df.sparkSession, df.schema
         self.path = f"{folder(self.spark)}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
+        _KEPT.append(self)
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
@@ -48,6 +54,19 @@ class Table:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if self in _KEPT:
+            _KEPT.remove(self)
+
+
+@contextlib.contextmanager
+def kept() -> Iterator[None]:
+    """What results read is a table too, and stays; of those made inside, the rest is deleted at the end: write results before."""
+    before = len(_KEPT)
+    try:
+        yield
+    finally:
+        for t in _KEPT[before:][::-1]:
+            t.drop()
 
 
 class Work:

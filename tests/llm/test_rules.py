@@ -363,5 +363,5 @@ def test_pipeline_on_empty_tables(spark, tmp_path):
 
 
 def test_registered_names():
-    assert sorted(queries.QUERIES, key=lambda x: int(re.match(r"op(\d+)_", x)[1])) and {int(re.match(r"op(\d+)_", x)[1]) for x in queries.QUERIES} == set(range(1, 11))
+    assert sorted(queries.QUERIES, key=lambda x: int(re.match(r"op(\d+)_", x)[1])) and {int(re.match(r"op(\d+)_", x)[1]) for x in queries.QUERIES} == set(range(1, 14))
     assert os.path.exists(corpus_pipeline.__file__)

@@ -143,3 +143,18 @@ def test_rows_without_an_id_are_dealt_out(spark, tmp_path):
     token_store.write(docs, str(tmp_path / "s"), WORD, 1, vocab_size=49_408, parts=3)
     blocks = spark.read.parquet(str(tmp_path / "s") + "/blocks")
     assert blocks.select("part").distinct().count() == 3 and token_store.read(spark, str(tmp_path / "s")).count() == 3000
+
+
+def test_tables_of_results_are_deleted_when_the_caller_is_done(spark, odd):
+    from tapeloom.llm import packing, prefix_trie, scratch
+
+    before = len(scratch._KEPT)
+    talk = spark.createDataFrame([(1, 0, "user", "a b")], "conv_id long, turn long, role string, text string")
+    with scratch.kept():
+        assert packing.pack(odd, BYTE).count() and prefix_trie.shared(talk).count() == 2
+        made = scratch._KEPT[before:]
+        assert made
+    assert len(scratch._KEPT) == before
+    for t in made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.path)
+        assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
