@@ -55,15 +55,21 @@ def tokens(_: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("passages", passages), ("leaks", leaks), ("tokens", tokens)]
-#: No stage but the first filter on a label could be told in SQL; tests hold the run against brute force.
+#: A fitted model, alignments and byte-pair merges are no SQL; tests/llm/test_pipeline.py holds the whole run to plain loops.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written before the next reads it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each is written before the next reads it, and deleted once the next is written.
+
+    The result reads the last stage's table: a caller who is done with it may call this inside scratch.kept().
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = scratch.Table(docs, f"stage-{name}").read()
+            now = scratch.Table(docs, f"stage-{name}")
+            if before:
+                before.drop()
+            before, docs = now, now.read()
     return docs
