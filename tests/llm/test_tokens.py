@@ -149,7 +149,7 @@ def test_tables_of_results_are_deleted_when_the_caller_is_done(spark, odd):
     from tapeloom.llm import packing, prefix_trie, scratch
 
     before = len(scratch._KEPT)
-    talk = spark.createDataFrame([(1, 0, "user", "a b")], "conv_id long, turn long, role string, text string")
+    talk = spark.createDataFrame([(20, 0, "user", "a b")], "conv_id long, turn long, role string, text string")
     with scratch.kept():
         assert packing.pack(odd, BYTE).count() and prefix_trie.shared(talk).count() == 2
         made = scratch._KEPT[before:]
