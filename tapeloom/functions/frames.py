@@ -56,6 +56,27 @@ def mean(x: str, n: int, gap: int = 0) -> Column:
     return F.when(values == n, (at(f"_s_{x}", gap) - at(f"_s_{x}", gap + n)) / n)
 
 
+#: Bars of a block of extreme().
+BLOCK = 16
+
+
+def block_extremes(df: DataFrame, **extremes: tuple[Callable[[Column], Column], str]) -> DataFrame:
+    """Extremes `_b_name` of each bar's last BLOCK bars, which extreme() reads."""
+    return df.withColumns({f"_b_{name}": over(f, x, 1 - BLOCK) for name, (f, x) in extremes.items()})
+
+
+def extreme(name: str, largest: bool, n: int) -> Column:
+    """The extreme of the last n bars (BLOCK or more; partial frames allowed) from those of blocks.
+
+    A moving frame of an extreme looks at each of its bars again for every row; blocks n / BLOCK apart cover the same
+    bars, the oldest overlapping the one before it.
+    """
+    backs = [*range(0, n - BLOCK, BLOCK), n - BLOCK]
+    every = [F.lag(f"_b_{name}", k).over(own()) if k else F.col(f"_b_{name}") for k in dict.fromkeys(backs)]
+    # a ticker's first bars have no block so far back, and a block at its start holds all of them
+    return (F.greatest if largest else F.least)(*every) if len(every) > 1 else every[0]
+
+
 def percentile_rank(x: str, *by: str) -> Column:
     """Rank over the non-null values as a share of their number, ties at their mean rank; one sort serves all of it."""
     group = Window.partitionBy(*by)

@@ -8,17 +8,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom import config
-from tapeloom.functions.frames import back, full, mean, newest_first, over, own, percentile_rank, with_totals
+from tapeloom.functions.frames import back, block_extremes, extreme, full, mean, newest_first, over, own, percentile_rank, with_totals
 
 
 def features(bars: DataFrame) -> DataFrame:
     """Bars with the windows that most rules share: one exchange, one sort."""
-    first = with_totals(bars, "c", "v").select(
+    blocks = block_extremes(with_totals(bars, "c", "v"), h=(F.max, "h"), l=(F.min, "l"))
+    first = blocks.select(
         *bars.columns,
         F.row_number().over(own()).alias("k"),
         *(mean("c", n).alias(f"ma{n}") for n in (10, 20, 50, 150, 200)),
-        over(F.max, "h", -251).alias("hi252"),
-        over(F.min, "l", -251).alias("lo252"),
+        extreme("h", True, 252).alias("hi252"),
+        extreme("l", False, 252).alias("lo252"),
         mean("v", 50, 1).alias("vol50"),
         *(back("c", n).alias(f"c{n}") for n in (1, 5, 6, 10, 20, 21, 63, 126, 189, 252)),
         back("h").alias("h1"),

@@ -533,3 +533,15 @@ def test_registry_looks_up_classes_and_reads_short_arrays(spark):
     assert (got["a-2"]["title"], got["a-2"]["url"], got["a-2"]["filed"]) == ("10-Q Quarterly report", "http://r/cgi-bin/browse-edgar?action=getcompany&CIK=7", None)
     assert got["a-3"]["category"] == "insider_dealing" and len(got) == 3
     assert {r["item_id"] for r in rg.filings(tickers, known, sub, "http://r").collect()} == {"a-1", "a-2"}
+
+
+def test_extremes_of_blocks_equal_moving_frames(spark):
+    from tapeloom.functions.frames import block_extremes, extreme, over
+
+    r = random.Random(8)
+    rows = [("US", t, dt.date(2020, 1, 1) + dt.timedelta(days=k), r.choice([r.random(), None])) for t, n in (("A", 1), ("B", 17), ("C", 90), ("D", 300)) for k in range(n)]
+    x = block_extremes(spark.createDataFrame(rows, "market string, ticker string, d date, h double"), top=(F.max, "h"), low=(F.min, "h"))
+    for n in (16, 17, 32, 33, 100, 252):
+        pairs = [(extreme("top", True, n), over(F.max, "h", 1 - n)), (extreme("low", False, n), over(F.min, "h", 1 - n))]
+        y = x.select(*(a.alias(f"a{k}") for k, (a, _) in enumerate(pairs)), *(b.alias(f"b{k}") for k, (_, b) in enumerate(pairs)))
+        assert y.filter("not (a0 <=> b0) or not (a1 <=> b1)").count() == 0
