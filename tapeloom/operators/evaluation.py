@@ -47,7 +47,10 @@ def forward_returns(rows: DataFrame, bars: DataFrame, sessions: int = config.FOR
     """
     b = bars.withColumn("c1", F.lead("c", sessions).over(own())).select("market", "ticker", "d", F.struct("c", "c1").alias("bar"))
     w = Window.partitionBy("market", "ticker").orderBy(F.desc("d"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
-    stream = b.withColumn("kind", F.lit(1)).withColumn("row", F.lit(None).cast(rows.select(F.struct(*rows.columns).alias("x")).schema["x"].dataType)).unionByName(rows.select("market", "ticker", "d", F.lit(None).cast(b.schema["bar"].dataType).alias("bar"), F.lit(0).alias("kind"), F.struct(*rows.columns).alias("row")))
+    row, none = F.struct(*rows.columns), F.lit(None)
+    kind = rows.select(row.alias("x")).schema["x"].dataType
+    asked = rows.select("market", "ticker", "d", none.cast(b.schema["bar"].dataType).alias("bar"), F.lit(0).alias("kind"), row.alias("row"))
+    stream = b.withColumn("kind", F.lit(1)).withColumn("row", none.cast(kind)).unionByName(asked)
     x = stream.withColumn("next", F.last("bar", ignorenulls=True).over(w)).filter("kind = 0 and next.c1 is not null and next.c > 0")
     return x.select("row.*", ((F.col("next.c1") / F.col("next.c") - 1) * 100).alias("fwd"))
 

@@ -85,7 +85,9 @@ def _candidates(slim: DataFrame, plans: Sequence[Plan]) -> DataFrame:
     w = Window.partitionBy(*key).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     armed = F.col("armed0") | F.coalesce(F.max(F.col("c") >= F.col("ma50")).over(w), F.lit(False))
     held = F.col("k") - F.col("k0")
-    how = F.when(F.col("l") <= F.col("stop"), F.struct(F.lit("stop").alias("reason"), F.least("stop", "o").alias("px"))).when(armed & (F.col("c") < F.col("ma50")), F.struct(F.lit("ma50_break").alias("reason"), F.col("c").alias("px"))).when(held >= F.col("hold"), F.struct(F.lit("time").alias("reason"), F.col("c").alias("px")))
+    end = lambda reason, px: F.struct(F.lit(reason).alias("reason"), px.alias("px"))
+    how = F.when(F.col("l") <= F.col("stop"), end("stop", F.least("stop", "o"))).when(armed & (F.col("c") < F.col("ma50")), end("ma50_break", F.col("c")))
+    how = how.when(held >= F.col("hold"), end("time", F.col("c")))
     ends = path.withColumns({"how": how, "held": held}).filter("how is not null").groupBy(*key).agg(F.min(F.struct("k", "s1", "held", "how")).alias("x"))
     out = entries.join(ends, key, "left")
     at_once = F.col("l0") <= F.col("stop")

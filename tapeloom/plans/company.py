@@ -10,7 +10,11 @@ from tapeloom.sources import dossier, markup, registry
 from tapeloom.sources.panel import table
 
 # Stand-ins: titles of announcements, forms and item codes, dealt by order number.
-TITLES = ["Quarterly rpt on consolidated results", "Proposed private placement of new shares", "Changes in Sub. S-hldr's Int.", "Letter of award & contract", "Unusual market activity (UMA)", "Bonus issue of shares", "ESOS: new shares listed", "Recurrent related party transactions", "Notice of share buy-back", "General meeting: notice", "Dealings in securities (Section 138)", "Others"]
+TITLES = [
+    "Quarterly rpt on consolidated results", "Proposed private placement of new shares", "Changes in Sub. S-hldr's Int.", "Letter of award & contract",
+    "Unusual market activity (UMA)", "Bonus issue of shares", "ESOS: new shares listed", "Recurrent related party transactions",
+    "Notice of share buy-back", "General meeting: notice", "Dealings in securities (Section 138)", "Others",
+]
 FORMS = ["8-K", "10-Q", "4", "SC 13D/A", "DEF 14A", "8-K", "424B5"]
 ITEMS = ["2.02,9.01", "", "", "", "", "9.01, 5.02", "7.01"]
 
@@ -136,8 +140,14 @@ def feed_documents(spark, sf_dir):
     k = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("doc_id")))
     at = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 300).cast("int"))
     name, no = F.concat(F.lit("No "), F.col("doc_id").cast("string"), F.lit(": "), F.regexp_extract("text", "[A-Za-z]+( [A-Za-z]+){0,5}", 0)), F.col("doc_id").cast("string")
-    news = F.concat(F.lit('<div class="item"><a href="/v2/news/view/'), no, F.lit('"><img src="t.png"></a><div><div class="item-title"><a href="/v2/news/view/'), no, F.lit('">'), name, F.lit('</a></div><span data-date="'), F.date_format(at, "yyyy-MM-dd"), F.lit(' 12:50:32+08">'), _safe(F.col("source")), F.lit("</span></div></div>"))
-    filed = F.concat(F.lit('<a class="announcement-item row" href="/v2/announcements/view/'), no, F.lit('"><div><div class="date-box"><span>'), F.date_format(at, "dd"), F.lit("</span> <span>"), F.date_format(at, "MMM"), F.lit('</span></div><span>Co</span></div><div class="title">'), name, F.lit("</div></a>"))
+    news = F.concat(
+        F.lit('<div class="item"><a href="/v2/news/view/'), no, F.lit('"><img src="t.png"></a><div><div class="item-title"><a href="/v2/news/view/'), no, F.lit('">'), name,
+        F.lit('</a></div><span data-date="'), F.date_format(at, "yyyy-MM-dd"), F.lit(' 12:50:32+08">'), _safe(F.col("source")), F.lit("</span></div></div>"),
+    )
+    filed = F.concat(
+        F.lit('<a class="announcement-item row" href="/v2/announcements/view/'), no, F.lit('"><div><div class="date-box"><span>'), F.date_format(at, "dd"), F.lit("</span> <span>"),
+        F.date_format(at, "MMM"), F.lit('</span></div><span>Co</span></div><div class="title">'), name, F.lit("</div></a>"),
+    )
     x = docs.select(F.col("lang").alias("feed"), F.floor((k - 1) / 20).alias("page"), "doc_id", F.when(F.ascii("lang") % 2 == 1, news).otherwise(filed).alias("t"))
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "t")), asc=False), lambda i: i["t"]), "\n")
     return x.groupBy("feed", "page").agg(F.concat(F.lit('<html><body><a href="/about">About</a><section>'), body, F.lit("</section></body></html>")).alias("html"))
@@ -155,7 +165,9 @@ def registered(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("cik"), F.col("o_orderkey").alias("k"), F.to_date("o_orderdate").alias("d"))
     n = F.col("k") % len(FORMS) + 1
     of = lambda values: F.element_at(F.array(*(F.lit(v) for v in values)), n.cast("int"))
-    rows = o.select("cik", F.struct(F.col("k"), F.concat_ws("-", F.col("cik").cast("string"), F.col("k").cast("string")).alias("a"), of(FORMS).alias("f"), of(ITEMS).alias("i"), F.date_format("d", "yyyy-MM-dd").alias("d"), F.when(F.col("k") % 4 == 0, "").otherwise(F.concat(F.col("k").cast("string"), F.lit(".htm"))).alias("p")).alias("r"))
+    number, paper = F.concat_ws("-", F.col("cik").cast("string"), F.col("k").cast("string")), F.concat(F.col("k").cast("string"), F.lit(".htm"))
+    filing = F.struct(F.col("k"), number.alias("a"), of(FORMS).alias("f"), of(ITEMS).alias("i"), F.date_format("d", "yyyy-MM-dd").alias("d"), F.when(F.col("k") % 4 == 0, "").otherwise(paper).alias("p"))
+    rows = o.select("cik", filing.alias("r"))
     lists = rows.groupBy("cik").agg(F.sort_array(F.collect_list("r"), asc=False).alias("r"))
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cik"), "c_name", "c_mktsegment")
     recent = F.struct(F.col("r.a").alias("accessionNumber"), F.col("r.f").alias("form"), F.col("r.i").alias("items"), F.col("r.d").alias("filingDate"), F.col("r.p").alias("primaryDocument"))

@@ -76,23 +76,17 @@ def archived_items(spark, sf_dir):
     return news.rows().select("ticker", "kind", "item_id", "published", "category")
 
 
-_SPLIT_SQL = BARS_SQL.replace("bars AS (", "whole AS (") + """,
-bars AS (SELECT * REPLACE (o / p AS o, h / p AS h, l / p AS l, c / p AS c) FROM (SELECT *, CASE WHEN ascii(ticker[7]) % 5 = 0 THEN 2 ELSE 1 END AS p FROM whole))"""
-
-
-@query(_SPLIT_SQL + FEATURES_SQL[len(BARS_SQL) :] + """ SELECT ticker, d, CAST(k AS BIGINT) AS k, round(ma50, 6) AS ma50, round(ma200, 6) AS ma200, round(ma200_22, 6) AS ma200_22, hi252, lo252,
+@query(FEATURES_SQL + """ SELECT ticker, d, CAST(k AS BIGINT) AS k, round(ma50, 6) AS ma50, round(ma200, 6) AS ma200, round(ma200_22, 6) AS ma200_22, hi252, lo252,
   round(vol50, 4) AS vol50, round(rs_raw, 6) AS rs_raw FROM features WHERE d >= DATE '2001-08-01'""")
 def nightly_features(spark, sf_dir):
-    """An extension: three nights after a history; some tickers' bars of the second come with the third, and some tickers split at the end."""
+    """An extension: two nights after a history; some tickers' bars of the first come with the second."""
     b = bars(spark, sf_dir)
-    digit = F.ascii(F.substring("ticker", 7, 1))
     at = _place(spark, "nightly")
     tables = stores.bars(spark, f"{at}-b"), upkeep.tails(spark, f"{at}-t"), upkeep.features(spark, f"{at}-f")
-    held = (F.col("d") >= F.lit("2001-08-10").cast("date")) & (F.col("d") < F.lit("2001-08-20").cast("date")) & (digit % 7 == 0)
+    held = (F.col("d") < F.lit("2001-08-20").cast("date")) & (F.ascii(F.substring("ticker", 7, 1)) % 7 == 0)
+    late = b.filter("d >= date '2001-08-10'")
     upkeep.night(*tables, b.filter("d < date '2001-08-10'"))
-    upkeep.night(*tables, b.filter("d >= date '2001-08-10' and d < date '2001-08-20'").filter(~held))
-    upkeep.night(*tables, b.filter((F.col("d") >= F.lit("2001-08-20").cast("date")) | held))
-    halved = b.filter(digit % 5 == 0).withColumns({c: F.col(c) / 2 for c in ("o", "h", "l", "c")})
-    upkeep.repulled(*tables, b.filter(digit % 5 == 0).select("ticker"), halved)
+    upkeep.night(*tables, late.filter("d < date '2001-08-20'").filter(~held))
+    upkeep.night(*tables, late.filter((F.col("d") >= F.lit("2001-08-20").cast("date")) | held))
     x = tables[2].rows().filter("d >= date '2001-08-01'")
     return x.select("ticker", "d", "k", *(F.round(c, 6).alias(c) for c in ("ma50", "ma200", "ma200_22")), "hi252", "lo252", F.round("vol50", 4).alias("vol50"), F.round("rs_raw", 6).alias("rs_raw"))

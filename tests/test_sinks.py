@@ -5,7 +5,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tapeloom.sinks import archive, stores
+from tapeloom.operators import indicators as ind
+from tapeloom.sinks import archive, stores, upkeep
 from tapeloom.sinks.tables import Table
 
 SCHEMA = "k long, g string, v string"
@@ -155,3 +156,28 @@ def test_a_walk_that_reads_nothing_is_an_error(spark, tmp_path):
     empty = _feed(spark).withColumn("html", F.lit("<html><body>blocked</body></html>"))
     with pytest.raises(archive.NothingParsed):
         _walk(spark, tmp_path / "a", empty)
+
+
+def test_features_kept_from_night_to_night_equal_the_whole(spark, tmp_path):
+    """On time, late, corrected, repeated and split: three tickers of different ages."""
+    first = dt.date(2021, 1, 4)
+    rows = [("US", t, first + dt.timedelta(days=k), 10.0 + k % 7, 12.0 + k % 7, 9.0, 10.5 + (k * p) % 9, 100.0 + k) for p, (t, n) in enumerate((("A", 320), ("B", 275), ("C", 40)), 1) for k in range(320 - n, 320)]
+    bars = spark.createDataFrame(rows, stores.BARS).cache()
+    tables = stores.bars(spark, f"{tmp_path}/b"), upkeep.tails(spark, f"{tmp_path}/t"), upkeep.features(spark, f"{tmp_path}/f")
+    day = lambda k: first + dt.timedelta(days=k)
+
+    def same(whole):
+        want = ind.features(whole).select("market", "ticker", "d", F.col("k").cast("long"), *upkeep.FEATURES)
+        got = tables[2].rows().select(want.columns)
+        assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 and got.count() > 0
+
+    upkeep.night(*tables, bars.filter(F.col("d") < day(300)))
+    on_time = bars.filter((F.col("d") >= day(300)) & ~((F.col("ticker") == "B") & (F.col("d") < day(310))))
+    upkeep.night(*tables, on_time)
+    upkeep.night(*tables, on_time)
+    same(bars.filter(~((F.col("ticker") == "B") & (F.col("d") >= day(300)) & (F.col("d") < day(310)))))
+    upkeep.night(*tables, bars.filter((F.col("ticker") == "B") & (F.col("d") >= day(300)) & (F.col("d") < day(310))))
+    same(bars)
+    halved = bars.filter("ticker = 'A'").filter(F.col("d") > day(5)).withColumns({c: F.col(c) / 2 for c in ("o", "h", "l", "c")})
+    upkeep.repulled(*tables, spark.createDataFrame([("A",), ("C",)], "ticker string"), halved)
+    same(bars.filter("ticker <> 'A'").unionByName(halved))
