@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeloom.functions.frames import over
+from tapeloom.operators import candles as cd
+from tapeloom.operators import indicators as ind
 from tapeloom.operators.storage import union_all
 from tapeloom.operators.structures import _tail, double_bottoms, double_tops, swings
 
@@ -81,3 +84,37 @@ def chart_patterns(bars: DataFrame) -> DataFrame:
     flags = bull_flag(bars).join(tight.select(*KEY), KEY, "left_anti")
     doubles = [f(bars).select(*KEY, F.lit(name).alias("name"), F.col("middle").alias("pivot")) for f, name in ((double_bottoms, "double bottom"), (double_tops, "double top"))]
     return union_all([cup_and_handle(bars), tight, flags, ascending_triangle(bars), head_and_shoulders(bars), *doubles]).dropDuplicates([*KEY, "name"])
+
+
+# Chart patterns that tell of falling prices; the others tell of rising ones.
+FALLING = ("double top", "head and shoulders")
+#: Shares of the 20-day range from which, and up to which, a close counts as its top and bottom.
+TOP, BOTTOM = 70, 30
+
+
+def reading(bars: DataFrame) -> DataFrame:
+    """One row per ticker, read at its newest bar: change5 (per cent over five bars), place (of the close in the 20-bar range, per cent), charts and candles (name, bias), verdict of the volume, marks for the chart, and narrative, these in a sentence.
+
+    A young ticker has no change; the verdict is a word (accumulation, distribution, balanced). Patterns of the newest
+    bar are marked below it, bearish ones above.
+    """
+    hi, lo = over(F.max, "h", -19), over(F.min, "l", -19)
+    x = ind.newest(ind.volume_profile(ind.features(bars)).withColumns({"_hi": hi, "_lo": lo}))
+    place = F.when(F.col("_hi") > F.col("_lo"), (F.col("c") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * 100).otherwise(50.0)
+    x = x.select(*KEY, "d", F.when(F.col("k") > 6, F.round((F.col("c") / F.col("c5") - 1) * 100, 1)).alias("change5"), F.round(place, 0).alias("place"), "verdict")
+    told = F.struct("name", F.when(F.col("name").isin(*FALLING), "bearish").otherwise("bullish").alias("bias"))
+    shapes = chart_patterns(bars).groupBy(*KEY).agg(F.sort_array(F.collect_list(told)).alias("charts"))
+    bias = {1: "bullish", -1: "bearish", 0: "neutral"}
+    flags = F.array(*(F.when(F.col(k), F.struct(F.lit(k.replace("_", " ")).alias("name"), F.lit(bias[v]).alias("bias"))) for k, v in cd.PATTERNS.items()))
+    candles = ind.newest(cd.candle_patterns(bars)).select(*KEY, F.slice(F.array_compact(flags), 1, cd.MOST).alias("candles"))
+    none = F.array().cast("array<struct<name:string,bias:string>>")
+    x = x.join(shapes, KEY, "left").join(candles, KEY, "left").withColumns({"charts": F.coalesce("charts", none), "candles": F.coalesce("candles", none)})
+    below = lambda p: F.when(p["bias"] == "bearish", "aboveBar").otherwise("belowBar")
+    arrow = lambda p: F.when(p["bias"] == "bullish", "arrowUp").when(p["bias"] == "bearish", "arrowDown").otherwise("circle")
+    marks = F.transform("candles", lambda p: F.struct(below(p).alias("position"), arrow(p).alias("shape"), p["name"].alias("text")))
+    moved = F.concat(F.when(F.col("change5") >= 0, "up ").otherwise("down "), F.abs("change5").cast("string"), F.lit("% over 5 days"))
+    at = F.concat(F.lit("sitting at the "), F.when(F.col("place") >= TOP, "top").when(F.col("place") <= BOTTOM, "bottom").otherwise("middle"), F.lit(" of its 20-day range"))
+    drawn = F.when(F.size("charts") > 0, F.concat(F.lit("chart pattern: "), F.array_join(F.transform("charts", lambda p: F.concat(p["name"], F.lit(" ("), p["bias"], F.lit(")"))), ", ")))
+    shown = F.when(F.size("candles") > 0, F.concat(F.lit("latest candle: "), F.array_join(F.transform("candles", lambda p: p["name"]), ", ")))
+    text = F.concat_ws("; ", moved, at, drawn, shown, "verdict")
+    return x.withColumns({"marks": marks, "narrative": F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 10_000)), F.lit("."))})

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tapeloom.operators import charts
 from tapeloom.operators import enrich as en
 from tapeloom.operators import fundamentals as fu
 from tapeloom.operators import pages as pg
 from tapeloom.operators import reads as rd
 from tapeloom.plans.fundamentals import QUARTERS_SQL, quarters
 from tapeloom.plans.receipts import _BOARD_SQL, _board
-from tapeloom.registry import query
+from tapeloom.registry import ORACLE_SQL, query
 from tapeloom.sources import vendor as vd
 from tapeloom.sources.panel import BARS_SQL, bars, table
 
@@ -106,3 +107,20 @@ def benchmark_rows(spark, sf_dir):
     place = F.row_number().over(Window.partitionBy("market").orderBy("ticker")) - 1
     dim = b.select("market", "ticker").distinct().withColumn("place", place.cast("int")).filter("place < 2")
     return vd.benchmarks_for(b, dim, 2, "2001-06-30").select("market", "ticker", "place", "d", F.round("c", 6).alias("c"))
+
+
+_INNER = {k: ORACLE_SQL[k] for k in ("chart_patterns", "candles_shown", "volume_profiles")}
+
+
+@query(f"""WITH shapes AS (SELECT ticker, string_agg(name || CASE WHEN name IN ('double top', 'head and shoulders') THEN ' (bearish)' ELSE ' (bullish)' END, ', ' ORDER BY name) AS charts FROM ({_INNER['chart_patterns']}) GROUP BY 1),
+candles AS ({_INNER['candles_shown']}), volume AS (SELECT ticker, arg_max(verdict, d) AS verdict FROM ({_INNER['volume_profiles']}) GROUP BY 1),
+b AS (SELECT * FROM ({BARS_SQL} SELECT * FROM bars)), f AS (SELECT ticker, d, c, lag(c, 5) OVER w AS c5, row_number() OVER w AS k, max(h) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS hi,
+  min(l) OVER (w ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS lo FROM b WINDOW w AS (PARTITION BY ticker ORDER BY d)),
+n AS (SELECT *, CASE WHEN k > 6 THEN round((c / c5 - 1) * 100, 1) END AS change5, round(CASE WHEN hi > lo THEN (c - lo) / (hi - lo) * 100 ELSE 50 END, 0) AS place
+  FROM f QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY d DESC) = 1),
+t AS (SELECT n.ticker, len(string_split(patterns, ',')) AS marks, concat_ws('; ', CASE WHEN change5 >= 0 THEN 'up ' ELSE 'down ' END || abs(change5) || '% over 5 days',
+  'sitting at the ' || CASE WHEN place >= 70 THEN 'top' WHEN place <= 30 THEN 'bottom' ELSE 'middle' END || ' of its 20-day range', 'chart pattern: ' || charts, 'latest candle: ' || replace(replace(patterns, ',', ', '), '_', ' '), verdict) AS said
+  FROM n LEFT JOIN shapes USING (ticker) LEFT JOIN candles ON candles.ticker = n.ticker AND candles.d = n.d LEFT JOIN volume ON volume.ticker = n.ticker)
+SELECT ticker, CAST(coalesce(marks, 0) AS BIGINT) AS marks, upper(said[1]) || lower(said[2:]) || '.' AS narrative FROM t""")
+def readings(spark, sf_dir):
+    return charts.reading(bars(spark, sf_dir)).select("ticker", F.size("marks").cast("long").alias("marks"), "narrative")
