@@ -1,6 +1,7 @@
-"""Command line: python -m tapeloom list | sql NAME | run NAME | scan | backtest.
+"""Command line: python -m tapeloom list | sql NAME | run NAME | scan | backtest | grade | factors | ingest | walk.
 
-scan and backtest read bars (market, ticker, d, o, h, l, c, v) from a Parquet folder and write Parquet folders.
+scan, backtest, grade and factors read bars (market, ticker, d, o, h, l, c, v) from a Parquet folder and write Parquet
+folders; ingest and walk keep the stored tables of a folder.
 """
 
 from __future__ import annotations
@@ -15,11 +16,13 @@ from pyspark.sql import functions as F
 from tapeloom import config, registry
 from tapeloom.functions import stage
 from tapeloom.operators import board as bd
+from tapeloom.operators import evaluation as ev
 from tapeloom.operators import indicators as ind
 from tapeloom.operators import market as mk
 from tapeloom.operators import reads as rd
 from tapeloom.operators import replay as rp
 from tapeloom.operators import signals as sg
+from tapeloom.sinks import archive, stores, upkeep
 
 
 def scan(bars: DataFrame) -> dict[str, DataFrame]:
@@ -74,6 +77,31 @@ def plans_of(args: argparse.Namespace) -> list[rp.Plan]:
     return out
 
 
+def grade(signals: DataFrame, bars: DataFrame) -> dict[str, DataFrame]:
+    """Outcomes of signals (market, ticker, d, kind, trigger, stop, target) and the scoreboard as of the newest bar."""
+    outcomes = stage.written(ev.grade(signals, bars), "outcomes")
+    newest = bars.agg(F.max("d")).first()[0]
+    return {"outcomes": outcomes, "scoreboard": ev.scoreboard(outcomes, str(newest))}
+
+
+def factors(rows: DataFrame, bars: DataFrame, names: Sequence[str]) -> dict[str, DataFrame]:
+    """Tables of forward returns by equal-count buckets of each factor of rows (market, ticker, d, and the factors)."""
+    long = ev.unpivoted(ev.forward_returns(rows, bars), list(names))
+    by = ("market", "factor")
+    return {"factors": ev.factor_table(ev.buckets(long, "value", by=by), by)}
+
+
+def ingest(spark: SparkSession, fresh: DataFrame, store: str) -> None:
+    """One night: fresh bars over the stored ones, features and tails in step."""
+    upkeep.night(stores.bars(spark, f"{store}/bars"), upkeep.tails(spark, f"{store}/tails"), upkeep.features(spark, f"{store}/features"), fresh)
+
+
+def walk(spark: SparkSession, pages: DataFrame, store: str, name: str, base: str, since: str, most: int) -> DataFrame:
+    """Walk captured feed pages (ticker, kind, page, html) into the stored archive, from where a walk of that name stopped."""
+    tables = stores.news(spark, f"{store}/news"), archive.progress(spark, f"{store}/walks"), archive.found(spark, f"{store}/walked")
+    return archive.walk(name, pages.select("ticker"), lambda asked: pages.join(asked, ["ticker", "kind", "page"], "left_semi"), *tables, base, since, most)
+
+
 def _write(tables: dict[str, DataFrame], out: str) -> None:
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{out}/{name}")
@@ -107,6 +135,25 @@ def main(argv: list[str] | None = None) -> None:
             p.add_argument("--slip", nargs="*", default=[], metavar="MARKET=SHARE", help="slippage per side")
             p.add_argument("--fee", nargs="*", default=[], metavar="MARKET=SHARE", help="fee per side")
             p.add_argument("--label", default="", help="begins the names of the plans")
+    p = parts.add_parser("grade")
+    p.add_argument("--signals", required=True)
+    p.add_argument("--bars", required=True)
+    p.add_argument("--out", required=True)
+    p = parts.add_parser("factors")
+    p.add_argument("--rows", required=True)
+    p.add_argument("--bars", required=True)
+    p.add_argument("--out", required=True)
+    p.add_argument("--factor", nargs="+", required=True)
+    p = parts.add_parser("ingest")
+    p.add_argument("--fresh", required=True)
+    p.add_argument("--store", required=True)
+    p = parts.add_parser("walk")
+    p.add_argument("--pages", required=True)
+    p.add_argument("--store", required=True)
+    p.add_argument("--name", required=True, help="a walk that was stopped goes on under its name")
+    p.add_argument("--base", required=True, help="address that links are relative to")
+    p.add_argument("--since", required=True, help="the oldest day that is read")
+    p.add_argument("--max-pages", type=int, default=15)
     args = parser.parse_args(argv)
     if args.command == "list":
         print("\n".join(sorted(registry.QUERIES)))
@@ -122,6 +169,18 @@ def main(argv: list[str] | None = None) -> None:
         else:
             df.show(50, truncate=False)
         return
+    if args.command == "ingest":
+        ingest(spark, spark.read.parquet(args.fresh), args.store)
+        return
+    if args.command == "walk":
+        with stage.kept():
+            walk(spark, spark.read.parquet(args.pages), args.store, args.name, args.base, args.since, args.max_pages).show(100, truncate=False)
+        return
+    if args.command in ("grade", "factors"):
+        bars = spark.read.parquet(args.bars)
+        with stage.kept():
+            _write(grade(spark.read.parquet(args.signals), bars) if args.command == "grade" else factors(spark.read.parquet(args.rows), bars, args.factor), args.out)
+        return
     bars = selected(spark.read.parquet(args.bars), args.market, args.ticker, args.years, args.min_bars)
     with stage.kept():
         _write(scan(bars) if args.command == "scan" else backtest(bars, plans_of(args)), args.out)

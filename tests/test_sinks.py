@@ -181,3 +181,24 @@ def test_features_kept_from_night_to_night_equal_the_whole(spark, tmp_path):
     halved = bars.filter("ticker = 'A'").filter(F.col("d") > day(5)).withColumns({c: F.col(c) / 2 for c in ("o", "h", "l", "c")})
     upkeep.repulled(*tables, spark.createDataFrame([("A",), ("C",)], "ticker string"), halved)
     same(bars.filter("ticker <> 'A'").unionByName(halved))
+
+
+def test_command_line_keeps_stores_grades_and_compares(spark, tmp_path, capsys):
+    from tapeloom import __main__ as cli
+
+    first = dt.date(2021, 1, 4)
+    rows = [("US", f"T{t}", first + dt.timedelta(days=k), 10.0, 12.0 + (k * t) % 3, 9.0, 10.0 + (k * t) % 5, 100.0) for t in range(1, 8) for k in range(60)]
+    bars = spark.createDataFrame(rows, stores.BARS)
+    at = lambda name: str(tmp_path / name)
+    bars.write.parquet(at("bars"))
+    bars.filter("dayofmonth(d) = 10").selectExpr("market", "ticker", "d", "'pivot' AS kind", "c * 1.01 AS trigger", "c * 0.9 AS stop", "c * 1.2 AS target").write.parquet(at("signals"))
+    bars.filter("d < date '2021-02-01'").selectExpr("market", "ticker", "d", "c AS price", "v AS volume").write.parquet(at("rows"))
+    _feed(spark).write.parquet(at("pages"))
+    cli.main(["ingest", "--fresh", at("bars"), "--store", at("store")])
+    cli.main(["walk", "--pages", at("pages"), "--store", at("store"), "--name", "w", "--base", "http://x", "--since", "2024-04-05"])
+    cli.main(["grade", "--signals", at("signals"), "--bars", at("bars"), "--out", at("out")])
+    cli.main(["factors", "--rows", at("rows"), "--bars", at("bars"), "--out", at("out"), "--factor", "price", "volume"])
+    assert upkeep.features(spark, at("store/features")).rows().count() == len(rows) and stores.news(spark, at("store/news")).rows().count() > 50
+    assert spark.read.parquet(at("out/outcomes")).count() == 14 and spark.read.parquet(at("out/scoreboard")).count() == 1
+    assert {r["factor"] for r in spark.read.parquet(at("out/factors")).collect()} == {"price", "volume"}
+    assert "out/factors" in capsys.readouterr().out
