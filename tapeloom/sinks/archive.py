@@ -78,19 +78,19 @@ def _go_on(name: str, fetch: Fetch, news: Table, state: Table, shown: Table, bas
             return False
         pages = F.sequence(F.col("pages") + 1, F.least(F.col("pages") + step, most_of))
         asked = written(todo.withColumn("page", F.explode(pages)).select(*FEED, "page"), "walk-asked")
-        got = written(fetch(asked).select(*FEED, "page", "html"), "walk-pages")
+        got = fetch(asked).select(*FEED, "page", "html")
         filed = F.col("kind") == "announcement"
         items = dossier.feed(markup.parsed(got), base).withColumnRenamed("d", "published")
         items = items.withColumns({"category": F.when(filed, dossier.announcement_kind(F.col("title"))), "source": F.when(filed, "").otherwise(F.col("source"))})
         counted, ends = _round(written(items, "walk-items"), asked, shown.rows().filter(F.col("walk") == name), since)
-        counted, ends = written(counted, "walk-counted"), written(ends, "walk-ends")
+        counted = written(counted, "walk-counted")
         # items first, progress last: a walk that stops in between reads the same pages again, to the same state
-        news.upsert(counted, keep=["published"], order=["ticker"])
+        news.upsert(counted, keep=["published"], order=["ticker"], settled=True)
         per = counted.groupBy(*FEED).agg(F.count("*").alias("more"))
         after = todo.join(ends, FEED).join(per, FEED, "left")
         is_open = F.col("end").isNull() & (F.col("last") < most_of)
         read = after.select("walk", *FEED, F.coalesce("end", "last").cast("int").alias("pages"), is_open.alias("is_open"), (F.col("items") + F.coalesce("more", F.lit(0))).alias("items"))
         read = written(read, "walk-progress")
-        shown.upsert(counted.select(F.lit(name).alias("walk"), *FEED, "item_id", "page"))
-        state.upsert(read)
+        shown.upsert(counted.select(F.lit(name).alias("walk"), *FEED, "item_id", "page"), settled=True)
+        state.upsert(read, settled=True)
         return True

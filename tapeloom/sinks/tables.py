@@ -149,12 +149,16 @@ class Table:
 
     # -- saves
 
-    def upsert(self, new: DataFrame, keep: Sequence[str] = (), order: Sequence[str] = ()) -> None:
-        """new over the stored rows by key. Of rows of one key in new that with the largest order counts (then any); columns in keep fall back to the stored value where new has null."""
+    def upsert(self, new: DataFrame, keep: Sequence[str] = (), order: Sequence[str] = (), settled: bool = False) -> None:
+        """new over the stored rows by key. Of rows of one key in new that with the largest order counts (then any); columns in keep fall back to the stored value where new has null.
+
+        new is read twice, for the partitions it touches and for its rows: it is written first, unless it is settled
+        (cheap to read again, and the same each time).
+        """
         self._finish()
         if order:
             new = st.newest(new, 1, [F.desc_nulls_last(c) for c in order], self.key)
-        placed = written(self._placed(new), "table-new")
+        placed = self._placed(new) if settled else written(self._placed(new), "table-new")
         touched = self._touched(placed)
         if not touched:
             return

@@ -52,14 +52,14 @@ def _keep(own: DataFrame, out: Table, tail_table: Table, since: bool) -> None:
     x = _worked_out(own)
     x = x.filter(F.col("d") > F.col("last")) if since else x
     out.upsert(x.select(*KEY, "d", "k", *FEATURES))
-    tail_table.upsert(_tail(own.select(*KEY, *BAR, "before")))
+    tail_table.upsert(_tail(own.select(*KEY, *BAR, "before")), settled=True)
 
 
 def night(bars: Table, tail_table: Table, out: Table, fresh: DataFrame) -> None:
     """Store fresh bars (BARS) and keep features and tails in step. A night that was stopped may be run again."""
     with kept():
         fresh = written(fresh.select(*(x.split()[0] for x in BARS.split(", "))), "upkeep-fresh")
-        bars.upsert(fresh)
+        bars.upsert(fresh, settled=True)
         stored = tail_table.rows().withColumn("last", F.col("bars")[F.size("bars") - 1]["d"])
         known = fresh.groupBy(*KEY).agg(F.min("d").alias("first")).join(stored, KEY, "left")
         known = written(known.withColumn("late", F.coalesce(F.col("first") <= F.col("last"), F.lit(True))), "upkeep-known")

@@ -134,7 +134,7 @@ def _walk(spark, path, pages, name="w", stop_at=None, **how):
 
     news, state, shown = stores.news(spark, f"{path}/n"), archive.progress(spark, f"{path}/p"), archive.found(spark, f"{path}/f")
     tickers = spark.createDataFrame([("1.KL",), ("2.KL",)], "ticker string")
-    how = {"since": "2024-04-05", "most": 20, "most_filed": 5} | how
+    how = {"since": "2024-04-05", "most": 20, "most_filed": 5, "first": 4} | how
     done = archive.walk(name, tickers, fetch, news, state, shown, "http://x", **how)
     return sorted(map(tuple, news.rows().select("ticker", "kind", "item_id", "published", "category").collect()), key=str), sorted(map(tuple, done.collect())), calls
 
@@ -146,9 +146,9 @@ def test_a_stopped_walk_goes_on_where_it_stopped(spark, tmp_path):
     assert {(r[1], r[2]): r[3] for r in done} == {("1.KL", "news"): 9, ("2.KL", "news"): 4, ("1.KL", "announcement"): 5, ("2.KL", "announcement"): 4}
     assert len([r for r in want if r[:2] == ("1.KL", "news")]) == 8 * 5 + 1 and {r[4] for r in want} == {None, "results"}
     with pytest.raises(ConnectionError):
-        _walk(spark, tmp_path / "b", pages, stop_at=2)
+        _walk(spark, tmp_path / "b", pages, stop_at=1)
     got, ended, later = _walk(spark, tmp_path / "b", pages)
-    assert (got, ended) == (want, done) and min(min(c) for c in later) == 4 and len(calls) > 2
+    assert (got, ended) == (want, done) and [sorted(set(c)) for c in calls] == [[1, 2, 3, 4], [*range(5, 13)]] and min(min(c) for c in later) == 5
     assert _walk(spark, tmp_path / "b", pages)[2] == []
 
 
