@@ -10,6 +10,9 @@ save work on the index lists:
   which gives clusters and each member's difference from its leader. Then clusters, not sets, are paired; the overlap
   of two leaders, plus what their members differ by, bounds every overlap between the clusters. Only pairs of clusters
   that neither link by their leaders nor are excluded by that bound are opened, and their sets compared.
+* Clusters that a chain of links has joined are not paired again. They are paired in rounds: at first each with a few
+  neighbours on a list, then with more, and in the last round with all that are still apart, so a large group of near
+  copies is joined before its pairs, whose number grows with its square, would be written.
 
 Overlaps are first bounded by parity sketches, a thirtieth of the sets; only pairs that these leave open move whole sets.
 
@@ -38,6 +41,8 @@ SAMPLED = 16
 FILTER_BITS = (20, 30)
 #: Index entries that a task holds before it deals them out.
 HELD = 1 << 19
+#: Neighbours on a list that a cluster is paired with in each round before the last, which has no such bound.
+NEIGHBOURS = (2, 16)
 #: Bits of the smallest sketch of a set.
 SKETCH = 1024
 #: The largest set whose sketch, folded to the smallest, still tells sets apart on the index lists.
@@ -375,24 +380,24 @@ class _Compare:
         return seen.filter("not open").drop("open").unionByName(self.exact(seen.filter("open").select("a", "b")))
 
 
-_SET = np.dtype([("key", "<i8"), ("lead", "<i8"), ("size", "<u4"), ("d", "<u4"), ("places", "<u4")])
+_SET = np.dtype([("key", "<i8"), ("lead", "<i8"), ("part", "<i8"), ("size", "<u4"), ("d", "<u4"), ("places", "<u4")])
 _UNIT = np.dtype([("id", "<i8"), ("n", "<u4"), ("known", "<u4"), ("bits", f"V{SKETCH // 8}")])
 
 
 def _lists(opened: bool):
-    """One row per set (key, size, places, lead, d, n, sketch) to blocks of the index lists: bucket, sets, places, units.
+    """One row per set (key, size, places, lead, part, d, n, sketch) to blocks of the index lists: bucket, sets, places, units.
 
-    A unit is a cluster, named by its leader, or, if opened, a set; n and sketch are the unit's. Each task sends a list
-    a unit's sketch once a block.
+    A unit is a cluster, named by its leader, or, if opened, a set; n and sketch are the unit's. part names what links
+    have joined so far. Each task sends a list a unit's sketch once a block.
     """
 
     def run(batches):
         for b in batches:
             _, offs = text_bytes(b.column(2))
             for i, j in groups(offs, 4 << 20):
-                key, size, places, lead, d, n, sketch = (c.slice(i, j - i).to_pylist() for c in b.columns)
+                key, size, places, lead, joined, d, n, sketch = (c.slice(i, j - i).to_pylist() for c in b.columns)
                 sets = np.zeros(j - i, _SET)
-                sets["key"], sets["lead"], sets["size"], sets["d"] = key, lead, size, d
+                sets["key"], sets["lead"], sets["part"], sets["size"], sets["d"] = key, lead, joined, size, d
                 units = np.zeros(j - i, _UNIT)
                 units["id"], units["n"], units["known"] = key if opened else lead, [x or 0 for x in n], [x is not None for x in sketch]
                 units["bits"] = np.frombuffer(b"".join([folded(x) for x in sketch]), _UNIT["bits"])
@@ -427,11 +432,13 @@ def _pair_keys(batches):
         yield pa.RecordBatch.from_arrays([pa.array(pair_keys(b.column(0).to_numpy(), b.column(1).to_numpy()).astype(np.int64))], names=["key"])
 
 
-def _cluster_pairs(asked=None):
-    """Pairs of clusters (of sets, if asked is given) that an index list brings together and neither sizes, positions nor sketches exclude.
+def _cluster_pairs(asked=None, neighbours: int | None = None):
+    """Pairs of clusters (of sets, if asked is given) that an index list brings together, no links have joined so far, and neither sizes, positions nor sketches exclude.
 
-    Gives a, b, slack, least, la, lb: leaders (or sets), the most that members differ by, the least overlap that could
-    link them, and the leaders. asked is a filter of pairs of leaders: only sets of such clusters are paired.
+    Gives a, b, slack, least, la, lb, more: leaders (or sets), the most that members differ by, the least overlap that
+    could link them, the leaders, and whether one has had its neighbours, so that pairs may be left. asked is a filter
+    of pairs of leaders: only sets of such clusters are paired. neighbours is the most later partners of a cluster on a
+    list (None: all).
     """
     opened = asked is not None
 
@@ -439,7 +446,7 @@ def _cluster_pairs(asked=None):
         sets, places, units = (b"".join([x for b in batches for x in b.column(k).to_pylist()]) for k in (1, 2, 3))
         sets, units = np.frombuffer(sets, _SET), np.frombuffer(units, _UNIT)
         units = units[np.unique(units["id"], return_index=True)[1]]
-        size, lead = sets["size"].astype(np.int64), sets["lead"]
+        size, lead, joined = sets["size"].astype(np.int64), sets["lead"], sets["part"]
         d = np.zeros(len(sets), np.int64) if opened else sets["d"].astype(np.int64)
         row = np.repeat(np.arange(len(sets)), sets["places"])
         token, pos = np.frombuffer(places, "<u4").reshape(-1, 2).astype(np.int64).T
@@ -451,10 +458,11 @@ def _cluster_pairs(asked=None):
         fresh = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (unit[1:] != unit[:-1])))
         low, high = np.minimum.reduceat(size[row], fresh), np.maximum.reduceat(size[row], fresh)
         rest, most = np.maximum.reduceat(size[row] - pos, fresh), np.maximum.reduceat(d[row], fresh)
-        token, unit, owner = token[fresh], unit[fresh], lead[row[fresh]]
+        token, unit, owner, part = token[fresh], unit[fresh], lead[row[fresh]], joined[row[fresh]]
         order = np.lexsort((low, token))
-        token, unit, owner, low, high, rest, most = (v[order] for v in (token, unit, owner, low, high, rest, most))
+        token, unit, owner, part, low, high, rest, most = (v[order] for v in (token, unit, owner, part, low, high, rest, most))
         at, step, found = np.arange(len(token)), 1, []
+        had = np.zeros(len(token), np.int64)
         place = np.searchsorted(units["id"], unit)
 
         def may_link(i: np.ndarray, j: np.ndarray, slack: np.ndarray, least: np.ndarray) -> np.ndarray:
@@ -476,7 +484,7 @@ def _cluster_pairs(asked=None):
             if not len(at):
                 break
             least = (4 * (low[at] + low[to]) + 8) // 9
-            ok = (owner[at] != owner[to]) & (np.minimum(rest[at], rest[to]) >= least)
+            ok = (part[at] != part[to]) & (np.minimum(rest[at], rest[to]) >= least)
             i, j, least = at[ok], to[ok], least[ok]
             if opened and len(i):
                 keep = _passing(asked.value, pair_keys(np.minimum(owner[i], owner[j]), np.maximum(owner[i], owner[j])))
@@ -485,27 +493,32 @@ def _cluster_pairs(asked=None):
                 keep = may_link(i, j, most[i] + most[j], least)
                 i, j, least = i[keep], j[keep], least[keep]
             if len(i):
+                had[i] += 1
+                full = had[i] == neighbours if neighbours else np.zeros(len(i), bool)
                 swap = unit[i] > unit[j]
                 i, j = np.where(swap, j, i), np.where(swap, i, j)
-                found.append(np.stack([unit[i], unit[j], most[i] + most[j], least, np.minimum(owner[i], owner[j]), np.maximum(owner[i], owner[j])], 1))
+                found.append(np.stack([unit[i], unit[j], most[i] + most[j], least, np.minimum(owner[i], owner[j]), np.maximum(owner[i], owner[j]), full], 1))
+            if neighbours:
+                at = at[had[at] < neighbours]
             if len(found) > 64:
                 found = [_pairs(found)]
             step += 1
         if found:
             out = _pairs(found)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(out[:, k])) for k in range(6)], names=["a", "b", "slack", "least", "la", "lb"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(out[:, k])) for k in range(6)), pa.array(out[:, 6] > 0)], names=["a", "b", "slack", "least", "la", "lb", "more"])
+        trim()
 
     return scratch.each_bucket(of)
 
 
-_PAIRS = "a long, b long, slack long, least long, la long, lb long"
+_PAIRS = "a long, b long, slack long, least long, la long, lb long, more boolean"
 
 
 def _pairs(found: list[np.ndarray]) -> np.ndarray:
     x = np.concatenate(found)
     x = x[np.lexsort((x[:, 1], x[:, 0]))]
     first = np.flatnonzero(np.append(True, (x[1:, 0] != x[:-1, 0]) | (x[1:, 1] != x[:-1, 1])))
-    return np.stack([x[first, 0], x[first, 1], np.maximum.reduceat(x[:, 2], first), np.minimum.reduceat(x[:, 3], first), x[first, 4], x[first, 5]], 1)
+    return np.stack([x[first, 0], x[first, 1], np.maximum.reduceat(x[:, 2], first), np.minimum.reduceat(x[:, 3], first), x[first, 4], x[first, 5], np.maximum.reduceat(x[:, 6], first)], 1)
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -557,28 +570,44 @@ def _groups(rows: DataFrame, known: DataFrame, work: scratch.Work, sc) -> DataFr
     led = work.table(led, "clusters")
     like = led.join(led.select(F.col("key").alias("lead")), "lead", "left_anti").select("key", "lead", "d")  # longer chains: a cluster of one's own
 
-    # second round: clusters against clusters, by their leaders; the joins carry one row per set
+    # then clusters against clusters, by their leaders; the joins carry one row per set
     placed = work.table(live.join(like, "key", "left").select("key", "size", "places", F.coalesce("lead", "key").alias("lead"), F.coalesce("d", F.lit(0)).alias("d")), "placed")
     short = work.table(compare.sketches.select("key", "n", "value").mapInArrow(_folded, "key long, n long, sketch binary"), "short-sketches")
-    columns = ["key", "size", "places", "lead", "d", "n", "sketch"]
-    by_lead = placed.join(short.withColumnRenamed("key", "lead"), "lead", "left").select(columns).mapInArrow(_lists(False), _LISTS)
-    between = scratch.dealt(by_lead, buckets).mapInArrow(_cluster_pairs(), _PAIRS).groupBy("a", "b").agg(F.max("slack").alias("slack"), F.min("least").alias("least"))
-    asked = work.table(between, "cluster-pairs")
-    answers = work.table(compare(asked).join(asked, ["a", "b"]), "leader-overlaps")
-    links = near.select("a", "b").union(answers.filter(is_link).select("a", "b"))
-
-    # third round: the sets of clusters that the leaders leave open and no chain of links has joined
-    joined = work.table(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), work), "joined")
-    ends_of = [joined.select(F.col("node").alias(k), F.col("component_id").alias(f"c{k}")) for k in "ab"]
+    columns = ["key", "size", "places", "lead", "part", "d", "n", "sketch"]
+    links = near.select("a", "b")
+    rounds = [*NEIGHBOURS, None]
+    while rounds:
+        neighbours = rounds.pop(0)
+        joined = work.table(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), work), "joined")
+        parts = joined.select(F.col("node").alias("lead"), F.col("component_id").alias("part"))
+        by_lead = placed.join(parts, "lead", "left").withColumn("part", F.coalesce("part", "lead")).join(short.withColumnRenamed("key", "lead"), "lead", "left").select(columns).mapInArrow(_lists(False), _LISTS)
+        between = scratch.dealt(by_lead, buckets).mapInArrow(_cluster_pairs(neighbours=neighbours), _PAIRS)
+        between = between.groupBy("a", "b").agg(F.max("slack").alias("slack"), F.min("least").alias("least"), F.max("more").alias("more"))
+        asked = work.table(between, "cluster-pairs")
+        answers = work.table(compare(asked).join(asked, ["a", "b"]), "leader-overlaps")
+        links = links.union(answers.filter(is_link).select("a", "b"))
+        seen = answers.agg(F.count("a").alias("n"), F.count(F.when(is_link, 1)).alias("links"), F.max("more").alias("more")).first()
+        if not seen["more"]:  # nothing was left out
+            break
+        if 2 * seen["links"] < seen["n"]:  # what is alike links seldom: another round before the last would ask in vain
+            rounds = [None]
+
+    # at last the sets of clusters that the leaders leave open and no chain of links has joined
     open_ = answers.filter(~is_link & (F.col("overlap") + F.col("slack") >= F.col("least"))).select("a", "b")
-    open_ = open_.join(ends_of[0], "a", "left").join(ends_of[1], "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    open_ = work.table(open_, "open-clusters")
-    pairs = sc.broadcast(_filter(open_.select("a", "b").mapInArrow(_pair_keys, "key long"), power))
-    ends = open_.select(F.col("a").alias("lead")).union(open_.select(F.col("b").alias("lead"))).distinct()
-    reopened = placed.join(ends, "lead", "left_semi").join(short, "key", "left").select(columns).mapInArrow(_lists(True), _LISTS)
-    single = scratch.dealt(reopened, buckets).mapInArrow(_cluster_pairs(pairs), _PAIRS)
-    single = single.join(open_.select(F.col("a").alias("la"), F.col("b").alias("lb")), ["la", "lb"], "left_semi").select("a", "b").distinct()
-    links = links.union(compare(work.table(single, "opened")).filter(is_link).select("a", "b"))
+    for neighbours in (NEIGHBOURS[0], None):
+        joined = work.table(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), work), "joined")
+        ends_of = [joined.select(F.col("node").alias(k), F.col("component_id").alias(f"c{k}")) for k in "ab"]
+        open_ = open_.join(ends_of[0], "a", "left").join(ends_of[1], "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+        open_ = work.table(open_, "open-clusters")
+        if open_.isEmpty():
+            break
+        pairs = sc.broadcast(_filter(open_.select("a", "b").mapInArrow(_pair_keys, "key long"), power))
+        ends = open_.select(F.col("a").alias("lead")).union(open_.select(F.col("b").alias("lead"))).distinct()
+        parts = joined.select(F.col("node").alias("lead"), F.col("component_id").alias("part"))
+        reopened = placed.join(ends, "lead", "left_semi").join(parts, "lead", "left").withColumn("part", F.coalesce("part", "lead")).join(short, "key", "left").select(columns).mapInArrow(_lists(True), _LISTS)
+        single = scratch.dealt(reopened, buckets).mapInArrow(_cluster_pairs(pairs, neighbours), _PAIRS)
+        single = single.join(open_.select(F.col("a").alias("la"), F.col("b").alias("lb")), ["la", "lb"], "left_semi").select("a", "b").distinct()
+        links = links.union(compare(work.table(single, "opened")).filter(is_link).select("a", "b"))
 
     # one row per set until the end: a set's smallest id, its group's, and back
     sets = work.table(known.filter("counts is null and n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "sets")

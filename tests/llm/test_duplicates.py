@@ -98,6 +98,29 @@ def test_jaccard_join_opens_clusters_of_subsets(spark):
     assert sorted(map(tuple, got.select(*CONTRACT).collect()), key=str) == _brute(rows)
 
 
+def test_jaccard_pairs_of_one_group_do_not_grow_with_its_square(spark, monkeypatch):
+    """Copies of one text with two edits each, of which about half of the pairs link: the rows that are compared stay few a copy."""
+    r = random.Random(9)
+    base, made = [f"b{k}" for k in range(150)], []
+    for k in range(300):
+        w, at = list(base), r.randrange(5, 135)
+        w[at], w[at + r.randint(1, 5)] = f"x{k}", f"y{k}"
+        made.append(" ".join(w))
+    rows, counts = list(enumerate(made)), []
+    table = scratch.Work.table
+
+    def counted(self, df, name):
+        out = table(self, df, name)
+        if name in ("bounds", "cluster-pairs"):
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(scratch.Work, "table", counted)
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(12))
+    assert sorted(map(tuple, got.select(*CONTRACT).collect()), key=str) == _brute(rows)
+    assert sum(counts) < 40 * len(rows)
+
+
 def test_jaccard_odd_rows(odd, none):
     rows = [tuple(x) for x in odd.select("doc_id", "text").collect()]
     assert sorted(map(tuple, jaccard.join(odd).select(*CONTRACT).collect()), key=str) == _brute(rows)
