@@ -19,10 +19,13 @@ def bucket_order() -> Column:
 
 
 def cached(entries: DataFrame, now: str, days: int) -> DataFrame:
-    """Entries (with a column updated) younger than so many days, with their age: stale is served, very stale is not."""
-    at = F.lit(now).cast("timestamp")
-    age = F.floor((F.unix_timestamp(at) - F.unix_timestamp("updated")) / 86_400)
-    return entries.withColumn("age_days", age.cast("int")).filter(F.unix_timestamp("updated") > F.unix_timestamp(at) - days * 86_400)
+    """Entries (with a column updated) younger than so many days, with their age: stale is served, very stale is not.
+
+    Ages are counted in microseconds: whole seconds would add a day to an entry inside its last second.
+    """
+    day = 86_400_000_000
+    lived = F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col("updated").cast("timestamp"))
+    return entries.withColumn("age_days", F.floor(lived / day).cast("int")).filter(lived < days * day)
 
 
 def due(age: Column, days: int) -> Column:
