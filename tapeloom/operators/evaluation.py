@@ -68,7 +68,8 @@ def buckets(rows: DataFrame, factor: str, n: int = config.BUCKETS, by: tuple[str
     group is sorted in one task; only rows of one and the same value share a range of necessity.
     """
     x = stage.written(rows.filter(F.col(factor).isNotNull()), "bucket-rows")  # read for the cuts, the sizes and the places
-    cuts = x.groupBy(*by).agg(F.percentile_approx(factor, [k / ranges for k in range(1, ranges)], 10_000).alias("_cuts"), F.count("*").alias("_n"))
+    # approximate percentiles depend on the order in which their parts arrive: counts and places must read one and the same cuts
+    cuts = stage.written(x.groupBy(*by).agg(F.percentile_approx(factor, [k / ranges for k in range(1, ranges)], 10_000).alias("_cuts"), F.count("*").alias("_n")), "bucket-cuts")
     x = x.join(F.broadcast(cuts), [*by]).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(factor)))).drop("_cuts")
     sizes = x.groupBy(*by, "_range").agg(F.count("*").alias("_size"))  # at most so many rows a group
     before = sizes.select(*by, "_range", (F.sum("_size").over(Window.partitionBy(*by).orderBy("_range")) - F.col("_size")).alias("_before"))
