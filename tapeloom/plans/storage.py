@@ -124,4 +124,8 @@ def latest_per_key(spark, sf_dir):
   len(regexp_extract_all(html, '<p[ >]')) AS paragraphs FROM pages""")
 def page_sections(spark, sf_dir):
     """The outline of real pages, by the tokenizer that also reads their tables."""
-    return markup.parsed(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "parsed.title", F.col("parsed.n_items").alias("items"), F.col("parsed.n_paragraphs").alias("paragraphs"))
+    title = F.col("parsed.title")
+    for code, char in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        title = F.replace(title, F.lit(code), F.lit(char))
+    x = markup.parsed(table(spark, sf_dir, "pages").select("page_id", "html"), parts=["outline"])
+    return x.select("page_id", F.trim(title).alias("title"), F.col("parsed.n_items").alias("items"), F.col("parsed.n_paragraphs").alias("paragraphs"))

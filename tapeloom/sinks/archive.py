@@ -80,7 +80,7 @@ def _go_on(name: str, fetch: Fetch, news: Table, state: Table, shown: Table, bas
         asked = written(todo.withColumn("page", F.explode(pages)).select(*FEED, "page"), "walk-asked")
         got = fetch(asked).select(*FEED, "page", "html")
         filed = F.col("kind") == "announcement"
-        items = dossier.feed(markup.parsed(got), base).withColumnRenamed("d", "published")
+        items = dossier.feed(markup.parsed(got, parts=["feed"]), base).withColumnRenamed("d", "published")
         items = items.withColumns({"category": F.when(filed, dossier.announcement_kind(F.col("title"))), "source": F.when(filed, "").otherwise(F.col("source"))})
         counted, ends = _round(written(items, "walk-items"), asked, shown.rows().filter(F.col("walk") == name), since)
         counted = written(counted, "walk-counted")
