@@ -104,7 +104,9 @@ def page_tables(pages: DataFrame, html: str = "html") -> DataFrame:
 
     rest = pages.drop(html).columns
     tables = pages.select(*rest, F.posexplode(F.regexp_extract_all(html, F.lit(r"(?is)<table\b[^>]*>(.*?)</table>"), 1)).alias("table", "_t"))
-    rows = tables.select(*rest, "table", cells(F.col("_t"), "th").alias("header"), F.posexplode(F.regexp_extract_all("_t", F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), 1)).alias("row", "_r"))
+    # below the explode, so a header is read once for a table and not for each of its rows
+    heads = tables.select(*rest, "table", "_t", cells(F.col("_t"), "th").alias("header"))
+    rows = heads.select(*rest, "table", "header", F.posexplode(F.regexp_extract_all("_t", F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), 1)).alias("row", "_r"))
     out = rows.withColumn("cells", cells(F.col("_r"), "td")).filter((F.size("cells") > 0) & (F.size("cells") >= F.size("header")))
     return out.select(*rest, "table", "header", "row", "cells")
 

@@ -115,9 +115,11 @@ def listing_table(spark, sf_dir):
     s = F.col("s_suppkey")
     name = F.concat("s_name", F.when(s % 3 == 0, " [s]").otherwise(""))
     category = F.concat(F.lit("Industry &amp; "), F.col("s_nationkey").cast("string"), F.when(s % 4 > 0, ", Main Market").otherwise(""))
-    row = F.concat(F.lit("<tr><td>"), F.lpad(s.cast("string"), 4, "0"), F.lit("</td><td class='n'><a href='/x'>"), name, F.lit("</a></td><td>"), category, F.lit("</td></tr>\n"))
+    # pages print codes in full: rows are told apart by them, and SQL's four places come last
+    code = F.lpad(s.cast("string"), F.greatest(F.lit(4), F.length(s.cast("string"))), F.lit("0"))
+    row = F.concat(F.lit("<tr><td>"), code, F.lit("</td><td class='n'><a href='/x'>"), name, F.lit("</a></td><td>"), category, F.lit("</td></tr>\n"))
     body = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("page"), row.alias("r")).groupBy("page").agg(F.array_join(F.array_sort(F.collect_list("r")), "").alias("rows"))
     head = "<p>x</p><TABLE><tr><th>Code</th><th>Price</th></tr><tr><td>9999</td><td>1.0</td></tr></TABLE><table id='t'><tr><th>Code</th><th>Name</th><th>Category</th></tr><tr><td>Advertisement</td></tr>"
     pages = body.select("page", F.concat(F.lit(head), "rows", "rows", F.lit("</table>")).alias("html"))
     x = rd.universe_table(rd.pick_table(rd.page_tables(pages), ["Code", "Category"], ["Price"], ["page"]))
-    return x.select("code", "name", "shariah", "industry", F.coalesce("board", F.lit("-")).alias("board"))
+    return x.select(F.lpad("code", 4, "0").alias("code"), "name", "shariah", "industry", F.coalesce("board", F.lit("-")).alias("board"))
