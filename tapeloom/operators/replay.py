@@ -2,13 +2,14 @@
 
 How a trade ends depends on its entry, the prices and the exit rule alone, so every signal's trade is worked out first,
 in parallel, once for each exit rule. Only admission (slots, cash, size) is sequential: one pass per configuration and
-market over its candidate trades and their closes. Features are written once and read by all phases.
+market over its candidate trades in the order of their entries, each with the closes it may be marked at, so that the
+pass holds open positions only. Features are written once and read by all phases.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -55,32 +56,33 @@ class Plan:
 
 
 def _slim(features: DataFrame) -> DataFrame:
-    """What replay reads of the features, with the strategies that fired on each bar."""
+    """What replay reads of the features: bars with their number k and the strategies that fired on the session before."""
     fired = F.col("fired") if "fired" in features.columns else F.when(F.col("signal"), F.array(F.lit("signal"))).otherwise(F.array().cast("array<string>"))
-    return stage.written(features.select("market", "ticker", F.col("s").cast("long").alias("s"), "o", "l", "c", "ma50", fired.alias("fired")), "replay-features")
+    own = Window.partitionBy("market", "ticker").orderBy("s")
+    x = features.select("market", "ticker", F.col("s").cast("long").alias("s"), "o", "l", "c", "ma50", fired.alias("fired"))
+    was = F.when(F.lag("s").over(own) == F.col("s") - 1, F.lag("fired").over(own))
+    return stage.written(x.select("market", "ticker", "s", "o", "l", "c", "ma50", F.row_number().over(own).alias("k"), was.alias("was")), "replay-features")
 
 
-def _candidates(slim: DataFrame, plans: Sequence[Plan]) -> DataFrame:
-    """Trades by the index of their exit rule."""
+def _candidates(slim: DataFrame, plans: Sequence[Plan], marked: bool = False) -> DataFrame:
+    """Trades by the index of their exit rule; marked, also with the sessions and closes from entry to exit."""
     rules = list(dict.fromkeys(p.rule for p in plans))
     life = max(hold for _, _, hold, _ in rules)
     of = F.array(*(
         F.struct(F.lit(i).alias("rule"), F.lit(name).alias("strategy"), F.lit(float(stop)).alias("stop_pct"), F.lit(hold).alias("hold"), F.create_map(*(F.lit(x) for m, v in slips for x in (m, float(v)))).alias("slips"))
         for i, (name, stop, hold, slips) in enumerate(rules)
     ))
-    own = Window.partitionBy("market", "ticker").orderBy("s")
-    x = slim.select("market", "ticker", "s", "o", "l", "c", "ma50", F.row_number().over(own).alias("k"), F.lag("s").over(own).alias("_s"), F.lag("fired").over(own).alias("_was"))
-    hits = x.filter((F.col("_s") == F.col("s") - 1) & (F.size("_was") > 0) & (F.col("o") > 0))
-    hits = hits.withColumn("r", F.explode(F.filter(of, lambda y: F.array_contains("_was", y.strategy))))
+    hits = slim.filter((F.size("was") > 0) & (F.col("o") > 0))
+    hits = hits.withColumn("r", F.explode(F.filter(of, lambda y: F.array_contains("was", y.strategy))))
     fill = F.col("o") * (1 + F.coalesce(F.try_element_at("r.slips", "market"), F.try_element_at("r.slips", F.lit("US"))))
     entries = hits.select(
         F.col("r.rule").alias("rule"), F.col("r.hold").alias("hold"), "market", "ticker", F.col("s").alias("entry_s"), F.col("k").alias("k0"), fill.alias("entry"), (fill * (1 - F.col("r.stop_pct"))).alias("stop"),
-        F.coalesce(F.col("o") >= F.col("ma50"), F.lit(False)).alias("armed0"), F.col("l").alias("l0"),
+        F.coalesce(F.col("o") >= F.col("ma50"), F.lit(False)).alias("armed0"), F.col("l").alias("l0"), F.col("c").alias("c0"),
     )
     key = ["rule", "market", "ticker", "k0"]
     # bars are dealt to stretches of a trade's longest life: a trade meets two of them
     stretches = entries.withColumn("stretch", F.explode(F.array_distinct(F.array(F.floor((F.col("k0") + 1) / life), F.floor((F.col("k0") + F.col("hold")) / life)))))
-    later = x.select("market", "ticker", F.col("s").alias("s1"), "k", "o", "l", "c", "ma50", F.floor(F.col("k") / life).alias("stretch"))
+    later = slim.select("market", "ticker", F.col("s").alias("s1"), "k", "o", "l", "c", "ma50", F.floor(F.col("k") / life).alias("stretch"))
     path = stretches.join(later, ["market", "ticker", "stretch"]).filter((F.col("k") > F.col("k0")) & (F.col("k") <= F.col("k0") + F.col("hold")))
     w = Window.partitionBy(*key).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     armed = F.col("armed0") | F.coalesce(F.max(F.col("c") >= F.col("ma50")).over(w), F.lit(False))
@@ -88,15 +90,26 @@ def _candidates(slim: DataFrame, plans: Sequence[Plan]) -> DataFrame:
     end = lambda reason, px: F.struct(F.lit(reason).alias("reason"), px.alias("px"))
     how = F.when(F.col("l") <= F.col("stop"), end("stop", F.least("stop", "o"))).when(armed & (F.col("c") < F.col("ma50")), end("ma50_break", F.col("c")))
     how = how.when(held >= F.col("hold"), end("time", F.col("c")))
-    ends = path.withColumns({"how": how, "held": held}).filter("how is not null").groupBy(*key).agg(F.min(F.struct("k", "s1", "held", "how")).alias("x"))
+    ends = path.withColumns({"how": how, "held": held})
+    first = F.min(F.when(F.col("how").isNotNull(), F.struct("k", "s1", "held", "how"))).alias("x")
+    if marked:
+        ends = ends.groupBy(*key).agg(first, F.array_sort(F.collect_list(F.struct("s1", "c"))).alias("after"))
+    else:
+        ends = ends.filter("how is not null").groupBy(*key).agg(first)
     out = entries.join(ends, key, "left")
     at_once = F.col("l0") <= F.col("stop")
+    marks = []
+    if marked:
+        own = F.struct(F.col("entry_s").alias("s1"), F.col("c0").alias("c"))
+        lived = F.filter(F.coalesce("after", F.array().cast("array<struct<s1:long,c:double>>")), lambda y: ~at_once & (F.col("x").isNull() | (y["s1"] <= F.col("x.s1"))))
+        every = F.concat(F.array(own), lived)
+        marks = [every["s1"].alias("days"), every["c"].alias("closes")]
     return out.select(
         "rule", "market", "ticker", "entry_s", "entry", "stop",
         F.when(at_once, F.col("entry_s")).otherwise(F.col("x.s1")).alias("exit_s"),
         F.when(at_once, F.col("stop")).otherwise(F.col("x.how.px")).alias("px"),
         F.when(at_once, F.lit(0)).otherwise(F.col("x.held")).cast("long").alias("held"),
-        F.when(at_once, F.lit("stop")).otherwise(F.col("x.how.reason")).alias("reason"),
+        F.when(at_once, F.lit("stop")).otherwise(F.col("x.how.reason")).alias("reason"), *marks,
     )
 
 
@@ -109,95 +122,112 @@ def candidates(features: DataFrame, max_hold: int = config.MAX_HOLD, stop_pct: f
     return _candidates(_slim(features), [Plan(hold=max_hold, stop=stop_pct)]).drop("rule")
 
 
-def admit(cands: pd.DataFrame, closes: pd.DataFrame, plan: Plan) -> tuple[list[tuple], list[tuple]]:
-    """Trades taken and the equity after each session of one market: exits, then entries in ticker order, then the mark.
+class Book:
+    """One portfolio over the sessions of its market: exits, then entries in ticker order, then the mark.
 
-    closes: the closes that a candidate trade may be marked at, and a row without ticker for the first and last session.
+    Candidates are offered in the order of sessions and tickers; only open positions are held. trades and curve are its result.
     """
-    if closes.empty:
-        return [], []
-    sessions = closes.loc[closes["ticker"].isna(), "s"]
-    first, last = int(sessions.min()), int(sessions.max())
-    market = closes["market"].iloc[0]
-    slips, fees = dict(plan.slips), dict(plan.fees)
-    slip, fee_share = slips.get(market, slips["US"]), fees.get(market, fees["US"])
-    price = {t: dict(zip(g["s"].tolist(), g["c"].tolist(), strict=True)) for t, g in closes.groupby("ticker")}
-    order = {t: sorted(p) for t, p in price.items()}
-    by = {s: g.sort_values("ticker").to_dict("records") for s, g in cands.groupby("entry_s")}
-    cash = equity = plan.start
-    open_: dict[str, dict] = {}
-    trades, curve = [], []
-
-    def close(t: str, px: float, s: int, held: int, reason: str) -> None:
-        nonlocal cash
-        p = open_.pop(t)
-        out = px * (1 - slip)
-        fee = p["shares"] * out * fee_share
-        cash += p["shares"] * out - fee
-        trades.append((market, t, p["entry_s"], s, p["entry"], out, p["stop"], p["shares"], (out - p["entry"]) / (p["entry"] - p["stop"]), held, reason, fee))
-
-    for s in range(first + 1, last + 1):
-        for t in [t for t, p in open_.items() if p["exit_s"] == s]:
-            close(t, open_[t]["px"], s, open_[t]["held"], open_[t]["reason"])
-        for x in by.get(s, []):
-            if len(open_) >= plan.slots:
-                break
-            if x["ticker"] in open_:
-                continue
-            shares = min(math.floor(equity * plan.risk / (x["entry"] - x["stop"])), math.floor(equity * plan.most / x["entry"]))
-            paid = shares * x["entry"] * (1 + fee_share)
-            if shares <= 0 or paid > cash:
-                continue
-            cash -= paid
-            exit_s = None if pd.isna(x["exit_s"]) else int(x["exit_s"])
-            open_[x["ticker"]] = x | {"shares": shares, "exit_s": exit_s}
-            if exit_s == s:
-                close(x["ticker"], x["px"], s, 0, "stop")
-        equity = cash + sum(p["shares"] * price[t].get(s, p["entry"]) for t, p in open_.items())
-        curve.append((market, s, equity))
-    for t in list(open_):
-        held = sum(1 for s in order[t] if s > open_[t]["entry_s"])
-        close(t, price[t].get(last, open_[t]["entry"]), last, held, "end_of_data")
-    return trades, curve
+
+    def __init__(self, plan: Plan, market: str, first: int, last: int):
+        slips, fees = dict(plan.slips), dict(plan.fees)
+        self.plan, self.market, self.first, self.last, self.s = plan, market, first, last, first
+        self.slip, self.fee = slips.get(market, slips["US"]), fees.get(market, fees["US"])
+        self.cash = self.equity = plan.start
+        self.open: dict[str, dict] = {}
+        self.trades: list[tuple] = []
+        self.curve: list[tuple] = []
+
+    def _close(self, t: str, px: float, s: int, held: int, reason: str) -> None:
+        p = self.open.pop(t)
+        out = px * (1 - self.slip)
+        fee = p["shares"] * out * self.fee
+        self.cash += p["shares"] * out - fee
+        self.trades.append((self.market, t, p["entry_s"], s, p["entry"], out, p["stop"], p["shares"], (out - p["entry"]) / (p["entry"] - p["stop"]), held, reason, fee))
+
+    def _until(self, s: int) -> None:
+        """On to session s: sessions passed are marked, and its exits done."""
+        while self.s < s:
+            if self.s > self.first:
+                self.equity = self.cash + sum(p["shares"] * p["price"].get(self.s, p["entry"]) for p in self.open.values())
+                self.curve.append((self.market, self.s, self.equity))
+            self.s += 1
+            for t in [t for t, p in self.open.items() if p["exit_s"] == self.s]:
+                p = self.open[t]
+                self._close(t, p["px"], self.s, p["held"], p["reason"])
+
+    def full(self, s: int) -> bool:
+        """Whether session s has been reached and takes no more entries."""
+        return s == self.s and len(self.open) >= self.plan.slots
+
+    def offer(self, ticker: str, s: int, entry: float, stop: float, exit_s: int | None, px: float, held: int, reason: str, days: Sequence[int], closes: Sequence[float]) -> None:
+        """A candidate at session s, this one or a later one; days and closes: its ticker's bars from entry to exit."""
+        self._until(s)
+        if len(self.open) >= self.plan.slots or ticker in self.open:
+            return
+        shares = min(math.floor(self.equity * self.plan.risk / (entry - stop)), math.floor(self.equity * self.plan.most / entry))
+        paid = shares * entry * (1 + self.fee)
+        if shares <= 0 or paid > self.cash:
+            return
+        self.cash -= paid
+        price = dict(zip(map(int, days), map(float, closes), strict=True))
+        self.open[ticker] = {"entry_s": s, "entry": entry, "stop": stop, "exit_s": exit_s, "px": px, "held": held, "reason": reason, "shares": shares, "price": price}
+        if exit_s == s:
+            self._close(ticker, px, s, 0, "stop")
+
+    def ended(self) -> Book:
+        """The last session marked, and what is still open closed at the data's end."""
+        self._until(self.last + 1)
+        for t, p in list(self.open.items()):
+            self._close(t, p["price"].get(self.last, p["entry"]), self.last, len(p["price"]) - 1, "end_of_data")
+        return self
 
 
 def admitted(features: DataFrame, plans: Sequence[Plan]) -> DataFrame:
     """Rows ADMITTED of each plan's independent portfolio per market.
 
     features: as for candidates(), with signal or with fired (the strategies that fired, for plans of several). Admission
-    is sequential by nature: a plan's candidate trades of a market and the closes inside them go to one task, other bars
-    do not.
+    is sequential by nature: a plan's candidate trades of a market go through one task in order, with the closes inside
+    them; other bars do not.
     """
     names = [p.name for p in plans]
     if not plans or len(plans) > MOST_PLANS or len(set(names)) < len(names):
         raise ValueError(f"from 1 to {MOST_PLANS} plans, each of its own name")
-    key = ["market", "ticker"]
     slim = _slim(features)
-    cands = stage.written(_candidates(slim, plans), "replay-candidates")
-    # of the bars only those between entry and exit of some candidate are ever asked for
-    ends = cands.groupBy(*key, F.col("entry_s").alias("s")).agg(F.max(F.coalesce("exit_s", F.lit(1 << 62))).alias("_end"))
-    marks = slim.select(*key, "s", "c").join(ends, [*key, "s"], "left")
-    until = F.max("_end").over(Window.partitionBy(*key).orderBy("s").rowsBetween(Window.unboundedPreceding, 0))
-    marks = marks.withColumn("_until", until).filter(F.col("_until") >= F.col("s")).select(*key, F.col("s").alias("entry_s"), F.col("c").alias("entry"))
-    edges = slim.groupBy("market").agg(F.array(F.min("s"), F.max("s")).alias("s")).select("market", F.lit(None).cast("string").alias("ticker"), F.explode("s").alias("entry_s"), F.lit(None).cast("double").alias("entry"))
     rules = {r: i for i, r in enumerate(dict.fromkeys(p.rule for p in plans))}
     by_rule = F.create_map(*(x for r, i in rules.items() for x in (F.lit(i), F.array(*(F.lit(p.name) for p in plans if p.rule == r)))))
-    own = cands.withColumn("plan", F.explode(by_rule[F.col("rule")])).drop("rule").withColumn("is_close", F.lit(False))
-    closes = marks.union(edges).withColumn("plan", F.explode(F.array(*(F.lit(n) for n in names)))).withColumn("is_close", F.lit(True))
+    cands = _candidates(slim, plans, marked=True).withColumn("plan", F.explode(by_rule[F.col("rule")])).drop("rule")
+    # a row without an entry opens each portfolio, with the first and the last session of its market
+    edges = slim.groupBy("market").agg(F.min("s").alias("first"), F.max("s").alias("last")).withColumn("plan", F.explode(F.array(*(F.lit(n) for n in names))))
+    rows = cands.unionByName(edges, allowMissingColumns=True)
     by_name = {p.name: p for p in plans}
     trade, point = ([y.split(" ")[0] for y in x.split(", ")] for x in (TRADES, EQUITY))
     every = [y.split(" ")[0] for y in ADMITTED.split(", ")]
+    whole = {y.split(" ")[0]: "Int64" for y in ADMITTED.split(", ") if y.endswith(" long")}
 
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        plan = by_name[x["plan"].iloc[0]]
-        prices = x[x["is_close"]].rename(columns={"entry_s": "s", "entry": "c"})
-        trades, curve = admit(x[~x["is_close"]], prices, plan)
-        both = pd.concat([pd.DataFrame(trades, columns=trade), pd.DataFrame(curve, columns=point)]).reindex(columns=every)
-        both["plan"] = plan.name
-        whole = {y.split(" ")[0]: "Int64" for y in ADMITTED.split(", ") if y.endswith(" long")}
+    def told(book: Book) -> pd.DataFrame:
+        both = pd.concat([pd.DataFrame(book.trades, columns=trade), pd.DataFrame(book.curve, columns=point)]).reindex(columns=every)
+        both["plan"] = book.plan.name
+        book.trades, book.curve = [], []
         return both.astype(whole)
 
-    return own.unionByName(closes, allowMissingColumns=True).groupBy("plan", "market").applyInPandas(run, ADMITTED)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        book = None
+        for f in frames:
+            for x in f.itertuples(index=False):
+                if x.ticker is None:
+                    if book:
+                        yield told(book.ended())
+                    book = Book(by_name[x.plan], x.market, int(x.first), int(x.last))
+                elif not book.full(s := int(x.entry_s)):
+                    exit_s = None if pd.isna(x.exit_s) else int(x.exit_s)
+                    book.offer(x.ticker, s, x.entry, x.stop, exit_s, x.px, x.held, x.reason, x.days, x.closes)
+        if book:
+            yield told(book.ended())
+
+    # one task reads a portfolio from end to end, a batch at a time; the sort that brings its rows in order spills to disk
+    n = int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(n, "plan", "market").sortWithinPartitions("plan", "market", F.asc_nulls_first("entry_s"), "ticker")
+    return dealt.select("plan", "market", "ticker", "entry_s", "entry", "stop", "exit_s", "px", "held", "reason", "days", "closes", "first", "last").mapInPandas(run, ADMITTED)
 
 
 def grid(features: DataFrame, plans: Sequence[Plan]) -> tuple[DataFrame, DataFrame]:
