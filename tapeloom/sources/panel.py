@@ -21,18 +21,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """market, ticker, d, o, h, l, c, v: one row per ticker and trading day, no nulls."""
     s = F.col("l_suppkey")
-    daily = (
+    own = ["market", "ticker", "l_suppkey"]
+    # dealt by ticker once: days, closes and every later window of a ticker's own bars read that one exchange
+    lines = (
         table(spark, sf_dir, "lineitem")
-        .select("l_suppkey", F.to_date("l_shipdate").alias("d"), "l_quantity", (F.round(F.col("l_discount") * 100).cast("long") - 5).alias("x"))
-        .groupBy("l_suppkey", "d")
-        .agg(F.sum("x").alias("x"), F.sum("l_quantity").alias("v"), F.count("*").alias("n"))
-    )
-    w = Window.partitionBy("l_suppkey").orderBy("d")
+        .select(
+            F.when(s % 2 == 0, "MY").otherwise("US").alias("market"),
+            F.concat(F.lit("T"), F.lpad(s.cast("string"), 6, "0"), F.when(s % 2 == 0, ".KL").otherwise("")).alias("ticker"),
+            "l_suppkey", F.to_date("l_shipdate").alias("d"), "l_quantity", (F.round(F.col("l_discount") * 100).cast("long") - 5).alias("x"),
+        )
+        .repartition("market", "ticker")
+    )
+    daily = lines.groupBy(*own, "d").agg(F.sum("x").alias("x"), F.sum("l_quantity").alias("v"), F.count("*").alias("n"))
+    w = Window.partitionBy(*own).orderBy("d")
     moved = daily.withColumn("c", F.greatest(F.lit(2.0), 60 + 0.5 * F.sum(F.col("x") + s % 5 - 1).over(w)))
     opened = moved.withColumn("p", F.coalesce(F.lag("c").over(w), F.col("c"))).withColumn("o", F.when(F.col("n") % 2 == 0, F.col("c")).otherwise(F.col("p") + 0.25 * (F.dayofmonth("d") % 3)))
     return opened.select(
-        F.when(s % 2 == 0, "MY").otherwise("US").alias("market"),
-        F.concat(F.lit("T"), F.lpad(s.cast("string"), 6, "0"), F.when(s % 2 == 0, ".KL").otherwise("")).alias("ticker"),
+        "market",
+        "ticker",
         "d",
         "o",
         (F.greatest("o", "c") + 0.25 * (F.col("v").cast("long") % 5)).alias("h"),
