@@ -296,7 +296,8 @@ def bootstrap(trades: DataFrame, risk: float = config.RISK, draws: int = 10_000,
     numbers of a counter, not of a generator's state, so any engine draws the same, block by block and in any order. The
     trades of a market are bounded by its slots and sessions.
     """
-    rs = trades.filter("r is not null").groupBy(*by).agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    # read for the sizes and for the draws; the trades behind it are a whole replay
+    rs = stage.written(trades.filter("r is not null").groupBy(*by).agg(F.array_sort(F.collect_list("r")).alias("rs")), "bootstrap-trades")
     sized = rs.select(*by, F.size("rs").cast("long").alias("trades"), (F.size("rs") < THIN).alias("thin"))
     rows = max(1, draws // 20)
     work = rs.filter(F.size("rs") >= THIN).withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(rows)))).repartition(*by, "first")
